@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lines import comment_blocks, comment_text, is_comment
+from .lines import comment_blocks, comment_text, is_comment, strip_ws
 
 IDENT = r"[A-Za-z_][A-Za-z0-9_]*"
 TPARAMS = r"(?:\[[^\]]*\])?"
@@ -156,7 +156,7 @@ def member_lines(ln: DataFrame, decls: DataFrame, key: Sequence[str], kinds: Seq
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", comment_text("text").alias("t")))),
                                  lambda s: s["t"]), "\n").alias("member_doc"))
     cb = cb.select(*key, "owner_line", (F.col("__end") + 1).alias("line_no"), "member_doc")
-    return inside.filter(~F.col("__cm") & (F.trim("text") != "")) \
+    return inside.filter(~F.col("__cm") & (strip_ws("text") != "")) \
         .join(cb, [*key, "owner_line", "line_no"], "left") \
         .withColumn("member_doc", F.coalesce("member_doc", F.lit(""))) \
         .select(*key, "owner_line", "owner", "line_no", "text", "depth", "member_doc")
@@ -166,9 +166,9 @@ def member_lines(ln: DataFrame, decls: DataFrame, key: Sequence[str], kinds: Seq
 def fields(ml: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row per field name; embedded fields have an empty name and the type as text.
 
-    ``struct_path`` is the chain of enclosing field names for nested anonymous structs.
+    ``depth`` is the nesting level inside anonymous struct fields.
     """
-    t = F.trim(F.col("text"))
+    t = strip_ws("text")
     tag = F.regexp_extract(t, r"`([^`]*)`\s*(?://.*)?$", 1)
     body = F.trim(F.regexp_replace(F.regexp_replace(t, r"`[^`]*`", ""), r"//.*$", ""))
     named = body.rlike(rf"^{IDENT}(?:\s*,\s*{IDENT})*\s+\S")
@@ -203,20 +203,21 @@ def const_values(specs: DataFrame, group_cols: Sequence[str], pos_col: str, expr
         .withColumn("eff_expr", F.last(F.col(expr_col), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     e = F.regexp_replace(F.col("eff_expr"), r"\s+", "")
     iota = F.col("iota")
+    x = x.withColumn("__k", F.regexp_extract(e, r"^(\d+)<<iota$", 1).cast("long"))
     num = lambda rx: F.regexp_extract(e, rx, 1).cast("long")
     value = (F.when(e.rlike(r"^-?\d+$"), e.cast("long"))
              .when(e == "iota", iota)
              .when(e.rlike(r"^iota\+\d+$"), iota + num(r"^iota\+(\d+)$"))
              .when(e.rlike(r"^iota-\d+$"), iota - num(r"^iota-(\d+)$"))
-             .when(e.rlike(r"^\d+<<iota$"), F.shiftleft(num(r"^(\d+)<<iota$"), iota.cast("int")))
+             .when(e.rlike(r"^\d+<<iota$"), F.col("__k") * F.pow(F.lit(2), iota).cast("long"))
              .when(e.rlike(r"^iota\*\d+$"), iota * num(r"^iota\*(\d+)$")))
-    return x.withColumn("value", value)
+    return x.withColumn("value", value).drop("__k")
 
 
 # --- E11 --------------------------------------------------------------------
 def interface_members(ml: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(methods, type-set terms) of interface bodies; terms de-duplicated first wins."""
-    t = F.trim(F.col("text"))
+    t = strip_ws("text")
     top = ml.filter((F.col("depth") == 0) & ~t.rlike(r"^\}"))
     meth = top.filter(t.rlike(rf"^{IDENT}\s*\(")).select(
         *key, "owner_line", "owner", "line_no", "member_doc",
@@ -338,3 +339,28 @@ def tag_value(tag: Column | str, key: str) -> Column:
     t = F.regexp_replace(F.col(tag) if isinstance(tag, str) else tag, "`", "")
     rx = r'(?:^|\s)' + re.escape(key) + r':"((?:[^"\\]|\\.)*)"'
     return F.regexp_extract(t, rx, 1)
+
+
+# --- E7 ---------------------------------------------------------------------
+def imports(ln: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Import specs (block or single-line form): ``key, line_no, pos, alias, import_path, doc``."""
+    w = Window.partitionBy(*key).orderBy("line_no")
+    t = F.col("text")
+    start = F.when(t.rlike(r"^import\s*\(\s*$"), F.lit(1)).when(t.rlike(r"^\)"), F.lit(0))
+    x = ln.withColumn("__st", F.last(start, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    spec_rx = r'^\s*(?:import\s+)?(?:([A-Za-z_][A-Za-z0-9_]*|\.)\s+)?"([^"]*)"'
+    in_block = (F.col("__st") == 1) & ~t.rlike(r"^\)")
+    single = t.rlike(r'^import\s+(?:[A-Za-z_.][A-Za-z0-9_]*\s+)?"')
+    specs = x.filter((in_block & t.rlike(spec_rx)) | single)
+    blocks = comment_blocks(ln, key).select(*key, (F.col("block_end") + 1).alias("line_no"), "doc")
+    out = specs.select(*key, "line_no", F.regexp_extract(t, spec_rx, 1).alias("alias"),
+                       F.regexp_extract(t, spec_rx, 2).alias("import_path")) \
+        .join(blocks, [*key, "line_no"], "left").withColumn("doc", F.coalesce("doc", F.lit("")))
+    return out.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
+
+
+def import_prefix(alias: Column | str, import_path: Column | str) -> Column:
+    """Alias if given, else the last path segment."""
+    a = F.col(alias) if isinstance(alias, str) else alias
+    p = F.col(import_path) if isinstance(import_path, str) else import_path
+    return F.when(F.coalesce(a, F.lit("")) != "", a).otherwise(F.substring_index(p, "/", -1))

@@ -21,15 +21,22 @@ def lines(df: DataFrame, key: Sequence[str], content_col: str = "content") -> Da
         .select(*key, (F.col("pos") + 1).cast("long").alias("line_no"), "text")
 
 
+def strip_ws(c: Column | str) -> Column:
+    """Trim all white space (``F.trim`` only removes blanks, not tabs)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+
+
 def is_comment(text: Column | str) -> Column:
     t = F.col(text) if isinstance(text, str) else text
-    return F.ltrim(t).startswith("//") | (F.ltrim(t).startswith("/*") & F.rtrim(t).endswith("*/"))
+    lt = F.regexp_replace(t, r"^\s+", "")
+    return lt.startswith("//") | (lt.startswith("/*") & F.regexp_replace(t, r"\s+\z", "").endswith("*/"))
 
 
 def comment_text(text: Column | str) -> Column:
     """Comment line without its marker, one following blank and trailing white space."""
     t = F.col(text) if isinstance(text, str) else text
-    body = F.when(F.ltrim(t).startswith("//"), F.regexp_replace(t, r"^\s*//", "")) \
+    body = F.when(F.regexp_replace(t, r"^\s+", "").startswith("//"), F.regexp_replace(t, r"^\s*//", "")) \
         .otherwise(F.regexp_replace(F.regexp_replace(t, r"^\s*/\*", ""), r"\*/\s*\z", ""))
     return F.regexp_replace(F.regexp_replace(body, r"^ ", ""), r"\s+\z", "")
 
@@ -77,7 +84,7 @@ def full_docs(ln: DataFrame, targets: DataFrame, key: Sequence[str], line_col: s
     """
     w = Window.partitionBy(*key).orderBy("line_no")
     comment = is_comment("text")
-    blank = F.trim(F.col("text")) == ""
+    blank = strip_ws("text") == ""
     s = ln.withColumn("__code", ~comment & ~blank) \
         .withColumn("__sess", F.sum(F.col("__code").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # piece of text each line contributes: comment text, or its blank text
