@@ -21,6 +21,8 @@ def global_index(df: DataFrame, order_cols: Sequence[str | Column], name: str =
     count pass and the numbering pass read the very same partitioning, and a
     lost executor recomputes from the checkpoint, not from the sort.
     """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     pid, mid = "__qs_pid", "__qs_mid"
     srt = df.orderBy(*order_cols).withColumn(pid, F.spark_partition_id()) \
         .withColumn(mid, F.monotonically_increasing_id())

@@ -35,7 +35,9 @@ def read_documents(spark, out_dir: str, group_col: str = "out_file") -> DataFram
 def scratch_dir(spark, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
     import uuid
-    base = spark.conf.get("spark.checkpoint.dir")
+
+    from ..session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
