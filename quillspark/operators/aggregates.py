@@ -28,15 +28,18 @@ def package_aggregate(files: DataFrame, dir_col: str = "dir") -> DataFrame:
     order, sorted distinct build tags, summed member counts.
 
     ``files``: ``dir, path, package, doc, tags ARRAY<STRING>, n_decls``.
+    Build tags are made distinct per directory before they are collected, so
+    a directory with very many files collects only its distinct tags.
     """
-    return files.groupBy(dir_col).agg(
+    tags = files.select(dir_col, F.explode("tags").alias("__t")).distinct() \
+        .groupBy(dir_col).agg(F.array_join(F.array_sort(F.collect_list("__t")), ",").alias("build_tags"))
+    main = files.groupBy(dir_col).agg(
         F.min_by("package", "path").alias("package"),
         ordered_join(["path"], F.when(F.col("doc") != "", F.col("doc")), "\n").alias("doc"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(
-            F.coalesce("tags", F.array().cast("array<string>")))))), ",").alias("build_tags"),
         F.count(F.lit(1)).alias("n_files"),
         F.sum("n_decls").cast("long").alias("n_decls"),
     )
+    return main.join(tags, dir_col, "left").withColumn("build_tags", F.coalesce("build_tags", F.lit("")))
 
 
 # --- A3 ---------------------------------------------------------------------

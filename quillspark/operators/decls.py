@@ -92,11 +92,13 @@ def declarations(ln: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFram
     closer = t.rlike(r"^[})]")
     x = ln.withColumn("kind", k).withColumn("__open", F.when(k.isNotNull(), opens)) \
         .withColumn("__close_at", F.when(closer, F.col("line_no")))
-    x = x.withColumn("__next_close", F.first("__close_at", ignorenulls=True).over(
-        w.rowsBetween(1, Window.unboundedFollowing)))
+    # "next closer / next declaration after this line": a growing frame in
+    # descending order (incremental, O(lines)), not an unbounded-following frame
+    back = Window.partitionBy(*key).orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("__next_close", F.last("__close_at", ignorenulls=True).over(back))
     # next declaration start after this one (an unclosed block must not run past it)
-    x = x.withColumn("__next_decl", F.first(F.when(F.col("kind").isNotNull(), F.col("line_no")), ignorenulls=True)
-                     .over(w.rowsBetween(1, Window.unboundedFollowing)))
+    x = x.withColumn("__next_decl", F.last(F.when(F.col("kind").isNotNull(), F.col("line_no")), ignorenulls=True)
+                     .over(back))
     d = x.filter(F.col("kind").isNotNull())
     end = F.when(~F.col("__open"), F.col("line_no")).otherwise(F.col("__next_close"))
     bad_span = F.col("__open") & (F.col("__next_close").isNull() |
@@ -255,9 +257,10 @@ def param_rows(decls: DataFrame, key: Sequence[str], list_col: str, role: str) -
     name = F.when(F.col("__named"), F.regexp_extract("item", rf"^({IDENT})", 1))
     typ = F.when(F.col("__named"), F.nullif(F.trim(F.regexp_replace("item", rf"^{IDENT}\s*", "")), F.lit(""))) \
         .otherwise(F.col("item"))
-    w = Window.partitionBy(*key, "decl_line").orderBy("pos")
+    back = Window.partitionBy(*key, "decl_line").orderBy(F.col("pos").desc()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("name", name).withColumn("type_text", typ) \
-        .withColumn("type_text", F.first("type_text", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("type_text", F.last("type_text", ignorenulls=True).over(back))
     return x.select(*key, "decl_line", F.lit(role).alias("role"), F.col("pos").cast("long").alias("pos"),
                     F.coalesce("name", F.lit("")).alias("name"), "type_text")
 

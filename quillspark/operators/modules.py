@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_version, module_short_name
+from ..session import broadcast_if_small
 from .paths import dir_of
 
 MAX_PREFIX_LENGTHS = 4096
@@ -78,7 +79,9 @@ def prefix_candidates(big: DataFrame, path_col: str, small: DataFrame, key: str)
     exp = big.withColumn("__qs_len", F.explode(F.filter(arr, lambda n: n <= F.length(F.col(path_col))))) \
         .withColumn("__qs_pre", F.col(path_col).substr(F.lit(1), F.col("__qs_len")))
     s = small.withColumn("__qs_len", F.length(key)).withColumnRenamed(key, "__qs_pre")
-    return exp.join(s, ["__qs_len", "__qs_pre"]).withColumnRenamed("__qs_pre", key)
+    # one module base may own a third of all paths: a broadcast small side keeps
+    # that hot key off a single shuffle partition (size checked first)
+    return exp.join(broadcast_if_small(s), ["__qs_len", "__qs_pre"]).withColumnRenamed("__qs_pre", key)
 
 
 # --- J2 ---------------------------------------------------------------------
@@ -107,19 +110,26 @@ def longest_prefix_module(paths: DataFrame, path_col: str, modules: DataFrame,
 
 # --- J4 ---------------------------------------------------------------------
 def slash_prefixes(col: Column | str) -> Column:
-    """Every prefix of a path that ends at a ``/`` boundary, plus the whole path."""
+    """Every prefix of a path that ends at a ``/`` boundary, plus the whole path (array form)."""
     c = F.col(col) if isinstance(col, str) else col
     parts = F.split(c, "/")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
 
 
+def explode_slash_prefixes(df: DataFrame, col: str, out: str = "__qs_p") -> DataFrame:
+    """One row per ``/``-boundary prefix of ``col`` (generator + codegen'd
+    ``substring_index``; cheaper than building the prefix array)."""
+    return df.select("*", F.posexplode(F.split(F.col(col), "/")).alias("__qs_k", "__qs_seg")) \
+        .withColumn(out, F.expr(f"substring_index(`{col}`, '/', __qs_k + 1)")).drop("__qs_k", "__qs_seg")
+
+
 def module_membership(paths: DataFrame, path_col: str, modules: DataFrame, row_key: list[str]) -> DataFrame:
     """Two flags per row: raw prefix of any module name, boundary-aware prefix of any."""
     raw = prefix_candidates(paths.select(*row_key, path_col), path_col,
                             modules.select("name").distinct(), "name").select(*row_key).distinct() \
         .withColumn("raw_member", F.lit(True))
-    names = modules.select(F.col("name").alias("__qs_p")).filter(F.col("name") != "").distinct()
-    bnd = paths.select(*row_key, F.explode(F.array_distinct(slash_prefixes(path_col))).alias("__qs_p")) \
+    names = broadcast_if_small(modules.select(F.col("name").alias("__qs_p")).filter(F.col("name") != "").distinct())
+    bnd = explode_slash_prefixes(paths.select(*row_key, path_col), path_col).select(*row_key, "__qs_p") \
         .join(names, "__qs_p", "left_semi").select(*row_key).distinct().withColumn("boundary_member", F.lit(True))
     return paths.join(raw, row_key, "left").join(bnd, row_key, "left") \
         .withColumn("raw_member", F.coalesce("raw_member", F.lit(False))) \
@@ -127,17 +137,17 @@ def module_membership(paths: DataFrame, path_col: str, modules: DataFrame, row_k
 
 
 # --- J5 ---------------------------------------------------------------------
-def ancestors(dir_col: Column | str) -> Column:
-    """``array<struct<depth, dir>>`` of a directory and all its parents (depth 0 = itself)."""
-    d = F.col(dir_col) if isinstance(dir_col, str) else dir_col
-    parts = F.split(d, "/")
-    n = F.size(parts)
+def explode_ancestors(df: DataFrame, dir_col: str) -> DataFrame:
+    """One row per ancestor of ``dir_col`` (itself included): ``depth`` 0 = itself, ``base`` = ancestor.
 
-    def at(k):
-        joined = F.array_join(F.slice(parts, 1, n - k), "/")
-        return F.struct(k.alias("depth"), F.when(joined == "", F.lit("/")).otherwise(joined).alias("dir"))
-    # an absolute path starts with an empty segment; the last level is "/"
-    return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), at)
+    A generator over the path segments plus codegen'd ``substring_index``;
+    the root of an absolute path is ``/``.
+    """
+    x = df.select("*", F.posexplode(F.split(F.col(dir_col), "/")).alias("__qs_k", "__qs_seg"))
+    anc = F.expr(f"substring_index(`{dir_col}`, '/', __qs_k + 1)")
+    n = F.size(F.split(F.col(dir_col), "/"))
+    return x.withColumn("base", F.when(anc == "", F.lit("/")).otherwise(anc)) \
+        .withColumn("depth", n - 1 - F.col("__qs_k")).drop("__qs_k", "__qs_seg")
 
 
 def nearest_manifest(paths: DataFrame, dir_col: str, manifests: DataFrame, row_key: list[str]) -> DataFrame:
@@ -146,9 +156,8 @@ def nearest_manifest(paths: DataFrame, dir_col: str, manifests: DataFrame, row_k
     ``manifests``: (base, kind in {workspace, module}, manifest_path, ok BOOLEAN, name).
     Adds ``manifest_path``, ``manifest_kind``, ``status`` (ok / failed to load / none found).
     """
-    anc = paths.select(*row_key, F.explode(ancestors(dir_col)).alias("a")) \
-        .select(*row_key, F.col("a.depth").alias("depth"), F.col("a.dir").alias("base"))
-    m = manifests.select("base", "kind", "manifest_path", "ok", "name")
+    anc = explode_ancestors(paths.select(*row_key), dir_col).select(*row_key, "depth", "base")
+    m = broadcast_if_small(manifests.select("base", "kind", "manifest_path", "ok", "name"))
     hits = anc.join(m, "base")
     rank = F.struct(F.col("depth"), F.when(F.col("kind") == "workspace", 0).otherwise(1).alias("k"))
     best = hits.groupBy(*row_key).agg(F.min_by(F.struct("manifest_path", "kind", "name", "ok"), rank).alias("b")) \

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import anchor_id
-from .modules import slash_prefixes
+from ..session import broadcast_if_small
+from .modules import explode_slash_prefixes
 
 # Builtin type names (never linked).
 BUILTIN_TYPES = ["bool", "byte", "complex64", "complex128", "error", "float32", "float64", "int", "int8", "int16",
@@ -92,11 +93,12 @@ def resolve_refs(tokens: DataFrame, key: Sequence[str], aliases: DataFrame, own_
     path = F.coalesce(F.col("pkg_path"), F.when(pkg_only, F.col("__p_ident")), by_alias,
                       F.when(F.col("ident") != "", F.col(own_package)))
     t = t.withColumn("package_path", path)
-    names = module_names.select(F.col("name").alias("__pre")).distinct()
-    member = t.select(*key, "tok_pos", "package_path").filter(F.col("package_path").isNotNull()) \
-        .select(*key, "tok_pos", F.explode(F.array_distinct(slash_prefixes("package_path"))).alias("__pre")) \
-        .join(names, "__pre", "left_semi").select(*key, "tok_pos").distinct().withColumn("__int", F.lit(True))
-    t = t.join(member, [*key, "tok_pos"], "left")
+    names = broadcast_if_small(module_names.select(F.col("name").alias("__pre")).distinct())
+    # internal flag per distinct package path (few), then joined back
+    paths = t.select("package_path").filter(F.col("package_path").isNotNull()).distinct()
+    member = explode_slash_prefixes(paths, "package_path", "__pre").join(names, "__pre", "left_semi") \
+        .select("package_path").distinct().withColumn("__int", F.lit(True))
+    t = t.join(member, "package_path", "left")
     external = F.when(~F.col("package_path").rlike(r"[./]"), F.lit(True)) \
         .otherwise(~F.coalesce(F.col("__int"), F.lit(False)))
     kind = F.when(F.col("receiver") != "", "method").when(F.col("ident") == "", "package").otherwise("type")
@@ -139,9 +141,8 @@ def classify_package_refs(pkg_imports: DataFrame, package_info: DataFrame, modul
     info = package_info.select(F.col("fq_package").alias("import_path"), F.col("anchor").alias("known_anchor"),
                                F.col("out_file").alias("known_file"))
     d = d.join(info, "import_path", "left")
-    names = module_names.select(F.col("name").alias("__pre")).distinct()
-    mem = d.select("import_path").distinct() \
-        .select("import_path", F.explode(F.array_distinct(slash_prefixes("import_path"))).alias("__pre")) \
+    names = broadcast_if_small(module_names.select(F.col("name").alias("__pre")).distinct())
+    mem = explode_slash_prefixes(d.select("import_path").distinct(), "import_path", "__pre") \
         .join(names, "__pre", "left_semi").select("import_path").distinct().withColumn("__int", F.lit(True))
     d = d.join(mem, "import_path", "left")
     cls = F.when(F.col("known_anchor").isNotNull(), "internal-known") \

@@ -1,10 +1,12 @@
 """User functions over files and packages.
 
 A per-file function runs over Arrow batches with ``mapInPandas`` (bounded
-memory: one batch at a time); a per-package function runs with
-``groupBy(...).applyInPandas``.  A per-package function sees one whole group,
-so it is meant for package-level summaries of modest size; for large groups
-prefer a Column-expression aggregation.
+memory: one batch at a time).  A per-package function runs with
+``groupBy(...).applyInPandas``; because one package may hold a large share of
+all files, the package is cut into chunks of at most ``chunk_rows`` rows
+(chunk count per package from a partial count, rows spread by hash), the
+function sees one chunk, and its partial results are combined per package by
+a Spark aggregation.  No group larger than ``chunk_rows`` reaches Python.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def walk_files(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -23,7 +26,25 @@ def walk_files(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
     return df.mapInPandas(run, schema)
 
 
-def walk_packages(df: DataFrame, group_col: str, fn: Callable[[pd.DataFrame], pd.DataFrame],
-                  schema: str) -> DataFrame:
-    """Apply ``fn`` to the files of each package."""
-    return df.groupBy(group_col).applyInPandas(fn, schema)
+def walk_packages(df: DataFrame, group_col: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
+                  combine: dict[str, Callable[[Column], Column]] | None = None, row_key: str | None = None,
+                  chunk_rows: int = 50_000) -> DataFrame:
+    """Apply ``fn`` per package.
+
+    With ``combine`` (output column → Spark aggregate, e.g. ``F.sum``) the
+    package is processed in bounded chunks and the partial outputs combined;
+    without it ``fn`` sees the whole package (only for packages known to be small).
+    """
+    if combine is None:
+        return df.groupBy(group_col).applyInPandas(fn, schema)
+    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("__qs_n"))
+    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("__qs_n") / F.lit(chunk_rows)))
+    key = F.col(row_key) if row_key else F.monotonically_increasing_id()
+    chunked = df.join(sizes, group_col).withColumn("__qs_chunk", F.pmod(F.xxhash64(key), n_chunks)).drop("__qs_n")
+    cols = [c for c in df.columns]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return fn(pdf[cols])
+
+    partial = chunked.groupBy(group_col, "__qs_chunk").applyInPandas(run, schema)
+    return partial.groupBy(group_col).agg(*[agg(F.col(c)).alias(c) for c, agg in combine.items()])

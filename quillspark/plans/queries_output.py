@@ -289,7 +289,8 @@ def _source_summary(pdf: pd.DataFrame) -> pd.DataFrame:
 SELECT source, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, min(doc_id) AS first_doc FROM documents GROUP BY source""")
 def p2_per_package_function(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    return walk_packages(docs, "source", _source_summary, "source string, n_docs long, n_chars long, first_doc long")
+    return walk_packages(docs, "source", _source_summary, "source string, n_docs long, n_chars long, first_doc long",
+                         combine={"n_docs": F.sum, "n_chars": F.sum, "first_doc": F.min}, row_key="doc_id")
 
 
 # --- T1 ---------------------------------------------------------------------

@@ -151,10 +151,9 @@ def j8_type_links(spark, sf_dir):
         F.col("file_id").alias("decl_id"), F.col("alias_key").alias("qualifier"), "import_path")
     x = refs.join(am, ["decl_id", "qualifier"], "left")
     names = module_table(spark, sf_dir).select(F.col("name").alias("__pre")).distinct()
-    from ..operators.modules import slash_prefixes
-    mem = x.select("import_path").filter(F.col("import_path").isNotNull()).distinct() \
-        .select("import_path", F.explode(F.array_distinct(slash_prefixes("import_path"))).alias("__pre")) \
-        .join(names, "__pre", "left_semi").select("import_path").distinct().withColumn("__int", F.lit(True))
+    from ..operators.modules import explode_slash_prefixes
+    mem = explode_slash_prefixes(x.select("import_path").filter(F.col("import_path").isNotNull()).distinct(),
+                                 "import_path", "__pre").join(names, "__pre", "left_semi").select("import_path").distinct().withColumn("__int", F.lit(True))
     x = x.join(mem, "import_path", "left")
     own = F.concat(F.lit("example.com/m"), (F.col("decl_id") % 25).cast("string"), F.lit("/p"))
     type_params = ["T"]   # the fixture's generic parameter names stay plain

@@ -69,3 +69,19 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         path = f"{sf_dir.rstrip('/')}/{name}.parquet"
         if os.path.exists(path):
             spark.read.parquet(path).createOrReplaceTempView(name)
+
+
+BROADCAST_MAX_ROWS = int(os.environ.get("QS_BROADCAST_MAX_ROWS", "200000"))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only after a bounded count proves it has at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows (``limit`` before ``count``);
+    a larger side is returned unchanged and joined by shuffle (AQE may still
+    pick a broadcast or split skewed partitions at runtime).
+    """
+    from pyspark.sql import functions as F
+    limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    n = df.limit(limit + 1).count()
+    return F.broadcast(df) if n <= limit else df
