@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lines import comment_blocks, comment_text, is_comment, strip_ws
+from .lines import comment_blocks, comment_text, is_comment, is_directive, strip_ws
 
 IDENT = r"[A-Za-z_][A-Za-z0-9_]*"
 TPARAMS = r"(?:\[[^\]]*\])?"
@@ -33,10 +33,11 @@ _KINDS = [
 
 
 def _kind_expr(t: Column) -> Column:
+    # one cheap test first: only lines starting with a declaration keyword are classified
     e = None
     for kind, rx, _ in _KINDS:
         e = F.when(t.rlike(rx), F.lit(kind)) if e is None else e.when(t.rlike(rx), F.lit(kind))
-    return e
+    return F.when(t.rlike(r"^(?:type|func|var|const)\b"), e)
 
 
 def _name_expr(t: Column, kind: Column) -> Column:
@@ -79,89 +80,113 @@ def receiver_key(recv: Column | str) -> Column:
 
 
 # --- E6 ---------------------------------------------------------------------
+def label_lines(ln: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Label every line with the declaration it belongs to, in one window pass.
+
+    Adds ``kind`` (on declaration lines), ``owner_line`` / ``owner_kind`` /
+    ``owner_name`` / ``end_line`` of the span the line is in (or whose doc
+    block it is), ``role`` (``decl`` / ``body`` / ``doc`` / null), ``is_comment``,
+    ``next_code`` (nearest following non-comment line) and ``bad`` (a
+    declaration whose block is not closed in column 0 before the next one).
+
+    All windows are partitioned by the file key only, so they run on the
+    per-file hash partitioning of the lines table without another shuffle.
+    Forward-looking values use a growing frame in descending order
+    (incremental), never an unbounded-following frame.
+    """
+    t = F.col("text")
+    asc = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*key).orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    k = _kind_expr(t)
+    opens = F.rtrim(t).rlike(r"[{(]$") & ~F.rtrim(t).rlike(r"\{\}$")
+    x = ln.withColumn("kind", k).withColumn("is_comment", is_comment(t)) \
+        .withColumn("__open", F.when(F.col("kind").isNotNull(), opens)) \
+        .withColumn("__close_at", F.when(t.rlike(r"^[})]"), F.col("line_no"))) \
+        .withColumn("__decl_at", F.when(F.col("kind").isNotNull(), F.col("line_no")))
+    x = x.withColumn("__next_close", F.last("__close_at", ignorenulls=True).over(ahead)) \
+        .withColumn("__next_decl", F.last("__decl_at", ignorenulls=True).over(ahead))
+    bad = F.col("kind").isNotNull() & F.col("__open") & (
+        F.col("__next_close").isNull() |
+        (F.col("__next_decl").isNotNull() & (F.col("__next_close") > F.col("__next_decl"))))
+    x = x.withColumn("bad", F.coalesce(bad, F.lit(False)))
+    good = F.col("kind").isNotNull() & ~F.col("bad")
+    end = F.when(good, F.when(F.col("__open"), F.col("__next_close")).otherwise(F.col("line_no")))
+    head = F.when(good, F.struct(F.col("line_no").alias("s"), end.alias("e"), F.col("kind").alias("k"),
+                                 _name_expr(t, F.col("kind")).alias("n")))
+    x = x.withColumn("__span", F.last(head, ignorenulls=True).over(asc)) \
+        .withColumn("next_code", F.last(F.when(~F.col("is_comment"), F.struct(
+            F.col("line_no").alias("line_no"), F.when(good, F.struct(end.alias("e"), F.col("kind").alias("k"),
+                                                                    _name_expr(t, F.col("kind")).alias("n")))
+            .alias("decl"))), ignorenulls=True).over(ahead))
+    in_span = F.col("__span").isNotNull() & (F.col("line_no") <= F.col("__span.e"))
+    doc_of = F.when(F.col("is_comment") & F.col("next_code.decl").isNotNull(), F.col("next_code"))
+    role = F.when(in_span & (F.col("line_no") == F.col("__span.s")), F.lit("decl")) \
+        .when(in_span, F.lit("body")).when(doc_of.isNotNull(), F.lit("doc"))
+    return x.select(
+        *key, "line_no", "text", "kind", "is_comment", "bad", role.alias("role"),
+        F.when(in_span, F.col("__span.s")).otherwise(doc_of["line_no"]).alias("owner_line"),
+        F.when(in_span, F.col("__span.k")).otherwise(doc_of["decl"]["k"]).alias("owner_kind"),
+        F.when(in_span, F.col("__span.n")).otherwise(doc_of["decl"]["n"]).alias("owner_name"),
+        F.when(in_span, F.col("__span.e")).otherwise(doc_of["decl"]["e"]).alias("end_line"),
+        F.col("next_code.line_no").alias("next_code"))
+
+
+def _clean_doc(body: Column) -> Column:
+    """Collapse blank-line runs and trim leading/trailing blank lines of a doc."""
+    return F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), r"^\n+|\n+\z", "")
+
+
 def declarations(ln: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """One row per top-level declaration and the quarantine rows.
 
     Columns: ``key, decl_line, end_line, kind, name, decl, full_decl, doc, exported,
-    receiver, receiver_key``.
+    receiver, receiver_key``.  Built from :func:`label_lines` with one
+    aggregation per (file, declaration): header, full text and doc come from
+    the same grouped rows, no joins.
     """
-    t = F.col("text")
-    w = Window.partitionBy(*key).orderBy("line_no")
-    k = _kind_expr(t)
-    opens = F.rtrim(t).rlike(r"[{(]$") & ~F.rtrim(t).rlike(r"\{\}$")
-    closer = t.rlike(r"^[})]")
-    x = ln.withColumn("kind", k).withColumn("__open", F.when(k.isNotNull(), opens)) \
-        .withColumn("__close_at", F.when(closer, F.col("line_no")))
-    # "next closer / next declaration after this line": a growing frame in
-    # descending order (incremental, O(lines)), not an unbounded-following frame
-    back = Window.partitionBy(*key).orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("__next_close", F.last("__close_at", ignorenulls=True).over(back))
-    # next declaration start after this one (an unclosed block must not run past it)
-    x = x.withColumn("__next_decl", F.last(F.when(F.col("kind").isNotNull(), F.col("line_no")), ignorenulls=True)
-                     .over(back))
-    d = x.filter(F.col("kind").isNotNull())
-    end = F.when(~F.col("__open"), F.col("line_no")).otherwise(F.col("__next_close"))
-    bad_span = F.col("__open") & (F.col("__next_close").isNull() |
-                                  (F.col("__next_decl").isNotNull() & (F.col("__next_close") > F.col("__next_decl"))))
-    d = d.withColumn("end_line", end).withColumn("__bad", bad_span)
-    bad = d.filter("__bad").select(*key, F.col("line_no").alias("decl_line"), F.lit("declarations").alias("stage"),
+    lab = label_lines(ln, key)
+    bad = lab.filter("bad").select(*key, F.col("line_no").alias("decl_line"), F.lit("declarations").alias("stage"),
                                    F.lit("block not closed in column 0").alias("message"))
-    d = d.filter(~F.col("__bad"))
-    recv = F.when(F.col("kind") == "method", F.regexp_extract(t, r"^func\s*\(([^)]*)\)", 1))
+    own = lab.filter(F.col("role").isNotNull())
+    text_part = F.when(F.col("role") != "doc", F.col("text"))
+    doc_part = F.when((F.col("role") == "doc") & ~is_directive("text"), comment_text("text"))
+    g = own.groupBy(*key, F.col("owner_line").alias("decl_line")).agg(
+        F.first("owner_kind").alias("kind"), F.first("owner_name").alias("name"),
+        F.first("end_line").alias("end_line"),
+        F.max(F.when(F.col("role") == "decl", F.col("text"))).alias("__head"),
+        F.array_sort(F.collect_list(F.struct("line_no", text_part.alias("t"), doc_part.alias("d")))).alias("__ls"))
+    full = F.array_join(F.transform(F.filter("__ls", lambda r: r["t"].isNotNull()), lambda r: r["t"]), "\n")
+    doc = _clean_doc(F.array_join(F.transform(F.filter("__ls", lambda r: r["d"].isNotNull()), lambda r: r["d"]), "\n"))
+    h = F.col("__head")
+    recv = F.when(F.col("kind") == "method", F.regexp_extract(h, r"^func\s*\(([^)]*)\)", 1))
     recv_type = F.trim(F.regexp_replace(recv, r"^\s*" + IDENT + r"\s+", ""))
-    decls = d.select(*key, F.col("line_no").alias("decl_line"), "end_line", "kind",
-                     _name_expr(t, F.col("kind")).alias("name"),
-                     F.trim(F.regexp_replace(t, r"\s*[{(]\s*$", "")).alias("decl"),
-                     recv_type.alias("receiver"))
+    decls = g.select(*key, "decl_line", "end_line", "kind", "name",
+                     F.trim(F.regexp_replace(h, r"\s*[{(]\s*$", "")).alias("decl"),
+                     recv_type.alias("receiver"), full.alias("full_decl"), doc.alias("doc"))
     decls = decls.withColumn("receiver_key", F.when(F.col("receiver").isNotNull(), receiver_key("receiver"))) \
         .withColumn("exported", F.when(F.col("name") == "", F.lit(False)).otherwise(is_exported("name")))
-    # full text: assign every line to the span that starts at or before it
-    spans = decls.select(*key, F.col("decl_line").alias("__s"), F.col("end_line").alias("__e"))
-    lab = ln.join(spans.withColumnRenamed("__s", "line_no"), [*key, "line_no"], "left") \
-        .withColumn("__s", F.when(F.col("__e").isNotNull(), F.col("line_no"))) \
-        .withColumn("__s", F.last("__s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-        .withColumn("__e", F.last("__e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-        .filter(F.col("__s").isNotNull() & (F.col("line_no") <= F.col("__e")))
-    full = lab.groupBy(*key, F.col("__s").alias("decl_line")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]),
-                     "\n").alias("full_decl"))
-    blocks = comment_blocks(ln, key)
-    docs = blocks.select(*key, (F.col("block_end") + 1).alias("decl_line"), "doc")
-    out = decls.join(full, [*key, "decl_line"], "left").join(docs, [*key, "decl_line"], "left") \
-        .withColumn("doc", F.coalesce("doc", F.lit("")))
-    return out, bad
-
-
-def member_lines(ln: DataFrame, decls: DataFrame, key: Sequence[str], kinds: Sequence[str]) -> DataFrame:
-    """Lines strictly inside the block of declarations of the given kinds, with the
-    owner's ``decl_line``, the member's own doc (comment block right above it)
-    and the brace depth relative to the owner block."""
-    w = Window.partitionBy(*key).orderBy("line_no")
-    spans = decls.filter(F.col("kind").isin(*kinds)).select(*key, F.col("decl_line").alias("line_no"),
-                                                            F.col("end_line").alias("__e"), F.col("name").alias("owner"))
-    lab = ln.join(spans, [*key, "line_no"], "left") \
-        .withColumn("owner_line", F.when(F.col("__e").isNotNull(), F.col("line_no")))
-    for c in ("owner_line", "__e", "owner"):
-        lab = lab.withColumn(c, F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = lab.filter((F.col("line_no") > F.col("owner_line")) & (F.col("line_no") < F.col("__e")))
-    opens = F.length(F.regexp_replace(F.regexp_replace("text", r"`[^`]*`", ""), r"[^{]", ""))
-    closes = F.length(F.regexp_replace(F.regexp_replace("text", r"`[^`]*`", ""), r"[^}]", ""))
-    wo = Window.partitionBy(*key, "owner_line").orderBy("line_no")
-    inside = inside.withColumn("__delta", opens - closes) \
-        .withColumn("depth", F.coalesce(F.sum("__delta").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # member doc = comment block ending on the previous line
-    inside = inside.withColumn("__cm", is_comment("text"))
-    grp = F.col("line_no") - F.row_number().over(Window.partitionBy(*key, "owner_line", "__cm").orderBy("line_no"))
-    inside = inside.withColumn("__grp", grp)
-    cb = inside.filter("__cm").groupBy(*key, "owner_line", "__grp").agg(
-        F.max("line_no").alias("__end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", comment_text("text").alias("t")))),
-                                 lambda s: s["t"]), "\n").alias("member_doc"))
-    cb = cb.select(*key, "owner_line", (F.col("__end") + 1).alias("line_no"), "member_doc")
-    return inside.filter(~F.col("__cm") & (strip_ws("text") != "")) \
-        .join(cb, [*key, "owner_line", "line_no"], "left") \
+    return decls, bad
+
+
+def member_lines(lab: DataFrame, key: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """Lines strictly inside the block of declarations of the given kinds (from
+    :func:`label_lines`), with the owner's ``owner_line`` / ``owner`` name, the
+    brace ``depth`` relative to the owner block and the member's own doc (the
+    comment lines whose next code line is the member)."""
+    body = lab.filter((F.col("role") == "body") & F.col("owner_kind").isin(*kinds) &
+                      (F.col("line_no") > F.col("owner_line")) & (F.col("line_no") < F.col("end_line")))
+    stripped = F.regexp_replace("text", r"`[^`]*`", "")
+    delta = F.length(F.regexp_replace(stripped, r"[^{]", "")) - F.length(F.regexp_replace(stripped, r"[^}]", ""))
+    wo = Window.partitionBy(*key, "owner_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    body = body.withColumn("depth", F.coalesce(F.sum(delta).over(wo), F.lit(0)))
+    docs = body.filter("is_comment").groupBy(*key, "owner_line", F.col("next_code").alias("line_no")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+            "line_no", F.when(~is_directive("text"), comment_text("text")).alias("t")))),
+            lambda r: r["t"]), "\n").alias("member_doc"))
+    return body.filter(~F.col("is_comment") & (strip_ws("text") != "")) \
+        .join(docs, [*key, "owner_line", "line_no"], "left") \
         .withColumn("member_doc", F.coalesce("member_doc", F.lit(""))) \
-        .select(*key, "owner_line", "owner", "line_no", "text", "depth", "member_doc")
+        .select(*key, "owner_line", F.col("owner_name").alias("owner"), "line_no", "text", "depth", "member_doc")
 
 
 # --- E8 ---------------------------------------------------------------------
@@ -247,22 +272,36 @@ def split_top(s: Column, passes: int = 6) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, "\u0001", ","))), lambda x: x != "")
 
 
-def param_rows(decls: DataFrame, key: Sequence[str], list_col: str, role: str) -> DataFrame:
-    """One row per parameter of ``list_col`` with name and type; ``a, b T`` gives two."""
-    items = split_top(F.col(list_col))
-    x = decls.select(*key, "decl_line", F.posexplode(items).alias("pos", "item"))
-    named_list = F.max(F.col("item").rlike(rf"^{IDENT}\s+\S").cast("int")).over(
-        Window.partitionBy(*key, "decl_line"))
+def param_rows(lists: DataFrame, key: Sequence[str], list_col: str = "list_text",
+               group: Sequence[str] = ("decl_line", "role")) -> DataFrame:
+    """One row per parameter of ``list_col`` with name and type; ``a, b T`` gives two.
+
+    ``lists`` has one row per (key, decl_line, role) list; all roles are
+    handled in one pass (windows partitioned by the file key + group).
+    """
+    grp = [*key, *group]
+    x = lists.select(*grp, F.posexplode(split_top(F.col(list_col))).alias("pos", "item"))
+    named_list = F.max(F.col("item").rlike(rf"^{IDENT}\s+\S").cast("int")).over(Window.partitionBy(*grp))
     x = x.withColumn("__named", named_list == 1)
     name = F.when(F.col("__named"), F.regexp_extract("item", rf"^({IDENT})", 1))
     typ = F.when(F.col("__named"), F.nullif(F.trim(F.regexp_replace("item", rf"^{IDENT}\s*", "")), F.lit(""))) \
         .otherwise(F.col("item"))
-    back = Window.partitionBy(*key, "decl_line").orderBy(F.col("pos").desc()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*grp).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("name", name).withColumn("type_text", typ) \
         .withColumn("type_text", F.last("type_text", ignorenulls=True).over(back))
-    return x.select(*key, "decl_line", F.lit(role).alias("role"), F.col("pos").cast("long").alias("pos"),
-                    F.coalesce("name", F.lit("")).alias("name"), "type_text")
+    return x.select(*grp, F.col("pos").cast("long").alias("pos"), F.coalesce("name", F.lit("")).alias("name"),
+                    "type_text")
+
+
+def signature_lists(sig: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, decl_line, role, list_text) for receiver / param / result / type_param lists."""
+    roles = F.array(
+        F.struct(F.lit("receiver").alias("role"), F.col("recv_text").alias("list_text")),
+        F.struct(F.lit("param").alias("role"), F.col("params_text").alias("list_text")),
+        F.struct(F.lit("result").alias("role"), F.col("results_text").alias("list_text")),
+        F.struct(F.lit("type_param").alias("role"), F.col("type_params_text").alias("list_text")))
+    return sig.select(*key, "decl_line", F.explode(roles).alias("r")) \
+        .select(*key, "decl_line", "r.role", "r.list_text").filter(F.col("list_text").isNotNull())
 
 
 def signature_parts(decls: DataFrame) -> DataFrame:

@@ -15,9 +15,18 @@ from pyspark.sql import functions as F
 
 
 # --- E1 ---------------------------------------------------------------------
-def lines(df: DataFrame, key: Sequence[str], content_col: str = "content") -> DataFrame:
-    """One row per line: ``key..., line_no (1-based), text``."""
-    return df.select(*key, F.posexplode(F.split(F.col(content_col), "\n", -1)).alias("pos", "text")) \
+def lines(df: DataFrame, key: Sequence[str], content_col: str = "content", partition: bool = True) -> DataFrame:
+    """One row per line: ``key..., line_no (1-based), text``.
+
+    With ``partition`` the files are hash-partitioned by ``key`` *before* the
+    explosion: the shuffle moves whole texts (cheaper than moving lines) and
+    every later per-file window, aggregate and (key, line) join reuses that
+    partitioning instead of shuffling the lines again.
+    """
+    src = df.select(*key, content_col)
+    if partition:
+        src = src.repartition(*key)
+    return src.select(*key, F.posexplode(F.split(F.col(content_col), "\n", -1)).alias("pos", "text")) \
         .select(*key, (F.col("pos") + 1).cast("long").alias("line_no"), "text")
 
 

@@ -39,10 +39,11 @@ def alias_map(imports: DataFrame, key: Sequence[str], pos_col: str = "pos") -> D
 
 
 # --- E16 --------------------------------------------------------------------
-def doc_tokens(docs: DataFrame, key: Sequence[str], doc_col: str = "doc") -> DataFrame:
+def doc_tokens(docs: DataFrame, key: Sequence[str], doc_col: str = "doc", keep: Sequence[str] = ()) -> DataFrame:
     """Each back-ticked token with its position; the token is split into
-    ``pkg_path`` / ``alias`` / ``receiver`` / ``ident`` candidates (before resolution)."""
-    toks = docs.select(*key, F.posexplode(F.regexp_extract_all(F.col(doc_col), F.lit(TOKEN_RX), 1))
+    ``pkg_path`` / ``alias`` / ``receiver`` / ``ident`` candidates (before resolution).
+    ``keep`` columns of the doc row are carried along (no join back)."""
+    toks = docs.select(*key, *keep, F.posexplode(F.regexp_extract_all(F.col(doc_col), F.lit(TOKEN_RX), 1))
                        .alias("tok_pos", "original"))
     t = F.trim(F.col("original"))
     parts = F.split(t, r"\.")
@@ -74,23 +75,23 @@ def resolve_refs(tokens: DataFrame, key: Sequence[str], aliases: DataFrame, own_
                  module_names: DataFrame) -> DataFrame:
     """Resolve tokens: alias lookups (J7), own-package fallback, internal flag (J4
     boundary form against ``module_names.name``), kind, link text."""
-    am = aliases.select(*key, "alias_key", "import_path")
-    # lookup 1: the whole single-part token as an alias; lookup 2: the alias part
-    t = tokens.join(am.withColumnRenamed("alias_key", "ident").withColumnRenamed("import_path", "__p_ident"),
-                    [*key, "ident"], "left") \
-        .join(am.withColumnRenamed("alias_key", "alias").withColumnRenamed("import_path", "__p_alias"),
-              [*key, "alias"], "left")
+    am = aliases.select(*key, F.col("alias_key").alias("__lk"), F.col("import_path").alias("__p"))
+    # one lookup per token: a single-part token is looked up as a whole, any
+    # other token by its alias part (one join, one shuffle of the tokens)
     one = (F.col("alias") == "") & (F.col("receiver") == "")
-    pkg_only = one & F.col("__p_ident").isNotNull()
+    t = tokens.withColumn("__lk", F.when(F.col("pkg_path").isNull(), F.when(one, F.col("ident")).otherwise(F.col("alias")))) \
+        .join(am, [*key, "__lk"], "left").drop("__lk")
+    pkg_only = one & F.col("__p").isNotNull()
     two_same = (F.col("alias") != "") & (F.col("alias") == F.col("receiver")) & F.col("pkg_path").isNull()
-    alias = F.when(pkg_only, F.col("ident")).when(two_same & F.col("__p_alias").isNull(), F.lit("")) \
-        .otherwise(F.col("alias"))
-    receiver = F.when(two_same & F.col("__p_alias").isNotNull(), F.lit("")).otherwise(F.col("receiver"))
+    alias_hit = ~one & F.col("__p").isNotNull()
+    alias = F.when(pkg_only, F.col("ident")).when(two_same & ~alias_hit, F.lit("")).otherwise(F.col("alias"))
+    receiver = F.when(two_same & alias_hit, F.lit("")).otherwise(F.col("receiver"))
     ident = F.when(pkg_only, F.lit("")).otherwise(F.col("ident"))
-    t = t.withColumn("alias", alias).withColumn("receiver", receiver).withColumn("ident", ident)
-    by_alias = F.when(F.col("alias") == "", F.lit(None)).when(F.col("__p_alias").isNotNull(), F.col("__p_alias")) \
+    t = t.withColumn("__alias_hit", alias_hit).withColumn("alias", alias).withColumn("receiver", receiver) \
+        .withColumn("ident", ident)
+    by_alias = F.when(F.col("alias") == "", F.lit(None)).when(F.col("__alias_hit"), F.col("__p")) \
         .when(~F.col("alias").rlike(r"[./]"), F.col("alias"))
-    path = F.coalesce(F.col("pkg_path"), F.when(pkg_only, F.col("__p_ident")), by_alias,
+    path = F.coalesce(F.col("pkg_path"), F.when(pkg_only, F.col("__p")), by_alias,
                       F.when(F.col("ident") != "", F.col(own_package)))
     t = t.withColumn("package_path", path)
     names = broadcast_if_small(module_names.select(F.col("name").alias("__pre")).distinct())
@@ -115,7 +116,7 @@ def resolve_refs(tokens: DataFrame, key: Sequence[str], aliases: DataFrame, own_
     int_link = F.format_string("<<%s,%s>>", anchor, F.col("original"))
     link = F.when(F.col("builtin") | F.col("package_path").isNull(), F.lit(None)) \
         .when(F.col("external"), ext_link).otherwise(int_link)
-    return t.withColumn("link", link).drop("__p_ident", "__p_alias", "__int")
+    return t.withColumn("link", link).drop("__p", "__alias_hit", "__int")
 
 
 # --- J10 --------------------------------------------------------------------

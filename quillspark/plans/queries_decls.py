@@ -152,7 +152,7 @@ def a3_import_block(spark, sf_dir):
 # --- E8 / A5 / A6 -----------------------------------------------------------
 def fx1_fields(spark, sf_dir):
     ln, d = fx1_decls(spark, sf_dir)
-    ml = D.member_lines(ln, d, K, ["struct"])
+    ml = D.member_lines(D.label_lines(ln, K), K, ["struct"])
     return D.fields(ml, K)
 
 
@@ -215,7 +215,7 @@ FROM fx1_files, (VALUES ('A', 35, 'const', 'A is first.', true), ('B', 36, 'cons
                        ('x', 40, 'var', '', false), ('Y', 40, 'var', '', true)) v(name, ln, kind, doc, exported)""")
 def e9_var_specs(spark, sf_dir):
     ln, d = fx1_decls(spark, sf_dir)
-    groups = D.member_lines(ln, d, K, ["const", "var"]).filter(~F.trim("text").startswith(")"))
+    groups = D.member_lines(D.label_lines(ln, K), K, ["const", "var"]).filter(~F.trim("text").startswith(")"))
     kinds = d.select(*K, F.col("decl_line").alias("owner_line"), "kind", F.col("doc").alias("group_doc"))
     inner = groups.join(kinds, [*K, "owner_line"]).select(*K, "line_no", "kind", "text", "member_doc", "group_doc")
     single = d.filter(F.col("kind").isin("const", "var") & (F.col("end_line") == F.col("decl_line"))) \
@@ -231,7 +231,7 @@ def e9_var_specs(spark, sf_dir):
 # --- E11 --------------------------------------------------------------------
 def fx1_interfaces(spark, sf_dir):
     ln, d = fx1_decls(spark, sf_dir)
-    return D.interface_members(D.member_lines(ln, d, K, ["interface"]), K)
+    return D.interface_members(D.member_lines(D.label_lines(ln, K), K, ["interface"]), K)
 
 
 @query("e11_interface_methods", oracle=cte("fx1_files") + """
@@ -252,12 +252,8 @@ def fx1_params(spark, sf_dir):
     _, d = fx1_decls(spark, sf_dir)
     s = D.signature_parts(d.filter(F.col("kind").isin("func", "method", "functype")))
     s = s.withColumn("recv_text", F.when(F.col("kind") == "method", F.regexp_extract("decl", r"^func\s*\(([^)]*)\)", 1)))
-    parts = [D.param_rows(s, K, "recv_text", "receiver"), D.param_rows(s, K, "params_text", "param"),
-             D.param_rows(s, K, "results_text", "result"), D.param_rows(s, K, "type_params_text", "type_param")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return d, out
+    out = D.param_rows(D.signature_lists(s, K), K)
+    return d, out.select(*K, "decl_line", "role", "pos", "name", "type_text")
 
 
 PARAM_VALUES = """(VALUES (25, 'receiver', 0, 'p', '*Part#'), (25, 'param', 0, 'a', 'int'), (25, 'param', 1, 'b', 'int'),

@@ -48,10 +48,9 @@ def j7_alias_map(spark, sf_dir):
 
 # --- J9 / J10 ---------------------------------------------------------------
 def fx10_resolved(spark, sf_dir):
-    docs, toks = fx10_tokens(spark, sf_dir)
-    own = docs.select("doc_id", F.concat(F.lit("example.com/"), F.regexp_extract("path", r"^/repo/([^/]+)/", 1),
-                                        F.lit("/p")).alias("own_package"))
-    toks = toks.join(own, "doc_id")
+    docs = fx(spark, sf_dir, "fx10_docs")
+    own = F.concat(F.lit("example.com/"), F.regexp_extract("path", r"^/repo/([^/]+)/", 1), F.lit("/p"))
+    toks = R.doc_tokens(docs.withColumn("own_package", own), ["doc_id"], "doc", keep=["own_package"])
     am = R.alias_map(fx(spark, sf_dir, "fx7_imports"), ["file_id"]).withColumnRenamed("file_id", "doc_id")
     return docs, R.resolve_refs(toks, ["doc_id"], am, "own_package", module_table(spark, sf_dir))
 

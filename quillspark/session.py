@@ -31,6 +31,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # joins on (file, line) reuse the per-file hash partitioning of the lines table
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("QS_DRIVER_MEMORY", "16g"))
@@ -59,16 +61,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or current
 
 
+def ensure_parallel(df: DataFrame, *key: str) -> DataFrame:
+    """Spread an under-partitioned input over the cluster's parallelism.
+
+    A small table stored as one row group scans as one partition, which would
+    run all per-row work before the first shuffle in one task.  Only when the
+    scan has fewer partitions than the default parallelism the rows are
+    redistributed (by ``key`` when given); a large input is left as is.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par, *key) if key else df.repartition(par)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallel(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Register the driver tables of ``sf_dir`` as temp views (lazy scans)."""
     for name in names:
-        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        if os.path.exists(path):
-            spark.read.parquet(path).createOrReplaceTempView(name)
+        read_table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 BROADCAST_MAX_ROWS = int(os.environ.get("QS_BROADCAST_MAX_ROWS", "200000"))
