@@ -40,13 +40,42 @@ def global_index(df: DataFrame, order_cols: Sequence[str | Column], name: str =
 
 
 def run_blocks(df: DataFrame, part: Sequence[str], order: Sequence[str], key: str,
-               block: str = "block_id") -> DataFrame:
-    """Adjacent rows with equal ``key`` (within ``part``, in ``order``) share a block id."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    changed = F.when(F.lag(key).over(w).eqNullSafe(F.col(key)), 0).otherwise(1)
-    return df.withColumn("__qs_chg", changed) \
-        .withColumn(block, F.sum("__qs_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")) \
-        .drop("__qs_chg")
+               block: str = "block_id", chunk: Column | None = None) -> DataFrame:
+    """Adjacent rows with equal ``key`` (within ``part``, in ``order``) share a block id.
+
+    Without ``chunk`` one window per ``part`` value computes the ids.  With
+    ``chunk`` (a column that never decreases along ``order``, e.g. the day of
+    a timestamp) a hot ``part`` value is split: runs are numbered inside each
+    (part, chunk), a small per-chunk summary (block count, first and last
+    key) gives every chunk its offset — a run that continues across a chunk
+    boundary keeps one id — and the offsets are joined back.  No task holds
+    more than one chunk of a hot group.
+    """
+    if chunk is None:
+        w = Window.partitionBy(*part).orderBy(*order)
+        changed = F.when(F.lag(key).over(w).eqNullSafe(F.col(key)), 0).otherwise(1)
+        return df.withColumn("__qs_chg", changed) \
+            .withColumn(block, F.sum("__qs_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")) \
+            .drop("__qs_chg")
+    x = df.withColumn("__qs_chunk", chunk)
+    wl = Window.partitionBy(*part, "__qs_chunk").orderBy(*order)
+    x = x.withColumn("__qs_chg", F.when(F.lag(key).over(wl).eqNullSafe(F.col(key)), 0).otherwise(1)) \
+        .withColumn("__qs_lb", F.sum("__qs_chg").over(wl.rowsBetween(Window.unboundedPreceding, 0)))
+    pos = F.struct(*[F.col(c) for c in order])
+    summ = x.groupBy(*part, "__qs_chunk").agg(
+        F.max("__qs_lb").alias("__qs_n"),
+        F.min_by(F.struct(F.col(key).alias("v")), pos).alias("__qs_f"),
+        F.max_by(F.struct(F.col(key).alias("v")), pos).alias("__qs_l"))
+    wc = Window.partitionBy(*part).orderBy("__qs_chunk")
+    cont = F.when(F.lag("__qs_n").over(wc).isNotNull() &
+                  F.lag("__qs_l").over(wc)["v"].eqNullSafe(F.col("__qs_f")["v"]), 1).otherwise(0)
+    summ = summ.withColumn("__qs_cont", cont).withColumn(
+        "__qs_off",
+        F.coalesce(F.sum("__qs_n").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        - F.sum("__qs_cont").over(wc.rowsBetween(Window.unboundedPreceding, 0)))
+    out = x.join(summ.select(*part, "__qs_chunk", "__qs_off"), [*part, "__qs_chunk"])
+    return out.withColumn(block, (F.col("__qs_lb") + F.col("__qs_off")).cast("long")) \
+        .drop("__qs_chunk", "__qs_chg", "__qs_lb", "__qs_off")
 
 
 # Section order of a package document (O2).

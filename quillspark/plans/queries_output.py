@@ -84,7 +84,8 @@ SELECT user_id, CAST(block_id AS BIGINT) AS block_id, min(event_type) AS event_t
 FROM b GROUP BY user_id, block_id""")
 def w2_adjacent_runs(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
-    b = run_blocks(ev, ["user_id"], ["ts", "event_id"], "event_type")
+    # a user may hold a large share of all events: runs are numbered per (user, day) and stitched
+    b = run_blocks(ev, ["user_id"], ["ts", "event_id"], "event_type", chunk=F.date_trunc("day", "ts"))
     return b.groupBy("user_id", "block_id").agg(
         F.min("event_type").alias("event_type"), F.count(F.lit(1)).alias("n_events"),
         F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"))

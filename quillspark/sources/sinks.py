@@ -1,9 +1,10 @@
 """Document sinks.
 
-Rows of a document are ``(out_file, rank…, text)``.  The per-group sink
-shuffles once on ``out_file`` and sorts inside partitions, so each output
-document is written by one task in order without a global sort; the merged
-sink range-partitions on the order keys so part files concatenate in order.
+Rows of a document are ``(out_file, rank…, text)``.  Both sinks shuffle once
+with range partitioning on ``(out_file, order…)`` and sort inside partitions:
+a document is a folder whose part files, in part-number order, hold its rows
+in order.  A package with a very large share of the rows is therefore split
+over several tasks (several ordered parts) instead of one task writing it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 def write_per_group(rows: DataFrame, out_dir: str, order: Sequence[str], group_col: str = "out_file",
                     text_col: str = "text") -> None:
     """One text document per ``group_col`` value (partition folder ``group_col=…``)."""
-    (rows.repartition(group_col).sortWithinPartitions(group_col, *order)
+    (rows.repartitionByRange(group_col, *order).sortWithinPartitions(group_col, *order)
      .select(group_col, text_col).write.mode("overwrite").partitionBy(group_col).text(out_dir))
 
 
