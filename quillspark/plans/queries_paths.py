@@ -171,3 +171,27 @@ SELECT {PAGE_DIR_SQL} AS dir, count(*) AS n_files, min({PAGE_PATH_SQL}) AS first
 FROM pages GROUP BY 1""")
 def a1_group_by_dir(spark, sf_dir):
     return P.group_by_dir(page_corpus(spark, sf_dir))
+
+
+# --- S1: recursive file scan of a written corpus ------------------------------
+S1_SCAN_EXCLUDES = ["glb:**/m=3"]
+
+
+@query("s1_corpus_scan", oracle=cte("fx1_files") + """
+, w AS (SELECT 'm=' || CAST(file_id % 5 AS VARCHAR) || '/t=' || CAST(file_id % 7 AS VARCHAR) AS rel_dir FROM fx1_files)
+SELECT rel_dir, count(*) AS n_rows FROM w WHERE NOT starts_with(rel_dir, 'm=3/') GROUP BY 1""")
+def s1_corpus_scan(spark, sf_dir):
+    """Fx1 is written as text files under ``m=<module>/t=<bucket>/`` folders and
+    scanned back recursively with the walk rules (suffix ``.txt``, one excluded
+    module folder); each written row is one line of its file."""
+    from ..sources.corpus import read_corpus
+    from ..sources.sinks import scratch_dir
+    f = fx(spark, sf_dir, "fx1_files")
+    root = scratch_dir(spark, "s1-corpus")
+    rows = f.select((F.col("file_id") % 5).alias("m"), (F.col("file_id") % 7).alias("t"),
+                    F.regexp_replace("content", "\n", "\\\\n").alias("value"))
+    rows.write.mode("overwrite").partitionBy("m", "t").text(root)
+    files = read_corpus(spark, [root], suffix=".txt", excludes=S1_SCAN_EXCLUDES)
+    per_file = files.select(P.dir_of("rel_path").alias("rel_dir"),
+                            F.size(F.split(F.regexp_replace("content", r"\n\z", ""), "\n")).alias("n"))
+    return per_file.groupBy("rel_dir").agg(F.sum("n").cast("long").alias("n_rows"))

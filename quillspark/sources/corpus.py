@@ -43,12 +43,16 @@ def read_corpus(spark: SparkSession, roots: Sequence[str], files: Sequence[str]
     The listing and the read are Spark's file source (``wholetext``), so the
     files are split across tasks; nothing is read on the driver.
     """
+    import re
     parts = []
     for root in roots:
-        r = root.rstrip("/")
+        # local paths are compared without their file: scheme (as listed by the source)
+        r = re.sub(r"^file:(//)?", "", root).rstrip("/")
+        if root.startswith("file:") and not r.startswith("/"):
+            r = "/" + r
         df = (spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
-              .text(r).select(F.input_file_name().alias("uri"), F.col("value").alias("content")))
-        df = df.withColumn("path", F.regexp_replace("uri", r"^file:(//)?", ""))
+              .text(root).select(F.input_file_name().alias("uri"), F.col("value").alias("content")))
+        df = df.withColumn("path", F.regexp_replace("uri", r"^file:(//)?(?=/)", ""))
         df = walk_filter(df, root=r, excludes=excludes, suffix=suffix, tests=tests,
                          internal=internal, underscore=underscore)
         if not with_dropped:
