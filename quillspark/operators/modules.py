@@ -68,31 +68,45 @@ def _prefix_lengths(small: DataFrame, key: str) -> list[int]:
     return lengths
 
 
-def prefix_candidates(big: DataFrame, path_col: str, small: DataFrame, key: str) -> DataFrame:
-    """All (big row, small row) pairs where ``small.key`` is a raw string prefix of ``big.path_col``.
+def prefix_candidates(big: DataFrame, path_col: str, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """(big row, small row) pairs where ``small.key`` is a raw string prefix of ``big.path_col``.
 
     Equi-join on ``(len, prefix)``; each big row is expanded only to the
-    distinct key lengths that exist.
+    distinct key lengths that exist.  ``how="left"`` keeps rows without any
+    match (small columns null), so callers can aggregate per row without a
+    join back.
     """
     lens = _prefix_lengths(small, key)
     arr = F.array(*[F.lit(n) for n in lens]) if lens else F.array().cast("array<int>")
-    exp = big.withColumn("__qs_len", F.explode(F.filter(arr, lambda n: n <= F.length(F.col(path_col))))) \
+    gen = F.explode_outer if how == "left" else F.explode
+    exp = big.withColumn("__qs_len", gen(F.filter(arr, lambda n: n <= F.length(F.col(path_col))))) \
         .withColumn("__qs_pre", F.col(path_col).substr(F.lit(1), F.col("__qs_len")))
-    s = small.withColumn("__qs_len", F.length(key)).withColumnRenamed(key, "__qs_pre")
+    # the small side keeps its own key column: null after a left join when nothing matched
+    s = small.withColumn("__qs_len", F.length(key)).withColumn("__qs_pre", F.col(key))
     # one module base may own a third of all paths: a broadcast small side keeps
     # that hot key off a single shuffle partition (size checked first)
-    return exp.join(broadcast_if_small(s), ["__qs_len", "__qs_pre"]).withColumnRenamed("__qs_pre", key)
+    return exp.join(broadcast_if_small(s), ["__qs_len", "__qs_pre"], how).drop("__qs_len", "__qs_pre")
+
+
+def _carry(df: DataFrame, row_key: list[str], drop: list[str]) -> list[Column]:
+    """``first`` of every non-key input column (exact: one input row per unique key)."""
+    return [F.first(c).alias(c) for c in df.columns if c not in row_key and c not in drop]
 
 
 # --- J2 ---------------------------------------------------------------------
 def first_prefix_owner(paths: DataFrame, path_col: str, modules: DataFrame,
                        row_key: list[str], default_module: str | None = None) -> DataFrame:
-    """Module whose ``base`` is a raw prefix of the path; first in module order wins."""
-    cand = prefix_candidates(paths.select(*row_key, path_col), path_col,
-                             modules.select("base", "name", "module_order"), "base")
-    best = cand.groupBy(*row_key).agg(
-        F.min_by(F.struct("name", "base"), "module_order").alias("m"))
-    out = paths.join(best, row_key, "left")
+    """Module whose ``base`` is a raw prefix of the path; first in module order wins.
+
+    ``row_key`` must identify a row.  One left join on the exploded prefix
+    lengths and one aggregation per row — no join back to ``paths``.
+    """
+    m = modules.select(F.col("base").alias("__qs_base"), F.col("name").alias("__qs_name"),
+                       F.col("module_order").alias("__qs_order"))
+    cand = prefix_candidates(paths, path_col, m, "__qs_base", how="left")
+    out = cand.groupBy(*row_key).agg(
+        *_carry(paths, row_key, []),
+        F.min_by(F.struct(F.col("__qs_name").alias("name"), F.col("__qs_base").alias("base")), "__qs_order").alias("m"))
     return out.withColumn("owner", F.coalesce(F.col("m.name"), F.lit(default_module))) \
         .withColumn("owner_base", F.col("m.base")).drop("m")
 
@@ -101,11 +115,12 @@ def first_prefix_owner(paths: DataFrame, path_col: str, modules: DataFrame,
 def longest_prefix_module(paths: DataFrame, path_col: str, modules: DataFrame,
                           row_key: list[str]) -> DataFrame:
     """Module with the longest name that is a raw prefix of ``path_col`` (ties: module order)."""
-    cand = prefix_candidates(paths.select(*row_key, path_col), path_col,
-                             modules.select("name", "module_order"), "name")
-    best = cand.groupBy(*row_key).agg(
-        F.min_by(F.col("name"), F.struct((-F.length("name")).alias("l"), F.col("module_order"))).alias("module"))
-    return paths.join(best, row_key, "left")
+    m = modules.select(F.col("name").alias("__qs_name"), F.col("module_order").alias("__qs_order"))
+    cand = prefix_candidates(paths, path_col, m, "__qs_name", how="left")
+    return cand.groupBy(*row_key).agg(
+        *_carry(paths, row_key, []),
+        F.min_by(F.col("__qs_name"), F.when(F.col("__qs_name").isNotNull(), F.struct(
+            (-F.length("__qs_name")).alias("l"), F.col("__qs_order")))).alias("module"))
 
 
 # --- J4 ---------------------------------------------------------------------
@@ -124,16 +139,21 @@ def explode_slash_prefixes(df: DataFrame, col: str, out: str = "__qs_p") -> Data
 
 
 def module_membership(paths: DataFrame, path_col: str, modules: DataFrame, row_key: list[str]) -> DataFrame:
-    """Two flags per row: raw prefix of any module name, boundary-aware prefix of any."""
-    raw = prefix_candidates(paths.select(*row_key, path_col), path_col,
-                            modules.select("name").distinct(), "name").select(*row_key).distinct() \
-        .withColumn("raw_member", F.lit(True))
-    names = broadcast_if_small(modules.select(F.col("name").alias("__qs_p")).filter(F.col("name") != "").distinct())
-    bnd = explode_slash_prefixes(paths.select(*row_key, path_col), path_col).select(*row_key, "__qs_p") \
-        .join(names, "__qs_p", "left_semi").select(*row_key).distinct().withColumn("boundary_member", F.lit(True))
-    return paths.join(raw, row_key, "left").join(bnd, row_key, "left") \
-        .withColumn("raw_member", F.coalesce("raw_member", F.lit(False))) \
-        .withColumn("boundary_member", F.coalesce("boundary_member", F.lit(False)))
+    """Two flags per row: raw prefix of any module name, boundary-aware prefix of any.
+
+    Both candidate sets (raw length buckets, ``/``-prefixes) are unioned and
+    reduced with one aggregation per row.
+    """
+    names = modules.select(F.col("name").alias("__qs_name")).filter(F.col("name") != "").distinct()
+    raw = prefix_candidates(paths.select(*row_key, path_col), path_col, names, "__qs_name", how="left") \
+        .select(*row_key, F.col("__qs_name").isNotNull().alias("__raw"), F.lit(False).alias("__bnd"))
+    bnd = explode_slash_prefixes(paths.select(*row_key, path_col), path_col) \
+        .join(broadcast_if_small(names.withColumnRenamed("__qs_name", "__qs_p").withColumn("__hit", F.lit(True))),
+              "__qs_p", "left") \
+        .select(*row_key, F.lit(False).alias("__raw"), F.coalesce("__hit", F.lit(False)).alias("__bnd"))
+    flags = raw.unionByName(bnd).groupBy(*row_key).agg(F.bool_or("__raw").alias("raw_member"),
+                                                      F.bool_or("__bnd").alias("boundary_member"))
+    return paths.join(flags, row_key, "left")
 
 
 # --- J5 ---------------------------------------------------------------------
@@ -154,16 +174,25 @@ def nearest_manifest(paths: DataFrame, dir_col: str, manifests: DataFrame, row_k
     """Nearest ancestor directory holding a manifest; workspace beats module at one level.
 
     ``manifests``: (base, kind in {workspace, module}, manifest_path, ok BOOLEAN, name).
-    Adds ``manifest_path``, ``manifest_kind``, ``status`` (ok / failed to load / none found).
+    Adds ``manifest_path``, ``manifest_kind``, ``manifest_name``, ``status`` (ok /
+    failed to load / none found).  ``row_key`` must identify a row; ancestors
+    are left-joined to the (checked, broadcast) manifest table and reduced
+    with one aggregation per row.
     """
-    anc = explode_ancestors(paths.select(*row_key), dir_col).select(*row_key, "depth", "base")
-    m = broadcast_if_small(manifests.select("base", "kind", "manifest_path", "ok", "name"))
-    hits = anc.join(m, "base")
-    rank = F.struct(F.col("depth"), F.when(F.col("kind") == "workspace", 0).otherwise(1).alias("k"))
-    best = hits.groupBy(*row_key).agg(F.min_by(F.struct("manifest_path", "kind", "name", "ok"), rank).alias("b")) \
-        .select(*row_key, F.col("b.manifest_path").alias("manifest_path"), F.col("b.kind").alias("manifest_kind"),
-                F.col("b.name").alias("manifest_name"), F.col("b.ok").alias("ok"))
-    out = paths.join(best, row_key, "left")
+    anc = explode_ancestors(paths, dir_col)
+    m = broadcast_if_small(manifests.select(F.col("base").alias("__qs_b"), F.col("kind").alias("__qs_kind"),
+                                            F.col("manifest_path").alias("__qs_mp"), F.col("ok").alias("__qs_ok"),
+                                            F.col("name").alias("__qs_name")))
+    hits = anc.join(m, anc["base"] == m["__qs_b"], "left")
+    rank = F.when(F.col("__qs_mp").isNotNull(),
+                  F.struct(F.col("depth"), F.when(F.col("__qs_kind") == "workspace", 0).otherwise(1).alias("k")))
+    best = hits.groupBy(*row_key).agg(
+        *_carry(paths, row_key, []),
+        F.min_by(F.struct(F.col("__qs_mp").alias("p"), F.col("__qs_kind").alias("k"), F.col("__qs_name").alias("n"),
+                          F.col("__qs_ok").alias("ok")), rank).alias("b"))
+    out = best.select(*row_key, *[c for c in paths.columns if c not in row_key],
+                      F.col("b.p").alias("manifest_path"), F.col("b.k").alias("manifest_kind"),
+                      F.col("b.n").alias("manifest_name"), F.col("b.ok").alias("ok"))
     status = F.when(F.col("manifest_path").isNull(), F.lit("no manifest found")) \
         .when(F.col("ok"), F.lit("ok")).otherwise(F.concat(F.lit("found "), F.substring_index("manifest_path", "/", -1),
                                                             F.lit(" but failed to load")))
