@@ -17,14 +17,29 @@ from pyspark.sql import functions as F
 
 def write_per_group(rows: DataFrame, out_dir: str, order: Sequence[str], group_col: str = "out_file",
                     text_col: str = "text") -> None:
-    """One text document per ``group_col`` value (partition folder ``group_col=…``)."""
-    (rows.repartitionByRange(group_col, *order).sortWithinPartitions(group_col, *order)
-     .select(group_col, text_col).write.mode("overwrite").partitionBy(group_col).text(out_dir))
+    """One text document per ``group_col`` value (partition folder ``group_col=…``).
+
+    The rows are persisted (memory and disk; rebuilt from lineage if an
+    executor is lost) so the range partitioner's sampling pass does not
+    recompute the whole rendering plan.
+    """
+    from pyspark import StorageLevel
+    kept = rows.select(group_col, *order, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        (kept.repartitionByRange(group_col, *order).sortWithinPartitions(group_col, *order)
+         .select(group_col, text_col).write.mode("overwrite").partitionBy(group_col).text(out_dir))
+    finally:
+        kept.unpersist()
 
 
 def write_merged(rows: DataFrame, out_dir: str, order: Sequence[str], text_col: str = "text") -> None:
     """All rows as one ordered document split over part files (range partitioned)."""
-    rows.orderBy(*order).select(text_col).write.mode("overwrite").text(out_dir)
+    from pyspark import StorageLevel
+    kept = rows.select(*order, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        kept.orderBy(*order).select(text_col).write.mode("overwrite").text(out_dir)
+    finally:
+        kept.unpersist()
 
 
 def read_documents(spark, out_dir: str, group_col: str = "out_file") -> DataFrame:
