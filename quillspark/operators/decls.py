@@ -190,10 +190,18 @@ def member_lines(lab: DataFrame, key: Sequence[str], kinds: Sequence[str]) -> Da
 
 
 # --- E8 ---------------------------------------------------------------------
-def fields(ml: DataFrame, key: Sequence[str]) -> DataFrame:
+MAX_STRUCT_DEPTH = 6
+
+
+def fields(ml: DataFrame, key: Sequence[str], max_depth: int = MAX_STRUCT_DEPTH) -> DataFrame:
     """One row per field name; embedded fields have an empty name and the type as text.
 
-    ``depth`` is the nesting level inside anonymous struct fields.
+    A field declared as ``Name struct {`` opens a nested anonymous struct: its
+    members get ``depth`` + 1 and ``struct_path`` = the chain of enclosing
+    field names (``Profile`` or ``Outer.Inner``); the tag written after the
+    closing ``}`` belongs to the opening field (``anonymous`` = true).  The
+    chain is resolved with one running ``last`` per nesting level, up to
+    ``max_depth`` levels (deeper members keep a null ``struct_path``).
     """
     t = strip_ws("text")
     tag = F.regexp_extract(t, r"`([^`]*)`\s*(?://.*)?$", 1)
@@ -201,10 +209,33 @@ def fields(ml: DataFrame, key: Sequence[str]) -> DataFrame:
     named = body.rlike(rf"^{IDENT}(?:\s*,\s*{IDENT})*\s+\S")
     names = F.when(named, F.regexp_extract(body, rf"^({IDENT}(?:\s*,\s*{IDENT})*)\s+", 1))
     typ = F.when(named, F.trim(F.regexp_replace(body, rf"^{IDENT}(?:\s*,\s*{IDENT})*\s+", ""))).otherwise(body)
-    x = ml.filter(~t.rlike(r"^\}")).select(*key, "owner_line", "owner", "line_no", "depth", "member_doc",
-                                            names.alias("names"), typ.alias("type_text"), tag.alias("tag"))
-    x = x.withColumn("type_text", F.regexp_replace("type_text", r"\s*\{$", ""))
-    ex = x.select(*key, "owner_line", "owner", "line_no", "depth", "member_doc", "type_text", "tag",
+    closing = t.rlike(r"^\}")
+    x = ml.select(*key, "owner_line", "owner", "line_no", "depth", "member_doc", closing.alias("__close"),
+                  names.alias("names"), typ.alias("type_text"), tag.alias("tag"))
+    opener = ~F.col("__close") & F.col("type_text").rlike(r"^struct\s*\{$")
+    x = x.withColumn("__open", opener).withColumn("type_text", F.regexp_replace("type_text", r"\s*\{$", ""))
+    # name of the innermost open anonymous struct at each level, carried down the lines
+    w = Window.partitionBy(*key, "owner_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    for lv in range(max_depth):
+        x = x.withColumn(f"__lv{lv}", F.last(F.when(F.col("__open") & (F.col("depth") == lv), F.col("names")),
+                                             ignorenulls=True).over(w))
+        x = x.withColumn(f"__ln{lv}", F.last(F.when(F.col("__open") & (F.col("depth") == lv), F.col("line_no")),
+                                             ignorenulls=True).over(w))
+    path = F.lit("")
+    for lv in range(max_depth):
+        path = F.when(F.col("depth") > lv, F.concat(path, F.when(F.lit(lv > 0), F.lit(".")).otherwise(F.lit("")),
+                                                    F.col(f"__lv{lv}"))).otherwise(path)
+    x = x.withColumn("struct_path", F.when(F.col("depth") <= max_depth, path))
+    # the tag after a closing brace belongs to the field that opened that struct
+    opened_at = F.lit(None).cast("long")
+    for lv in range(max_depth):
+        opened_at = F.when(F.col("depth") - 1 == lv, F.col(f"__ln{lv}")).otherwise(opened_at)
+    close_tags = x.filter(F.col("__close") & (F.col("tag") != "")).select(
+        *key, "owner_line", opened_at.alias("line_no"), F.col("tag").alias("__ctag"))
+    x = x.filter(~F.col("__close")).join(close_tags, [*key, "owner_line", "line_no"], "left") \
+        .withColumn("tag", F.coalesce(F.nullif(F.col("tag"), F.lit("")), F.col("__ctag"), F.lit("")))
+    ex = x.select(*key, "owner_line", "owner", "line_no", "depth", "struct_path", "member_doc", "type_text", "tag",
+                  F.col("__open").alias("anonymous"),
                   F.posexplode_outer(F.split(F.coalesce("names", F.lit("")), r"\s*,\s*")).alias("name_pos", "name"))
     return ex.withColumn("exported", F.when(F.col("name") == "", is_exported("type_text"))
                          .otherwise(is_exported("name"))) \

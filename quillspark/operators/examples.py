@@ -1,8 +1,10 @@
 """Example JSON / YAML documents per struct from its field rows.
 
-Values come from a ``when`` chain on the field type; the document is one
-ordered aggregation per owner.  Fields of nested anonymous structs
-(``depth > 0``) are not expanded (the extraction keeps them as rows).
+Values come from a ``when`` chain on the field type.  Nested anonymous
+structs are built bottom-up, one aggregation per nesting level (a bounded
+loop over the maximum depth): the object text of every ``(owner,
+struct_path)`` group becomes the value of the field that opened it.  Every
+group is one struct's visible fields, so no group grows with the corpus.
 """
 
 from __future__ import annotations
@@ -12,9 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import make_indent
 from .aggregates import ordered_join
-from .decls import tag_value
+from .decls import MAX_STRUCT_DEPTH, tag_value
 
 # Example literal per basic type.
 _INTS = ["int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64", "byte", "rune"]
@@ -30,35 +31,79 @@ def example_value(type_text: Column) -> Column:
             .otherwise(F.lit("{}")))
 
 
-def _base_type(type_text: Column) -> Column:
-    return F.regexp_replace(F.trim(type_text), r"^\*", "")
-
-
-def _field_name(tag_key: str) -> Column:
-    v = tag_value("tag", tag_key)
-    return F.when(v != "", F.substring_index(v, ",", 1)).otherwise(F.col("name"))
-
-
-def example_json(fields: DataFrame, key: Sequence[str], indent: int = 0) -> DataFrame:
-    f = fields.filter(F.col("exported") & (F.col("depth") == 0) & (F.col("name") != ""))
-    f = f.withColumn("__jn", _field_name("json")).filter((tag_value("tag", "json") != "-") & (F.col("__jn") != ""))
-    t = _base_type(F.col("type_text"))
-    value = F.when(t.startswith("[]"), F.concat(F.lit("["), example_value(F.substring(t, 3, 1 << 20)), F.lit("]"))) \
-        .when(t.startswith("map["), F.lit("{}")).otherwise(example_value(t))
-    pad = make_indent(F.lit(indent + 1))
-    line = F.concat(pad, F.lit('"'), "__jn", F.lit('": '), value)
-    body = f.groupBy(*key, "owner").agg(ordered_join(["line_no", "name_pos"], line, ",\n").alias("__b"))
-    close = make_indent(F.lit(indent))
-    return body.select(*key, "owner", F.concat(F.lit("{\n"), "__b", F.lit("\n"), close, F.lit("}")).alias("example_json"))
-
-
-def example_yaml(fields: DataFrame, key: Sequence[str], indent: int = 0) -> DataFrame:
-    f = fields.filter(F.col("exported") & (F.col("depth") == 0) & (F.col("name") != ""))
-    f = f.withColumn("__yn", _field_name("yaml")).filter((tag_value("tag", "yaml") != "-") & (F.col("__yn") != ""))
-    t = _base_type(F.col("type_text"))
-    value = F.when(t.startswith("[]"), F.concat(F.lit("\n"), make_indent(F.lit(indent + 1)), F.lit("- "),
-                                                 example_value(F.substring(t, 3, 1 << 20)))) \
-        .when(t.startswith("map["), F.lit("{}")).otherwise(example_value(t))
-    line = F.concat(make_indent(F.lit(indent)), "__yn", F.lit(":"),
-                    F.when(value.startswith("\n"), value).otherwise(F.concat(F.lit(" "), value)))
-    return f.groupBy(*key, "owner").agg(ordered_join(["line_no", "name_pos"], line, "\n").alias("example_yaml"))
+def _pad(n: Column) -> Column:
+    return F.when(n <= 0, F.lit("")).otherwise(F.repeat(F.lit("  "), n))
+
+
+def _own_path() -> Column:
+    """Path a field's own members carry: parent path + field name."""
+    return F.when(F.coalesce(F.col("struct_path"), F.lit("")) == "", F.col("name")) \
+        .otherwise(F.concat("struct_path", F.lit("."), "name"))
+
+
+def _build(fields: DataFrame, key: Sequence[str], tag_key: str, line: Column, sep: str, wrap,
+           max_depth: int) -> DataFrame:
+    """Bottom-up assembly.  ``line(value)`` renders one field, ``wrap(body, depth)`` one object."""
+    from ..session import ensure_checkpoint_dir
+    k = [*key, "owner_line", "owner"]
+    tv = tag_value("tag", tag_key)
+    # the field rows are written once to the shared checkpoint folder: every
+    # nesting level below reads them there instead of recomputing extraction,
+    # and the deepest level actually present bounds the loop
+    ensure_checkpoint_dir(fields.sparkSession)
+    fields = fields.checkpoint(eager=True)
+    present = fields.agg(F.max("depth").alias("d")).first()["d"]
+    max_depth = min(max_depth, int(present or 0))
+    f = fields.filter(F.col("depth") <= max_depth).withColumn(
+        "__fname", F.when(tv != "", F.substring_index(tv, ",", 1)).otherwise(F.col("name"))) \
+        .withColumn("__visible", F.col("exported") & (F.col("name") != "") & (tv != "-") & (F.col("__fname") != "")) \
+        .withColumn("struct_path", F.coalesce("struct_path", F.lit("")))
+    nested = None          # (k, __gpath = struct_path of the group, __obj = object text)
+    for lv in range(max_depth, -1, -1):
+        rows = f.filter(F.col("depth") == lv).withColumn("__own", _own_path())
+        if nested is None:
+            rows = rows.withColumn("__obj", F.lit(None).cast("string"))
+        else:
+            rows = rows.join(nested.withColumnRenamed("__gpath", "__own"), [*k, "__own"], "left")
+        rendered = rows.withColumn("__line", F.when(F.col("__visible"), line(F.col("__obj"))))
+        grouped = rendered.groupBy(*k, F.col("struct_path").alias("__gpath")).agg(
+            ordered_join(["line_no", "name_pos"], "__line", sep).alias("__body"),
+            F.count(F.col("__line")).alias("__nvis"))
+        nested = grouped.select(*k, "__gpath", wrap(F.col("__body"), F.col("__nvis"), F.lit(lv)).alias("__obj"))
+    return nested.filter(F.col("__gpath") == "")
+
+
+def example_json(fields: DataFrame, key: Sequence[str], max_depth: int = MAX_STRUCT_DEPTH) -> DataFrame:
+    t = F.regexp_replace(F.trim(F.col("type_text")), r"^\*", "")
+
+    def line(obj: Column) -> Column:
+        value = F.when(F.col("anonymous"), F.coalesce(obj, F.lit("{}"))) \
+            .when(t.startswith("[]"), F.concat(F.lit("["), example_value(F.substring(t, 3, 1 << 20)), F.lit("]"))) \
+            .when(t.startswith("map["), F.lit("{}")).otherwise(example_value(t))
+        return F.concat(_pad(F.col("depth") + 1), F.lit('"'), F.col("__fname"), F.lit('": '), value)
+
+    def wrap(body: Column, nvis: Column, depth: Column) -> Column:
+        return F.when(nvis > 0, F.concat(F.lit("{\n"), body, F.lit("\n"), _pad(depth), F.lit("}"))) \
+            .otherwise(F.concat(F.lit("{\n"), _pad(depth), F.lit("}")))
+
+    out = _build(fields, key, "json", line, ",\n", wrap, max_depth)
+    return out.select(*key, "owner", F.col("__obj").alias("example_json"))
+
+
+def example_yaml(fields: DataFrame, key: Sequence[str], max_depth: int = MAX_STRUCT_DEPTH) -> DataFrame:
+    t = F.regexp_replace(F.trim(F.col("type_text")), r"^\*", "")
+
+    def line(obj: Column) -> Column:
+        nested = F.when(F.coalesce(obj, F.lit("")).isin("", "{}"), F.lit("{}")).otherwise(F.concat(F.lit("\n"), obj))
+        value = F.when(F.col("anonymous"), nested) \
+            .when(t.startswith("[]"), F.concat(F.lit("\n"), _pad(F.col("depth") + 1), F.lit("- "),
+                                               example_value(F.substring(t, 3, 1 << 20)))) \
+            .when(t.startswith("map["), F.lit("{}")).otherwise(example_value(t))
+        return F.concat(_pad(F.col("depth")), F.col("__fname"), F.lit(":"),
+                        F.when(value.startswith("\n"), value).otherwise(F.concat(F.lit(" "), value)))
+
+    def wrap(body: Column, nvis: Column, depth: Column) -> Column:
+        return F.coalesce(body, F.lit(""))
+
+    out = _build(fields, key, "yaml", line, "\n", wrap, max_depth)
+    return out.select(*key, "owner", F.col("__obj").alias("example_yaml"))

@@ -62,3 +62,34 @@ def test_anchor_and_relative_path(spark):
     r = df.select(X.anchor_id("p", "n").alias("a"), X.relative_path("b", "t").alias("r")).first()
     assert r["a"] == "example-com-m-p-Type-Method"
     assert r["r"] == "../c/d.adoc"
+
+
+NESTED_SRC = (
+    "package p\n\ntype Outer struct {\n\tName string `json:\"name\" yaml:\"name\"`\n"
+    "\tProfile struct {\n\t\tBio string `json:\"bio\" yaml:\"bio\"`\n\t\tinner int\n\t} `json:\"profile\" yaml:\"profile\"`\n"
+    "\tTags []string `json:\"tags\"`\n}\n"
+)
+
+
+def _nested_fields(spark):
+    from quillspark.operators import decls as D
+    from quillspark.operators.lines import lines
+    df = spark.createDataFrame([(1, NESTED_SRC)], "file_id long, content string")
+    ln = lines(df, ["file_id"])
+    return D.fields(D.member_lines(D.label_lines(ln, ["file_id"]), ["file_id"], ["struct"]), ["file_id"])
+
+
+def test_nested_struct_fields(spark):
+    rows = {r["name"]: r for r in _nested_fields(spark).collect()}
+    assert rows["Profile"]["anonymous"] and rows["Profile"]["tag"] == 'json:"profile" yaml:"profile"'
+    assert rows["Bio"]["depth"] == 1 and rows["Bio"]["struct_path"] == "Profile"
+    assert rows["Tags"]["depth"] == 0 and rows["Tags"]["struct_path"] == ""
+
+
+def test_nested_examples(spark):
+    from quillspark.operators.examples import example_json, example_yaml
+    f = _nested_fields(spark)
+    j = example_json(f, ["file_id"]).first()["example_json"]
+    y = example_yaml(f, ["file_id"]).first()["example_yaml"]
+    assert j == '{\n  "name": "example",\n  "profile": {\n    "bio": "example"\n  },\n  "tags": ["example"]\n}'
+    assert y == 'name: "example"\nprofile:\n  bio: "example"\nTags:\n  - "example"'
