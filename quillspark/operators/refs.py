@@ -153,3 +153,36 @@ def classify_package_refs(pkg_imports: DataFrame, package_info: DataFrame, modul
         .otherwise(F.concat(F.lit(EXTERNAL_DOC_URL), "import_path"))
     return d.select("package", "import_path", cls.alias("class"), F.col("known_anchor").alias("anchor"),
                     link.alias("link"))
+
+
+# --- J8 ---------------------------------------------------------------------
+def link_type_refs(refs: DataFrame, key: Sequence[str], aliases: DataFrame, own_package: Column,
+                   module_names: DataFrame, type_params: DataFrame | None = None) -> DataFrame:
+    """Link every identifier of a type text (E14 rows: ``key, ref, qualifier, ident``).
+
+    Builtins and the declaration's type parameters stay plain; an unqualified
+    name links to its anchor in the own package; a qualified name is resolved
+    through the file's alias map (J7): internal (boundary member of a module,
+    J4) → anchor, external → documentation URL, unknown alias → plain.
+    ``type_params``: ``key…, name`` rows (joined, so any number per declaration).
+    """
+    am = aliases.select(*key, F.col("alias_key").alias("qualifier"), "import_path")
+    x = refs.join(am, [*key, "qualifier"], "left")
+    names = broadcast_if_small(module_names.select(F.col("name").alias("__pre")).distinct())
+    mem = explode_slash_prefixes(x.select("import_path").filter(F.col("import_path").isNotNull()).distinct(),
+                                 "import_path", "__pre") \
+        .join(names, "__pre", "left_semi").select("import_path").distinct().withColumn("__int", F.lit(True))
+    x = x.join(mem, "import_path", "left")
+    if type_params is not None:
+        tp = type_params.select(*key, F.col("name").alias("ref")).distinct().withColumn("__tp", F.lit(True))
+        x = x.join(tp, [*key, "ref"], "left")
+    else:
+        x = x.withColumn("__tp", F.lit(None).cast("boolean"))
+    plain = F.col("ref").isin(*BUILTIN_TYPES) | F.coalesce("__tp", F.lit(False))
+    link = (F.when(plain, F.col("ref"))
+            .when(F.col("qualifier").isNull(), F.format_string("<<%s,%s>>", anchor_id(own_package, F.col("ref")), F.col("ref")))
+            .when(F.col("import_path").isNull(), F.col("ref"))
+            .when(F.coalesce("__int", F.lit(False)),
+                  F.format_string("<<%s,%s>>", anchor_id(F.col("import_path"), F.col("ident")), F.col("ref")))
+            .otherwise(F.format_string("link:" + EXTERNAL_DOC_URL + "%s#%s[%s]", "import_path", "ident", "ref")))
+    return x.withColumn("link", link).drop("__int", "__tp")

@@ -143,24 +143,11 @@ SELECT decl_id, pos, ref,
        ELSE 'link:https://pkg.go.dev/' || import_path || '#' || string_split(ref, '.')[2] || '[' || ref || ']' END AS link
 FROM q""")
 def j8_type_links(spark, sf_dir):
-    from ..functions.text import anchor_id
     t = fx(spark, sf_dir, "fx9_types")
     refs = type_refs(t, ["decl_id", "pos"], "type_text")
-    am = R.alias_map(fx(spark, sf_dir, "fx7_imports"), ["file_id"]).select(
-        F.col("file_id").alias("decl_id"), F.col("alias_key").alias("qualifier"), "import_path")
-    x = refs.join(am, ["decl_id", "qualifier"], "left")
-    names = module_table(spark, sf_dir).select(F.col("name").alias("__pre")).distinct()
-    from ..operators.modules import explode_slash_prefixes
-    mem = explode_slash_prefixes(x.select("import_path").filter(F.col("import_path").isNotNull()).distinct(),
-                                 "import_path", "__pre").join(names, "__pre", "left_semi").select("import_path").distinct().withColumn("__int", F.lit(True))
-    x = x.join(mem, "import_path", "left")
+    am = R.alias_map(fx(spark, sf_dir, "fx7_imports"), ["file_id"]).withColumnRenamed("file_id", "decl_id")
     own = F.concat(F.lit("example.com/m"), (F.col("decl_id") % 25).cast("string"), F.lit("/p"))
-    type_params = ["T"]   # the fixture's generic parameter names stay plain
-    plain = F.col("ref").isin(*R.BUILTIN_TYPES) | F.col("ref").isin(*type_params)
-    link = (F.when(plain, F.col("ref"))
-            .when(F.col("qualifier").isNull(), F.format_string("<<%s,%s>>", anchor_id(own, F.col("ref")), F.col("ref")))
-            .when(F.col("import_path").isNull(), F.col("ref"))
-            .when(F.coalesce("__int", F.lit(False)),
-                  F.format_string("<<%s,%s>>", anchor_id(F.col("import_path"), F.col("ident")), F.col("ref")))
-            .otherwise(F.format_string("link:" + R.EXTERNAL_DOC_URL + "%s#%s[%s]", "import_path", "ident", "ref")))
-    return x.select("decl_id", "pos", "ref", link.alias("link"))
+    # the fixture's declarations are generic in T: their type parameter rows
+    tparams = t.select("decl_id", F.lit("T").alias("name")).distinct()
+    out = R.link_type_refs(refs, ["decl_id"], am, own, module_table(spark, sf_dir), tparams)
+    return out.select("decl_id", "pos", "ref", "link")
