@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lines import comment_blocks, comment_text, is_comment, is_directive, strip_ws
+from .lines import comment_blocks, mark_comments, strip_ws
 
 IDENT = r"[A-Za-z_][A-Za-z0-9_]*"
 TPARAMS = r"(?:\[[^\]]*\])?"
@@ -99,9 +99,9 @@ def label_lines(ln: DataFrame, key: Sequence[str]) -> DataFrame:
     ahead = Window.partitionBy(*key).orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
     k = _kind_expr(t)
     opens = F.rtrim(t).rlike(r"[{(]$") & ~F.rtrim(t).rlike(r"\{\}$")
-    x = ln.withColumn("kind", k).withColumn("is_comment", is_comment(t)) \
+    x = mark_comments(ln, key).withColumn("kind", F.when(~F.col("is_comment"), k)) \
         .withColumn("__open", F.when(F.col("kind").isNotNull(), opens)) \
-        .withColumn("__close_at", F.when(t.rlike(r"^[})]"), F.col("line_no"))) \
+        .withColumn("__close_at", F.when(~F.col("is_comment") & t.rlike(r"^[})]"), F.col("line_no"))) \
         .withColumn("__decl_at", F.when(F.col("kind").isNotNull(), F.col("line_no")))
     x = x.withColumn("__next_close", F.last("__close_at", ignorenulls=True).over(ahead)) \
         .withColumn("__next_decl", F.last("__decl_at", ignorenulls=True).over(ahead))
@@ -123,7 +123,7 @@ def label_lines(ln: DataFrame, key: Sequence[str]) -> DataFrame:
     role = F.when(in_span & (F.col("line_no") == F.col("__span.s")), F.lit("decl")) \
         .when(in_span, F.lit("body")).when(doc_of.isNotNull(), F.lit("doc"))
     return x.select(
-        *key, "line_no", "text", "kind", "is_comment", "bad", role.alias("role"),
+        *key, "line_no", "text", "kind", "is_comment", "ctext", "bad", role.alias("role"),
         F.when(in_span, F.col("__span.s")).otherwise(doc_of["line_no"]).alias("owner_line"),
         F.when(in_span, F.col("__span.k")).otherwise(doc_of["decl"]["k"]).alias("owner_kind"),
         F.when(in_span, F.col("__span.n")).otherwise(doc_of["decl"]["n"]).alias("owner_name"),
@@ -149,7 +149,7 @@ def declarations(ln: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFram
                                    F.lit("block not closed in column 0").alias("message"))
     own = lab.filter(F.col("role").isNotNull())
     text_part = F.when(F.col("role") != "doc", F.col("text"))
-    doc_part = F.when((F.col("role") == "doc") & ~is_directive("text"), comment_text("text"))
+    doc_part = F.when(F.col("role") == "doc", F.col("ctext"))
     g = own.groupBy(*key, F.col("owner_line").alias("decl_line")).agg(
         F.first("owner_kind").alias("kind"), F.first("owner_name").alias("name"),
         F.first("end_line").alias("end_line"),
@@ -181,7 +181,7 @@ def member_lines(lab: DataFrame, key: Sequence[str], kinds: Sequence[str]) -> Da
     body = body.withColumn("depth", F.coalesce(F.sum(delta).over(wo), F.lit(0)))
     docs = body.filter("is_comment").groupBy(*key, "owner_line", F.col("next_code").alias("line_no")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-            "line_no", F.when(~is_directive("text"), comment_text("text")).alias("t")))),
+            "line_no", F.col("ctext").alias("t")))),
             lambda r: r["t"]), "\n").alias("member_doc"))
     return body.filter(~F.col("is_comment") & (strip_ws("text") != "")) \
         .join(docs, [*key, "owner_line", "line_no"], "left") \

@@ -56,6 +56,36 @@ def is_directive(text: Column | str) -> Column:
     return t.rlike(r"^\s*//(?:line |extern |export |[a-z0-9]+:[a-z0-9])")
 
 
+def mark_comments(ln: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Add ``is_comment`` and ``ctext`` (comment text, null for directives) to a lines table.
+
+    ``//`` lines, one-line ``/* … */`` and every line of a multi-line block
+    comment (opened at the start of a line) are comment lines.  Whether a
+    line lies inside an open block is the last open/close event before it —
+    one running window over the file's lines.  ``ctext`` strips the markers
+    (``//`` and one blank after it; ``/*``, ``*/``) and trailing white space.
+    """
+    t = F.col("text")
+    lt = F.regexp_replace(t, r"^\s+", "")
+    opens = lt.startswith("/*") & ~F.substring_index(lt, "/*", -1).contains("*/")
+    closes = t.contains("*/")
+    before = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    x = ln.withColumn("__qs_in", F.coalesce(F.last(F.when(opens, F.lit(True)).when(closes, F.lit(False)),
+                                                   ignorenulls=True).over(before), F.lit(False)))
+    line_comment = lt.startswith("//")
+    single_block = lt.startswith("/*") & ~opens
+    inside = F.col("__qs_in")
+    body = (F.when(inside & closes, F.regexp_replace(t, r"\*/.*\z", ""))
+            .when(inside, t)
+            .when(line_comment, F.regexp_replace(F.regexp_replace(t, r"^\s*//", ""), r"^ ", ""))
+            .when(single_block, F.regexp_replace(F.regexp_replace(t, r"^\s*/\*", ""), r"\*/\s*\z", ""))
+            .when(opens, F.regexp_replace(t, r"^\s*/\*", "")))
+    is_c = inside | line_comment | lt.startswith("/*")
+    directive = ~inside & t.rlike(r"^\s*//(?:line |extern |export |[a-z0-9]+:[a-z0-9])")
+    return x.withColumn("is_comment", is_c) \
+        .withColumn("ctext", F.when(is_c & ~directive, F.regexp_replace(body, r"\s+\z", ""))).drop("__qs_in")
+
+
 # --- E2 / E3 ----------------------------------------------------------------
 def comment_blocks(ln: DataFrame, key: Sequence[str]) -> DataFrame:
     """Islands of consecutive comment lines: ``key, block_start, block_end, doc, lead``.
@@ -64,12 +94,11 @@ def comment_blocks(ln: DataFrame, key: Sequence[str]) -> DataFrame:
     blank lines trimmed); ``lead`` is the block's first-line indentation.
     """
     w = Window.partitionBy(*key).orderBy("line_no")
-    c = ln.withColumn("__c", is_comment("text"))
+    c = mark_comments(ln, key).withColumn("__c", F.col("is_comment"))
     c = c.withColumn("__grp", F.col("line_no") - F.row_number().over(w.partitionBy(*key, "__c")))
     blocks = c.filter("__c").groupBy(*key, "__grp").agg(
         F.min("line_no").alias("block_start"), F.max("line_no").alias("block_end"),
-        F.array_sort(F.collect_list(F.struct("line_no", F.when(~is_directive("text"), comment_text("text"))
-                                             .alias("t")))).alias("__ls"),
+        F.array_sort(F.collect_list(F.struct("line_no", F.col("ctext").alias("t")))).alias("__ls"),
         F.min_by(F.regexp_extract("text", r"^(\s*)", 1), "line_no").alias("lead"))
     body = F.array_join(F.transform(F.filter("__ls", lambda x: x["t"].isNotNull()), lambda x: x["t"]), "\n")
     # collapse blank-line runs and trim leading/trailing blank lines
@@ -92,13 +121,12 @@ def full_docs(ln: DataFrame, targets: DataFrame, key: Sequence[str], line_col: s
     session that ends right before a target form its full doc.
     """
     w = Window.partitionBy(*key).orderBy("line_no")
-    comment = is_comment("text")
+    comment = F.col("is_comment")
     blank = strip_ws("text") == ""
-    s = ln.withColumn("__code", ~comment & ~blank) \
+    s = mark_comments(ln, key).withColumn("__code", ~comment & ~blank) \
         .withColumn("__sess", F.sum(F.col("__code").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # piece of text each line contributes: comment text, or its blank text
-    piece = F.when(comment, F.when(is_directive("text"), F.lit(None)).otherwise(comment_text("text"))) \
-        .otherwise(F.col("text"))
+    piece = F.when(comment, F.col("ctext")).otherwise(F.col("text"))
     s = s.withColumn("__piece", piece).withColumn("__cm", comment)
     # the session's lines between its first and last comment line, i.e. up to the target
     sess = s.filter(~F.col("__code")).groupBy(*key, "__sess").agg(

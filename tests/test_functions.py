@@ -93,3 +93,27 @@ def test_nested_examples(spark):
     y = example_yaml(f, ["file_id"]).first()["example_yaml"]
     assert j == '{\n  "name": "example",\n  "profile": {\n    "bio": "example"\n  },\n  "tags": ["example"]\n}'
     assert y == 'name: "example"\nprofile:\n  bio: "example"\nTags:\n  - "example"'
+
+
+def _func_doc(spark, src):
+    from quillspark.operators import decls as D
+    from quillspark.operators.lines import lines
+    df = spark.createDataFrame([(1, src)], "file_id long, content string")
+    d, _ = D.declarations(lines(df, ["file_id"]), ["file_id"])
+    return {r["name"]: r["doc"] for r in d.collect()}
+
+
+def test_doc_line_comments(spark):
+    src = ('package foo\nimport ( \n\t"fmt" \n\t"time" \n)\n\n'
+           '// Bar is a private function that prints out current time\n//\n// This function is exported!\n'
+           'func Bar() {\n\tfmt.Println(time.Now())\n}')
+    assert _func_doc(spark, src)["Bar"] == "Bar is a private function that prints out current time\n\nThis function is exported!"
+
+
+def test_doc_block_comments(spark):
+    src = ('package foo\nimport ( \n\t"fmt" \n\t"time" \n)\n\n'
+           '/* Bar is a private function that prints out current time\n   This function is exported!\n */\n'
+           'func Bar() {\n\tfmt.Println(time.Now())\n}\n\n/*\nfunc Hidden() {\n}\n*/\nvar X = 1')
+    docs = _func_doc(spark, src)
+    assert docs["Bar"] == " Bar is a private function that prints out current time\n   This function is exported!"
+    assert "Hidden" not in docs
