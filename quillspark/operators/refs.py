@@ -150,7 +150,7 @@ def classify_package_refs(pkg_imports: DataFrame, package_info: DataFrame, modul
         .when(F.coalesce("__int", F.lit(False)), "internal").otherwise("external")
     link = F.when(F.col("known_anchor").isNotNull(), F.col("known_file")) \
         .when(F.coalesce("__int", F.lit(False)), F.concat(F.translate("import_path", "/\\", "__"), F.lit(".adoc"))) \
-        .otherwise(F.concat(F.lit(EXTERNAL_DOC_URL), "import_path"))
+        .otherwise(F.concat(F.lit(EXTERNAL_DOC_URL), F.regexp_replace("import_path", "^/", "")))
     return d.select("package", "import_path", cls.alias("class"), F.col("known_anchor").alias("anchor"),
                     link.alias("link"))
 

@@ -117,3 +117,15 @@ def test_doc_block_comments(spark):
     docs = _func_doc(spark, src)
     assert docs["Bar"] == " Bar is a private function that prints out current time\n   This function is exported!"
     assert "Hidden" not in docs
+
+
+def test_import_block_order(spark):
+    from quillspark.operators.aggregates import import_block
+    paths = ["bufio", "example.org/team/core/errs", "example.org/team/core/ctx", "encoding/json", "flag", "fmt",
+             "example.net/lib/events", "os", "strings", "fmt"]
+    df = spark.createDataFrame([(1, i, "", p) for i, p in enumerate(paths)] + [(2, 0, "al", "x/y")],
+                               "file_id long, pos long, alias string, import_path string")
+    got = {r["file_id"]: r["import_block"] for r in import_block(df, ["file_id"]).collect()}
+    assert got[1] == ('import (\n\t"bufio"\n\t"flag"\n\t"fmt"\n\t"os"\n\t"strings"\n\t"encoding/json"\n'
+                      '\t"example.net/lib/events"\n\t"example.org/team/core/ctx"\n\t"example.org/team/core/errs"\n)')
+    assert got[2] == 'import al "x/y"'
