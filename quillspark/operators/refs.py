@@ -94,12 +94,15 @@ def resolve_refs(tokens: DataFrame, key: Sequence[str], aliases: DataFrame, own_
     path = F.coalesce(F.col("pkg_path"), F.when(pkg_only, F.col("__p")), by_alias,
                       F.when(F.col("ident") != "", F.col(own_package)))
     t = t.withColumn("package_path", path)
-    names = broadcast_if_small(module_names.select(F.col("name").alias("__pre")).distinct())
-    # internal flag per distinct package path (few), then joined back
-    paths = t.select("package_path").filter(F.col("package_path").isNotNull()).distinct()
-    member = explode_slash_prefixes(paths, "package_path", "__pre").join(names, "__pre", "left_semi") \
-        .select("package_path").distinct().withColumn("__int", F.lit(True))
-    t = t.join(member, "package_path", "left")
+    # internal flag: '/'-prefixes of the package path against the (checked,
+    # broadcast) module names, reduced per token in one aggregation that also
+    # carries the token's columns (no second evaluation of the token plan)
+    names = broadcast_if_small(module_names.select(F.col("name").alias("__pre")).distinct()
+                               .withColumn("__hit", F.lit(True)))
+    cols = [c for c in t.columns if c not in (*key, "tok_pos")]
+    exp = explode_slash_prefixes(t.withColumn("__pp", F.coalesce("package_path", F.lit(""))), "__pp", "__pre")
+    t = exp.join(names, "__pre", "left").groupBy(*key, "tok_pos").agg(
+        *[F.first(c).alias(c) for c in cols], F.bool_or(F.coalesce("__hit", F.lit(False))).alias("__int"))
     external = F.when(~F.col("package_path").rlike(r"[./]"), F.lit(True)) \
         .otherwise(~F.coalesce(F.col("__int"), F.lit(False)))
     kind = F.when(F.col("receiver") != "", "method").when(F.col("ident") == "", "package").otherwise("type")
