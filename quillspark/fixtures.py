@@ -72,6 +72,26 @@ SELECT p_partkey AS name_id,
 FROM part
 """
 
+# Fx11: module and workspace manifests that grow with the data: every
+# customer gets a module manifest (no module line when its balance is
+# negative → rejected) and a workspace manifest; the Fx2 manifests are kept.
+FX_SQL["fx11_manifests"] = """
+SELECT module_order, path, content FROM fx2_manifests
+UNION ALL
+SELECT 1000 + c_custkey AS module_order, '/corpus/c' || CAST(c_custkey AS STRING) || '/go.mod' AS path,
+ CASE WHEN c_acctbal < 0 THEN 'go 1.21'
+      ELSE 'module example.org/' || lower(c_mktsegment) || '/c_' || CAST(c_custkey AS STRING) || chr(10) || chr(10) || 'go ' ||
+        CASE c_nationkey % 4 WHEN 0 THEN '1.' || CAST(18 + c_nationkey % 7 AS STRING) || '.' || CAST(c_nationkey AS STRING)
+                             WHEN 1 THEN 'go1.' || CAST(c_nationkey AS STRING) || 'rc1'
+                             WHEN 2 THEN '1.' || CAST(c_nationkey AS STRING)
+                             ELSE '  1.2x' END END AS content
+FROM customer
+UNION ALL
+SELECT 100000000 + c_custkey, '/corpus/c' || CAST(c_custkey AS STRING) || '/go.work',
+ 'go 1.21' || chr(10) || chr(10) || 'use (' || chr(10) || chr(9) || './a' || chr(10) || chr(9) || './b_' || CAST(c_nationkey AS STRING) || chr(10) || ')'
+FROM customer
+"""
+
 # Which base tables each view reads.
 FX_BASE = {
     "fx1_files": ["part"],
@@ -83,11 +103,17 @@ FX_BASE = {
     "fx8_consts": ["lineitem"],
     "fx9_types": ["lineitem"],
     "fx10_docs": ["orders"],
+    "fx11_manifests": ["customer"],
 }
 
+# Views a view is built on (registered / inlined first).
+FX_DEPS = {"fx11_manifests": ["fx2_manifests"]}
+
 
 def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Return fixture view ``name`` built from the tables under ``sf_dir``."""
+    for dep in FX_DEPS.get(name, []):
+        fx(spark, sf_dir, dep)
     register_tables(spark, sf_dir, FX_BASE[name])
     df = spark.sql(FX_SQL[name])
     df.createOrReplaceTempView(name)
@@ -96,4 +122,11 @@ def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cte(*names: str) -> str:
     """``WITH`` prefix that defines fixture views for an oracle query."""
-    return "WITH " + ",\n".join(f"{n} AS ({FX_SQL[n].strip()})" for n in names) + "\n"
+    ordered: list[str] = []
+    for n in names:
+        for dep in FX_DEPS.get(n, []):
+            if dep not in ordered:
+                ordered.append(dep)
+        if n not in ordered:
+            ordered.append(n)
+    return "WITH " + ",\n".join(f"{n} AS ({FX_SQL[n].strip()})" for n in ordered) + "\n"

@@ -44,24 +44,39 @@ MODS_SQL = """
 
 
 # --- S3 / X9 ----------------------------------------------------------------
-@query("s3_manifest_scan", oracle=cte("fx2_manifests") + MODS_SQL + """
-SELECT module_order, name, base, go_version, string_split(name, '/')[-1] AS short_name FROM mods""")
+# Manifest-only queries read Fx11 (the Fx2 manifests plus two per customer),
+# so their work grows with the data.
+MODS11_SQL = MODS_SQL.replace("fx2_manifests", "fx11_manifests")
+
+
+def manifests11(spark, sf_dir):
+    return M.parse_manifests(fx(spark, sf_dir, "fx11_manifests"))
+
+
+@query("s3_manifest_scan", oracle=cte("fx11_manifests") + MODS11_SQL + """
+SELECT module_order, name, base, go_version, translate(string_split(name, '/')[-1], '._', '--') AS short_name FROM mods""")
 def s3_manifest_scan(spark, sf_dir):
-    return module_table(spark, sf_dir).select(
-        "module_order", "name", "base", "go_version", F.translate("short_name", "-", "-").alias("short_name"))
+    return manifests11(spark, sf_dir)[0].select("module_order", "name", "base", "go_version", "short_name")
 
 
-@query("s3_workspace_members", oracle=cte("fx2_manifests") + """
-, u AS (SELECT module_order, path, unnest(list_filter(list_transform(string_split(regexp_extract(content, '(?s)use[ \t]*\\((.*?)\\)', 1), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS use_path
-        FROM fx2_manifests WHERE ends_with(path, '/go.work'))
-SELECT module_order, CAST(row_number() OVER (PARTITION BY module_order ORDER BY use_path) - 1 AS BIGINT) AS pos, use_path,
-       regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' || regexp_replace(use_path, '^\\./', '') AS member_base
+@query("s3_workspace_members", oracle=cte("fx11_manifests") + """
+, u AS (SELECT module_order, path, list_filter(list_transform(string_split(regexp_extract(content, '(?s)use[ 	]*\\((.*?)\\)', 1), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l
+        FROM fx11_manifests WHERE ends_with(path, '/go.work'))
+SELECT module_order, CAST(unnest(range(0, len(l))) AS BIGINT) AS pos, unnest(l) AS use_path,
+       unnest(list_transform(l, lambda x: regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' || regexp_replace(x, '^\\./', ''))) AS member_base
 FROM u""")
 def s3_workspace_members(spark, sf_dir):
-    return manifests(spark, sf_dir)[1].select("module_order", "pos", "use_path", "member_base")
+    return manifests11(spark, sf_dir)[1].select("module_order", "pos", "use_path", "member_base")
+
+
+@query("s3_manifest_rejects", oracle=cte("fx11_manifests") + """
+SELECT 'manifest' AS stage, path, 'must specify a module that at least have a ''module'' statement, path = ' || path AS message
+FROM fx11_manifests WHERE NOT ends_with(path, '/go.work') AND NOT regexp_matches(content, '(?m)^[ 	]*module[ 	]')""")
+def s3_manifest_rejects(spark, sf_dir):
+    return manifests11(spark, sf_dir)[2]
 
 
-@query("x9_version_canonical", oracle=cte("fx2_manifests") + MODS_SQL + """
+@query("x9_version_canonical", oracle=cte("fx11_manifests") + MODS11_SQL + """
 SELECT module_order, go_version,
   CASE WHEN len(string_split(regexp_extract(regexp_replace(trim(go_version), '^go', ''), '^[0-9.]*'), '.')) = 1
        THEN regexp_extract(regexp_replace(trim(go_version), '^go', ''), '^[0-9.]*')
@@ -69,7 +84,7 @@ SELECT module_order, go_version,
             string_split(regexp_extract(regexp_replace(trim(go_version), '^go', ''), '^[0-9.]*'), '.')[2] END AS go_version_short
 FROM mods""")
 def x9_version_canonical(spark, sf_dir):
-    return module_table(spark, sf_dir).select("module_order", "go_version", "go_version_short")
+    return manifests11(spark, sf_dir)[0].select("module_order", "go_version", "go_version_short")
 
 
 # --- J2 / F10 / U1 ----------------------------------------------------------

@@ -203,16 +203,17 @@ def r3_package_index(spark, sf_dir):
     return RD.package_index(info)
 
 
-@query("r4_module_index", oracle=cte("fx2_manifests") + """
-, mods AS (SELECT module_order, regexp_extract(content, 'module ([^\\n]*)', 1) AS name FROM fx2_manifests
-           WHERE NOT ends_with(path, '/go.work') AND contains(content, 'module '))
+@query("r4_module_index", oracle=cte("fx11_manifests") + """
+, mods AS (SELECT module_order, regexp_extract(content, '(?m)^[ 	]*module[ 	]+"?([^\\s"]+)"?', 1) AS name,
+                  regexp_extract(path, '^(.*)/[^/]*$', 1) AS base FROM fx11_manifests
+           WHERE NOT ends_with(path, '/go.work') AND regexp_matches(content, '(?m)^[ 	]*module[ 	]'))
 SELECT 0 AS rank, CAST(0 AS BIGINT) AS pos, '= API' || chr(10) || ':toc:' || chr(10) AS text
 UNION ALL SELECT 1, CAST(module_order AS BIGINT), '. <<module-' || CAST(module_order AS VARCHAR) || ',' || name || '>>' FROM mods
-UNION ALL SELECT 2, CAST(module_order AS BIGINT), 'include::/repo/m' || CAST(module_order AS VARCHAR) || '/m' || CAST(module_order AS VARCHAR) || '.adoc[]' FROM mods""")
+UNION ALL SELECT 2, CAST(module_order AS BIGINT), 'include::' || base || '/' || translate(string_split(name, '/')[-1], '._', '--') || '.adoc[]' FROM mods""")
 def r4_module_index(spark, sf_dir):
     from ..sources.corpus import module_output_file
-    from .queries_modules import module_table
-    m = module_table(spark, sf_dir)
+    from .queries_modules import manifests11
+    m = manifests11(spark, sf_dir)[0]
     m = m.withColumn("out_file", module_output_file("base", "short_name"))
     return RD.module_index(m, "API")
 
