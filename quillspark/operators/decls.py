@@ -48,19 +48,19 @@ def _name_expr(t: Column, kind: Column) -> Column:
 
 
 # --- F6 ---------------------------------------------------------------------
-_PREFIX = r"^(?:\s|\.\.\.|\*|&|\[\]|<-chan|chan<-|chan\s|chan|map\[(?:[^\[\]]|\[[^\[\]]*\])*\])+"
+_PREFIX = r"^(?:\s|\.\.\.|\*|&|\[\]|<-chan|chan<-|chan\s|chan|map\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\()+"
 
 
 def export_name(name: Column | str) -> Column:
-    """Name without pointer/slice/chan/map/paren prefixes, type args and qualifier."""
+    """Name without pointer/slice/chan/map/paren prefixes, type args and qualifier.
+
+    One anchored repetition strips every leading prefix and opening paren
+    (map keys balanced to one nesting level); closing parens, type arguments
+    and the package qualifier are cut after it.
+    """
     n = F.col(name) if isinstance(name, str) else name
-    s = F.trim(n)
-    # parens: (x) → x, repeated to a fixed depth together with the prefixes
-    for _ in range(3):
-        s = F.regexp_replace(s, _PREFIX, "")
-        s = F.regexp_replace(s, r"^\((.*)\)\s*$", "$1")
-        s = F.trim(s)
-    s = F.regexp_replace(s, r"\[.*\z", "")
+    s = F.regexp_replace(F.trim(n), _PREFIX, "")
+    s = F.regexp_replace(s, r"[\[)].*\z", "")
     s = F.regexp_replace(s, r"^.*\.", "")
     return F.trim(s)
 
