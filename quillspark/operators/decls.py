@@ -177,20 +177,22 @@ def member_lines(lab: DataFrame, key: Sequence[str], kinds: Sequence[str]) -> Da
                       (F.col("line_no") > F.col("owner_line")) & (F.col("line_no") < F.col("end_line")))
     stripped = F.regexp_replace("text", r"`[^`]*`", "")
     delta = F.length(F.regexp_replace(stripped, r"[^{]", "")) - F.length(F.regexp_replace(stripped, r"[^}]", ""))
-    wo = Window.partitionBy(*key, "owner_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    body = body.withColumn("depth", F.coalesce(F.sum(delta).over(wo), F.lit(0)))
-    docs = body.filter("is_comment").groupBy(*key, "owner_line", F.col("next_code").alias("line_no")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-            "line_no", F.col("ctext").alias("t")))),
-            lambda r: r["t"]), "\n").alias("member_doc"))
-    return body.filter(~F.col("is_comment") & (strip_ws("text") != "")) \
-        .join(docs, [*key, "owner_line", "line_no"], "left") \
+    before = Window.partitionBy(*key, "owner_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    code = F.when(~F.col("is_comment"), 1).otherwise(0)
+    body = body.withColumn("depth", F.coalesce(F.sum(delta).over(before), F.lit(0))) \
+        .withColumn("__g", F.coalesce(F.sum(code).over(before), F.lit(0)))
+    # a member's doc = the comment lines right above it: they share its count
+    # of preceding code lines, so one window per such group (no self-join)
+    grp = Window.partitionBy(*key, "owner_line", "__g")
+    notes = F.collect_list(F.when(F.col("is_comment"), F.struct("line_no", F.col("ctext").alias("t")))).over(grp)
+    doc = F.array_join(F.transform(F.array_sort(notes), lambda r: r["t"]), "\n")
+    return body.withColumn("member_doc", doc).filter(~F.col("is_comment") & (strip_ws("text") != "")) \
         .withColumn("member_doc", F.coalesce("member_doc", F.lit(""))) \
         .select(*key, "owner_line", F.col("owner_name").alias("owner"), "line_no", "text", "depth", "member_doc")
 
 
 # --- E8 ---------------------------------------------------------------------
-MAX_STRUCT_DEPTH = 6
+MAX_STRUCT_DEPTH = 4
 
 
 def fields(ml: DataFrame, key: Sequence[str], max_depth: int = MAX_STRUCT_DEPTH) -> DataFrame:
@@ -219,20 +221,21 @@ def fields(ml: DataFrame, key: Sequence[str], max_depth: int = MAX_STRUCT_DEPTH)
     for lv in range(max_depth):
         x = x.withColumn(f"__lv{lv}", F.last(F.when(F.col("__open") & (F.col("depth") == lv), F.col("names")),
                                              ignorenulls=True).over(w))
-        x = x.withColumn(f"__ln{lv}", F.last(F.when(F.col("__open") & (F.col("depth") == lv), F.col("line_no")),
-                                             ignorenulls=True).over(w))
     path = F.lit("")
     for lv in range(max_depth):
         path = F.when(F.col("depth") > lv, F.concat(path, F.when(F.lit(lv > 0), F.lit(".")).otherwise(F.lit("")),
                                                     F.col(f"__lv{lv}"))).otherwise(path)
     x = x.withColumn("struct_path", F.when(F.col("depth") <= max_depth, path))
-    # the tag after a closing brace belongs to the field that opened that struct
-    opened_at = F.lit(None).cast("long")
+    # the tag after a closing brace belongs to the field that opened that
+    # struct: for an opener at depth d it is the nearest following closing
+    # line at depth d + 1 (a growing frame in descending order, no self-join)
+    ahead = Window.partitionBy(*key, "owner_line").orderBy(F.col("line_no").desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    close_tag = F.lit(None).cast("string")
     for lv in range(max_depth):
-        opened_at = F.when(F.col("depth") - 1 == lv, F.col(f"__ln{lv}")).otherwise(opened_at)
-    close_tags = x.filter(F.col("__close") & (F.col("tag") != "")).select(
-        *key, "owner_line", opened_at.alias("line_no"), F.col("tag").alias("__ctag"))
-    x = x.filter(~F.col("__close")).join(close_tags, [*key, "owner_line", "line_no"], "left") \
+        nxt = F.last(F.when(F.col("__close") & (F.col("depth") == lv + 1), F.col("tag")), ignorenulls=True).over(ahead)
+        close_tag = F.when(F.col("__open") & (F.col("depth") == lv), nxt).otherwise(close_tag)
+    x = x.withColumn("__ctag", close_tag).filter(~F.col("__close")) \
         .withColumn("tag", F.coalesce(F.nullif(F.col("tag"), F.lit("")), F.col("__ctag"), F.lit("")))
     ex = x.select(*key, "owner_line", "owner", "line_no", "depth", "struct_path", "member_doc", "type_text", "tag",
                   F.col("__open").alias("anonymous"),
