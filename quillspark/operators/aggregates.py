@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 
 
 def ordered_join(order: Sequence[Column | str], value: Column | str, sep: str) -> Column:
-    """Aggregate: ``value`` of the group concatenated with ``sep`` in ``order``."""
+    """Aggregate: ``value`` of the group concatenated with ``sep`` in ``order``.
+
+    Rows whose value is null are not collected at all (``collect_list``
+    skips nulls), so a sparse value costs nothing for the rows without it.
+    """
     vals = [F.col(c) if isinstance(c, str) else c for c in order]
     v = F.col(value) if isinstance(value, str) else value
-    s = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(vals)], v.alias("v"))
+    s = F.when(v.isNotNull(), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(vals)], v.alias("v")))
     return F.array_join(F.transform(F.array_sort(F.collect_list(s)), lambda x: x["v"]), sep)
 
 

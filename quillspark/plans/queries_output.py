@@ -36,7 +36,7 @@ def page_links(spark, sf_dir):
                         F.explode(F.regexp_extract_all("content", F.lit(r'href="([^"]*)"'), 1)).alias("href"))
     edges = hrefs.select(F.col("dir").alias("package"),
                          F.when(F.col("href").startswith("/"), F.concat("host", "href")).otherwise(F.col("href"))
-                         .alias("import_path")).distinct()
+                         .alias("import_path"))
     allp = page_corpus(spark, sf_dir)
     info = allp.select(F.col("dir").alias("fq_package")).distinct() \
         .select("fq_package", F.lit(None).cast("string").alias("anchor"),

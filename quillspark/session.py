@@ -21,7 +21,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     partitions are split; the UI is off (no server is started).
     """
     master = master or os.environ.get("QS_MASTER", "local[8]")
+    # On a cluster: shuffle partitions ~ (shuffled bytes / 128-256 MB) as the
+    # initial number; AQE coalesces small ones and splits skewed ones at runtime.
     parts = shuffle_partitions or int(os.environ.get("QS_SHUFFLE_PARTITIONS", "8"))
+    max_part_bytes = os.environ.get("QS_FILES_MAX_PARTITION_BYTES", "128m")
     spark = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -31,6 +34,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", max_part_bytes)
         # joins on (file, line) reuse the per-file hash partitioning of the lines table
         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.session.timeZone", "UTC")
