@@ -194,13 +194,17 @@ def p3_layout_override(spark, sf_dir):
 
 # --- R3 / R4 / R5 -----------------------------------------------------------
 @query("r3_package_index", oracle=f"""
-SELECT CAST(row_number() OVER (ORDER BY dir) AS BIGINT) AS idx,
-  'include::' || CASE WHEN strpos(dir, '/') = 0 THEN '' ELSE regexp_extract(dir, '^(.*)/[^/]*$', 1) || '/' END || replace(dir, '/', '_') || '.adoc[leveloffset=+1]' AS text
-FROM (SELECT DISTINCT {PAGE_DIR_SQL} AS dir FROM pages)""")
+WITH d AS (SELECT DISTINCT {PAGE_DIR_SQL} AS dir FROM pages),
+o AS (SELECT dir, CASE WHEN strpos(dir, '/') = 0 THEN '' ELSE regexp_extract(dir, '^(.*)/[^/]*$', 1) || '/' END || replace(dir, '/', '_') || '.adoc' AS out_file FROM d)
+SELECT CAST(row_number() OVER (ORDER BY dir) AS BIGINT) AS idx, 'include::' || out_file || '[leveloffset=+1]' AS text,
+       '== ' || dir || chr(10) || chr(10) || 'link:' || out_file || '[' || dir || ']' AS heading_text
+FROM o""")
 def r3_package_index(spark, sf_dir):
     d = page_corpus(spark, sf_dir).select(F.col("dir").alias("fq_package")).distinct()
     info = global_index(d, ["fq_package"], "idx").withColumn("out_file", package_output_file("fq_package", "fq_package"))
-    return RD.package_index(info)
+    inc = RD.package_index(info)
+    head = RD.package_index(info, include=False).withColumnRenamed("text", "heading_text")
+    return inc.join(head, "idx")
 
 
 @query("r4_module_index", oracle=cte("fx11_manifests") + """

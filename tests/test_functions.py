@@ -129,3 +129,15 @@ def test_import_block_order(spark):
     assert got[1] == ('import (\n\t"bufio"\n\t"flag"\n\t"fmt"\n\t"os"\n\t"strings"\n\t"encoding/json"\n'
                       '\t"example.net/lib/events"\n\t"example.org/team/core/ctx"\n\t"example.org/team/core/errs"\n)')
     assert got[2] == 'import al "x/y"'
+
+
+def test_type_kinds(spark):
+    from quillspark.operators import decls as D
+    cases = {"": "unknown", "int": "ident", "pkg.T": "selector", "*T": "pointer", "[4]byte": "array",
+             "[]T": "slice", "map[string]int": "map", "chan int": "chan", "<-chan T": "chan",
+             "func(int) error": "func", "struct{ A int }": "struct", "interface{ M() }": "interface",
+             "...T": "ellipsis", "List[T]": "index", "Pair[K, V]": "index-list", "~int | string": "binary",
+             "(T)": "paren"}
+    assert _one(spark, D.type_kind, list(cases)) == list(cases.values())
+    elems = {"*T": "T", "[]pkg.T": "pkg.T", "[3]int": "int", "map[string][]int": "[]int", "chan<- T": "T", "...T": "T"}
+    assert _one(spark, D.type_element, list(elems)) == list(elems.values())
