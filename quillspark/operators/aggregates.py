@@ -89,22 +89,24 @@ def undocumented(fields: DataFrame, key: Sequence[str]) -> DataFrame:
 # --- A7 ---------------------------------------------------------------------
 def _plist(role: str) -> Column:
     item = F.when(F.col("name") == "", F.col("type_text")).otherwise(F.concat_ws(" ", "name", "type_text"))
-    return ordered_join(["pos"], F.when(F.col("role") == role, item), ", ")
+    return ordered_join(["pos"], F.when((F.col("role") == role) & F.col("pos").isNotNull(), item), ", ")
 
 
-def signatures(decls: DataFrame, params: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Signature text of func / method / functype declarations from their E12 rows."""
+def signatures(params: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Signature text of func / method / functype declarations from their E12 rows.
+
+    ``params`` carries ``kind`` and ``decl_name`` and has at least one row per
+    declaration (null ``pos`` for an empty list), so one aggregation per
+    declaration builds the text — no join back to the declarations.
+    """
     agg = params.groupBy(*key, "decl_line").agg(
+        F.first("kind").alias("kind"), F.first("decl_name").alias("name"),
         _plist("receiver").alias("recv"), _plist("param").alias("params"), _plist("result").alias("results"),
-        F.sum(F.when(F.col("role") == "result", 1).otherwise(0)).alias("n_res"),
-        F.max(F.when((F.col("role") == "result") & (F.col("name") != ""), 1).otherwise(0)).alias("named_res"))
-    d = decls.filter(F.col("kind").isin("func", "method", "functype")).select(*key, "decl_line", "kind", "name") \
-        .join(agg, [*key, "decl_line"], "left")
-    res = F.when(F.coalesce("n_res", F.lit(0)) == 0, F.lit("")) \
+        F.sum(F.when((F.col("role") == "result") & F.col("pos").isNotNull(), 1).otherwise(0)).alias("n_res"))
+    res = F.when(F.col("n_res") == 0, F.lit("")) \
         .when(F.col("n_res") == 1, F.concat(F.lit(" "), "results")) \
         .otherwise(F.concat(F.lit(" ("), "results", F.lit(")")))
-    recv = F.when(F.coalesce(F.col("recv"), F.lit("")) != "", F.concat(F.lit("("), "recv", F.lit(") "))).otherwise("")
-    sig = F.when(F.col("kind") == "functype",
-                 F.concat(F.lit("func("), F.coalesce("params", F.lit("")), F.lit(")"), res)) \
-        .otherwise(F.concat(F.lit("func "), recv, "name", F.lit("("), F.coalesce("params", F.lit("")), F.lit(")"), res))
-    return d.select(*key, "decl_line", "kind", "name", sig.alias("signature"))
+    recv = F.when(F.col("recv") != "", F.concat(F.lit("("), "recv", F.lit(") "))).otherwise("")
+    sig = F.when(F.col("kind") == "functype", F.concat(F.lit("func("), "params", F.lit(")"), res)) \
+        .otherwise(F.concat(F.lit("func "), recv, "name", F.lit("("), "params", F.lit(")"), res))
+    return agg.select(*key, "decl_line", "kind", "name", sig.alias("signature"))

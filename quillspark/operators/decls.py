@@ -307,14 +307,16 @@ def split_top(s: Column, passes: int = 6) -> Column:
 
 
 def param_rows(lists: DataFrame, key: Sequence[str], list_col: str = "list_text",
-               group: Sequence[str] = ("decl_line", "role")) -> DataFrame:
+               group: Sequence[str] = ("decl_line", "role"), carry: Sequence[str] = ()) -> DataFrame:
     """One row per parameter of ``list_col`` with name and type; ``a, b T`` gives two.
 
     ``lists`` has one row per (key, decl_line, role) list; all roles are
-    handled in one pass (windows partitioned by the file key + group).
+    handled in one pass (windows partitioned by the file key + group).  An
+    empty list keeps one row with a null ``pos`` so every declaration stays
+    present downstream (``carry`` columns ride along).
     """
     grp = [*key, *group]
-    x = lists.select(*grp, F.posexplode(split_top(F.col(list_col))).alias("pos", "item"))
+    x = lists.select(*grp, *carry, F.posexplode_outer(split_top(F.col(list_col))).alias("pos", "item"))
     named_list = F.max(F.col("item").rlike(rf"^{IDENT}\s+\S").cast("int")).over(Window.partitionBy(*grp))
     x = x.withColumn("__named", named_list == 1)
     name = F.when(F.col("__named"), F.regexp_extract("item", rf"^({IDENT})", 1))
@@ -323,19 +325,19 @@ def param_rows(lists: DataFrame, key: Sequence[str], list_col: str = "list_text"
     back = Window.partitionBy(*grp).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("name", name).withColumn("type_text", typ) \
         .withColumn("type_text", F.last("type_text", ignorenulls=True).over(back))
-    return x.select(*grp, F.col("pos").cast("long").alias("pos"), F.coalesce("name", F.lit("")).alias("name"),
-                    "type_text")
+    return x.select(*grp, *carry, F.col("pos").cast("long").alias("pos"),
+                    F.when(F.col("pos").isNotNull(), F.coalesce("name", F.lit(""))).alias("name"), "type_text")
 
 
 def signature_lists(sig: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(key, decl_line, role, list_text) for receiver / param / result / type_param lists."""
+    """(key, decl_line, kind, decl_name, role, list_text) for receiver / param / result / type_param lists."""
     roles = F.array(
         F.struct(F.lit("receiver").alias("role"), F.col("recv_text").alias("list_text")),
         F.struct(F.lit("param").alias("role"), F.col("params_text").alias("list_text")),
         F.struct(F.lit("result").alias("role"), F.col("results_text").alias("list_text")),
         F.struct(F.lit("type_param").alias("role"), F.col("type_params_text").alias("list_text")))
-    return sig.select(*key, "decl_line", F.explode(roles).alias("r")) \
-        .select(*key, "decl_line", "r.role", "r.list_text").filter(F.col("list_text").isNotNull())
+    return sig.select(*key, "decl_line", "kind", F.col("name").alias("decl_name"), F.explode(roles).alias("r")) \
+        .select(*key, "decl_line", "kind", "decl_name", "r.role", F.coalesce("r.list_text", F.lit("")).alias("list_text"))
 
 
 def signature_parts(decls: DataFrame) -> DataFrame:

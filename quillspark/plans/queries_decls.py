@@ -252,8 +252,8 @@ def fx1_params(spark, sf_dir):
     _, d = fx1_decls(spark, sf_dir)
     s = D.signature_parts(d.filter(F.col("kind").isin("func", "method", "functype")))
     s = s.withColumn("recv_text", F.when(F.col("kind") == "method", F.regexp_extract("decl", r"^func\s*\(([^)]*)\)", 1)))
-    out = D.param_rows(D.signature_lists(s, K), K)
-    return d, out.select(*K, "decl_line", "role", "pos", "name", "type_text")
+    out = D.param_rows(D.signature_lists(s, K), K, carry=["kind", "decl_name"])
+    return d, out
 
 
 PARAM_VALUES = """(VALUES (25, 'receiver', 0, 'p', '*Part#'), (25, 'param', 0, 'a', 'int'), (25, 'param', 1, 'b', 'int'),
@@ -265,7 +265,8 @@ PARAM_VALUES = """(VALUES (25, 'receiver', 0, 'p', '*Part#'), (25, 'param', 0, '
 SELECT file_id, CAST(v.dl AS BIGINT) AS decl_line, v.role, CAST(v.pos AS BIGINT) AS pos, v.name,
        replace(v.type_text, '#', CAST(file_id AS VARCHAR)) AS type_text FROM fx1_files, {PARAM_VALUES}""")
 def e12_params(spark, sf_dir):
-    return fx1_params(spark, sf_dir)[1]
+    p = fx1_params(spark, sf_dir)[1]
+    return p.filter(F.col("pos").isNotNull()).select(*K, "decl_line", "role", "pos", "name", "type_text")
 
 
 @query("a7_signatures", oracle=cte("fx1_files") + """
@@ -274,8 +275,7 @@ SELECT file_id, CAST(v.dl AS BIGINT) AS decl_line, v.kind, replace(v.name, '#',
 FROM fx1_files, (VALUES (25, 'method', 'Total', 'func (p *Part#) Total(a int, b int, f al.Item) (float64, error)'),
                        (29, 'func', 'New#', 'func New#() *Part#'), (47, 'functype', 'Handler#', 'func(al.Item) error')) v(dl, kind, name, sig)""")
 def a7_signatures(spark, sf_dir):
-    d, p = fx1_params(spark, sf_dir)
-    return A.signatures(d, p, K)
+    return A.signatures(fx1_params(spark, sf_dir)[1], K)
 
 
 @query("x10_type_params", oracle=cte("fx9_types") + """
