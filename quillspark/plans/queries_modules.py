@@ -60,7 +60,7 @@ def s3_manifest_scan(spark, sf_dir):
 
 
 @query("s3_workspace_members", oracle=cte("fx11_manifests") + """
-, u AS (SELECT module_order, path, list_filter(list_transform(string_split(regexp_extract(content, '(?s)use[ 	]*\\((.*?)\\)', 1), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l
+, u AS (SELECT module_order, path, list_filter(list_transform(string_split(regexp_extract(content, '(?s)use[ 	]*\\((.*?)\\)', 1), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l
         FROM fx11_manifests WHERE ends_with(path, '/go.work'))
 SELECT module_order, CAST(unnest(range(0, len(l))) AS BIGINT) AS pos, unnest(l) AS use_path,
        unnest(list_transform(l, lambda x: regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' || regexp_replace(x, '^\\./', ''))) AS member_base
@@ -139,12 +139,7 @@ def j4_module_membership(spark, sf_dir):
 
 # --- J5 / J6 / Q1 -----------------------------------------------------------
 def manifest_dirs(spark, sf_dir):
-    man = fx(spark, sf_dir, "fx2_manifests")
-    mods = module_table(spark, sf_dir).select("manifest_path", F.lit(True).alias("ok"), "name")
-    return man.select(M.dir_of("path").alias("base"), F.col("path").alias("manifest_path"),
-                      F.when(F.col("path").endswith("/go.work"), "workspace").otherwise("module").alias("kind")) \
-        .join(mods, "manifest_path", "left") \
-        .withColumn("ok", F.coalesce("ok", F.col("kind") == "workspace"))
+    return M.manifest_table(fx(spark, sf_dir, "fx2_manifests"))
 
 
 J5_SQL = cte("fx2_manifests", "fx2_paths") + MODS_SQL + """

@@ -92,3 +92,16 @@ def test_incremental_walk_handles_only_new_files(spark):
     assert n1 == first.count()
     assert state.count() == docs.count()
     assert state.select("doc_id").distinct().count() == docs.count()
+
+
+def test_workspace_load_status(spark):
+    from quillspark.operators.modules import manifest_table
+    rows = [(0, "/w/a/go.mod", "module example.com/a\n\ngo 1.21"),
+            (1, "/w/b/go.mod", "go 1.21"),
+            (2, "/w/go.work", "go 1.21\n\nuse (\n\t./a\n)"),
+            (3, "/v/go.work", "go 1.21\n\nuse ./missing"),
+            (4, "/u/go.work", "go 1.21\n\nuse (\n\t../w/a\n\t../w/b\n)")]
+    df = spark.createDataFrame(rows, "module_order long, path string, content string")
+    st = {r["manifest_path"]: r["ok"] for r in manifest_table(df).collect()}
+    assert st == {"/w/a/go.mod": True, "/w/b/go.mod": False, "/w/go.work": True, "/v/go.work": False,
+                  "/u/go.work": False}
