@@ -275,6 +275,38 @@ def const_values(specs: DataFrame, group_cols: Sequence[str], pos_col: str, expr
     return x.withColumn("value", value).drop("__k")
 
 
+def const_specs(ml: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Specs of ``const ( … )`` groups from their member lines: one row per spec line
+    with ``names`` (left side), ``type_text`` and ``expr`` (null when the spec repeats
+    the previous one); ``pos`` = spec position in the group."""
+    t = strip_ws("text")
+    body = F.trim(F.regexp_replace(t, r"//.*$", ""))
+    lhs = F.regexp_extract(body, rf"^({IDENT}(?:\s*,\s*{IDENT})*)", 1)
+    rest = F.trim(F.regexp_replace(body, rf"^{IDENT}(?:\s*,\s*{IDENT})*", ""))
+    typ = F.trim(F.regexp_extract(rest, r"^([^=]*)", 1))
+    expr = F.when(rest.contains("="), F.trim(F.regexp_extract(rest, r"=(.*)$", 1)))
+    w = Window.partitionBy(*key, "owner_line").orderBy("line_no")
+    specs = ml.filter((F.col("depth") == 0) & (lhs != "") & ~t.startswith(")")) \
+        .select(*key, "owner_line", "line_no", "member_doc", lhs.alias("names"),
+                F.when(typ != "", typ).alias("type_text"), expr.alias("expr"))
+    return specs.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
+
+
+def const_decls(specs: DataFrame, key: Sequence[str]) -> DataFrame:
+    """E10 rendered: ``name [type] = value`` per constant, the last expression and
+    type repeated for specs without their own; unevaluated forms keep the text."""
+    grp = [*key, "owner_line"]
+    w = Window.partitionBy(*grp).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    x = const_values(specs, grp, "pos", "expr") \
+        .withColumn("eff_type", F.last(F.when(F.col("expr").isNotNull(), F.coalesce("type_text", F.lit(""))),
+                                       ignorenulls=True).over(w))
+    x = x.select(*grp, "line_no", "pos", "eff_type", "eff_expr", "value",
+                 F.posexplode(F.split("names", r"\s*,\s*")).alias("name_pos", "name"))
+    val = F.coalesce(F.col("value").cast("string"), F.col("eff_expr"))
+    typ = F.when(F.coalesce("eff_type", F.lit("")) != "", F.concat(F.lit(" "), "eff_type")).otherwise(F.lit(""))
+    return x.withColumn("decl", F.concat("name", typ, F.lit(" = "), val))
+
+
 # --- E11 --------------------------------------------------------------------
 def interface_members(ml: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(methods, type-set terms) of interface bodies; terms de-duplicated first wins."""

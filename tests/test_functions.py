@@ -141,3 +141,22 @@ def test_type_kinds(spark):
     assert _one(spark, D.type_kind, list(cases)) == list(cases.values())
     elems = {"*T": "T", "[]pkg.T": "pkg.T", "[3]int": "int", "map[string][]int": "[]int", "chan<- T": "T", "...T": "T"}
     assert _one(spark, D.type_element, list(elems)) == list(elems.values())
+
+
+def _const_decls(spark, src):
+    from quillspark.operators import decls as D
+    from quillspark.operators.lines import lines
+    df = spark.createDataFrame([(1, src)], "file_id long, content string")
+    ml = D.member_lines(D.label_lines(lines(df, ["file_id"]), ["file_id"]), ["file_id"], ["const"])
+    out = D.const_decls(D.const_specs(ml, ["file_id"]), ["file_id"])
+    return [r["decl"] for r in out.orderBy("line_no", "name_pos").collect()]
+
+
+def test_const_iota_expansion(spark):
+    src = "package foo\n\ntype Kind int\n\nconst (\n\tfirst Kind = iota + 1\n\tsecond\n\tthird\n)"
+    assert _const_decls(spark, src) == ["first Kind = 1", "second Kind = 2", "third Kind = 3"]
+
+
+def test_const_iota_mixed(spark):
+    src = "package foo\n\nconst (\n\t_ = iota\n\tFlagA = 1 << iota\n\tFlagB\n\tFlagC\n\tOffset = iota + 100\n\tNext\n)"
+    assert _const_decls(spark, src) == ["_ = 0", "FlagA = 2", "FlagB = 4", "FlagC = 8", "Offset = 104", "Next = 105"]
