@@ -160,3 +160,17 @@ def test_const_iota_expansion(spark):
 def test_const_iota_mixed(spark):
     src = "package foo\n\nconst (\n\t_ = iota\n\tFlagA = 1 << iota\n\tFlagB\n\tFlagC\n\tOffset = iota + 100\n\tNext\n)"
     assert _const_decls(spark, src) == ["_ = 0", "FlagA = 2", "FlagB = 4", "FlagC = 8", "Offset = 104", "Next = 105"]
+
+
+def test_build_constraints(spark):
+    from quillspark.operators.lines import constraint_holds, plus_build_to_expr
+    tags = ["linux", "amd64", "integration"]
+    cases = {"linux": True, "!linux": False, "windows": False, "!windows": True, "linux && amd64": True,
+             "linux && !amd64": False, "windows || integration": True, "windows || darwin": False,
+             "(linux || windows) && !cgo": True, "!(linux && amd64)": False, "!!linux": True,
+             "linux && (windows || (amd64 && integration))": True}
+    got = _one(spark, lambda c: constraint_holds(c, tags), list(cases))
+    assert got == list(cases.values())
+    old = {"linux,amd64": True, "windows linux": True, "windows,linux darwin": False, "extra,linux": False}
+    got_old = _one(spark, lambda c: constraint_holds(plus_build_to_expr(c), tags), list(old))
+    assert got_old == list(old.values())
