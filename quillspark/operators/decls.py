@@ -150,11 +150,14 @@ def declarations(ln: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFram
     own = lab.filter(F.col("role").isNotNull())
     text_part = F.when(F.col("role") != "doc", F.col("text"))
     doc_part = F.when(F.col("role") == "doc", F.col("ctext"))
+    # only collect aggregates: planned as a hash-based object aggregate (no sort)
+    head_row = F.when(F.col("role") == "decl", F.struct(F.col("owner_kind").alias("k"), F.col("owner_name").alias("n"),
+                                                         F.col("end_line").alias("e"), F.col("text").alias("h")))
     g = own.groupBy(*key, F.col("owner_line").alias("decl_line")).agg(
-        F.first("owner_kind").alias("kind"), F.first("owner_name").alias("name"),
-        F.first("end_line").alias("end_line"),
-        F.max(F.when(F.col("role") == "decl", F.col("text"))).alias("__head"),
+        F.collect_list(head_row).alias("__hd"),
         F.array_sort(F.collect_list(F.struct("line_no", text_part.alias("t"), doc_part.alias("d")))).alias("__ls"))
+    g = g.select(*key, "decl_line", F.col("__hd")[0]["k"].alias("kind"), F.col("__hd")[0]["n"].alias("name"),
+                 F.col("__hd")[0]["e"].alias("end_line"), F.col("__hd")[0]["h"].alias("__head"), "__ls")
     full = F.array_join(F.transform(F.filter("__ls", lambda r: r["t"].isNotNull()), lambda r: r["t"]), "\n")
     doc = _clean_doc(F.array_join(F.transform(F.filter("__ls", lambda r: r["d"].isNotNull()), lambda r: r["d"]), "\n"))
     h = F.col("__head")
