@@ -42,12 +42,6 @@ def write_merged(rows: DataFrame, out_dir: str, order: Sequence[str], text_col:
         kept.unpersist()
 
 
-def read_documents(spark, out_dir: str, group_col: str = "out_file") -> DataFrame:
-    """Read back a per-group sink: ``group_col, text`` (line order within a file is kept by the reader)."""
-    return spark.read.text(out_dir).withColumnRenamed("value", "text").select(group_col, "text") \
-        if group_col else spark.read.text(out_dir).withColumnRenamed("value", "text")
-
-
 def scratch_dir(spark, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
     import uuid
@@ -55,8 +49,3 @@ def scratch_dir(spark, name: str) -> str:
     from ..session import ensure_checkpoint_dir
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def line_numbers(df: DataFrame) -> DataFrame:
-    """Lines of a text read, with their order inside each part file."""
-    return df.withColumn("part", F.input_file_name()).withColumn("mid", F.monotonically_increasing_id())
