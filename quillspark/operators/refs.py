@@ -81,15 +81,17 @@ def resolve_refs(tokens: DataFrame, key: Sequence[str], aliases: DataFrame, own_
     one = (F.col("alias") == "") & (F.col("receiver") == "")
     t = tokens.withColumn("__lk", F.when(F.col("pkg_path").isNull(), F.when(one, F.col("ident")).otherwise(F.col("alias")))) \
         .join(am, [*key, "__lk"], "left").drop("__lk")
-    pkg_only = one & F.col("__p").isNotNull()
-    two_same = (F.col("alias") != "") & (F.col("alias") == F.col("receiver")) & F.col("pkg_path").isNull()
-    alias_hit = ~one & F.col("__p").isNotNull()
-    alias = F.when(pkg_only, F.col("ident")).when(two_same & ~alias_hit, F.lit("")).otherwise(F.col("alias"))
-    receiver = F.when(two_same & alias_hit, F.lit("")).otherwise(F.col("receiver"))
-    ident = F.when(pkg_only, F.lit("")).otherwise(F.col("ident"))
-    t = t.withColumn("__alias_hit", alias_hit).withColumn("alias", alias).withColumn("receiver", receiver) \
-        .withColumn("ident", ident)
-    by_alias = F.when(F.col("alias") == "", F.lit(None)).when(F.col("__alias_hit"), F.col("__p")) \
+    # flags are materialised first: the columns they read are rewritten below
+    t = t.withColumn("__one", one) \
+        .withColumn("__pkg_only", one & F.col("__p").isNotNull()) \
+        .withColumn("__two_same", (F.col("alias") != "") & (F.col("alias") == F.col("receiver")) & F.col("pkg_path").isNull()) \
+        .withColumn("__alias_hit", ~one & F.col("__p").isNotNull())
+    pkg_only, two_same, alias_hit = F.col("__pkg_only"), F.col("__two_same"), F.col("__alias_hit")
+    t = t.withColumn("alias", F.when(pkg_only, F.col("ident")).when(two_same & ~alias_hit, F.lit(""))
+                     .otherwise(F.col("alias"))) \
+        .withColumn("receiver", F.when(two_same & alias_hit, F.lit("")).otherwise(F.col("receiver"))) \
+        .withColumn("ident", F.when(pkg_only, F.lit("")).otherwise(F.col("ident")))
+    by_alias = F.when(F.col("alias") == "", F.lit(None)).when(alias_hit, F.col("__p")) \
         .when(~F.col("alias").rlike(r"[./]"), F.col("alias"))
     path = F.coalesce(F.col("pkg_path"), F.when(pkg_only, F.col("__p")), by_alias,
                       F.when(F.col("ident") != "", F.col(own_package)))
@@ -119,7 +121,7 @@ def resolve_refs(tokens: DataFrame, key: Sequence[str], aliases: DataFrame, own_
     int_link = F.format_string("<<%s,%s>>", anchor, F.col("original"))
     link = F.when(F.col("builtin") | F.col("package_path").isNull(), F.lit(None)) \
         .when(F.col("external"), ext_link).otherwise(int_link)
-    return t.withColumn("link", link).drop("__p", "__alias_hit", "__int")
+    return t.withColumn("link", link).drop("__p", "__one", "__pkg_only", "__two_same", "__alias_hit", "__int")
 
 
 # --- J10 --------------------------------------------------------------------

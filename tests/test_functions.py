@@ -202,3 +202,27 @@ def test_heading_strip_table(spark):
     # disabled: the macro pass without heading stripping leaves the text as is
     df = spark.createDataFrame([("# Title\n## Section\nContent", "/a/b.go")], "d string, p string")
     assert df.select(X.process_doc("d", "p", headings=False).alias("o")).first()["o"] == "# Title\n## Section\nContent"
+
+
+def test_doc_reference_resolution(spark):
+    """Token shapes: own-package type, alias package, alias member, receiver.method,
+    fully qualified path (split at the first dot after the last slash), builtin."""
+    from quillspark.operators import refs as R
+    docs = spark.createDataFrame(
+        [(1, "See `Item`, `al`, `al.Box`, `Part.Price`, `github.com/x/lib/v2.Box.Get`, `fmt`, `string`.",
+          "example.com/m1/p")], "doc_id long, doc string, own string")
+    imports = spark.createDataFrame([(1, 0, "al", "example.com/m2/box"), (1, 1, "", "fmt")],
+                                    "doc_id long, pos long, alias string, import_path string")
+    mods = spark.createDataFrame([("example.com/m1",), ("example.com/m2",)], "name string")
+    toks = R.doc_tokens(docs, ["doc_id"], "doc", keep=["own"])
+    res = R.resolve_refs(toks, ["doc_id"], R.alias_map(imports, ["doc_id"]), "own", mods)
+    got = {r["original"]: r["link"] for r in res.collect()}
+    assert got["Item"] == "<<example-com-m1-p-Item,Item>>"
+    assert got["al"] == "<<example-com-m2-box-,al>>"
+    assert got["al.Box"] == "<<example-com-m2-box-Box,al.Box>>"
+    assert got["Part.Price"] == "<<example-com-m1-p-Part-Price,Part.Price>>"
+    assert got["github.com/x/lib/v2.Box.Get"] == "link:https://pkg.go.dev/github.com/x/lib/v2#Box.Get[github.com/x/lib/v2.Box.Get]"
+    assert got["fmt"] == "link:https://pkg.go.dev/fmt[fmt]"
+    assert got["string"] is None
+    out = R.rewrite_docs(docs, ["doc_id"], res).first()["doc_linked"]
+    assert out.startswith("See <<example-com-m1-p-Item,Item>>, ") and out.endswith(", `string`.")
