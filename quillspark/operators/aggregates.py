@@ -46,6 +46,14 @@ def package_aggregate(files: DataFrame, dir_col: str = "dir") -> DataFrame:
     return main.join(tags, dir_col, "left").withColumn("build_tags", F.coalesce("build_tags", F.lit("")))
 
 
+def package_doc_rows(files: DataFrame, dir_col: str = "dir") -> DataFrame:
+    """A2 doc in row form for packages too large for one string: one row per
+    non-empty file doc with its order key; write it with the S4 sink
+    (``write_per_group(rows, out, ["path"], group_col=dir_col, text_col="doc")``),
+    which splits a large package over several ordered part files."""
+    return files.filter(F.col("doc") != "").select(dir_col, "path", "doc")
+
+
 # --- A3 ---------------------------------------------------------------------
 def import_block(imports: DataFrame, key: Sequence[str]) -> DataFrame:
     """Import block text per file: distinct by path (first alias wins), paths

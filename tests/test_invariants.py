@@ -105,3 +105,15 @@ def test_workspace_load_status(spark):
     st = {r["manifest_path"]: r["ok"] for r in manifest_table(df).collect()}
     assert st == {"/w/a/go.mod": True, "/w/b/go.mod": False, "/w/go.work": True, "/v/go.work": False,
                   "/u/go.work": False}
+
+
+def test_package_doc_rows_through_sink(spark):
+    from quillspark.operators.aggregates import package_aggregate, package_doc_rows
+    from quillspark.sources.sinks import scratch_dir, write_per_group
+    rows = [("d1", f"d1/f{i:03d}.go", "p", f"doc {i}" if i % 3 else "", ["t"], 1) for i in range(60)]
+    files = spark.createDataFrame(rows, "dir string, path string, package string, doc string, tags array<string>, n_decls long")
+    out = scratch_dir(spark, "pkgdoc")
+    write_per_group(package_doc_rows(files), out, ["path"], group_col="dir", text_col="doc")
+    back = spark.read.text(out).withColumn("f", F.input_file_name()).withColumn("m", F.monotonically_increasing_id())
+    text = "\n".join(r["value"] for r in back.orderBy("f", "m").collect())
+    assert text == package_aggregate(files).first()["doc"]
