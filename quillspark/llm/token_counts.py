@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import small_arrow_batches, table, written
 from .tokens import counter, default_tokenizer
 
-#: The most frequent pre-tokens sent to every task: at most so many of at most so many bytes each (64 MiB in all).
-FREQUENT, FREQUENT_BYTES = 262_144, 256
+#: The most frequent pre-tokens sent to every task: at most so many of at most so many bytes each (32 MiB in all).
+FREQUENT, FREQUENT_BYTES = 131_072, 256
+#: Steps of frequency between a number and its double, to find how frequent those are.
+STEPS = 32
 HELD = 100_000
 
 
@@ -53,6 +55,18 @@ def vocabulary(texts: DataFrame, path: str) -> DataFrame:
     return written(found.mapInPandas(_pieces(path), "pre string, freq long, pieces long"), "vocabulary")
 
 
+def most_frequent(vocab: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """Those of ``vocab`` above a frequency that at most ``most`` of them have; found from counts by step of frequency."""
+    short = vocab.filter(F.octet_length("pre") <= FREQUENT_BYTES).withColumn("step", F.floor(F.log2("freq") * STEPS))
+    least, total = None, 0
+    for step, n in short.groupBy("step").agg(F.count(F.lit(1))).orderBy(F.desc("step")).collect():  # 64 * STEPS rows at most
+        total += n
+        if total > most:
+            break
+        least = step
+    return short.filter(F.lit(False) if least is None else F.col("step") >= least).select("pre", "pieces")
+
+
 def _documents(path: str, frequent):
     """A row ``d<n>`` for each document with the pieces of its frequent pre-tokens, and rows ``p<pre>`` with the frequencies of its others."""
     def run(frames):
@@ -84,8 +98,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512) ->
     ``docs(doc_id, text)`` -> ``doc_id, n_bytes, n_tokens, over_limit``, a row
     for each input row.  Pieces are counted once for each distinct pre-token of
     all texts; documents give pre-token frequencies, which meet those counts in
-    a join and are summed.  The ``FREQUENT`` most frequent pre-tokens (a table
-    of bounded bytes) meet the documents inside the tasks; all others by a
+    a join and are summed.  The most frequent pre-tokens (``FREQUENT`` at most, a
+    table of bounded bytes) meet the documents inside the tasks; all others by a
     shuffle join on the pre-token, so the vocabulary may grow without bound.
     Frequencies are summed within a document before the shuffle.
 
@@ -98,9 +112,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512) ->
     spark = docs.sparkSession
     small_arrow_batches(spark)
     vocab = vocabulary(docs.select("text"), path)
-    top = (vocab.filter(F.octet_length("pre") <= FREQUENT_BYTES).orderBy(F.desc("freq"), "pre").limit(FREQUENT)
-           .select("pre", "pieces"))
-    frequent = spark.sparkContext.broadcast({r.pre: r.pieces for r in top.collect()})
+    frequent = spark.sparkContext.broadcast({r.pre: r.pieces for r in most_frequent(vocab).collect()})
     parts = (docs.select(F.monotonically_increasing_id().alias("number"), F.col("doc_id").cast("long"), "text")
              .mapInArrow(_documents(path, frequent), "number long, doc_id long, key string, n_bytes long, amount long"))
     joined = parts.join(vocab.select(F.concat(F.lit("p"), "pre").alias("key"), "pieces"), "key", "left")
