@@ -10,6 +10,8 @@ from .common import small_arrow_batches, table
 
 #: Fit on at most so many labelled rows of each language, and so many in all; landmarks among them.
 PER_LANGUAGE, SAMPLE, LANDMARKS = 300, 4800, 96
+#: Parts of a language that are ranked before the language is.
+PARTS = 64
 #: Hash buckets of the character n-grams of each length (1, 2, 3).
 BUCKETS = (1 << 10, 1 << 13, 1 << 15)
 RIDGE, JITTER = 1e-2, 1e-6
@@ -76,9 +78,11 @@ def _has_letter(text) -> bool:
 
 def _labelled(docs: DataFrame) -> DataFrame:
     """The fit's sample: the first rows of each language in an order by hash, in turns."""
+    part = Window.partitionBy("lang", "part").orderBy("h", "doc_id")  # so that no task ranks more than a part's rows of each task
     turn = Window.partitionBy("lang").orderBy("h", "doc_id")
     return (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
             .select(F.monotonically_increasing_id().alias("number"), "doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+            .withColumn("part", F.pmod("h", F.lit(PARTS))).withColumn("turn", F.row_number().over(part)).filter(F.col("turn") <= PER_LANGUAGE)
             .withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= PER_LANGUAGE)
             .orderBy("turn", "h", "doc_id", "lang").limit(SAMPLE).select("doc_id", "lang", "turn", "h"))
 
