@@ -105,8 +105,10 @@ def labelled_findings(docs: DataFrame, path: Column, most: int = LABELLED) -> Da
 
     ``most`` documents, the first in an order by hash, give one finding of each kind.
     """
+    share = min(1.0, 20 * most / max(1, docs.count()))  # what is sorted is about 20 times the sample, however large the table
     rows = (docs.select("doc_id", path.alias("path"), F.coalesce(F.substring("text", 1, 200), F.lit("")).alias("t"))
-            .withColumn("k", F.pmod(F.xxhash64("doc_id", "t"), F.lit(1_000_003))).orderBy("k", "doc_id", "t").limit(most))
+            .withColumn("h", F.xxhash64("doc_id", "path")).filter(F.col("h") / float(1 << 64) + 0.5 <= share)
+            .orderBy("h", "doc_id", "t").limit(most).withColumn("k", F.pmod("h", F.lit(1_000_003))).drop("h"))
     kinds = F.array(*[F.struct(F.lit(float(y)).alias("label"), F.lit(a).alias("a"), F.lit(i).alias("i"), F.lit(z).alias("z")) for i, (y, a, _, z) in enumerate(_KINDS)])
     value = F.coalesce(*[F.when(F.col("x.i") == i, F.expr(v)) for i, (_, _, v, _) in enumerate(_KINDS)])
     made = (rows.select("*", F.explode(kinds).alias("x"))
