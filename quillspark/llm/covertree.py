@@ -110,7 +110,7 @@ def _links(threshold: float):
     """Links of two blocks (or within one): how many each vector has, and its set's smallest number."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         i, j = key[1], key[2]
         group = group.sort_values(["block", "at"], ignore_index=True)
         left, right = group[group.block == i], group[group.block == j]
@@ -151,7 +151,10 @@ def _links(threshold: float):
 
 def _pivots(good: DataFrame, total: int):
     """A bounded sample, one vector in ``BLOCK`` and ``PIVOTS`` at most, by label."""
-    rows = good.orderBy(F.xxhash64("number"), "number").limit(min(PIVOTS, total // BLOCK)).select("label", "x").collect()
+    most = min(PIVOTS, total // BLOCK)
+    share = min(1.0, 20 * most / max(1, total))  # what is sorted is about 20 times the sample, however large the table
+    some = good.withColumn("h", F.xxhash64("number")).filter(F.col("h") / float(1 << 64) + 0.5 <= share)
+    rows = some.orderBy("h", "number").limit(most).select("label", "x").collect()
     by: dict = {}
     for n, r in enumerate(rows):
         by.setdefault((r.label.label, r.label.dim), []).append((n, r.x))
