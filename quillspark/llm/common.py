@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
 
-ARROW_BATCH_BYTES = str(16 << 20)
+ARROW_BATCH_BYTES, ARROW_BATCH_ROWS = str(2 << 20), "1000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def small_arrow_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, so that very long texts don't meet in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_BATCH_ROWS)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
