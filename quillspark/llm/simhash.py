@@ -158,7 +158,8 @@ def simhash_dedup(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataFra
     root = connected_components(links(first.select("fp"), max_bits))
     kept = (first.join(root, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp"))
             .agg(F.min("first").alias("first")).select(F.col("first.n").alias(number)))
-    return rows.join(written(kept, "kept"), number, "left_semi").select(*docs.columns)
+    # the same plan at every size: neither side is bounded
+    return rows.join(written(kept, "kept").hint("merge"), number, "left_semi").select(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir):
