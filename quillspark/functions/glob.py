@@ -15,20 +15,20 @@ Rules (path context, ``/`` is the only separator):
 * ``\\`` escapes the next character; a trailing ``\\`` is an error
 * the whole string must match (``\\A … \\z``)
 
-Two dialects are produced: ``java`` for Spark and ``re2`` for DuckDB oracles;
-they differ only in how POSIX classes are spelled and in escaping ``[``/``&``
-inside a class (Java treats them as class operators).
+A pattern is parsed to a small tree of nodes, which is rendered as a regex.
+Two dialects are rendered: ``java`` for Spark and ``re2`` for DuckDB oracles;
+they differ in how POSIX classes are spelled.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 
 class GlobError(ValueError):
     """Raised for malformed glob patterns."""
 
 
-_SPECIAL = set(".+()|^${}[]?*\\")
-
 # POSIX class names and their Java spellings.
 _POSIX_JAVA = {
     "alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}",
@@ -39,197 +39,159 @@ _POSIX_JAVA = {
 }
 
 
-def _lit(ch: str) -> str:
-    return "\\" + ch if ch in _SPECIAL else ch
-
-
-def _class_end(pat: str, j: int) -> int:
-    """Index of the ``]`` closing a class whose content starts at ``j``."""
-    n = len(pat)
-    k = j
-    while k < n:
-        c = pat[k]
-        if c == "\\" and k + 1 < n:
-            k += 2
-            continue
-        if c == "[" and k + 1 < n and pat[k + 1] == ":":
-            close = pat.find(":]", k)
-            if close > k:
-                k = close + 2
-                continue
-        if c == "]":
-            return k
-        k += 1
-    raise GlobError(f"missing ']' in character class {pat!r}")
-
-
-def _char_class(pat: str, start: int, dialect: str) -> tuple[str, int]:
-    n = len(pat)
-    j = start + 1
-    if j >= n:
-        raise GlobError(f"unterminated character class in {pat!r}")
-    negated = pat[j] in "!^"
-    if negated:
-        j += 1
-    if j >= n:
-        raise GlobError(f"unterminated character class in {pat!r}")
-    if pat[j] == "]":
-        raise GlobError(f"empty character class in {pat!r}")
-    k = _class_end(pat, j)
-    body = pat[j:k]
-
-    items: list[str] = []
-    plain = False      # any non-POSIX member emitted
-    posix = False
-    i = 0
-    while i < len(body):
-        c = body[i]
-        if c == "/":
-            i += 1
-            continue
-        if c == "\\" and i + 1 < len(body):
-            nxt = body[i + 1]
-            i += 2
-            if nxt == "/":
-                continue
-            items.append(_class_lit(nxt, dialect))
-            plain = True
-            continue
-        if c == "[" and i + 1 < len(body) and body[i + 1] == ":":
-            close = body.find(":]", i)
-            if close <= i:
-                raise GlobError(f"unclosed POSIX character class in {pat!r}")
-            name = body[i + 2:close]
-            if dialect == "java":
-                if name not in _POSIX_JAVA:
-                    raise GlobError(f"unknown POSIX character class {name!r} in {pat!r}")
-                items.append(_POSIX_JAVA[name])
-            else:
-                items.append(f"[:{name}:]")
-            posix = True
-            i = close + 2
-            continue
-        if c == "-":
-            rest = body[i + 1:].replace("\\/", "").replace("/", "")
-            items.append("-" if (i > 0 and rest) else r"\-")
-            plain = True
-            i += 1
-            continue
-        items.append(_class_lit(c, dialect))
-        plain = True
-        i += 1
-
-    if not plain and not negated and not posix:
-        return r"[^\x00-\xFF]", k + 1          # only separators: never matches
-    out = "[" + ("^" if negated else "") + "".join(items)
-    if negated and plain:
-        out += "/"
-    return out + "]", k + 1
-
-
-def _class_lit(c: str, dialect: str) -> str:
-    if c in "]\\^-":
-        return "\\" + c
-    if dialect == "java" and c in "[&":
-        return "\\" + c
-    return c
-
-
-def _brace_end(pat: str, start: int) -> int:
-    depth, in_class, j, n = 1, False, start + 1, len(pat)
-    while j < n:
-        c = pat[j]
-        if c == "\\" and j + 1 < n:
-            j += 2
-            continue
-        if c == "[":
-            in_class = True
-        elif c == "]":
-            in_class = False
-        elif c == "{" and not in_class:
-            depth += 1
-        elif c == "}" and not in_class:
-            depth -= 1
-            if depth == 0:
-                return j
-        j += 1
-    raise GlobError(f"unmatched '{{' in {pat!r}")
-
-
-def _split_options(inner: str) -> list[str]:
-    parts, depth, in_class, begin, i = [], 0, False, 0, 0
-    while i < len(inner):
-        c = inner[i]
-        if c == "\\" and i + 1 < len(inner):
-            i += 2
-            continue
-        if c == "[":
-            in_class = True
-        elif c == "]":
-            in_class = False
-        elif c == "{" and not in_class:
-            depth += 1
-        elif c == "}" and not in_class:
-            depth -= 1
-        elif c == "," and not in_class and depth == 0:
-            parts.append(inner[begin:i])
-            begin = i + 1
-        i += 1
-    parts.append(inner[begin:])
-    return parts
-
-
-def _body(pat: str, dialect: str) -> str:
-    out: list[str] = []
-    i, n = 0, len(pat)
-    while i < n:
-        c = pat[i]
+@dataclass(frozen=True)
+class Text:
+    """One character that stands for itself."""
+    char: str
+
+
+@dataclass(frozen=True)
+class Wild:
+    """``?``, ``*`` or ``**``."""
+    mark: str
+
+
+@dataclass(frozen=True)
+class Members:
+    """Character class; ``parts`` are ``("one", c)``, ``("range", a, b)`` and ``("posix", name)``."""
+    parts: tuple
+    negated: bool
+
+
+@dataclass
+class Choice:
+    """``{…}``: each option is a sequence of nodes."""
+    options: list = field(default_factory=lambda: [[]])
+
+
+class _Reader:
+    """Pattern characters in order, one ahead."""
+
+    def __init__(self, pattern: str):
+        self.pattern, self.rest = pattern, list(reversed(pattern))
+
+    def peek(self) -> str | None:
+        return self.rest[-1] if self.rest else None
+
+    def take(self, problem: str = "") -> str:
+        if not self.rest:
+            self.fail(problem)
+        return self.rest.pop()
+
+    def accept(self, chars: str) -> bool:
+        if self.rest and self.rest[-1] in chars:
+            self.rest.pop()
+            return True
+        return False
+
+    def fail(self, problem: str):
+        raise GlobError(f"glob {self.pattern!r}: {problem}")
+
+
+def parse(pattern: str) -> list:
+    """Pattern → node sequence.  An open ``{`` is a :class:`Choice` on a stack whose last option takes the nodes."""
+    src, root, stack = _Reader(pattern), [], []
+    while (c := src.peek()) is not None:
+        src.take()
+        here = stack[-1].options[-1] if stack else root
         if c == "\\":
-            if i + 1 >= n:
-                raise GlobError(f"trailing backslash escape in {pat!r}")
-            out.append(_lit(pat[i + 1]))
-            i += 2
+            here.append(Text(src.take("nothing follows the last backslash")))
+        elif c in "?*":
+            here.append(Wild("**" if c == "*" and src.accept("*") else c))
         elif c == "[":
-            frag, i = _char_class(pat, i, dialect)
-            out.append(frag)
+            here.append(_members(src))
         elif c == "{":
-            end = _brace_end(pat, i)
-            opts = _split_options(pat[i + 1:end])
-            out.append("(?:" + "|".join(_body(o, dialect) for o in opts) + ")")
-            i = end + 1
-        elif c == "*" and i + 1 < n and pat[i + 1] == "*":
-            sep_after = i + 2 < n and pat[i + 2] == "/"
-            so_far = "".join(out)
-            sep_before = so_far.endswith("/")
-            if sep_after and sep_before:
-                out = [so_far[:-1], "(?:/(?:(?s:.*)/)?)"]
-                i += 3
-            elif sep_after:
-                out.append("(?:(?s:.*)/)?")
-                i += 3
-            elif sep_before:
-                out.append("(?:(?s:.*))?")
-                i += 2
-            else:
-                out.append("(?s:.*)")
-                i += 2
-        elif c == "*":
-            out.append("[^/]*")
-            i += 1
-        elif c == "?":
-            out.append("[^/]")
-            i += 1
+            stack.append(Choice())
+            here.append(stack[-1])
+        elif c == "}" and stack:
+            stack.pop()
+        elif c == "," and stack:
+            stack[-1].options.append([])
+        else:
+            here.append(Text(c))
+    if stack:
+        src.fail("a brace is not closed")
+    return root
+
+
+def _members(src: _Reader) -> Members:
+    open_class = "a bracket is not closed"
+    negated, parts = src.accept("!^"), []
+    if src.peek() == "]":
+        src.fail("a bracket holds nothing")
+    while (c := src.take(open_class)) != "]":
+        if c == "[" and src.accept(":"):
+            name = ""
+            while not name.endswith(":]"):
+                name += src.take(open_class)
+            parts.append(("posix", name[:-2]))
+        elif c == "-" and parts and parts[-1][0] == "one" and src.peek() not in ("]", None):
+            end = src.take()
+            parts.append(("range", parts.pop()[1], src.take(open_class) if end == "\\" else end))
         else:
-            out.append(_lit(c))
-            i += 1
-    return "".join(out)
+            parts.append(("one", src.take(open_class) if c == "\\" else c))
+    if unknown := [p[1] for p in parts if p[0] == "posix" and p[1] not in _POSIX_JAVA]:
+        src.fail(f"{unknown[0]!r} is no POSIX class")
+    return Members(tuple(parts), negated)
+
+
+def _render_text(char: str) -> str:
+    return char if char.isalnum() or char in "/_-, ~@#%&=:;<>!'\"`" or ord(char) > 127 else "\\" + char
+
+
+def _render_member(char: str) -> str:
+    return "\\" + char if char in r"\]^-[&" else char
+
+
+def _render_members(node: Members, dialect: str) -> str:
+    """A class never takes the separator: not as a member, and not through a negation."""
+    body = ""
+    for kind, *what in node.parts:
+        if kind == "posix":
+            body += _POSIX_JAVA[what[0]] if dialect == "java" else f"[:{what[0]}:]"
+        elif kind == "range":
+            low, high = what
+            spans = [(low, high)] if not low <= "/" <= high else [(low, "."), ("0", high)]
+            body += "".join(f"{_render_member(a)}-{_render_member(b)}" for a, b in spans if a <= b)
+        elif what[0] != "/":
+            body += _render_member(what[0])
+    if node.negated:
+        return f"[^/{body}]"
+    return f"[{body}]" if body else r"[^\x00-" + "\U0010ffff]"
+
+
+def _is_separator(node) -> bool:
+    return isinstance(node, Text) and node.char == "/"
+
+
+def _render(nodes: list, dialect: str) -> str:
+    """Regex of a node sequence.  ``**`` takes the separators beside it along: each may stand for no directory at all."""
+    out, at = "", 0
+    while at < len(nodes):
+        node = nodes[at]
+        deep = [isinstance(n, Wild) and n.mark == "**" for n in nodes[at:at + 2]]
+        if _is_separator(node) and deep[1:] == [True] and at + 2 < len(nodes) and _is_separator(nodes[at + 2]):
+            out, at = out + "/(?:(?s:.*)/)?", at + 3
+        elif deep[0] and at + 1 < len(nodes) and _is_separator(nodes[at + 1]):
+            out, at = out + "(?:(?s:.*)/)?", at + 2
+        else:
+            if isinstance(node, Text):
+                out += _render_text(node.char)
+            elif isinstance(node, Members):
+                out += _render_members(node, dialect)
+            elif isinstance(node, Choice):
+                out += "(?:" + "|".join(_render(option, dialect) for option in node.options) + ")"
+            else:
+                out += {"?": "[^/]", "*": "[^/]*", "**": "(?s:.*)"}[node.mark]
+            at += 1
+    return out
 
 
 def glob_to_regex(pattern: str, dialect: str = "java") -> str:
     """Anchored regex for ``pattern``; raises :class:`GlobError` when malformed."""
     if dialect not in ("java", "re2"):
         raise ValueError(dialect)
-    return r"\A" + _body(pattern, dialect) + r"\z"
+    return rf"\A{_render(parse(pattern), dialect)}\z"
 
 
 def pattern_to_regex(pattern: str, dialect: str = "java") -> str | None:

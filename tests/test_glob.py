@@ -34,11 +34,22 @@ CASES = [
     ("{,bak}file", "bakfile", True),
     ("{a,{b,c}}z", "cz", True),
     ("x", "xx", False),
+    ("[+--]x", "/x", False),
+    ("[.-0]x", "/x", False),
+    ("[.-0]x", "0x", True),
+    ("[a/]x", "/x", False),
+    ("[!a]x", "/x", False),
+    ("[/]x", "/x", False),
+    ("[a-]x", "-x", True),
+    ("a}b,c", "a}b,c", True),
+    ("**", "a/b", True),
+    ("a**b", "a/x/b", True),
+    ("**.go", "a/b.go", True),
 ]
 
-ERRORS = [("test[abc", "character class"), ("test.go[", "character class"), ("test[].go", "empty character class"),
-          ("test[!].go", "empty character class"), ("test.{go,py", "unmatched '{'"), ("{a,{b,c}", "unmatched '{'"),
-          ("test\\", "trailing backslash"), ("test[[:digit:].go", "character class")]
+ERRORS = [("test[abc", "bracket is not closed"), ("test.go[", "bracket is not closed"), ("test[].go", "bracket holds nothing"),
+          ("test[!].go", "bracket holds nothing"), ("test.{go,py", "brace is not closed"), ("{a,{b,c}", "brace is not closed"),
+          ("test\\", "last backslash"), ("test[[:digit:].go", "bracket is not closed"), ("[[:nope:]]", "no POSIX class")]
 
 
 @pytest.mark.parametrize("glob,path,expected", CASES)
