@@ -13,10 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_version, module_short_name
-from ..session import broadcast_if_small
 from .paths import dir_of
 
-MAX_PREFIX_LENGTHS = 4096
 
 
 # --- S3 ---------------------------------------------------------------------
@@ -42,8 +40,7 @@ def parse_manifests(df: DataFrame, path_col: str = "path", content_col: str = "c
         module_short_name("name").alias("short_name"))
     bad = m.filter((F.col("kind") == "module") & (F.col("name") == "")).select(
         F.lit("manifest").alias("stage"), F.col("manifest_path").alias("path"),
-        F.concat(F.lit("must specify a module that at least have a 'module' statement, path = "),
-                 F.col("manifest_path")).alias("message"))
+        F.concat(F.lit("no module line in "), F.col("manifest_path")).alias("message"))
     block = F.regexp_extract(F.col("_content"), r"(?s)(?:^|\n)[ \t]*use[ \t]*\((.*?)\)", 1)
     single = F.regexp_extract_all(F.col("_content"), F.lit(r"(?m)^[ \t]*use[ \t]+([^\s(][^\s]*)"), 1)
     members = F.concat(
@@ -84,12 +81,9 @@ def manifest_table(manifests: DataFrame, path_col: str = "path", content_col: st
 
 # --- prefix buckets -----------------------------------------------------------
 def _prefix_lengths(small: DataFrame, key: str) -> list[int]:
-    """Distinct lengths of ``key`` on the small side (bounded set, size checked)."""
-    rows = small.select(F.length(key).alias("n")).distinct().limit(MAX_PREFIX_LENGTHS + 1).collect()
-    lengths = sorted(r["n"] for r in rows if r["n"] is not None)
-    if len(lengths) > MAX_PREFIX_LENGTHS:
-        raise ValueError("too many distinct prefix lengths")
-    return lengths
+    """Distinct lengths of ``key`` on the small side: as many as its longest value has characters at most."""
+    rows = small.select(F.length(key).alias("n")).distinct().collect()
+    return sorted(r["n"] for r in rows if r["n"] is not None)
 
 
 def prefix_candidates(big: DataFrame, path_col: str, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -107,9 +101,9 @@ def prefix_candidates(big: DataFrame, path_col: str, small: DataFrame, key: str,
         .withColumn("__qs_pre", F.col(path_col).substr(F.lit(1), F.col("__qs_len")))
     # the small side keeps its own key column: null after a left join when nothing matched
     s = small.withColumn("__qs_len", F.length(key)).withColumn("__qs_pre", F.col(key))
-    # one module base may own a third of all paths: a broadcast small side keeps
-    # that hot key off a single shuffle partition (size checked first)
-    return exp.join(broadcast_if_small(s), ["__qs_len", "__qs_pre"], how).drop("__qs_len", "__qs_pre")
+    # one module base may own a third of all paths: Spark broadcasts the small side
+    # by its bytes, and AQE splits the hot key of a shuffle join
+    return exp.join(s, ["__qs_len", "__qs_pre"], how).drop("__qs_len", "__qs_pre")
 
 
 def _carry(df: DataFrame, row_key: list[str], drop: list[str]) -> list[Column]:
@@ -148,13 +142,6 @@ def longest_prefix_module(paths: DataFrame, path_col: str, modules: DataFrame,
 
 
 # --- J4 ---------------------------------------------------------------------
-def slash_prefixes(col: Column | str) -> Column:
-    """Every prefix of a path that ends at a ``/`` boundary, plus the whole path (array form)."""
-    c = F.col(col) if isinstance(col, str) else col
-    parts = F.split(c, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-
-
 def explode_slash_prefixes(df: DataFrame, col: str, out: str = "__qs_p") -> DataFrame:
     """One row per ``/``-boundary prefix of ``col`` (generator + codegen'd
     ``substring_index``; cheaper than building the prefix array)."""
@@ -172,7 +159,7 @@ def module_membership(paths: DataFrame, path_col: str, modules: DataFrame, row_k
     raw = prefix_candidates(paths.select(*row_key, path_col), path_col, names, "__qs_name", how="left") \
         .select(*row_key, F.col("__qs_name").isNotNull().alias("__raw"), F.lit(False).alias("__bnd"))
     bnd = explode_slash_prefixes(paths.select(*row_key, path_col), path_col) \
-        .join(broadcast_if_small(names.withColumnRenamed("__qs_name", "__qs_p").withColumn("__hit", F.lit(True))),
+        .join(names.withColumnRenamed("__qs_name", "__qs_p").withColumn("__hit", F.lit(True)),
               "__qs_p", "left") \
         .select(*row_key, F.lit(False).alias("__raw"), F.coalesce("__hit", F.lit(False)).alias("__bnd"))
     flags = raw.unionByName(bnd).groupBy(*row_key).agg(F.bool_or("__raw").alias("raw_member"),
@@ -204,7 +191,7 @@ def nearest_manifest(paths: DataFrame, dir_col: str, manifests: DataFrame, row_k
     with one aggregation per row.
     """
     anc = explode_ancestors(paths, dir_col)
-    m = broadcast_if_small(manifests.select(F.col("base").alias("__qs_b"), F.col("kind").alias("__qs_kind"),
+    m = (manifests.select(F.col("base").alias("__qs_b"), F.col("kind").alias("__qs_kind"),
                                             F.col("manifest_path").alias("__qs_mp"), F.col("ok").alias("__qs_ok"),
                                             F.col("name").alias("__qs_name")))
     hits = anc.join(m, anc["base"] == m["__qs_b"], "left")
@@ -218,8 +205,7 @@ def nearest_manifest(paths: DataFrame, dir_col: str, manifests: DataFrame, row_k
                       F.col("b.p").alias("manifest_path"), F.col("b.k").alias("manifest_kind"),
                       F.col("b.n").alias("manifest_name"), F.col("b.ok").alias("ok"))
     status = F.when(F.col("manifest_path").isNull(), F.lit("no manifest found")) \
-        .when(F.col("ok"), F.lit("ok")).otherwise(F.concat(F.lit("found "), F.substring_index("manifest_path", "/", -1),
-                                                            F.lit(" but failed to load")))
+        .when(F.col("ok"), F.lit("ok")).otherwise(F.concat(F.lit("unusable "), F.substring_index("manifest_path", "/", -1)))
     return out.withColumn("status", status).drop("ok")
 
 

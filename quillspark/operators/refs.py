@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import anchor_id
-from ..session import broadcast_if_small
 from .modules import explode_slash_prefixes
 
 # Builtin type names (never linked).
@@ -62,7 +61,7 @@ def doc_tokens(docs: DataFrame, key: Sequence[str], doc_col: str = "doc", keep:
         "*",
         F.when(has_slash, fq_path).alias("pkg_path"),
         F.when(has_slash, F.substring_index(fq_path, "/", -1))
-        .when(n == 1, F.lit("")).otherwise(parts[0]).alias("alias"),
+        .when((n == 1) | (n > 3), F.lit("")).otherwise(parts[0]).alias("alias"),
         F.when(has_slash, F.when(rest_has_dot, F.substring_index(rest, ".", 1)).otherwise(F.lit("")))
         .when(n == 2, parts[0]).when(n == 3, parts[1]).otherwise(F.lit("")).alias("receiver"),
         F.when(has_slash, F.when(rest_has_dot, F.regexp_extract(rest, r"^[^.]*\.([^.]*)", 1)).otherwise(rest))
@@ -99,7 +98,7 @@ def resolve_refs(tokens: DataFrame, key: Sequence[str], aliases: DataFrame, own_
     # internal flag: '/'-prefixes of the package path against the (checked,
     # broadcast) module names, reduced per token in one aggregation that also
     # carries the token's columns (no second evaluation of the token plan)
-    names = broadcast_if_small(module_names.select(F.col("name").alias("__pre")).distinct()
+    names = (module_names.select(F.col("name").alias("__pre")).distinct()
                                .withColumn("__hit", F.lit(True)))
     cols = [c for c in t.columns if c not in (*key, "tok_pos")]
     exp = explode_slash_prefixes(t.withColumn("__pp", F.coalesce("package_path", F.lit(""))), "__pp", "__pre")
@@ -147,7 +146,7 @@ def classify_package_refs(pkg_imports: DataFrame, package_info: DataFrame, modul
     info = package_info.select(F.col("fq_package").alias("import_path"), F.col("anchor").alias("known_anchor"),
                                F.col("out_file").alias("known_file"))
     d = d.join(info, "import_path", "left")
-    names = broadcast_if_small(module_names.select(F.col("name").alias("__pre")).distinct())
+    names = module_names.select(F.col("name").alias("__pre")).distinct()
     mem = explode_slash_prefixes(d.select("import_path").distinct(), "import_path", "__pre") \
         .join(names, "__pre", "left_semi").select("import_path").distinct().withColumn("__int", F.lit(True))
     d = d.join(mem, "import_path", "left")
@@ -173,7 +172,7 @@ def link_type_refs(refs: DataFrame, key: Sequence[str], aliases: DataFrame, own_
     """
     am = aliases.select(*key, F.col("alias_key").alias("qualifier"), "import_path")
     x = refs.join(am, [*key, "qualifier"], "left")
-    names = broadcast_if_small(module_names.select(F.col("name").alias("__pre")).distinct())
+    names = module_names.select(F.col("name").alias("__pre")).distinct()
     mem = explode_slash_prefixes(x.select("import_path").filter(F.col("import_path").isNotNull()).distinct(),
                                  "import_path", "__pre") \
         .join(names, "__pre", "left_semi").select("import_path").distinct().withColumn("__int", F.lit(True))

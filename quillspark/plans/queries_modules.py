@@ -70,7 +70,7 @@ def s3_workspace_members(spark, sf_dir):
 
 
 @query("s3_manifest_rejects", oracle=cte("fx11_manifests") + """
-SELECT 'manifest' AS stage, path, 'must specify a module that at least have a ''module'' statement, path = ' || path AS message
+SELECT 'manifest' AS stage, path, 'no module line in ' || path AS message
 FROM fx11_manifests WHERE NOT ends_with(path, '/go.work') AND NOT regexp_matches(content, '(?m)^[ 	]*module[ 	]')""")
 def s3_manifest_rejects(spark, sf_dir):
     return manifests11(spark, sf_dir)[2]
@@ -153,7 +153,7 @@ J5_SQL = cte("fx2_manifests", "fx2_paths") + MODS_SQL + """
            FROM hits GROUP BY l_orderkey, l_linenumber, import_path, fpath)
 SELECT p.l_orderkey, p.l_linenumber, b.manifest_path, man.kind AS manifest_kind, man.name AS manifest_name,
   CASE WHEN b.manifest_path IS NULL THEN 'no manifest found' WHEN man.ok THEN 'ok'
-       ELSE 'found ' || string_split(b.manifest_path, '/')[-1] || ' but failed to load' END AS status
+       ELSE 'unusable ' || string_split(b.manifest_path, '/')[-1] END AS status
 FROM fx2_paths p LEFT JOIN best b ON b.l_orderkey = p.l_orderkey AND b.l_linenumber = p.l_linenumber AND b.import_path = p.import_path AND b.fpath = p.path LEFT JOIN man ON man.manifest_path = b.manifest_path"""
 
 
@@ -178,10 +178,10 @@ def j6_resolve_package(spark, sf_dir):
 
 
 @query("q1_quarantine", oracle=cte("fx2_manifests", "fx2_paths") + """
-SELECT 'manifest' AS stage, path, 'must specify a module that at least have a ''module'' statement, path = ' || path AS message
+SELECT 'manifest' AS stage, path, 'no module line in ' || path AS message
 FROM fx2_manifests WHERE NOT ends_with(path, '/go.work') AND NOT regexp_matches(content, '(?m)^[ \t]*module[ \t]')
 UNION ALL
-SELECT 'manifest lookup' AS stage, path, 'found go.mod but failed to load' AS message FROM fx2_paths
+SELECT 'manifest lookup' AS stage, path, 'unusable go.mod' AS message FROM fx2_paths
 WHERE regexp_extract(path, '^/repo/(m[0-9]+)/', 1) IN (SELECT regexp_extract(path, '^/repo/(m[0-9]+)/', 1) FROM fx2_manifests
       WHERE NOT ends_with(path, '/go.work') AND NOT regexp_matches(content, '(?m)^[ \t]*module[ \t]'))""")
 def q1_quarantine(spark, sf_dir):

@@ -20,17 +20,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     AQE is on so that shuffle partitions coalesce at runtime and skewed join
     partitions are split; the UI is off (no server is started).
     """
-    master = master or os.environ.get("QS_MASTER", "local[8]")
-    # On a cluster: shuffle partitions ~ (shuffled bytes / 128-256 MB) as the
-    # initial number; AQE coalesces small ones and splits skewed ones at runtime.
-    parts = shuffle_partitions or int(os.environ.get("QS_SHUFFLE_PARTITIONS", "8"))
+    # Master and shuffle partitions are the caller's or spark-submit's; on a
+    # cluster the latter are (shuffled bytes / 128-256 MB) as the initial number,
+    # AQE coalesces small ones and splits skewed ones at runtime.
+    master = master or os.environ.get("QS_MASTER")
+    parts = shuffle_partitions or os.environ.get("QS_SHUFFLE_PARTITIONS")
     max_part_bytes = os.environ.get("QS_FILES_MAX_PARTITION_BYTES", "128m")
+    builder = SparkSession.builder.master(master) if master else SparkSession.builder
+    if parts:
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     spark = (
-        SparkSession.builder.master(master)
-        .appName(app)
+        builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -51,7 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the cluster.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) a scratch folder is created.
+    is.  Only when it is unset and the master is local (tests) a scratch folder
+    is created; elsewhere executors couldn't see one, and it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,47 +62,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="qs-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
 
 
-def ensure_parallel(df: DataFrame, *key: str) -> DataFrame:
-    """Spread an under-partitioned input over the cluster's parallelism.
-
-    A small table stored as one row group scans as one partition, which would
-    run all per-row work before the first shuffle in one task.  Only when the
-    scan has fewer partitions than the default parallelism the rows are
-    redistributed (by ``key`` when given); a large input is left as is.
-    """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    return df.repartition(par, *key) if key else df.repartition(par)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ensure_parallel(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Register the driver tables of ``sf_dir`` as temp views (lazy scans)."""
     for name in names:
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
-BROADCAST_MAX_ROWS = int(os.environ.get("QS_BROADCAST_MAX_ROWS", "200000"))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only after a bounded count proves it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (``limit`` before ``count``);
-    a larger side is returned unchanged and joined by shuffle (AQE may still
-    pick a broadcast or split skewed partitions at runtime).
-    """
-    from pyspark.sql import functions as F
-    limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
