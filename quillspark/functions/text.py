@@ -139,10 +139,6 @@ def format_type_params(params: ColumnOrName) -> Column:
         .otherwise(F.lit(""))
 
 
-def name_with_type_params(name: ColumnOrName, params: ColumnOrName) -> Column:
-    return F.concat(F.trim(_c(name)), format_type_params(params))
-
-
 # --- X11 --------------------------------------------------------------------
 def relative_path(base_dir: ColumnOrName, target: ColumnOrName) -> Column:
     """Relative path from directory ``base_dir`` to ``target`` (both absolute or both relative)."""

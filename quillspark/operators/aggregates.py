@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .decls import tag_value
+
 
 def ordered_join(order: Sequence[Column | str], value: Column | str, sep: str) -> Column:
     """Aggregate: ``value`` of the group concatenated with ``sep`` in ``order``.
@@ -83,13 +85,18 @@ def kind_totals(decls: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 # --- A5 / A6 ----------------------------------------------------------------
-def tag_presence(fields: DataFrame, key: Sequence[str]) -> DataFrame:
-    return fields.groupBy(*key, "owner").agg(F.bool_or(F.coalesce(F.col("tag"), F.lit("")) != "").alias("has_tags"))
+def tag_presence(fields: DataFrame, key: Sequence[str], names: Sequence[str] = ("json", "yaml")) -> DataFrame:
+    """Whether a member of the owner has a tag with one of the keys ``names``."""
+    tagged = F.lit(False)
+    for name in names:
+        tagged = tagged | (tag_value(F.coalesce("tag", F.lit("")), name) != "")
+    return fields.groupBy(*key, "owner").agg(F.bool_or(tagged).alias("has_tags"))
 
 
 def undocumented(fields: DataFrame, key: Sequence[str]) -> DataFrame:
     """Visible top-level members with an empty doc, in declaration order."""
-    u = fields.filter(F.col("exported") & (F.col("member_doc") == "") & (F.col("depth") == 0))
+    u = fields.filter(F.col("exported") & (F.col("member_doc") == "") & (F.col("depth") == 0)
+                      & ~F.coalesce(F.col("anonymous"), F.lit(False)))
     name = F.when(F.col("name") == "", F.col("type_text")).otherwise(F.col("name"))
     return u.groupBy(*key, "owner").agg(ordered_join(["line_no", "name_pos"], name, ",").alias("undocumented"))
 

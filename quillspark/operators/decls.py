@@ -391,10 +391,6 @@ def signature_parts(decls: DataFrame) -> DataFrame:
 
 # --- E13 --------------------------------------------------------------------
 # Type kinds.
-TYPE_KINDS = ["unknown", "ident", "selector", "pointer", "array", "slice", "map", "chan", "func", "struct",
-              "interface", "ellipsis", "index", "index-list", "binary", "paren"]
-
-
 def type_kind(type_text: Column | str) -> Column:
     t = F.trim(F.col(type_text) if isinstance(type_text, str) else type_text)
     return (F.when(t == "", "unknown")
@@ -419,8 +415,8 @@ def type_kind(type_text: Column | str) -> Column:
 def type_element(type_text: Column | str) -> Column:
     """Element text: after ``*``, ``[]``, ``[N]``, ``...``, ``chan``; value of a map."""
     t = F.trim(F.col(type_text) if isinstance(type_text, str) else type_text)
-    return (F.when(t.startswith("*"), F.substring(t, 2, 1 << 20))
-            .when(t.startswith("..."), F.substring(t, 4, 1 << 20))
+    return (F.when(t.startswith("*"), F.substr(t, F.lit(2)))
+            .when(t.startswith("..."), F.substr(t, F.lit(4)))
             .when(t.rlike(r"^\[[^\]]*\]"), F.regexp_replace(t, r"^\[[^\]]*\]", ""))
             .when(t.startswith("map["), F.regexp_replace(t, r"^map\[(?:[^\[\]]|\[[^\[\]]*\])*\]", ""))
             .when(t.rlike(r"^(<-\s*)?chan\b"), F.trim(F.regexp_replace(t, r"^(?:<-\s*)?chan(?:\s*<-)?\s*", ""))))

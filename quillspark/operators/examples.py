@@ -78,7 +78,7 @@ def example_json(fields: DataFrame, key: Sequence[str], max_depth: int = MAX_STR
 
     def line(obj: Column) -> Column:
         value = F.when(F.col("anonymous"), F.coalesce(obj, F.lit("{}"))) \
-            .when(t.startswith("[]"), F.concat(F.lit("["), example_value(F.substring(t, 3, 1 << 20)), F.lit("]"))) \
+            .when(t.startswith("[]"), F.concat(F.lit("["), example_value(F.substr(t, F.lit(3))), F.lit("]"))) \
             .when(t.startswith("map["), F.lit("{}")).otherwise(example_value(t))
         return F.concat(_pad(F.col("depth") + 1), F.lit('"'), F.col("__fname"), F.lit('": '), value)
 
@@ -97,7 +97,7 @@ def example_yaml(fields: DataFrame, key: Sequence[str], max_depth: int = MAX_STR
         nested = F.when(F.coalesce(obj, F.lit("")).isin("", "{}"), F.lit("{}")).otherwise(F.concat(F.lit("\n"), obj))
         value = F.when(F.col("anonymous"), nested) \
             .when(t.startswith("[]"), F.concat(F.lit("\n"), _pad(F.col("depth") + 1), F.lit("- "),
-                                               example_value(F.substring(t, 3, 1 << 20)))) \
+                                               example_value(F.substr(t, F.lit(3))))) \
             .when(t.startswith("map["), F.lit("{}")).otherwise(example_value(t))
         return F.concat(_pad(F.col("depth")), F.col("__fname"), F.lit(":"),
                         F.when(value.startswith("\n"), value).otherwise(F.concat(F.lit(" "), value)))

@@ -8,6 +8,7 @@ the windows are running sums/lags (constant memory per row), not collects.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,18 +16,24 @@ from pyspark.sql import functions as F
 
 
 # --- E1 ---------------------------------------------------------------------
-def lines(df: DataFrame, key: Sequence[str], content_col: str = "content", partition: bool = True) -> DataFrame:
+def lines(df: DataFrame, key: Sequence[str], content_col: str = "content", partition: bool = True,
+          head: int | None = None) -> DataFrame:
     """One row per line: ``key..., line_no (1-based), text``.
 
     With ``partition`` the files are hash-partitioned by ``key`` *before* the
     explosion: the shuffle moves whole texts (cheaper than moving lines) and
     every later per-file window, aggregate and (key, line) join reuses that
-    partitioning instead of shuffling the lines again.
+    partitioning instead of shuffling the lines again.  Without it no text moves:
+    for plain explosions, and where few lines are left before the next shuffle.
+    ``head`` keeps that many lines of each file.
     """
     src = df.select(*key, content_col)
     if partition:
         src = src.repartition(*key)
-    return src.select(*key, F.posexplode(F.split(F.col(content_col), "\n", -1)).alias("pos", "text")) \
+    text = F.split(F.col(content_col), "\n", -1)
+    if head is not None:
+        text = F.slice(text, 1, head)
+    return src.select(*key, F.posexplode(text).alias("pos", "text")) \
         .select(*key, (F.col("pos") + 1).cast("long").alias("line_no"), "text")
 
 
@@ -36,26 +43,6 @@ def strip_ws(c: Column | str) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+\z", "")
 
 
-def is_comment(text: Column | str) -> Column:
-    t = F.col(text) if isinstance(text, str) else text
-    lt = F.regexp_replace(t, r"^\s+", "")
-    return lt.startswith("//") | (lt.startswith("/*") & F.regexp_replace(t, r"\s+\z", "").endswith("*/"))
-
-
-def comment_text(text: Column | str) -> Column:
-    """Comment line without its marker, one following blank and trailing white space."""
-    t = F.col(text) if isinstance(text, str) else text
-    body = F.when(F.regexp_replace(t, r"^\s+", "").startswith("//"), F.regexp_replace(t, r"^\s*//", "")) \
-        .otherwise(F.regexp_replace(F.regexp_replace(t, r"^\s*/\*", ""), r"\*/\s*\z", ""))
-    return F.regexp_replace(F.regexp_replace(body, r"^ ", ""), r"\s+\z", "")
-
-
-def is_directive(text: Column | str) -> Column:
-    """Tool directives (``//go:build``, ``//line`` …) are not doc text."""
-    t = F.col(text) if isinstance(text, str) else text
-    return t.rlike(r"^\s*//(?:line |extern |export |[a-z0-9]+:[a-z0-9])")
-
-
 def mark_comments(ln: DataFrame, key: Sequence[str]) -> DataFrame:
     """Add ``is_comment`` and ``ctext`` (comment text, null for directives) to a lines table.
 
@@ -146,12 +133,17 @@ def full_docs(ln: DataFrame, targets: DataFrame, key: Sequence[str], line_col: s
 
 # --- E4 ---------------------------------------------------------------------
 def build_tags(ln: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Constraint text of ``//go:build`` / ``// +build`` lines, first-seen order, de-duplicated."""
+    """Constraint text of ``//go:build`` / ``// +build`` lines, first-seen order, de-duplicated.
+
+    ``old_style`` tells a ``+build`` line's grammar from the other.
+    """
     t = F.trim(F.col("text"))
-    tag = F.when(t.startswith("//go:build "), F.trim(F.substring(t, 12, 1 << 20))) \
-        .when(t.startswith("// +build "), F.trim(F.substring(t, 11, 1 << 20)))
-    tags = ln.select(*key, "line_no", tag.alias("tag")).filter(F.col("tag").isNotNull() & (F.col("tag") != ""))
-    first = tags.groupBy(*key, "tag").agg(F.min("line_no").alias("first_line"))
+    tag = F.when(t.startswith("//go:build "), F.trim(F.substr(t, F.lit(12)))) \
+        .when(t.startswith("// +build "), F.trim(F.substr(t, F.lit(11))))
+    tags = ln.select(*key, "line_no", t.startswith("// +build ").alias("old_style"), tag.alias("tag")) \
+        .filter(F.col("tag").isNotNull() & (F.col("tag") != ""))
+    first = tags.groupBy(*key, "tag").agg(F.min("line_no").alias("first_line"),
+                                          F.min_by("old_style", "line_no").alias("old_style"))
     w = Window.partitionBy(*key).orderBy("first_line")
     return first.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
 
@@ -165,6 +157,10 @@ BUILTIN_TAGS = [
 ]
 
 
+#: Tags are looked for in so many lines of a file.
+HEADER_LINES = 20
+
+
 def discover_tags(ln: DataFrame, key: Sequence[str], rel_dir_col: str) -> DataFrame:
     """Distinct custom tags named in the header lines (first 20, before ``package``).
 
@@ -178,7 +174,7 @@ def discover_tags(ln: DataFrame, key: Sequence[str], rel_dir_col: str) -> DataFr
     expr = F.coalesce(F.regexp_extract(t, r"^//go:build\s+(.+)$", 1), F.lit(""))
     old = F.regexp_extract(t, r"^//\s*\+build\s+(.+)$", 1)
     h = ln.withColumn("__pkg", pkg_line).filter(
-        (F.col("line_no") <= 20) & (F.col("__pkg").isNull() | (F.col("line_no") < F.col("__pkg"))) & ~hidden)
+        (F.col("line_no") <= HEADER_LINES) & (F.col("__pkg").isNull() | (F.col("line_no") < F.col("__pkg"))) & ~hidden)
     exprs = h.select(F.explode(F.array(expr, old)).alias("e")).filter(F.col("e") != "")
     fields = exprs.select(F.explode(F.split(F.trim(F.regexp_replace("e", r"[()]|&&|\|\||,", " ")), r"\s+")).alias("tag"))
     builtins = F.array(*[F.lit(b) for b in BUILTIN_TAGS])
@@ -187,29 +183,32 @@ def discover_tags(ln: DataFrame, key: Sequence[str], rel_dir_col: str) -> DataFr
 
 
 # --- F8 ---------------------------------------------------------------------
-def constraint_holds(expr: Column | str, tags: Sequence[str], old_style: Column | None = None,
-                     depth: int = 12) -> Column:
+def constraint_holds(expr: Column | str, tags: Sequence[str]) -> Column:
     """Evaluate a ``//go:build`` expression for the given tag set.
 
-    Identifiers become ``T``/``F``; then a fixed number of rewrite passes
-    reduce ``!x``, ``(x)``, ``x&&y``, ``x||y``.  Expressions still not reduced
-    after ``depth`` passes evaluate to null (caller quarantines them).
+    Identifiers become ``T``/``F``; then rewrite passes reduce ``!x``, ``(x)``,
+    ``x&&y``, ``x||y``.  A pass shortens whatever can be reduced, so as many
+    passes as the expression has characters settle any depth; what is left
+    unreduced is malformed and evaluates to null (caller quarantines it).
     """
     e = F.col(expr) if isinstance(expr, str) else expr
     s = F.regexp_replace(e, r"\s+", "")
-    tagset = "|".join(sorted(set(tags), key=len, reverse=True))
+    tagset = "|".join(map(re.escape, sorted(set(tags), key=len, reverse=True)))
     if tagset:   # active tags → '#', every other identifier → F, then '#' → T
         s = F.regexp_replace(s, rf"(?<![A-Za-z0-9_.])(?:{tagset})(?![A-Za-z0-9_.])", "#")
     s = F.regexp_replace(F.regexp_replace(s, r"[A-Za-z0-9_.]+", "F"), "#", "T")
-    for _ in range(depth):
-        s = F.regexp_replace(s, r"!T", "f")
-        s = F.regexp_replace(s, r"!F", "T")
-        s = F.regexp_replace(s, r"f", "F")
-        s = F.regexp_replace(s, r"\(([TF])\)", "$1")
-        s = F.regexp_replace(s, r"T&&T", "T")
-        s = F.regexp_replace(s, r"[TF]&&[TF]", "F")
-        s = F.regexp_replace(s, r"(?<![&!])T\|\|[TF](?![&])|(?<![&!])[TF]\|\|T(?![&])", "T")
-        s = F.regexp_replace(s, r"(?<![&!])F\|\|F(?![&])", "F")
+
+    def reduced(x: Column) -> Column:
+        x = F.regexp_replace(x, r"!T", "f")
+        x = F.regexp_replace(x, r"!F", "T")
+        x = F.regexp_replace(x, r"f", "F")
+        x = F.regexp_replace(x, r"\(([TF])\)", "$1")
+        x = F.regexp_replace(x, r"(?<!!)T&&T", "T")
+        x = F.regexp_replace(x, r"(?<!!)[TF]&&[TF]", "F")
+        x = F.regexp_replace(x, r"(?<![&!])T\|\|[TF](?![&])|(?<![&!])[TF]\|\|T(?![&])", "T")
+        return F.regexp_replace(x, r"(?<![&!])F\|\|F(?![&])", "F")
+
+    s = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s))), s, lambda x, _: reduced(x))
     return F.when(s == "T", True).when(s == "F", False)
 
 

@@ -20,7 +20,7 @@ TAGSET = ["linux", "amd64", "integration"]
 SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS BIGINT) AS line_no,
        unnest(string_split(text, chr(10))) AS text FROM documents""")
 def e1_lines(spark, sf_dir):
-    return L.lines(read_table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return L.lines(read_table(spark, sf_dir, "documents"), ["doc_id"], "text", partition=False)
 
 
 # --- E2 / E3 (Fx6) ----------------------------------------------------------
@@ -54,7 +54,7 @@ def e3_full_doc(spark, sf_dir):
 
 # --- E4 / E5 / F8 (Fx1 headers) ---------------------------------------------
 def fx1_lines(spark, sf_dir):
-    return L.lines(fx(spark, sf_dir, "fx1_files"), ["file_id"])
+    return L.lines(fx(spark, sf_dir, "fx1_files"), ["file_id"], partition=False)
 
 
 @query("e4_build_tags", oracle=cte("fx1_files") + """
@@ -62,7 +62,7 @@ SELECT file_id, CASE file_id % 4 WHEN 0 THEN 'linux' WHEN 1 THEN 'integration &&
        CAST(1 AS BIGINT) AS first_line, CAST(0 AS BIGINT) AS pos
 FROM fx1_files WHERE file_id % 4 <> 3""")
 def e4_build_tags(spark, sf_dir):
-    return L.build_tags(fx1_lines(spark, sf_dir), ["file_id"])
+    return L.build_tags(fx1_lines(spark, sf_dir), ["file_id"]).drop("old_style")
 
 
 @query("e5_tag_discovery", oracle=cte("fx1_files") + """
@@ -71,7 +71,7 @@ FROM fx1_files WHERE file_id % 4 IN (1, 2) AND ends_with(path, '.go') AND NOT co
 def e5_tag_discovery(spark, sf_dir):
     files = fx(spark, sf_dir, "fx1_files").filter(F.col("path").endswith(".go"))
     files = files.withColumn("rel_dir", dir_of(relative_to("path", "/repo")))
-    ln = L.lines(files, ["file_id", "rel_dir"])
+    ln = L.lines(files, ["file_id", "rel_dir"], partition=False, head=L.HEADER_LINES)
     return L.discover_tags(ln, ["file_id", "rel_dir"], "rel_dir")
 
 
@@ -81,11 +81,14 @@ def f8_build_constraint(spark, sf_dir):
     files = fx(spark, sf_dir, "fx1_files")
     tags = L.build_tags(fx1_lines(spark, sf_dir), ["file_id"])
     t = F.col("tag")
-    # a //go:build line is kept as is; a +build line (no && || !) uses the old grammar
-    expr = F.when(t.rlike(r"&&|\|\||!|\(") | ~t.rlike(r"[ ,]"), t).otherwise(L.plus_build_to_expr(t))
-    per_line = tags.select("file_id", L.constraint_holds(expr, TAGSET).alias("ok"))
-    per_file = per_line.groupBy("file_id").agg(F.bool_and("ok").alias("ok"))
-    return files.join(per_file, "file_id", "left").select("file_id", F.coalesce("ok", F.lit(True)).alias("holds"))
+    expr = F.when(F.col("old_style"), L.plus_build_to_expr(t)).otherwise(t)
+    per_line = tags.select("file_id", "old_style", L.constraint_holds(expr, TAGSET).alias("ok"))
+    # a //go:build line outdoes +build lines; a malformed line leaves the file undecided (null)
+    counts = lambda old: (F.col("old_style") == F.lit(old)) & F.col("ok").isNull()
+    verdict = lambda old: F.when(~F.bool_or(counts(old)), F.bool_and(F.when(F.col("old_style") == F.lit(old), F.col("ok"))))
+    per_file = per_line.groupBy("file_id").agg(
+        F.when(F.bool_or(~F.col("old_style")), verdict(False)).otherwise(verdict(True)).alias("ok"), F.lit(True).alias("any"))
+    return files.join(per_file, "file_id", "left").select("file_id", F.when(F.col("any").isNull(), True).otherwise(F.col("ok")).alias("holds"))
 
 
 # --- X3 / X4 / X5 (Fx10) ----------------------------------------------------
@@ -145,7 +148,7 @@ WITH l AS (SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10)))
 SELECT doc_id, line_no, regexp_replace(text, '^([^ ]*) ', '\\1' || chr(9)) AS first_tab,
        regexp_replace(text, '(?s)^(.*) ([^ ]*)$', '\\1' || chr(9) || '\\2') AS last_tab FROM l""")
 def x8_tabify(spark, sf_dir):
-    ln = L.lines(read_table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    ln = L.lines(read_table(spark, sf_dir, "documents"), ["doc_id"], "text", partition=False)
     return ln.select("doc_id", "line_no", X.tabify_first("text").alias("first_tab"),
                      X.tabify_last("text").alias("last_tab"))
 

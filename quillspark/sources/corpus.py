@@ -16,6 +16,12 @@ def _normalise_newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\r\n", "\n")
 
 
+def _file_path() -> Column:
+    """Path of the file being read: the URI's, decoded; local ones without their scheme."""
+    uri = F.regexp_replace("_metadata.file_path", r"\+", "%2B")  # a plus sign is itself, not a blank
+    return F.regexp_replace(F.url_decode(uri), r"^file:(//)?(?=/)", "").alias("path")
+
+
 def corpus_from_table(df: DataFrame, path_col: str, text_col: str,
                       keep: Sequence[str] = ()) -> DataFrame:
     """A table with text in a column becomes a corpus with a virtual path.
@@ -39,7 +45,8 @@ def read_corpus(spark: SparkSession, roots: Sequence[str], files: Sequence[str]
     """Recursive listing of directory roots plus explicit files.
 
     Directory roots go through the walk rules (exclude/suffix/test/segment);
-    explicit files are accepted as given.  One scan per root, ``unionByName``.
+    explicit files are accepted as given, in one scan.  One scan per root.
+    Paths are the files' own (blanks and other characters decoded).
     The listing and the read are Spark's file source (``wholetext``), so the
     files are split across tasks; nothing is read on the driver.
     """
@@ -51,19 +58,17 @@ def read_corpus(spark: SparkSession, roots: Sequence[str], files: Sequence[str]
         if root.startswith("file:") and not r.startswith("/"):
             r = "/" + r
         df = (spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
-              .text(root).select(F.input_file_name().alias("uri"), F.col("value").alias("content")))
-        df = df.withColumn("path", F.regexp_replace("uri", r"^file:(//)?(?=/)", ""))
+              .text(root).select(_file_path(), F.col("value").alias("content")))
         df = walk_filter(df, root=r, excludes=excludes, suffix=suffix, tests=tests,
                          internal=internal, underscore=underscore)
         if not with_dropped:
             df = df.filter(F.col("drop_reason").isNull())
         parts.append(df.withColumn("root", F.lit(r)))
-    for f in files:
-        df = (spark.read.option("wholetext", "true").text(f)
-              .select(F.lit(f).alias("path"), F.col("value").alias("content"),
-                      F.lit(f).alias("rel_path"), F.lit(None).cast("string").alias("drop_reason"),
+    if files:
+        df = (spark.read.option("wholetext", "true").text(list(files))
+              .select(_file_path(), F.col("value").alias("content"), F.lit(None).cast("string").alias("drop_reason"),
                       F.lit(None).cast("string").alias("root")))
-        parts.append(df)
+        parts.append(df.withColumn("rel_path", F.col("path")))
     if not parts:
         raise ValueError("no roots or files given")
     out = parts[0]

@@ -117,3 +117,56 @@ def test_package_doc_rows_through_sink(spark):
     back = spark.read.text(out).withColumn("f", F.input_file_name()).withColumn("m", F.monotonically_increasing_id())
     text = "\n".join(r["value"] for r in back.orderBy("f", "m").collect())
     assert text == package_aggregate(files).first()["doc"]
+
+
+def test_constraint_any_depth(spark):
+    """Any nesting is reduced; tags are taken literally; malformed text is null."""
+    from quillspark.operators.lines import constraint_holds
+    deep = "!" * 40 + "(" * 30 + "linux" + ")" * 30
+    cases = {deep: True, "go1x18": False, "go1.18 && linux": True, "!(linux || darwin)": False, "!linux && x": False, "linux &&": None, "(linux": None,
+             " || ".join(["x"] * 60 + ["linux"]): True}
+    df = spark.createDataFrame([(k,) for k in cases], "e string").withColumn("ok", constraint_holds("e", ["linux", "go1.18"]))
+    assert {r.e: r.ok for r in df.collect()} == cases
+
+
+def test_old_style_keeps_its_grammar(spark):
+    from quillspark.operators import lines as L
+    files = spark.createDataFrame([(1, "// +build !a,b c\n\npackage x"), (2, "//go:build a && b\n// +build c\npackage x")], "f long, content string")
+    got = {(r.f, r.tag): r.old_style for r in L.build_tags(L.lines(files, ["f"], partition=False), ["f"]).collect()}
+    assert got == {(1, "!a,b c"): True, (2, "a && b"): False, (2, "c"): True}
+
+
+def test_prefix_lengths_without_cap(spark):
+    from pyspark.sql import functions as F
+    from quillspark.operators.modules import prefix_candidates
+    small = spark.range(1, 5001).select(F.expr("repeat('a', int(id))").alias("base"))
+    big = spark.createDataFrame([("a" * 4999 + "b",), ("b",)], "path string")
+    assert prefix_candidates(big, "path", small, "base").count() == 4999
+
+
+def test_tag_presence_by_key(spark):
+    from quillspark.operators.aggregates import tag_presence, undocumented
+    rows = [(1, "A", 'db:"a"', "X", True, "", 0, False), (1, "B", 'json:"b"', "Y", True, "", 0, False), (1, "C", None, "Z", True, "", 0, True)]
+    df = spark.createDataFrame(rows, "f long, owner string, tag string, name string, exported boolean, member_doc string, depth int, anonymous boolean") \
+        .selectExpr("*", "1L AS line_no", "0 AS name_pos", "'T' AS type_text")
+    assert {r.owner: r.has_tags for r in tag_presence(df, ["f"]).collect()} == {"A": False, "B": True, "C": False}
+    assert {r.owner: r.undocumented for r in undocumented(df, ["f"]).collect()} == {"A": "X", "B": "Y"}
+
+
+def test_paths_with_blanks_and_explicit_files(spark, tmp_path):
+    from quillspark.sources.corpus import read_corpus
+    for name in ("my pkg/a b.go", "my pkg/c+d.go", "x%20y/e.go"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("package p\n")
+    got = {r.rel_path for r in read_corpus(spark, [str(tmp_path)]).collect()}
+    assert got == {"my pkg/a b.go", "my pkg/c+d.go", "x%20y/e.go"}
+    files = [str(tmp_path / "my pkg/a b.go"), str(tmp_path / "my pkg/c+d.go")]
+    assert {r.path for r in read_corpus(spark, [], files).collect()} == set(files)
+    assert {r.rel_path for r in read_corpus(spark, [str(tmp_path)], excludes=["glb:**/my pkg/**"]).collect()} == {"x%20y/e.go"}
+
+
+def test_four_part_token_is_no_package(spark):
+    from quillspark.operators.refs import doc_tokens
+    docs = spark.createDataFrame([(1, "see `a.b.c.d` and `a.b.c`")], "d long, doc string")
+    got = {r.token: (r.alias, r.receiver, r.ident) for r in doc_tokens(docs, ["d"]).collect()}
+    assert got == {"a.b.c.d": ("", "", ""), "a.b.c": ("a", "b", "c")}

@@ -5,11 +5,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from quillspark.plans import catalog
 from quillspark.session import TABLES
 
 SF = "/root/testdata/sf0.001"
-QS = E.queries()
 OR = E.oracle_sql()
+QS = {k: v for k, v in E.queries().items() if k in OR or k in catalog.QUERIES}  # the others have tests of their own
 
 
 def _norm(v):

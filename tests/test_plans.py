@@ -3,10 +3,11 @@ no cartesian / nested-loop joins, Python only in the user-function operators,
 column pruning at the scans of the flagship."""
 import pytest
 
-import __spark_entry__ as E
+from quillspark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QS = E.queries()
+catalog.load_all()
+QS = catalog.QUERIES
 PYTHON_OK = {"p1_per_file_function", "p2_per_package_function"}
 
 
