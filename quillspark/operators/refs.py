@@ -42,7 +42,10 @@ def doc_tokens(docs: DataFrame, key: Sequence[str], doc_col: str = "doc", keep:
     """Each back-ticked token with its position; the token is split into
     ``pkg_path`` / ``alias`` / ``receiver`` / ``ident`` candidates (before resolution).
     ``keep`` columns of the doc row are carried along (no join back)."""
-    toks = docs.select(*key, *keep, F.posexplode(F.regexp_extract_all(F.col(doc_col), F.lit(TOKEN_RX), 1))
+    # docs move by key before they are taken apart; the alias join on (key, alias)
+    # and a second pass over the tokens use that partitioning
+    src = docs.select(*dict.fromkeys([*key, *keep, doc_col])).repartition(*key)
+    toks = src.select(*key, *keep, F.posexplode(F.regexp_extract_all(F.col(doc_col), F.lit(TOKEN_RX), 1))
                        .alias("tok_pos", "original"))
     t = F.trim(F.col("original"))
     parts = F.split(t, r"\.")
@@ -95,15 +98,13 @@ def resolve_refs(tokens: DataFrame, key: Sequence[str], aliases: DataFrame, own_
     path = F.coalesce(F.col("pkg_path"), F.when(pkg_only, F.col("__p")), by_alias,
                       F.when(F.col("ident") != "", F.col(own_package)))
     t = t.withColumn("package_path", path)
-    # internal flag: '/'-prefixes of the package path against the (checked,
-    # broadcast) module names, reduced per token in one aggregation that also
-    # carries the token's columns (no second evaluation of the token plan)
-    names = (module_names.select(F.col("name").alias("__pre")).distinct()
-                               .withColumn("__hit", F.lit(True)))
-    cols = [c for c in t.columns if c not in (*key, "tok_pos")]
-    exp = explode_slash_prefixes(t.withColumn("__pp", F.coalesce("package_path", F.lit(""))), "__pp", "__pre")
-    t = exp.join(names, "__pre", "left").groupBy(*key, "tok_pos").agg(
-        *[F.first(c).alias(c) for c in cols], F.bool_or(F.coalesce("__hit", F.lit(False))).alias("__int"))
+    # internal flag: each distinct package path meets the module names by its
+    # '/'-prefixes once, and one join brings the flag to the tokens
+    names = module_names.select(F.col("name").alias("__pre")).distinct()
+    paths = t.select(F.col("package_path").alias("__path")).filter("__path IS NOT NULL").distinct()
+    known = explode_slash_prefixes(paths, "__path", "__pre").join(names, "__pre") \
+        .select(F.col("__path").alias("package_path"), F.lit(True).alias("__int")).distinct()
+    t = t.join(known, "package_path", "left")
     external = F.when(~F.col("package_path").rlike(r"[./]"), F.lit(True)) \
         .otherwise(~F.coalesce(F.col("__int"), F.lit(False)))
     kind = F.when(F.col("receiver") != "", "method").when(F.col("ident") == "", "package").otherwise("type")
