@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .session import register_tables
+from .shapes import files_sql
 
 # Fixed fixture texts (given with the test data description).
 FX_SQL: dict[str, str] = {}
@@ -92,6 +93,9 @@ SELECT 100000000 + c_custkey, '/corpus/c' || CAST(c_custkey AS STRING) || '/go.w
 FROM customer
 """
 
+# Fx12: files of varied declaration shapes.
+FX_SQL["fx12_files"] = files_sql()
+
 # Which base tables each view reads.
 FX_BASE = {
     "fx1_files": ["part"],
@@ -104,6 +108,7 @@ FX_BASE = {
     "fx9_types": ["lineitem"],
     "fx10_docs": ["orders"],
     "fx11_manifests": ["customer"],
+    "fx12_files": ["part"],
 }
 
 # Views a view is built on (registered / inlined first).

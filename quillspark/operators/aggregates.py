@@ -108,7 +108,8 @@ def _plist(role: str) -> Column:
 
 
 def signatures(params: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Signature text of func / method / functype declarations from their E12 rows.
+    """Signature text of func / method / functype declarations and interface methods from their E12 rows,
+    type params included: ``func (r T) Name[K any](…) …``, ``type Name func(…) …``, ``Name(…) …``.
 
     ``params`` carries ``kind`` and ``decl_name`` and has at least one row per
     declaration (null ``pos`` for an empty list), so one aggregation per
@@ -116,12 +117,15 @@ def signatures(params: DataFrame, key: Sequence[str]) -> DataFrame:
     """
     agg = params.groupBy(*key, "decl_line").agg(
         F.first("kind").alias("kind"), F.first("decl_name").alias("name"),
-        _plist("receiver").alias("recv"), _plist("param").alias("params"), _plist("result").alias("results"),
+        _plist("receiver").alias("recv"), _plist("type_param").alias("tparams"), _plist("param").alias("params"), _plist("result").alias("results"),
         F.sum(F.when((F.col("role") == "result") & F.col("pos").isNotNull(), 1).otherwise(0)).alias("n_res"))
     res = F.when(F.col("n_res") == 0, F.lit("")) \
         .when(F.col("n_res") == 1, F.concat(F.lit(" "), "results")) \
         .otherwise(F.concat(F.lit(" ("), "results", F.lit(")")))
     recv = F.when(F.col("recv") != "", F.concat(F.lit("("), "recv", F.lit(") "))).otherwise("")
-    sig = F.when(F.col("kind") == "functype", F.concat(F.lit("func("), "params", F.lit(")"), res)) \
-        .otherwise(F.concat(F.lit("func "), recv, "name", F.lit("("), "params", F.lit(")"), res))
+    named = F.concat("name", F.when(F.col("tparams") != "", F.concat(F.lit("["), "tparams", F.lit("]"))).otherwise(""))
+    rest = F.concat(F.lit("("), "params", F.lit(")"), res)
+    sig = F.when(F.col("kind") == "functype", F.concat(F.lit("type "), named, F.lit(" func"), rest)) \
+        .when(F.col("kind") == "interface_method", F.concat(named, rest)) \
+        .otherwise(F.concat(F.lit("func "), recv, named, rest))
     return agg.select(*key, "decl_line", "kind", "name", sig.alias("signature"))

@@ -14,22 +14,69 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lines import comment_blocks, mark_comments, strip_ws
+from .lines import code_text, comment_blocks, mark_comments, strip_ws
 
 IDENT = r"[A-Za-z_][A-Za-z0-9_]*"
-TPARAMS = r"(?:\[[^\]]*\])?"
 
-# ordered column-0 classification: (kind, regex, name group)
+# ordered classification of a declaration's first line: (kind, regex, name group); type
+# parameters are taken out before (see _without_type_params)
 _KINDS = [
-    ("struct", rf"^type\s+({IDENT}){TPARAMS}\s+struct\s*\{{", 1),
-    ("interface", rf"^type\s+({IDENT}){TPARAMS}\s+interface\s*\{{", 1),
-    ("functype", rf"^type\s+({IDENT}){TPARAMS}\s+func\s*\(", 1),
-    ("type", rf"^type\s+({IDENT}){TPARAMS}\s*=?\s*\S", 1),
+    ("struct", rf"^type\s+({IDENT})\s+struct\s*\{{", 1),
+    ("interface", rf"^type\s+({IDENT})\s+interface\s*\{{", 1),
+    ("functype", rf"^type\s+({IDENT})\s+func\s*\(", 1),
+    ("type", rf"^type\s+({IDENT})\s*=?\s*\S", 1),
     ("method", rf"^func\s*\([^)]*\)\s*({IDENT})", 1),
     ("func", rf"^func\s+({IDENT})", 1),
     ("var", r"^var\s*\(|^var\s+(" + IDENT + ")", 1),
     ("const", r"^const\s*\(|^const\s+(" + IDENT + ")", 1),
 ]
+_OPEN, _CLOSE = "([{", ")]}"
+
+
+# --- brackets of any depth ----------------------------------------------------
+def balanced(s: Column) -> Column:
+    """The bracketed beginning of ``s`` up to its matching bracket; empty if it begins with none or never closes."""
+    pieces = F.regexp_extract_all(s, F.lit(r"[^()\[\]{}]*[()\[\]{}]"), F.lit(0))
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(False).alias("done"))
+
+    def step(a: Column, piece: Column) -> Column:
+        depth = a["depth"] + F.when(F.right(piece, F.lit(1)).isin(*_OPEN), 1).otherwise(-1)
+        return F.when(a["done"], a).otherwise(F.struct(depth.alias("depth"), (a["at"] + F.length(piece)).alias("at"),
+                                                       (depth <= 0).alias("done")))
+
+    return F.when(s.rlike(r"^[(\[{]"), F.aggregate(
+        pieces, state, step, lambda a: F.when(a["done"], F.substr(s, F.lit(1), a["at"])).otherwise(""))).otherwise("")
+
+
+def _closed_up(s: Column) -> Column:
+    """Brackets and the commas inside them, of any depth, as control characters; see :func:`_opened_up`.
+
+    A pass takes the innermost brackets, so as many passes as there are brackets settle any depth.
+    """
+    def inner(x: Column, _: Column) -> Column:
+        x = F.regexp_replace(x, r",(?=[^()\[\]{}]*[)\]}])", "\x01")
+        x = F.regexp_replace(x, r"\(([^()\[\]{}]*)\)", "\x02$1\x03")
+        x = F.regexp_replace(x, r"\[([^()\[\]{}]*)\]", "\x04$1\x05")
+        return F.regexp_replace(x, r"\{([^()\[\]{}]*)\}", "\x06$1\x07")
+
+    n = F.length(s) - F.length(F.translate(s, _OPEN, ""))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), s, inner)).otherwise(s)
+
+
+def _opened_up(s: Column) -> Column:
+    return F.translate(s, "\x01\x02\x03\x04\x05\x06\x07", ",()[]{}")
+
+
+def split_top(s: Column) -> Column:
+    """Split a list on the commas outside all brackets, of any depth; empty items are left out."""
+    return F.filter(F.transform(F.split(_closed_up(s), ","), lambda x: F.trim(_opened_up(x))), lambda x: x != "")
+
+
+def _without_type_params(t: Column) -> Column:
+    """``type G[T []int] struct`` → ``type G struct``; an array type (blank before its bracket) stays."""
+    name = F.regexp_extract(t, rf"^(type\s+{IDENT})\[", 1)
+    rest = F.substr(t, F.length(name) + 1)
+    return F.when(name != "", F.concat(name, F.substr(rest, F.length(balanced(rest)) + 1))).otherwise(t)
 
 
 def _kind_expr(t: Column) -> Column:
@@ -48,18 +95,22 @@ def _name_expr(t: Column, kind: Column) -> Column:
 
 
 # --- F6 ---------------------------------------------------------------------
-_PREFIX = r"^(?:\s|\.\.\.|\*|&|\[\]|<-chan|chan<-|chan\s|chan|map\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\()+"
+_PREFIX = r"^(?:\s|\.\.\.|\*|&|\[\]|<-chan|chan<-|chan\s|chan|map\[[^\[\]]*\]|\()+"
 
 
 def export_name(name: Column | str) -> Column:
     """Name without pointer/slice/chan/map/paren prefixes, type args and qualifier.
 
-    One anchored repetition strips every leading prefix and opening paren
-    (map keys balanced to one nesting level); closing parens, type arguments
-    and the package qualifier are cut after it.
+    Brackets inside brackets go first, a pass for each, so map keys may nest to
+    any depth.  One anchored repetition then strips every leading prefix and
+    opening paren; closing parens, type arguments and the package qualifier are
+    cut after it.
     """
-    n = F.col(name) if isinstance(name, str) else name
-    s = F.regexp_replace(F.trim(n), _PREFIX, "")
+    n = F.trim(F.col(name) if isinstance(name, str) else name)
+    count = F.length(n) - F.length(F.replace(n, F.lit("["), F.lit("")))
+    n = F.when(count > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), n, lambda x, _: F.regexp_replace(
+        x, r"(\[[^\[\]]*)\[[^\[\]]*\]", "$1"))).otherwise(n)
+    s = F.regexp_replace(n, _PREFIX, "")
     s = F.regexp_replace(s, r"[\[)].*\z", "")
     s = F.regexp_replace(s, r"^.*\.", "")
     return F.trim(s)
@@ -80,50 +131,82 @@ def receiver_key(recv: Column | str) -> Column:
 
 
 # --- E6 ---------------------------------------------------------------------
+def _net(code: Column, opening: str, closing: str) -> Column:
+    """Brackets opened less brackets closed on a line."""
+    return F.length(F.translate(code, closing, "")) - F.length(F.translate(code, opening, ""))
+
+
 def label_lines(ln: DataFrame, key: Sequence[str]) -> DataFrame:
     """Label every line with the declaration it belongs to, in one window pass.
 
     Adds ``kind`` (on declaration lines), ``owner_line`` / ``owner_kind`` /
     ``owner_name`` / ``end_line`` of the span the line is in (or whose doc
-    block it is), ``role`` (``decl`` / ``body`` / ``doc`` / null), ``is_comment``,
-    ``next_code`` (nearest following non-comment line) and ``bad`` (a
-    declaration whose block is not closed in column 0 before the next one).
+    block it is), ``role`` (``decl`` / ``body`` / ``doc`` / null), ``head`` (the
+    line is part of the declaration's header), ``go_on`` (the line before it
+    ends inside an expression or raw string), ``is_comment``, ``next_code``
+    (nearest following non-comment line) and ``bad`` (why a declaration can't be
+    delimited, else null).
+
+    Declarations begin at a keyword in column 0, or at a name one level inside a
+    ``type ( … )`` group, and end on the first line at which a running sum of
+    brackets is back where they began; literals and comments don't count
+    (``code`` of ``lines(code=True)``; without that column each line is read by
+    itself).  One whose end doesn't come before the next declaration is bad.
 
     All windows are partitioned by the file key only, so they run on the
     per-file hash partitioning of the lines table without another shuffle.
     Forward-looking values use a growing frame in descending order
     (incremental), never an unbounded-following frame.
     """
-    t = F.col("text")
-    asc = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*key).orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    k = _kind_expr(t)
-    opens = F.rtrim(t).rlike(r"[{(]$") & ~F.rtrim(t).rlike(r"\{\}$")
-    x = mark_comments(ln, key).withColumn("kind", F.when(~F.col("is_comment"), k)) \
-        .withColumn("__open", F.when(F.col("kind").isNotNull(), opens)) \
-        .withColumn("__close_at", F.when(~F.col("is_comment") & t.rlike(r"^[})]"), F.col("line_no"))) \
-        .withColumn("__decl_at", F.when(F.col("kind").isNotNull(), F.col("line_no")))
-    x = x.withColumn("__next_close", F.last("__close_at", ignorenulls=True).over(ahead)) \
-        .withColumn("__next_decl", F.last("__decl_at", ignorenulls=True).over(ahead))
-    bad = F.col("kind").isNotNull() & F.col("__open") & (
-        F.col("__next_close").isNull() |
-        (F.col("__next_decl").isNotNull() & (F.col("__next_close") > F.col("__next_decl"))))
-    x = x.withColumn("bad", F.coalesce(bad, F.lit(False)))
-    good = F.col("kind").isNotNull() & ~F.col("bad")
-    end = F.when(good, F.when(F.col("__open"), F.col("__next_close")).otherwise(F.col("line_no")))
-    head = F.when(good, F.struct(F.col("line_no").alias("s"), end.alias("e"), F.col("kind").alias("k"),
-                                 _name_expr(t, F.col("kind")).alias("n")))
-    x = x.withColumn("__span", F.last(head, ignorenulls=True).over(asc)) \
-        .withColumn("next_code", F.last(F.when(~F.col("is_comment"), F.struct(
-            F.col("line_no").alias("line_no"), F.when(good, F.struct(end.alias("e"), F.col("kind").alias("k"),
-                                                                    _name_expr(t, F.col("kind")).alias("n")))
-            .alias("decl"))), ignorenulls=True).over(ahead))
+    order = Window.partitionBy(*key).orderBy("line_no")
+    asc, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    desc = Window.partitionBy(*key).orderBy(F.col("line_no").desc())
+    from_here, ahead = desc.rowsBetween(Window.unboundedPreceding, 0), desc.rowsBetween(Window.unboundedPreceding, -1)
+    x = mark_comments(ln, key)
+    code = F.rtrim(F.when(F.col("is_comment"), "").otherwise(F.col("code") if "code" in ln.columns else code_text("text")))
+    x = x.withColumn("code", F.regexp_replace(code, r"\s+\z", ""))
+    c = F.col("code")
+    x = x.withColumn("__d", _net(c, _OPEN, _CLOSE)).withColumn("__p", _net(c, "([", ")]")) \
+        .withColumn("__on", c.rlike(r"[-+*/%&|^<>=!,.\\]\z") & ~c.rlike(r"(?:\+\+|--)\z")) \
+        .withColumn("__word", c.rlike(r"^(?:type|func|var|const|import|package)\b"))
+    x = x.withColumn("__sum", F.sum("__d").over(asc)).withColumn("__psum", F.sum("__p").over(asc)) \
+        .withColumn("go_on", F.coalesce(F.lag("__on").over(order), F.lit(False)))
+    x = x.withColumn("__part", F.last(F.when(F.col("__word"), F.struct(
+        (F.col("__sum") - F.col("__d")).alias("base"), c.rlike(r"^type\s*\(").alias("group"))), ignorenulls=True).over(asc))
+    grouped = F.coalesce(F.col("__part.group") & (F.col("__sum") - F.col("__d") > F.col("__part.base")), F.lit(False))
+    spec = grouped & (F.col("__sum") - F.col("__d") == F.col("__part.base") + 1) & c.rlike(rf"^\s+{IDENT}\b") & ~F.col("go_on")
+    first = spec | (c.rlike(r"^(?:type|func|var|const)\b") & ~F.col("__part.group"))
+    x = x.withColumn("__spec", spec).withColumn("__first", first) \
+        .withColumn("__head", F.when(first, _without_type_params(F.when(spec, F.concat(F.lit("type "), F.ltrim(F.regexp_replace(
+            c, r"^\s+", "")))).otherwise(c)))) \
+        .withColumn("__end", F.when((c != "") & ~F.col("__on") & (
+            F.col("__sum") <= F.col("__part.base") + F.when(grouped, 1).otherwise(0)), F.col("line_no")))
+    x = x.withColumn("kind", F.when(F.col("__first"), _kind_expr(F.col("__head")))) \
+        .withColumn("__next_end", F.last("__end", ignorenulls=True).over(from_here)) \
+        .withColumn("__next_first", F.last(F.when(F.col("__word") | F.col("__first"), F.col("line_no")), ignorenulls=True).over(ahead))
+    bad = F.when(F.col("__first") & F.col("kind").isNull(), F.lit("declaration not recognised")) \
+        .when(F.col("__first") & (F.col("__next_end").isNull() | F.coalesce(F.col("__next_end") >= F.col("__next_first"), F.lit(False))),
+              F.lit("block not closed before the next declaration"))
+    x = x.withColumn("bad", bad)
+    good = F.col("__first") & F.col("bad").isNull()
+    name = _name_expr(F.col("__head"), F.col("kind"))
+    head = F.when(good, F.struct(F.col("line_no").alias("s"), F.col("__next_end").alias("e"), F.col("kind").alias("k"),
+                                 name.alias("n"), (F.col("__psum") - F.col("__p")).alias("p")))
+    x = x.withColumn("next_code", F.last(F.when(~F.col("is_comment"), F.struct(
+            F.col("line_no").alias("line_no"), F.when(good, F.struct(F.col("__next_end").alias("e"), F.col("kind").alias("k"),
+                                                                    name.alias("n"))).alias("decl"))), ignorenulls=True).over(ahead)) \
+        .withColumn("__span", F.last(head, ignorenulls=True).over(asc))
+    # a header ends with the first line that leaves no paren or bracket of it open
+    x = x.withColumn("__head_end", F.last(F.when((c != "") & (F.col("__psum") <= F.col("__span.p")), F.col("line_no")), ignorenulls=True).over(before))
     in_span = F.col("__span").isNotNull() & (F.col("line_no") <= F.col("__span.e"))
     doc_of = F.when(F.col("is_comment") & F.col("next_code.decl").isNotNull(), F.col("next_code"))
     role = F.when(in_span & (F.col("line_no") == F.col("__span.s")), F.lit("decl")) \
         .when(in_span, F.lit("body")).when(doc_of.isNotNull(), F.lit("doc"))
+    in_head = (F.col("line_no") == F.col("__span.s")) | (
+        F.col("__span.k").isin("func", "method", "functype") & F.coalesce(F.col("__head_end") < F.col("__span.s"), F.lit(True)))
     return x.select(
-        *key, "line_no", "text", "kind", "is_comment", "ctext", "bad", role.alias("role"),
+        *key, "line_no", "text", "code", "kind", "is_comment", "ctext", "bad", "go_on", role.alias("role"),
+        F.when(in_span, in_head).alias("head"), F.col("__spec").alias("spec"), F.col("__d").alias("net"),
         F.when(in_span, F.col("__span.s")).otherwise(doc_of["line_no"]).alias("owner_line"),
         F.when(in_span, F.col("__span.k")).otherwise(doc_of["decl"]["k"]).alias("owner_kind"),
         F.when(in_span, F.col("__span.n")).otherwise(doc_of["decl"]["n"]).alias("owner_name"),
@@ -145,21 +228,29 @@ def declarations(ln: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFram
     the same grouped rows, no joins.
     """
     lab = label_lines(ln, key)
-    bad = lab.filter("bad").select(*key, F.col("line_no").alias("decl_line"), F.lit("declarations").alias("stage"),
-                                   F.lit("block not closed in column 0").alias("message"))
+    bad = lab.filter(F.col("bad").isNotNull()).select(
+        *key, F.col("line_no").alias("decl_line"), F.lit("declarations").alias("stage"), F.col("bad").alias("message"))
     own = lab.filter(F.col("role").isNotNull())
     text_part = F.when(F.col("role") != "doc", F.col("text"))
     doc_part = F.when(F.col("role") == "doc", F.col("ctext"))
     # only collect aggregates: planned as a hash-based object aggregate (no sort)
     head_row = F.when(F.col("role") == "decl", F.struct(F.col("owner_kind").alias("k"), F.col("owner_name").alias("n"),
-                                                         F.col("end_line").alias("e"), F.col("text").alias("h")))
+                                                         F.col("end_line").alias("e"), F.col("text").alias("h"), F.col("spec").alias("g")))
+    head_part = F.when(F.col("head") & ~F.col("is_comment"), F.struct("line_no", strip_ws("code").alias("c")))
     g = own.groupBy(*key, F.col("owner_line").alias("decl_line")).agg(
-        F.collect_list(head_row).alias("__hd"),
+        F.collect_list(head_row).alias("__hd"), F.array_sort(F.collect_list(head_part)).alias("__hs"),
         F.array_sort(F.collect_list(F.struct("line_no", text_part.alias("t"), doc_part.alias("d")))).alias("__ls"))
     g = g.select(*key, "decl_line", F.col("__hd")[0]["k"].alias("kind"), F.col("__hd")[0]["n"].alias("name"),
-                 F.col("__hd")[0]["e"].alias("end_line"), F.col("__hd")[0]["h"].alias("__head"), "__ls")
+                 F.col("__hd")[0]["e"].alias("end_line"), F.col("__hd")[0]["h"].alias("__text"), F.col("__hd")[0]["g"].alias("__spec"),
+                 F.array_join(F.transform("__hs", lambda r: r["c"]), " ").alias("__code"), "__ls")
     full = F.array_join(F.transform(F.filter("__ls", lambda r: r["t"].isNotNull()), lambda r: r["t"]), "\n")
     doc = _clean_doc(F.array_join(F.transform(F.filter("__ls", lambda r: r["d"].isNotNull()), lambda r: r["d"]), "\n"))
+    # a header over several lines as one line; a body on the same line goes
+    one = F.regexp_replace(F.regexp_replace("__code", r"([(\[])\s+", "$1"), r",?\s+([)\]])", "$1")
+    cut = _opened_up(F.regexp_replace(_closed_up(one), r"\s+[{\x06].*\z", ""))
+    h = F.when(F.col("kind").isin("func", "method", "functype"), cut) \
+        .when(F.col("kind").isin("struct", "interface"), F.col("__code")).otherwise(strip_ws("__text"))
+    g = g.withColumn("__head", F.when(F.col("__spec"), F.concat(F.lit("type "), h)).otherwise(h))
     h = F.col("__head")
     recv = F.when(F.col("kind") == "method", F.regexp_extract(h, r"^func\s*\(([^)]*)\)", 1))
     recv_type = F.trim(F.regexp_replace(recv, r"^\s*" + IDENT + r"\s+", ""))
@@ -174,15 +265,13 @@ def declarations(ln: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFram
 def member_lines(lab: DataFrame, key: Sequence[str], kinds: Sequence[str]) -> DataFrame:
     """Lines strictly inside the block of declarations of the given kinds (from
     :func:`label_lines`), with the owner's ``owner_line`` / ``owner`` name, the
-    brace ``depth`` relative to the owner block and the member's own doc (the
+    bracket ``depth`` relative to the owner block and the member's own doc (the
     comment lines whose next code line is the member)."""
     body = lab.filter((F.col("role") == "body") & F.col("owner_kind").isin(*kinds) &
                       (F.col("line_no") > F.col("owner_line")) & (F.col("line_no") < F.col("end_line")))
-    stripped = F.regexp_replace("text", r"`[^`]*`", "")
-    delta = F.length(F.regexp_replace(stripped, r"[^{]", "")) - F.length(F.regexp_replace(stripped, r"[^}]", ""))
     before = Window.partitionBy(*key, "owner_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     code = F.when(~F.col("is_comment"), 1).otherwise(0)
-    body = body.withColumn("depth", F.coalesce(F.sum(delta).over(before), F.lit(0))) \
+    body = body.withColumn("depth", F.coalesce(F.sum("net").over(before), F.lit(0))) \
         .withColumn("__g", F.coalesce(F.sum(code).over(before), F.lit(0)))
     # a member's doc = the comment lines right above it: they share its count
     # of preceding code lines, so one window per such group (no self-join)
@@ -191,58 +280,48 @@ def member_lines(lab: DataFrame, key: Sequence[str], kinds: Sequence[str]) -> Da
     doc = F.array_join(F.transform(F.array_sort(notes), lambda r: r["t"]), "\n")
     return body.withColumn("member_doc", doc).filter(~F.col("is_comment") & (strip_ws("text") != "")) \
         .withColumn("member_doc", F.coalesce("member_doc", F.lit(""))) \
-        .select(*key, "owner_line", F.col("owner_name").alias("owner"), "line_no", "text", "depth", "member_doc")
+        .select(*key, "owner_line", F.col("owner_name").alias("owner"), "line_no", "text", "code", "go_on", "depth", "member_doc")
 
 
 # --- E8 ---------------------------------------------------------------------
-MAX_STRUCT_DEPTH = 4
-
-
-def fields(ml: DataFrame, key: Sequence[str], max_depth: int = MAX_STRUCT_DEPTH) -> DataFrame:
+def fields(ml: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row per field name; embedded fields have an empty name and the type as text.
 
     A field declared as ``Name struct {`` opens a nested anonymous struct: its
     members get ``depth`` + 1 and ``struct_path`` = the chain of enclosing
     field names (``Profile`` or ``Outer.Inner``); the tag written after the
-    closing ``}`` belongs to the opening field (``anonymous`` = true).  The
-    chain is resolved with one running ``last`` per nesting level, up to
-    ``max_depth`` levels (deeper members keep a null ``struct_path``).
+    closing ``}`` belongs to the opening field (``anonymous`` = true).  Any
+    depth: a line takes a row for each level above it, and in the window of
+    that level the line before it is the one that opened the level.  Lines
+    inside anything else than a struct (a function type over several lines) are no fields.
     """
-    t = strip_ws("text")
-    tag = F.regexp_extract(t, r"`([^`]*)`\s*(?://.*)?$", 1)
-    body = F.trim(F.regexp_replace(F.regexp_replace(t, r"`[^`]*`", ""), r"//.*$", ""))
+    code = strip_ws("code")
+    tag = F.when(code.endswith('""'), F.regexp_extract("text", r"`([^`]*)`", 1)).otherwise("")
+    body = strip_ws(F.regexp_replace(code, r'""\z', ""))
     named = body.rlike(rf"^{IDENT}(?:\s*,\s*{IDENT})*\s+\S")
     names = F.when(named, F.regexp_extract(body, rf"^({IDENT}(?:\s*,\s*{IDENT})*)\s+", 1))
     typ = F.when(named, F.trim(F.regexp_replace(body, rf"^{IDENT}(?:\s*,\s*{IDENT})*\s+", ""))).otherwise(body)
-    closing = t.rlike(r"^\}")
-    x = ml.select(*key, "owner_line", "owner", "line_no", "depth", "member_doc", closing.alias("__close"),
+    x = ml.select(*key, "owner_line", "owner", "line_no", "depth", "member_doc", code.rlike(r"^[})]").alias("__close"),
                   names.alias("names"), typ.alias("type_text"), tag.alias("tag"))
-    opener = ~F.col("__close") & F.col("type_text").rlike(r"^struct\s*\{$")
-    x = x.withColumn("__open", opener).withColumn("type_text", F.regexp_replace("type_text", r"\s*\{$", ""))
-    # name of the innermost open anonymous struct at each level, carried down the lines
-    w = Window.partitionBy(*key, "owner_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    for lv in range(max_depth):
-        x = x.withColumn(f"__lv{lv}", F.last(F.when(F.col("__open") & (F.col("depth") == lv), F.col("names")),
-                                             ignorenulls=True).over(w))
-    path = F.lit("")
-    for lv in range(max_depth):
-        path = F.when(F.col("depth") > lv, F.concat(path, F.when(F.lit(lv > 0), F.lit(".")).otherwise(F.lit("")),
-                                                    F.col(f"__lv{lv}"))).otherwise(path)
-    x = x.withColumn("struct_path", F.when(F.col("depth") <= max_depth, path))
-    # the tag after a closing brace belongs to the field that opened that
-    # struct: for an opener at depth d it is the nearest following closing
-    # line at depth d + 1 (a growing frame in descending order, no self-join)
-    ahead = Window.partitionBy(*key, "owner_line").orderBy(F.col("line_no").desc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    close_tag = F.lit(None).cast("string")
-    for lv in range(max_depth):
-        nxt = F.last(F.when(F.col("__close") & (F.col("depth") == lv + 1), F.col("tag")), ignorenulls=True).over(ahead)
-        close_tag = F.when(F.col("__open") & (F.col("depth") == lv), nxt).otherwise(close_tag)
-    x = x.withColumn("__ctag", close_tag).filter(~F.col("__close")) \
-        .withColumn("tag", F.coalesce(F.nullif(F.col("tag"), F.lit("")), F.col("__ctag"), F.lit("")))
-    ex = x.select(*key, "owner_line", "owner", "line_no", "depth", "struct_path", "member_doc", "type_text", "tag",
-                  F.col("__open").alias("anonymous"),
-                  F.posexplode_outer(F.split(F.coalesce("names", F.lit("")), r"\s*,\s*")).alias("name_pos", "name"))
+    x = x.withColumn("__open", ~F.col("__close") & F.col("type_text").rlike(r"^struct\s*\{$")) \
+        .withColumn("type_text", F.regexp_replace("type_text", r"\s*\{$", "")) \
+        .withColumn("__level", F.explode(F.sequence(F.lit(0), F.greatest(F.col("depth").cast("int"), F.lit(0)))))
+    at = Window.partitionBy(*key, "owner_line", "__level")
+    before = at.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = at.orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.col("__level") == F.col("depth")
+    opener = F.struct(F.when(F.col("__open"), F.col("names")).alias("n"))
+    x = x.withColumn("__above", F.last(F.when(own & ~F.col("__close"), opener), ignorenulls=True).over(before)) \
+        .withColumn("__ctag", F.last(F.when(F.col("__close") & (F.col("__level") == F.col("depth") - 1), F.col("tag")), ignorenulls=True).over(ahead))
+    row = F.struct("owner", "depth", "member_doc", "type_text", "names", F.col("__open").alias("anonymous"),
+                   F.coalesce(F.nullif("tag", F.lit("")), F.when(F.col("__open"), F.col("__ctag")), F.lit("")).alias("tag"))
+    x = x.filter(~F.col("__close")).groupBy(*key, "owner_line", "line_no").agg(
+        F.collect_list(F.when(own, row)).alias("__row"),
+        F.array_sort(F.collect_list(F.when(~own, F.struct("__level", F.col("__above.n").alias("n"))))).alias("__path"))
+    x = x.filter(F.forall("__path", lambda r: r["n"].isNotNull())) \
+        .withColumn("struct_path", F.array_join(F.transform("__path", lambda r: r["n"]), ".")).withColumn("__r", F.col("__row")[0])
+    ex = x.select(*key, "owner_line", "__r.owner", "line_no", "__r.depth", "struct_path", "__r.member_doc", "__r.type_text", "__r.tag", "__r.anonymous",
+                  F.posexplode_outer(F.split(F.coalesce("__r.names", F.lit("")), r"\s*,\s*")).alias("name_pos", "name"))
     return ex.withColumn("exported", F.when(F.col("name") == "", is_exported("type_text"))
                          .otherwise(is_exported("name"))) \
         .withColumn("embedded", F.col("name") == "")
@@ -256,6 +335,25 @@ def spec_names(spec_text: Column | str) -> Column:
     return F.split(lhs, r"\s*,\s*")
 
 
+def value_specs(decls: DataFrame, ml: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per var / const name: ``key, line_no, kind, name, doc, exported``.
+
+    Specs are the lines of a ``( … )`` group that stand outside all inner brackets and
+    begin an expression; any other var or const is one spec, over however
+    many lines.  A spec's own doc comes before that of its group.
+    """
+    kinds = decls.filter(F.col("kind").isin("const", "var")).withColumn("__group", F.col("decl").isin("const", "var"))
+    groups = kinds.filter("__group").select(*key, F.col("decl_line").alias("owner_line"), "kind", F.col("doc").alias("group_doc"))
+    inner = ml.filter((F.col("depth") == 0) & ~F.col("go_on")).join(groups, [*key, "owner_line"]) \
+        .select(*key, "line_no", "kind", F.col("code").alias("text"), "member_doc", "group_doc")
+    single = kinds.filter(~F.col("__group")).select(
+        *key, F.col("decl_line").alias("line_no"), "kind", F.regexp_replace("decl", r"^(var|const)\s+", "").alias("text"),
+        F.lit("").alias("member_doc"), F.col("doc").alias("group_doc"))
+    names = inner.unionByName(single).select(*key, "line_no", "kind", "member_doc", "group_doc", F.explode(spec_names("text")).alias("name"))
+    doc = F.when(F.col("member_doc") != "", F.col("member_doc")).otherwise(F.col("group_doc"))
+    return names.filter(F.col("name") != "").select(*key, "line_no", "kind", "name", doc.alias("doc"), is_exported("name").alias("exported"))
+
+
 def const_values(specs: DataFrame, group_cols: Sequence[str], pos_col: str, expr_col: str) -> DataFrame:
     """Repeat the last expression for specs without one; counter = position from 0.
 
@@ -289,7 +387,7 @@ def const_specs(ml: DataFrame, key: Sequence[str]) -> DataFrame:
     typ = F.trim(F.regexp_extract(rest, r"^([^=]*)", 1))
     expr = F.when(rest.contains("="), F.trim(F.regexp_extract(rest, r"=(.*)$", 1)))
     w = Window.partitionBy(*key, "owner_line").orderBy("line_no")
-    specs = ml.filter((F.col("depth") == 0) & (lhs != "") & ~t.startswith(")")) \
+    specs = ml.filter((F.col("depth") == 0) & ~F.col("go_on") & (lhs != "") & ~t.startswith(")")) \
         .select(*key, "owner_line", "line_no", "member_doc", lhs.alias("names"),
                 F.when(typ != "", typ).alias("type_text"), expr.alias("expr"))
     return specs.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
@@ -312,16 +410,27 @@ def const_decls(specs: DataFrame, key: Sequence[str]) -> DataFrame:
 
 # --- E11 --------------------------------------------------------------------
 def interface_members(ml: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(methods, type-set terms) of interface bodies; terms de-duplicated first wins."""
-    t = strip_ws("text")
-    top = ml.filter((F.col("depth") == 0) & ~t.rlike(r"^\}"))
-    meth = top.filter(t.rlike(rf"^{IDENT}\s*\(")).select(
+    """(methods, type-set terms) of interface bodies; terms de-duplicated first wins.
+
+    A member is a line outside all inner brackets with the lines that go on from
+    it.  One that isn't a method is an element of the type set: a union, a
+    single term or an embedded interface.
+    """
+    turn = Window.partitionBy(*key, "owner_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.when((F.col("depth") == 0) & ~F.col("go_on"), F.struct("line_no", "member_doc"))
+    unit = ml.withColumn("__m", F.last(begins, ignorenulls=True).over(turn)).groupBy(*key, "owner_line", "owner", "__m").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", strip_ws("code").alias("c")))).alias("__ls"))
+    t = F.array_join(F.transform("__ls", lambda r: r["c"]), " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"([(\[])\s+", "$1"), r",?\s+([)\]])", "$1")
+    top = unit.select(*key, "owner_line", "owner", F.col("__m.line_no").alias("line_no"), F.col("__m.member_doc").alias("member_doc"), t.alias("__t"))
+    method = F.col("__t").rlike(rf"^{IDENT}\s*\(")
+    meth = top.filter(method).select(
         *key, "owner_line", "owner", "line_no", "member_doc",
-        F.regexp_extract(t, rf"^({IDENT})", 1).alias("name"),
-        F.regexp_extract(t, rf"^{IDENT}\s*(\(.*)$", 1).alias("signature"))
-    sets = top.filter(t.contains("|") | t.startswith("~")).select(
-        *key, "owner_line", "owner", "line_no", F.posexplode(F.split(t, r"\s*\|\s*")).alias("term_pos", "term"))
-    sets = sets.withColumn("term", F.trim(F.regexp_replace("term", r"[()]", "")))
+        F.regexp_extract("__t", rf"^({IDENT})", 1).alias("name"),
+        F.regexp_extract("__t", rf"^{IDENT}\s*(\(.*)$", 1).alias("signature"))
+    sets = top.filter(~method).select(
+        *key, "owner_line", "owner", "line_no", F.posexplode(F.split("__t", r"\s*\|\s*")).alias("term_pos", "term"))
+    sets = sets.withColumn("term", F.trim(F.regexp_replace("term", r"[()]", ""))).filter(F.col("term") != "")
     first = sets.groupBy(*key, "owner_line", "owner", "term").agg(
         F.min(F.struct("line_no", "term_pos")).alias("__f"))
     wt = Window.partitionBy(*key, "owner_line").orderBy("__f")
@@ -329,18 +438,13 @@ def interface_members(ml: DataFrame, key: Sequence[str]) -> tuple[DataFrame, Dat
     return meth, terms
 
 
-# --- E12 --------------------------------------------------------------------
-def split_top(s: Column, passes: int = 6) -> Column:
-    """Split a list on commas outside ``[...]`` / ``(...)`` (one nesting level,
-    up to ``passes`` inner commas per group)."""
-    p = s
-    for _ in range(passes):
-        p = F.regexp_replace(p, r"(\[[^\[\]]*?),([^\[\]]*\])", "$1\u0001$2")
-        p = F.regexp_replace(p, r"(\([^()]*?),([^()]*\))", "$1\u0001$2")
-    parts = F.split(p, ",")
-    return F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, "\u0001", ","))), lambda x: x != "")
+def method_heads(meth: DataFrame) -> DataFrame:
+    """Interface methods in the shape of declarations, for :func:`signature_parts`."""
+    return meth.select("*", F.col("line_no").alias("decl_line"), F.lit("interface_method").alias("kind"),
+                       F.concat(F.lit("func "), "name", "signature").alias("decl"))
 
 
+# --- E12 --------------------------------------------------------------------
 def param_rows(lists: DataFrame, key: Sequence[str], list_col: str = "list_text",
                group: Sequence[str] = ("decl_line", "role"), carry: Sequence[str] = ()) -> DataFrame:
     """One row per parameter of ``list_col`` with name and type; ``a, b T`` gives two.
@@ -352,7 +456,7 @@ def param_rows(lists: DataFrame, key: Sequence[str], list_col: str = "list_text"
     """
     grp = [*key, *group]
     x = lists.select(*grp, *carry, F.posexplode_outer(split_top(F.col(list_col))).alias("pos", "item"))
-    named_list = F.max(F.col("item").rlike(rf"^{IDENT}\s+\S").cast("int")).over(Window.partitionBy(*grp))
+    named_list = F.max(F.col("item").rlike(rf"^(?!(?:chan|func|struct|interface|map)\b){IDENT}\s+\S").cast("int")).over(Window.partitionBy(*grp))
     x = x.withColumn("__named", named_list == 1)
     name = F.when(F.col("__named"), F.regexp_extract("item", rf"^({IDENT})", 1))
     typ = F.when(F.col("__named"), F.nullif(F.trim(F.regexp_replace("item", rf"^{IDENT}\s*", "")), F.lit(""))) \
@@ -376,17 +480,23 @@ def signature_lists(sig: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def signature_parts(decls: DataFrame) -> DataFrame:
-    """Type params, params and results text of func / method / functype declarations."""
-    d = F.col("decl")
-    head = rf"^(?:func\s*(?:\([^)]*\))?\s*{IDENT}|type\s+{IDENT}\s*(?:\[[^\]]*\])?\s*func)"
-    tparams = F.when(F.col("kind") != "functype", F.regexp_extract(d, rf"^func\s*(?:\([^)]*\))?\s*{IDENT}\[([^\]]*)\]", 1)) \
-        .otherwise(F.regexp_extract(d, rf"^type\s+{IDENT}\s*\[([^\]]*)\]", 1))
-    rest = F.regexp_replace(d, head + r"\s*(?:\[[^\]]*\])?", "")
-    params = F.regexp_extract(rest, r"^\(((?:[^()]|\([^()]*\))*)\)", 1)
-    results = F.trim(F.regexp_replace(rest, r"^\((?:[^()]|\([^()]*\))*\)", ""))
-    results = F.when(results.startswith("("), F.regexp_extract(results, r"^\((.*)\)$", 1)).otherwise(results)
-    return decls.withColumn("type_params_text", tparams).withColumn("params_text", params) \
-        .withColumn("results_text", results)
+    """Receiver, type params, params and results text of func / method / functype declarations, by matching brackets of any depth."""
+    def inside(c: str) -> Column:
+        return F.substr(F.col(c), F.lit(2), F.length(c) - 2)
+
+    def after(text: str, part: str) -> Column:
+        return F.ltrim(F.substr(F.col(text), F.length(part) + 1))
+
+    x = decls.withColumn("__s", F.regexp_replace("decl", r"^(?:func|type)\s*", "")) \
+        .withColumn("__r", F.when(F.col("kind") == "method", balanced(F.col("__s"))).otherwise("")) \
+        .withColumn("__s", F.regexp_replace(after("__s", "__r"), rf"^{IDENT}", "")) \
+        .withColumn("__t", F.when(F.col("__s").startswith("["), balanced(F.col("__s"))).otherwise("")) \
+        .withColumn("__s", F.regexp_replace(after("__s", "__t"), r"^(?:=\s*)?func\s*(?=\()", "")) \
+        .withColumn("__p", balanced(F.col("__s"))).withColumn("__s", F.trim(after("__s", "__p"))) \
+        .withColumn("__q", balanced(F.col("__s")))
+    results = F.when(F.col("__s").startswith("(") & (F.length("__q") == F.length("__s")), inside("__q")).otherwise(F.col("__s"))
+    return x.withColumns({"recv_text": F.when(F.col("kind") == "method", inside("__r")), "type_params_text": inside("__t"),
+                          "params_text": inside("__p"), "results_text": results}).drop("__s", "__r", "__t", "__p", "__q")
 
 
 # --- E13 --------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Example JSON / YAML documents per struct from its field rows.
 
 Values come from a ``when`` chain on the field type.  Nested anonymous
-structs are built bottom-up, one aggregation per nesting level (a bounded
-loop over the maximum depth): the object text of every ``(owner,
+structs are built bottom-up, one aggregation per nesting level (as many as the
+deepest struct has): the object text of every ``(owner,
 struct_path)`` group becomes the value of the field that opened it.  Every
 group is one struct's visible fields, so no group grows with the corpus.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import ordered_join
-from .decls import MAX_STRUCT_DEPTH, tag_value
+from .decls import tag_value
 
 # Example literal per basic type.
 _INTS = ["int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64", "byte", "rune"]
@@ -42,7 +42,7 @@ def _own_path() -> Column:
 
 
 def _build(fields: DataFrame, key: Sequence[str], tag_key: str, line: Column, sep: str, wrap,
-           max_depth: int) -> DataFrame:
+           owners: DataFrame | None) -> DataFrame:
     """Bottom-up assembly.  ``line(value)`` renders one field, ``wrap(body, depth)`` one object."""
     from ..session import ensure_checkpoint_dir
     k = [*key, "owner_line", "owner"]
@@ -52,9 +52,8 @@ def _build(fields: DataFrame, key: Sequence[str], tag_key: str, line: Column, se
     # and the deepest level actually present bounds the loop
     ensure_checkpoint_dir(fields.sparkSession)
     fields = fields.checkpoint(eager=True)
-    present = fields.agg(F.max("depth").alias("d")).first()["d"]
-    max_depth = min(max_depth, int(present or 0))
-    f = fields.filter(F.col("depth") <= max_depth).withColumn(
+    max_depth = int(fields.agg(F.max("depth").alias("d")).first()["d"] or 0)
+    f = fields.withColumn(
         "__fname", F.when(tv != "", F.substring_index(tv, ",", 1)).otherwise(F.col("name"))) \
         .withColumn("__visible", F.col("exported") & (F.col("name") != "") & (tv != "-") & (F.col("__fname") != "")) \
         .withColumn("struct_path", F.coalesce("struct_path", F.lit("")))
@@ -70,10 +69,15 @@ def _build(fields: DataFrame, key: Sequence[str], tag_key: str, line: Column, se
             ordered_join(["line_no", "name_pos"], "__line", sep).alias("__body"),
             F.count(F.col("__line")).alias("__nvis"))
         nested = grouped.select(*k, "__gpath", wrap(F.col("__body"), F.col("__nvis"), F.lit(lv)).alias("__obj"))
-    return nested.filter(F.col("__gpath") == "")
+    top = nested.filter(F.col("__gpath") == "")
+    if owners is None:
+        return top
+    # structs without fields
+    return owners.select(*k).join(top, k, "left").withColumn("__obj", F.coalesce("__obj", F.lit("{}")))
 
 
-def example_json(fields: DataFrame, key: Sequence[str], max_depth: int = MAX_STRUCT_DEPTH) -> DataFrame:
+def example_json(fields: DataFrame, key: Sequence[str], owners: DataFrame | None = None) -> DataFrame:
+    """``owners(key, owner_line, owner)``: all structs, so that those without fields get a row too."""
     t = F.regexp_replace(F.trim(F.col("type_text")), r"^\*", "")
 
     def line(obj: Column) -> Column:
@@ -86,11 +90,12 @@ def example_json(fields: DataFrame, key: Sequence[str], max_depth: int = MAX_STR
         return F.when(nvis > 0, F.concat(F.lit("{\n"), body, F.lit("\n"), _pad(depth), F.lit("}"))) \
             .otherwise(F.concat(F.lit("{\n"), _pad(depth), F.lit("}")))
 
-    out = _build(fields, key, "json", line, ",\n", wrap, max_depth)
+    out = _build(fields, key, "json", line, ",\n", wrap, owners)
     return out.select(*key, "owner", F.col("__obj").alias("example_json"))
 
 
-def example_yaml(fields: DataFrame, key: Sequence[str], max_depth: int = MAX_STRUCT_DEPTH) -> DataFrame:
+def example_yaml(fields: DataFrame, key: Sequence[str], owners: DataFrame | None = None) -> DataFrame:
+    """``owners(key, owner_line, owner)``: all structs, so that those without fields get a row too."""
     t = F.regexp_replace(F.trim(F.col("type_text")), r"^\*", "")
 
     def line(obj: Column) -> Column:
@@ -105,5 +110,5 @@ def example_yaml(fields: DataFrame, key: Sequence[str], max_depth: int = MAX_STR
     def wrap(body: Column, nvis: Column, depth: Column) -> Column:
         return F.coalesce(body, F.lit(""))
 
-    out = _build(fields, key, "yaml", line, "\n", wrap, max_depth)
+    out = _build(fields, key, "yaml", line, "\n", wrap, owners)
     return out.select(*key, "owner", F.col("__obj").alias("example_yaml"))

@@ -15,10 +15,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: One token of a source text: comment, raw string, string, character, other text.  Possessive
+#: repetitions, so that long literals take no stack.
+_TOKEN = (r"(?s)//[^\n]*+|/\*.*?(?:\*/|\z)|`[^`]*+`?|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"?"
+          r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|[^/`\"']++|/")
+
+
+def code_text(text: Column | str) -> Column:
+    """A source text without its comments and with every literal as ``""``; line ends stay.
+
+    The tokens are taken in turn, so a comment mark inside a string, or a quote
+    inside a comment, is told apart over any number of lines.  A line that
+    ends inside a raw string ends with a backslash.
+    """
+    c = F.col(text) if isinstance(text, str) else text
+
+    def plain(t: Column) -> Column:
+        raw = F.regexp_replace(F.regexp_replace(t, r"[^\n]+", ""), r"\n", "\\\\\n")
+        return (F.when(t.startswith("//"), "").when(t.startswith("/*"), F.regexp_replace(t, r"[^\n]+", ""))
+                .when(t.startswith("`"), F.concat(F.lit('"'), raw, F.lit('"')))
+                .when(t.startswith('"') | t.startswith("'"), '""').otherwise(t))
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0)), plain), "")
+
+
 # --- E1 ---------------------------------------------------------------------
 def lines(df: DataFrame, key: Sequence[str], content_col: str = "content", partition: bool = True,
-          head: int | None = None) -> DataFrame:
-    """One row per line: ``key..., line_no (1-based), text``.
+          head: int | None = None, code: bool = False) -> DataFrame:
+    """One row per line: ``key..., line_no (1-based), text``, with ``code`` also that line of :func:`code_text`.
 
     With ``partition`` the files are hash-partitioned by ``key`` *before* the
     explosion: the shuffle moves whole texts (cheaper than moving lines) and
@@ -31,6 +55,10 @@ def lines(df: DataFrame, key: Sequence[str], content_col: str = "content", parti
     if partition:
         src = src.repartition(*key)
     text = F.split(F.col(content_col), "\n", -1)
+    if code:
+        both = F.arrays_zip(text.alias("text"), F.split(code_text(content_col), "\n", -1).alias("code"))
+        return src.select(*key, F.posexplode(both).alias("pos", "line")) \
+            .select(*key, (F.col("pos") + 1).cast("long").alias("line_no"), "line.text", "line.code")
     if head is not None:
         text = F.slice(text, 1, head)
     return src.select(*key, F.posexplode(text).alias("pos", "text")) \
@@ -54,7 +82,9 @@ def mark_comments(ln: DataFrame, key: Sequence[str]) -> DataFrame:
     """
     t = F.col("text")
     lt = F.regexp_replace(t, r"^\s+", "")
-    opens = lt.startswith("/*") & ~F.substring_index(lt, "/*", -1).contains("*/")
+    coded = "code" in ln.columns   # then a line inside a raw string is no comment
+    blank = ~F.col("code").rlike(r"\S") if coded else F.lit(True)
+    opens = lt.startswith("/*") & ~F.substring_index(lt, "/*", -1).contains("*/") & blank
     closes = t.contains("*/")
     before = Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     x = ln.withColumn("__qs_in", F.coalesce(F.last(F.when(opens, F.lit(True)).when(closes, F.lit(False)),
@@ -67,7 +97,7 @@ def mark_comments(ln: DataFrame, key: Sequence[str]) -> DataFrame:
             .when(line_comment, F.regexp_replace(F.regexp_replace(t, r"^\s*//", ""), r"^ ", ""))
             .when(single_block, F.regexp_replace(F.regexp_replace(t, r"^\s*/\*", ""), r"\*/\s*\z", ""))
             .when(opens, F.regexp_replace(t, r"^\s*/\*", "")))
-    is_c = inside | line_comment | lt.startswith("/*")
+    is_c = (inside | line_comment | lt.startswith("/*")) & blank
     directive = ~inside & t.rlike(r"^\s*//(?:line |extern |export |[a-z0-9]+:[a-z0-9])")
     return x.withColumn("is_comment", is_c) \
         .withColumn("ctext", F.when(is_c & ~directive, F.regexp_replace(body, r"\s+\z", ""))).drop("__qs_in")

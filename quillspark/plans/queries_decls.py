@@ -6,20 +6,22 @@ line layout per file), not from the engine's plan.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..fixtures import cte, fx
 from ..operators import aggregates as A
 from ..operators import decls as D
+from ..operators import examples as EX
 from ..operators import lines as L
 from ..operators.paths import dir_of
+from ..shapes import rows_sql
 from .catalog import query
 
 K = ["file_id"]
 
 
 def fx1_decls(spark, sf_dir):
-    ln = L.lines(fx(spark, sf_dir, "fx1_files"), K)
+    ln = L.lines(fx(spark, sf_dir, "fx1_files"), K, code=True)
     decls, _bad = D.declarations(ln, K)
     return ln, decls
 
@@ -215,17 +217,7 @@ FROM fx1_files, (VALUES ('A', 35, 'const', 'A is first.', true), ('B', 36, 'cons
                        ('x', 40, 'var', '', false), ('Y', 40, 'var', '', true)) v(name, ln, kind, doc, exported)""")
 def e9_var_specs(spark, sf_dir):
     ln, d = fx1_decls(spark, sf_dir)
-    groups = D.member_lines(D.label_lines(ln, K), K, ["const", "var"]).filter(~F.trim("text").startswith(")"))
-    kinds = d.select(*K, F.col("decl_line").alias("owner_line"), "kind", F.col("doc").alias("group_doc"))
-    inner = groups.join(kinds, [*K, "owner_line"]).select(*K, "line_no", "kind", "text", "member_doc", "group_doc")
-    single = d.filter(F.col("kind").isin("const", "var") & (F.col("end_line") == F.col("decl_line"))) \
-        .select(*K, F.col("decl_line").alias("line_no"), "kind",
-                F.regexp_replace("decl", r"^(var|const)\s+", "").alias("text"), F.lit("").alias("member_doc"),
-                F.col("doc").alias("group_doc"))
-    specs = inner.unionByName(single)
-    ex = specs.select(*K, "line_no", "kind", "member_doc", "group_doc", F.explode(D.spec_names("text")).alias("name"))
-    doc = F.when(F.col("member_doc") != "", F.col("member_doc")).otherwise(F.col("group_doc"))
-    return ex.select(*K, "name", "line_no", "kind", doc.alias("doc"), D.is_exported("name").alias("exported"))
+    return D.value_specs(d, D.member_lines(D.label_lines(ln, K), K, ["const", "var"]), K)
 
 
 # --- E11 --------------------------------------------------------------------
@@ -251,7 +243,6 @@ def e11_type_set(spark, sf_dir):
 def fx1_params(spark, sf_dir):
     _, d = fx1_decls(spark, sf_dir)
     s = D.signature_parts(d.filter(F.col("kind").isin("func", "method", "functype")))
-    s = s.withColumn("recv_text", F.when(F.col("kind") == "method", F.regexp_extract("decl", r"^func\s*\(([^)]*)\)", 1)))
     out = D.param_rows(D.signature_lists(s, K), K, carry=["kind", "decl_name"])
     return d, out
 
@@ -273,7 +264,7 @@ def e12_params(spark, sf_dir):
 SELECT file_id, CAST(v.dl AS BIGINT) AS decl_line, v.kind, replace(v.name, '#', CAST(file_id AS VARCHAR)) AS name,
        replace(v.sig, '#', CAST(file_id AS VARCHAR)) AS signature
 FROM fx1_files, (VALUES (25, 'method', 'Total', 'func (p *Part#) Total(a int, b int, f al.Item) (float64, error)'),
-                       (29, 'func', 'New#', 'func New#() *Part#'), (47, 'functype', 'Handler#', 'func(al.Item) error')) v(dl, kind, name, sig)""")
+                       (29, 'func', 'New#', 'func New#() *Part#'), (47, 'functype', 'Handler#', 'type Handler# func(al.Item) error')) v(dl, kind, name, sig)""")
 def a7_signatures(spark, sf_dir):
     return A.signatures(fx1_params(spark, sf_dir)[1], K)
 
@@ -291,6 +282,80 @@ def x10_type_params(spark, sf_dir):
     return p.groupBy("decl_id").agg(format_type_params(arr).alias("tparams"))
 
 
+# --- varied shapes (Fx12) -----------------------------------------------------
+def fx12_lines(spark, sf_dir):
+    return L.lines(fx(spark, sf_dir, "fx12_files"), K, code=True)
+
+
+def _shapes(what: str, columns: str) -> str:
+    return cte("fx12_files") + rows_sql(what, columns)
+
+
+def _id(column: str) -> str:
+    return f"replace({column}, '#', CAST(file_id AS VARCHAR)) AS {column}"
+
+
+@query("e6_declaration_shapes", oracle=_shapes("decls", "l, e, kind, name, decl, doc, exported, receiver_key") + f"""
+SELECT file_id, base + l AS decl_line, base + e AS end_line, kind, {_id('name')}, {_id('decl')}, {_id('doc')}, exported, {_id('receiver_key')} FROM wanted""")
+def e6_declaration_shapes(spark, sf_dir):
+    d, _ = D.declarations(fx12_lines(spark, sf_dir), K)
+    return d.select(*K, "decl_line", "end_line", "kind", "name", "decl", "doc", "exported", "receiver_key")
+
+
+@query("q1_declaration_rejects", oracle=_shapes("bad", "l, message") + "SELECT file_id, base + l AS decl_line, message FROM wanted")
+def q1_declaration_rejects(spark, sf_dir):
+    return D.declarations(fx12_lines(spark, sf_dir), K)[1].select(*K, "decl_line", "message")
+
+
+def fx12_members(spark, sf_dir, *kinds):
+    return D.member_lines(D.label_lines(fx12_lines(spark, sf_dir), K), K, kinds)
+
+
+@query("e8_field_shapes", oracle=_shapes("fields", "l, owner, depth, struct_path, name, type_text, tag, member_doc, exported, embedded, anonymous") + f"""
+SELECT file_id, base + l AS line_no, {_id('owner')}, CAST(depth AS BIGINT) AS depth, struct_path, name, type_text, tag, member_doc, exported, embedded, anonymous FROM wanted""")
+def e8_field_shapes(spark, sf_dir):
+    f = D.fields(fx12_members(spark, sf_dir, "struct"), K)
+    return f.select(*K, "line_no", "owner", F.col("depth").cast("long").alias("depth"), "struct_path", "name", "type_text", "tag",
+                    "member_doc", "exported", "embedded", "anonymous")
+
+
+@query("a5_tag_shapes", oracle=_shapes("tags", "owner, has_tags") + f"SELECT file_id, {_id('owner')}, has_tags FROM wanted")
+def a5_tag_shapes(spark, sf_dir):
+    return A.tag_presence(D.fields(fx12_members(spark, sf_dir, "struct"), K), K)
+
+
+@query("a8_example_shapes", oracle=_shapes("examples", "owner, example_json") + f"SELECT file_id, {_id('owner')}, example_json FROM wanted")
+def a8_example_shapes(spark, sf_dir):
+    ln = fx12_lines(spark, sf_dir)
+    owners = D.declarations(ln, K)[0].filter(F.col("kind") == "struct").select(*K, F.col("decl_line").alias("owner_line"), F.col("name").alias("owner"))
+    return EX.example_json(D.fields(D.member_lines(D.label_lines(ln, K), K, ["struct"]), K), K, owners)
+
+
+@query("e9_spec_shapes", oracle=_shapes("specs", "l, kind, name, exported") + f"SELECT file_id, base + l AS line_no, kind, {_id('name')}, exported FROM wanted")
+def e9_spec_shapes(spark, sf_dir):
+    d, _ = D.declarations(fx12_lines(spark, sf_dir), K)
+    return D.value_specs(d, fx12_members(spark, sf_dir, "const", "var"), K).select(*K, "line_no", "kind", "name", "exported")
+
+
+@query("e11_member_shapes", oracle=_shapes("members", "owner, what, pos, member") + f"SELECT file_id, {_id('owner')}, what, CAST(pos AS BIGINT) AS pos, member FROM wanted")
+def e11_member_shapes(spark, sf_dir):
+    m, t = D.interface_members(fx12_members(spark, sf_dir, "interface"), K)
+    turn = Window.partitionBy(*K, "owner_line").orderBy("line_no")
+    m = m.select(*K, "owner", F.lit("method").alias("what"), (F.row_number().over(turn) - 1).cast("long").alias("pos"),
+                 F.concat("name", "signature").alias("member"))
+    return m.unionByName(t.select(*K, "owner", F.lit("term").alias("what"), "pos", F.col("term").alias("member")))
+
+
+@query("a7_signature_shapes", oracle=_shapes("signatures", "l, signature") + f"SELECT file_id, base + l AS decl_line, {_id('signature')} FROM wanted")
+def a7_signature_shapes(spark, sf_dir):
+    ln = fx12_lines(spark, sf_dir)
+    heads = [*K, "decl_line", "kind", "name", "decl"]
+    d = D.declarations(ln, K)[0].filter(F.col("kind").isin("func", "method", "functype")).select(heads)
+    m = D.method_heads(D.interface_members(D.member_lines(D.label_lines(ln, K), K, ["interface"]), K)[0]).select(heads)
+    parts = D.signature_parts(d.unionByName(m))
+    return A.signatures(D.param_rows(D.signature_lists(parts, K), K, carry=["kind", "decl_name"]), K).select(*K, "decl_line", "signature")
+
+
 # --- E13 / E14 (Fx9) --------------------------------------------------------
 @query("e13_type_shape", oracle=cte("fx9_types") + """
 SELECT decl_id, pos, type_text,
