@@ -71,14 +71,16 @@ def counter(path: str) -> Counter_:
 
 
 class Coder:
-    """Token ids of byte-level BPE texts, with a bounded store of the chunks seen.
+    """Token ids of byte-level BPE texts.
 
-    The vocabulary is that of the ``tokenizers`` file; a new chunk's ids come
-    from ``tiktoken`` over the same ranks, which gives the same ids several
-    times faster.  A text that holds a special string goes to ``tokenizers``.
+    The vocabulary is that of the ``tokenizers`` file; the ids come from
+    ``tiktoken`` over the same ranks, which gives the same ids several times
+    faster.  A text that holds a special string goes to ``tokenizers``, and so
+    does one whose runs of white space are too long for ``tiktoken``'s pattern
+    to look ahead over.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str):
         import numpy as np
         import public_tokenizers
         import tiktoken
@@ -94,22 +96,14 @@ class Coder:
                  if piece not in special}
         fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        class Store(dict):
-            def __missing__(self, chunk):
-                ids = np.array(fast.encode_ordinary(chunk), "<u4").tobytes()
-                if len(chunk) <= 64:
-                    if len(self) >= most:
-                        self.clear()
-                    self[chunk] = ids
-                return ids
-
-        store = Store()
-
         def ids(text: str) -> bytes:
             """Little-endian unsigned 32-bit ids."""
-            if any(s in text for s in special):
-                return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            return b"".join(map(store.__getitem__, chunks(text)))
+            if not any(s in text for s in special):
+                try:
+                    return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+                except ValueError:  # the pattern's stack is bounded
+                    pass
+            return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
         self.ids = ids
 

@@ -322,5 +322,11 @@ def test_pipeline(spark):
     assert got.length.sum() == sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("text", ["", " ", " " * 2_000_000 + "x", "\n" * 50_000 + " y", "a" * 100_000, "\x1c \x85\xa0  x\u3000 y", "\u4f60\u597d \U0001f600 \u00e9t\u00e9", "it's <|endoftext|> I'LL"])
+def test_coder(text):
+    from quillspark.llm.tokens import coder, default_tokenizer
+    assert np.frombuffer(coder(default_tokenizer()).ids(text), "<u4").tolist() == ids(text)
+
+
 def test_crc_of_large_ids():
     assert zlib.crc32(np.array([50256], "<u4").tobytes()) == zlib.crc32(b"\x50\xc4\x00\x00")
