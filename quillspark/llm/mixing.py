@@ -98,5 +98,11 @@ def in_order(mixed: DataFrame, *columns: str) -> DataFrame:
     return mixed.repartitionByRange("slot", "in_block").sortWithinPartitions("slot", "in_block").select(*columns)
 
 
+def with_places(mixed: DataFrame, *columns: str, block: int = BLOCK) -> DataFrame:
+    """Rows of ``mix_sources`` in the order of the mix, whose ``slot`` is now the row's own place: ascending, with gaps after short blocks."""
+    slot = [] if "slot" in map(str.lower, columns) else ["slot"]
+    return in_order(mixed, *mixed.columns).withColumn("slot", F.expr(f"slot * {block} + in_block")).select(*columns, *slot)
+
+
 def op3_mix_sources(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "pool", "block", "slot", "in_block")

@@ -12,24 +12,26 @@ from .tokens import coder, default_tokenizer
 CAPACITY = 2048
 #: Units that one task packs at a time; free tokens up to which a bin counts as full; least share of bins that a further round must save.
 GROUP, SLACK, SAVED = 8192, 8, 0.002
+#: Places of the mix whose documents are packed together (one cycle of the default mix); pieces that a document may have.
+SPAN, PIECES = 640, 1 << 21
 _ROWS, _BYTES = 2000, 8 << 20
 
 
-def _cut(path: str, capacity: int, end_id: int):
+def _cut(path: str, capacity: int, end_id: int, carried: tuple = ()):
     def run(batches):
         import pyarrow as pa
 
         ids_of, end = coder(path).ids, np.array([end_id], "<u4").tobytes()
-        names = ["doc_id", "piece", "start", "length", "ids"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["doc_id", "piece", "start", "length", "ids", *carried]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64() for _ in carried]]
         out, held = [[] for _ in names], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text, *place in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = ids_of(text or "") + end
                 total = len(ids) // 4
                 cuts = [0, *range(total % capacity or capacity, total + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    for column, value in zip(out, (doc, piece, a, b - a, ids[4 * a:4 * b])):
+                    for column, value in zip(out, (doc, piece, a, b - a, ids[4 * a:4 * b], *place)):
                         column.append(value)
                     held += 4 * (b - a)
                     if len(out[0]) >= _ROWS or held >= _BYTES:
@@ -39,8 +41,8 @@ def _cut(path: str, capacity: int, end_id: int):
     return run
 
 
-def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, piece, start, length, ids`` (little-endian unsigned 32-bit).
+def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, place: str | None = None) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``doc_id, piece, start, length, ids`` (little-endian unsigned 32-bit) and ``place``, if given.
 
     A document's ids are those of its whole text and then ``end_id``.  Only
     longer ones are cut: the first piece takes what is over a multiple of
@@ -48,9 +50,10 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     ``end_id`` alone.  Repeated rows each give their pieces.
     """
     small_arrow_batches(docs.sparkSession)
-    return (docs.select(F.col("doc_id").cast("long"), "text")
-            .mapInArrow(_cut(path or default_tokenizer(), capacity, end_id),
-                        "doc_id long, piece int, start long, length long, ids binary"))
+    carried = (place,) if place else ()
+    return (docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).cast("long") for c in carried])
+            .mapInArrow(_cut(path or default_tokenizer(), capacity, end_id, carried),
+                        ", ".join(["doc_id long, piece int, start long, length long, ids binary", *[f"{c} long" for c in carried]])))
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -129,9 +132,31 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     return out.select(*items.columns, "sequence_id", "offset")
 
 
-def packed_documents(docs: DataFrame) -> DataFrame:
-    """Pieces of all documents with a checksum of their ids, and their places."""
-    return pack(token_pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+def pack_in_order(items: DataFrame, place: str, capacity: int = CAPACITY, span: int = SPAN) -> DataFrame:
+    """Put ``items(place, piece, length)`` into bins that follow the order of ``place``; adds ``sequence_id`` and ``offset``.
+
+    Only items of the same ``span`` places share a bin, best fit, largest first.
+    A bin's id is that of its smallest (place, piece), which must differ for all
+    items, so ascending ids go through the spans in order and, inside one, by
+    the smallest place: any prefix of them holds all documents of the spans
+    before and, of one span only, a part.  Other lengths than 1 to ``capacity``
+    raise.
+    """
+    rows = written(items.drop("sequence_id", "offset").withColumn("sequence_id", F.col(place) * PIECES + F.col("piece")), "items")
+    low, high, most = rows.agg(F.min("length"), F.max("length"), F.max("piece")).first()
+    if low is not None and not (1 <= low <= high <= capacity and most < PIECES):
+        raise ValueError(f"lengths from {low} to {high}, up to {most + 1} pieces, don't fit into bins of {capacity}")
+    units = (rows.filter(F.col("length") < capacity)
+             .select(F.col("sequence_id").alias("unit"), F.col("length").alias("size"), F.expr(f"`{place}` DIV {span}").alias("part")))
+    done = units.groupBy("part").applyInPandas(_pack_group(capacity), "unit long, bin long, at long, fill long")
+    return (rows.join(done.select(F.col("unit").alias("sequence_id"), "bin", "at"), "sequence_id", "left")
+            .select(*items.columns, F.coalesce("bin", "sequence_id").alias("sequence_id"), F.coalesce("at", F.lit(0)).cast("long").alias("offset")))
+
+
+def packed_documents(docs: DataFrame, place: str | None = None) -> DataFrame:
+    """Pieces of all documents with a checksum of their ids, and their places; in the order of the column ``place``, if given."""
+    pieces = token_pieces(docs, place=place).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack_in_order(pieces, place) if place else pack(pieces)
 
 
 def op8_best_fit_packing(spark, sf_dir):

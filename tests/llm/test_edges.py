@@ -330,3 +330,29 @@ def test_coder(text):
 
 def test_crc_of_large_ids():
     assert zlib.crc32(np.array([50256], "<u4").tobytes()) == zlib.crc32(b"\x50\xc4\x00\x00")
+
+
+def test_sequences_follow_the_mix(spark):
+    """With a hot source, every prefix of the sequences keeps the target weights within a quarter of a span and three blocks."""
+    counts = {"src0": 1600, "src1": 200, "src2": 200, "src3": 200, "src4": 200, "x": 800}
+    names = [s for s, n in counts.items() for _ in range(n)]
+    rng = np.random.default_rng(5)
+    data = [(i, "the cat sat " * int(rng.integers(5, 300)), "en", s) for i, s in enumerate(names)]
+    mixed = corpus_pipeline.mixture(spark, spark.createDataFrame(data, SCHEMA), None)
+    got = corpus_pipeline.packing(spark, mixed, None).toPandas()
+    assert (got.groupby("sequence_id").length.sum() <= packing.CAPACITY).all() and sorted(got[got.piece == 0].doc_id) == list(range(len(names)))
+    by = got.groupby("sequence_id").slot
+    assert by.min().is_monotonic_increasing and (by.min() // packing.SPAN == by.max() // packing.SPAN).all()
+    total, last = sum(mixing.WEIGHTS.values()), 60 * mixing.BLOCK  # up to where every pool still has blocks
+    bound = mixing.BLOCK * 3 + packing.SPAN / 4
+    seen, n, largest = dict.fromkeys(mixing.WEIGHTS, 0), 0, 0
+    for _, own in got[got.piece == 0].sort_values("sequence_id").groupby("sequence_id"):
+        for d in own.doc_id:
+            seen[names[d] if names[d] in mixing.WEIGHTS else mixing.OTHER] += 1
+        n += len(own)
+        if n > last:
+            break
+        largest = max(largest, *(abs(seen[p] - n * w / total) for p, w in mixing.WEIGHTS.items()))
+    assert n > last and largest <= bound
+    ends = got[(got.piece == 0) & (got.slot < 2 * packing.SPAN)].doc_id
+    assert all(abs(sum(names[d] == p for d in ends) - len(ends) * w / total) <= mixing.BLOCK for p, w in mixing.WEIGHTS.items() if p != mixing.OTHER)
