@@ -21,19 +21,26 @@ _CHARS, _DOCS = 1 << 22, 128
 _EDGES = np.cumsum((0, *BUCKETS))
 
 
-def presence(text: str) -> np.ndarray:
-    """Which n-gram buckets of each length the whole text holds (lower case, white space as one blank); read in pieces that overlap."""
-    out = np.zeros(_EDGES[-1], bool)
+def _grams(text: str, lengths: tuple = tuple(range(len(BUCKETS)))):
+    """Places of the buckets of a text's n-grams, one array a length (from 0) and piece; lower case, white space as one blank, pieces overlap."""
     text = f" {' '.join(text.lower().split())} "
     for at in range(0, len(text), _CHARS):
         c = np.frombuffer(text[at:at + _CHARS + 2].encode("utf-32-le", "surrogatepass"), "<u4")
-        for k, size in enumerate(BUCKETS):
+        for k in lengths:
+            size = BUCKETS[k]
             if len(c) > k:
                 code = c[:len(c) - k] * _MIX[0]
                 for i in range(1, k + 1):
                     code = (code ^ (code >> np.uint32(15))) * _MIX[i] + c[i:len(c) - k + i]
                 code = (code ^ (code >> np.uint32(13))) * _MIX[1]
-                out[_EDGES[k] + (code >> np.uint32(33 - size.bit_length()))] = True
+                yield _EDGES[k] + (code >> np.uint32(33 - size.bit_length()))
+
+
+def presence(text: str) -> np.ndarray:
+    """Which n-gram buckets of each length the whole text holds."""
+    out = np.zeros(_EDGES[-1], bool)
+    for at in _grams(text):
+        out[at] = True
     return out
 
 
@@ -60,6 +67,9 @@ class Model:
         y = np.array([[1.0 if a == b else -1.0 for b in self.languages] for a in languages])
         weights = np.linalg.solve(z.T @ z + RIDGE * np.eye(z.shape[1]), z.T @ y)
         self.weights, self.base = root @ weights[:-1], weights[-1]
+        own = np.array(languages)
+        self.shares = np.array([found[own == a, _EDGES[-2]:].mean(0, dtype=np.float32) for a in self.languages])
+        self.clean: dict[str, float] = {}
 
     def _kernel(self, found: np.ndarray) -> np.ndarray:
         scaled = found[:, self.used].astype(np.float32)
@@ -71,16 +81,24 @@ class Model:
     def scores(self, found: np.ndarray) -> np.ndarray:
         return self._kernel(found) @ self.weights + self.base
 
+    def likeness(self, text: str, language: int) -> float:
+        """Share of the language's learned texts that hold a 3-gram, as the mean over all 3-grams of ``text``, repeated ones too."""
+        total = n = 0
+        for at in _grams(text, (len(BUCKETS) - 1,)):
+            total, n = total + float(self.shares[language][at - _EDGES[-2]].sum(dtype=float)), n + len(at)
+        return total / n
+
 
 def _has_letter(text) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
-    """The fit's sample: the first rows of each language in an order by hash, in turns."""
+def _labelled(docs: DataFrame, held: bool = False) -> DataFrame:
+    """The fit's sample, or one of the rows that are held out: the first rows of each language in an order by hash, in turns."""
+    mine = F.crc32(F.col("doc_id").cast("string")) % 4
     part = Window.partitionBy("lang", "part").orderBy("h", "doc_id")  # so that no task ranks more than a part's rows of each task
     turn = Window.partitionBy("lang").orderBy("h", "doc_id")
-    return (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    return (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (mine == 2 if held else mine != 2))
             .select(F.monotonically_increasing_id().alias("number"), "doc_id", "lang", F.xxhash64("doc_id").alias("h"))
             .withColumn("part", F.pmod("h", F.lit(PARTS))).withColumn("turn", F.row_number().over(part)).filter(F.col("turn") <= PER_LANGUAGE)
             .withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= PER_LANGUAGE)
@@ -105,14 +123,14 @@ def fit(docs: DataFrame) -> Model | None:
     return Model(found, [r.lang for r in rows])
 
 
-def predictor(spark, model: Model | None):
-    """Column function ``text -> struct(lang_pred, score)``; the score is the winner's, from -1..1 to 0..1."""
+def predictor(spark, model: Model | None, likeness: bool = False):
+    """Column function ``text -> struct(lang_pred, score)``, with ``likeness`` to the winner if asked for; the score is the winner's, from -1..1 to 0..1."""
     held = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double" + ", likeness double" * likeness)
     def predict(texts: pd.Series) -> pd.DataFrame:
         own = held.value
-        langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        langs, scores, like = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         at = [i for i, t in enumerate(texts) if own and _has_letter(t)]
         for a in range(0, len(at), _DOCS):
             part = at[a:a + _DOCS]
@@ -121,7 +139,9 @@ def predictor(spark, model: Model | None):
             scores[part] = np.clip((got[np.arange(len(part)), best] + 1) / 2, 0, 1)
             for i, b in zip(part, best):
                 langs[i] = own.languages[b]
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+                if likeness:
+                    like[i] = own.likeness(texts.iloc[i], b)
+        return pd.DataFrame({"lang_pred": langs, "score": scores} | ({"likeness": like} if likeness else {}))
     return predict
 
 
@@ -143,16 +163,47 @@ def identify(docs: DataFrame) -> DataFrame:
             .select("doc_id", "held_out", "p.lang_pred", "p.score"))
 
 
-#: Winner's score below which a text counts as no language that was learned.
-LEAST_SCORE = 0.25
+#: Winner's score asked for: none, as what the scores of L languages can be depends on L (they sum to about 2 - L).
+LEAST_SCORE = 0.0
+#: Least likeness of a kept text, as a part of what ``CLEAN`` of the held-out texts of its language don't reach.
+LEAST_LIKENESS, CLEAN = 0.4, 0.01
+
+
+def calibrated(docs: DataFrame) -> Model | None:
+    """``fit`` with ``clean``: for each language the likeness that all but ``CLEAN`` of its held-out, rightly named texts have.
+
+    At most ``PER_LANGUAGE`` held-out rows of a language and ``SAMPLE`` in all
+    are read, one number a language comes to the driver.  A language without
+    such rows has the least number of the others; without any, likeness rejects
+    nothing.
+    """
+    model = fit(docs)
+    if model is None:
+        return None
+    p = predictor(docs.sparkSession, model, likeness=True)("text")
+    rows = (docs.select("doc_id", "lang", "text").join(F.broadcast(_labelled(docs, held=True)), ["doc_id", "lang"]).select("lang", p.alias("p"))
+            .filter("p.lang_pred = lang").groupBy("lang").agg(F.percentile("p.likeness", F.lit(CLEAN)).alias("least")).collect())
+    found = {r["lang"]: r["least"] for r in rows}
+    model.clean = {a: found.get(a, min(found.values(), default=0.0)) for a in model.languages}
+    return model
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Rows whose language is found with ``least`` or more, with all their columns; ``und`` rows go."""
+    """Rows whose language is found, with all their columns.
+
+    ``und`` rows go, and so do texts that are unlike the learned texts of the
+    language that wins (junk, languages that were not learned): their likeness
+    is under ``LEAST_LIKENESS`` of what is usual.  This compares a text with one
+    language, so it doesn't depend on how many there are.  ``least`` is a floor
+    of the score for callers that want one.
+    """
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    p = predictor(spark, fit(docs))("text")
-    return docs.filter((p["lang_pred"] != UNKNOWN) & (p["score"] >= least))
+    model = calibrated(docs)
+    p = predictor(spark, model, likeness=True)("text")
+    floors = [x for a, v in (model.clean if model else {}).items() for x in (F.lit(a), F.lit(LEAST_LIKENESS * v))]
+    floor = F.create_map(*floors)[p["lang_pred"]] if floors else F.lit(0.0)
+    return docs.filter((p["lang_pred"] != UNKNOWN) & (p["score"] >= least) & (p["likeness"] >= floor))
 
 
 def op7_language_id(spark, sf_dir):

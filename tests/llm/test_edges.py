@@ -356,3 +356,13 @@ def test_sequences_follow_the_mix(spark):
     assert n > last and largest <= bound
     ends = got[(got.piece == 0) & (got.slot < 2 * packing.SPAN)].doc_id
     assert all(abs(sum(names[d] == p for d in ends) - len(ends) * w / total) <= mixing.BLOCK for p, w in mixing.WEIGHTS.items() if p != mixing.OTHER)
+
+
+@pytest.mark.parametrize("langs", [("en", "fr", "de", "es"), ("en", "fr")])
+def test_junk_and_unlearned_languages_go(spark, langs):
+    """The same junk goes for four learned languages and for two; the documents stay."""
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").filter(F.col("lang").isin(*langs))
+    junk = ["1234 5678 || 99 ## a -- 12:30 b 77 $$ 0x1f", "@@@@ ### z9 k8 !!! ???", "x1", "xkcd qwrtz zxcvb jkqx wvxz qqzj",
+            "\u4f60\u597d\u4e16\u754c\uff0c\u8fd9\u662f\u4e00\u4e2a\u4e2d\u6587\u6587\u672c\u3002" * 30, "\u0421\u044a\u0435\u0448\u044c \u0436\u0435 \u0435\u0449\u0451 \u044d\u0442\u0438\u0445 \u0431\u0443\u043b\u043e\u043a"]
+    docs = real.unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string"))
+    assert rows(langid.keep_identified(docs), "doc_id") == rows(real, "doc_id")
