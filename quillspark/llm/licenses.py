@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -122,37 +123,55 @@ TEXTS = (
     ("cc", "creative commons", "creative commons(?: license)?", 4),
     ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9][0-9]", 4),
 )
-#: A text without any of these words holds none of the signatures.
-STEMS = ("licen", "spdx", "rights reserved", "public domain", "creative", "copyright", "permission", "redistribution",
-         "warrant", "proprietary", "compliance", "advertising", "endorse", "unencumbered", "portions", "version ",
-         " cc", "org", " gpl", " mit ", "apache")
 #: Confidence by priority.
 SCORES = (1.0, 0.9, 0.7, 0.4)
 
 
 def _plain(name: str) -> str:
     """Longest run of plain words of a pattern, for the prefilter; empty if it has none."""
-    import re
-
     runs = re.split(r"\(.*?\)\??|\[.*?\]\??|.\?", re.sub(r"\((?:[^()]|\([^()]*\))*\)\??", "(x)", name))
     return max((r.strip() for r in runs), key=len, default="")
 
 
+def _keys(pattern: str) -> list[str]:
+    """Plain words of which a match of ``pattern`` holds at least one: one for each alternative of a leading group."""
+    def word(own: str) -> str:
+        key = _plain(own)
+        return " " + key if own.startswith(key) else key
+
+    if not pattern.startswith("(?:"):
+        return [word(pattern)]
+    depth, cuts = 0, [2]  # places of the colon and of the bars
+    for i, c in enumerate(pattern):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 1:
+            cuts.append(i)
+        if not depth:
+            break
+    rest = pattern[i + 1:]
+    if rest.startswith("?"):
+        return [word(pattern)]
+    return [word(pattern[x + 1:y] + rest) for x, y in zip(cuts, [*cuts[1:], i])]
+
+
 def rules() -> list[dict]:
-    """The signatures in order: for each license its identifier, a grant and a mention; then the sentences.
+    """The signatures in order: for each license those of the templates, then the sentences.
 
-    ``key`` must stand in a text for ``pattern`` to be tried; a lower
-    ``priority`` is the surer kind.
+    Templates are an identifier after 'SPDX license identifier', a grant and a
+    mention of the name.  A match
+    holds ``gate`` and one of ``keys``, so ``pattern`` is tried only if they stand
+    in the text; a lower ``priority`` is the surer kind.
     """
     grant = ("(?:licensed|licenced|released|distributed|available|provided|published|shared|offered)(?: to you)? under"
              "(?: the)?(?: terms)?(?: and)?(?: conditions)?(?: of)?(?: the)? ")
-    out = []
-    for label, name, spdx in NAMES:
-        key = _plain(name)
-        out.append(dict(label=label, key="spdx license identifier", pattern=f"spdx license identifier {spdx}", priority=1))
-        out.append(dict(label=label, key=key, pattern=f"{grant}{name}(?: licen[cs]e)?", priority=2))
-        out.append(dict(label=label, key=key, pattern=f"(?:the )?{name}(?: licen[cs]e)" if "licen" not in name else f"(?:the )?{name}", priority=3))
-    out += [dict(label=label, key=key, pattern=pattern, priority=priority) for label, key, pattern, priority in TEXTS]
+    spdx, out = "spdx license identifier ", []
+    for label, name, ids in NAMES:
+        named = dict(label=label, keys=_keys(name))
+        by_id = dict(label=label, keys=_keys(ids))
+        out.append(by_id | dict(gate=spdx, pattern=f"{spdx}{ids}", priority=1))
+        out.append(named | dict(gate=" under ", pattern=f"{grant}{name}(?: licen[cs]e)?", priority=2))
+        out.append(named | dict(gate="licen", pattern=f"(?:the )?{name}(?: licen[cs]e)" if "licen" not in name else f"(?:the )?{name}", priority=3))
+    out += [dict(label=label, gate=key, keys=[key], pattern=pattern, priority=priority) for label, key, pattern, priority in TEXTS]
     return [r | dict(rule=i, pattern=f" (?:{r['pattern']})(?= )") for i, r in enumerate(out)]
 
 
@@ -168,8 +187,8 @@ def license_scan(docs: DataFrame, signatures: list[dict] | None = None) -> DataF
     """``docs(doc_id, text)`` -> ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections``.
 
     Words are those of the whole text, A-Z in lower case; signatures are tried
-    on them with one blank between.  A text without any stem, and a signature
-    whose keyword is missing, cost no match.  Every place of every signature is a
+    on them with one blank between.  A signature whose gate or keywords are missing
+    costs no match; both are words that any match of it holds.  Every place of every signature is a
     detection (an interval of words).  One inside another of the same or a surer
     priority is dropped; containment is transitive, so one pass in order of start
     (a running maximum of ends for each priority) settles it.  Base labels stay.
@@ -179,16 +198,17 @@ def license_scan(docs: DataFrame, signatures: list[dict] | None = None) -> DataF
     """
     own = signatures if signatures is not None else rules()
     levels = sorted({r["priority"] for r in own}) or [1]
-    kind = "array<struct<rule:int,label:string,key:string,pattern:string,priority:int>>"
-    signature = F.from_json(F.lit(json.dumps(own)), kind)
+    groups: dict = {}
+    for rule in own:
+        groups.setdefault(rule["gate"], {}).setdefault(tuple(rule["keys"]), []).append(rule)
+    kind = "array<struct<gate:string,sets:array<struct<keys:array<string>,rules:array<struct<rule:int,label:string,pattern:string,priority:int>>>>>>"
+    signature = F.from_json(F.lit(json.dumps([dict(gate=g, sets=[dict(keys=k, rules=v) for k, v in sets.items()]) for g, sets in groups.items()])), kind)
     words = F.trim(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")))
     norm = F.col("norm")
     places = [(F.contains(norm, F.lit(f" {p} ")), p, label) for p, label in BASE]
     spot = lambda make: [F.when(has, make(p)) for has, p, _ in places]
-    hit = F.lit(False)
-    for stem in STEMS:
-        hit = hit | F.contains(norm, F.lit(stem))
-    tried = F.when(hit, F.filter(signature, lambda r: F.contains(norm, r["key"])))
+    gated = F.flatten(F.transform(F.filter(signature, lambda g: F.contains(norm, g["gate"])), lambda g: g["sets"]))
+    tried = F.flatten(F.transform(F.filter(gated, lambda k: F.exists(k["keys"], lambda w: F.contains(norm, w))), lambda k: k["rules"]))
     rows = (docs.select(F.monotonically_increasing_id().alias("number"), F.col("doc_id").cast("long"), words.alias("words"))
             .select("number", "doc_id", F.concat(F.lit(" "), "words", F.lit(" ")).alias("norm"),
                     F.when(F.col("words") == "", 0).otherwise(_spaces(F.col("words")) + 1).cast("long").alias("n_words")))

@@ -366,3 +366,39 @@ def test_junk_and_unlearned_languages_go(spark, langs):
             "\u4f60\u597d\u4e16\u754c\uff0c\u8fd9\u662f\u4e00\u4e2a\u4e2d\u6587\u6587\u672c\u3002" * 30, "\u0421\u044a\u0435\u0448\u044c \u0436\u0435 \u0435\u0449\u0451 \u044d\u0442\u0438\u0445 \u0431\u0443\u043b\u043e\u043a"]
     docs = real.unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string"))
     assert rows(langid.keep_identified(docs), "doc_id") == rows(real, "doc_id")
+
+
+def _example(tree, rng):
+    """A random match of a parsed pattern (without what it looks ahead to)."""
+    from re import _constants as c
+    out = ""
+    for op, arg in tree:
+        if op is c.LITERAL:
+            out += chr(arg)
+        elif op is c.IN:
+            kind, what = arg[int(rng.integers(len(arg)))]
+            out += chr(what if kind is c.LITERAL else int(rng.integers(what[0], what[1] + 1))) if kind is not c.CATEGORY else "w"
+        elif op is c.BRANCH:
+            out += _example(arg[1][int(rng.integers(len(arg[1])))], rng)
+        elif op is c.SUBPATTERN:
+            out += _example(arg[-1], rng)
+        elif op is c.MAX_REPEAT:
+            out += "".join(_example(arg[2], rng) for _ in range(int(rng.integers(arg[0], min(int(arg[1]), arg[0] + 2) + 1))))
+        elif op is not c.ASSERT:
+            raise ValueError(op)
+    return out
+
+
+def test_license_gates_and_examples(spark):
+    """Every rule's own matches hold its gate and one of its keys, and are detected without any other word."""
+    from re import _parser
+    rng, texts = np.random.default_rng(6), []
+    for r in licenses.rules():
+        tree = _parser.parse(r["pattern"])
+        for k in range(20):
+            text = f" {_example(tree, rng).strip()} "
+            assert r["gate"] in text and any(w in text for w in r["keys"]) and all(r["keys"]), (r["label"], text)
+            if k < 1:
+                texts.append((len(texts), text))
+    got = licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).filter("labels = ''").collect()
+    assert [texts[r.doc_id] for r in got] == []
