@@ -157,22 +157,50 @@ def _keys(pattern: str) -> list[str]:
 def rules() -> list[dict]:
     """The signatures in order: for each license those of the templates, then the sentences.
 
-    Templates are an identifier after 'SPDX license identifier', a grant and a
-    mention of the name.  A match
+    Templates are an identifier after 'SPDX license identifier', one further on in
+    a list after it or after a grant (its interval is the part that ``last`` finds), and
+    a grant and a mention of the name and of the identifier or short form.  A match
     holds ``gate`` and one of ``keys``, so ``pattern`` is tried only if they stand
     in the text; a lower ``priority`` is the surer kind.
     """
     grant = ("(?:licensed|licenced|released|distributed|available|provided|published|shared|offered)(?: to you)? under"
              "(?: the)?(?: terms)?(?: and)?(?: conditions)?(?: of)?(?: the)? ")
+    word = "[a-z0-9]+"
+    known = "|".join(short for _, _, short in (_forms(*n) for n in NAMES))
+    link = f"(?:{known}|licenseref(?: {word}){{1,3}}|(?:{word} ){{1,4}}exception(?: [0-9]{{1,2}}){{0,2}})(?: licen[cs]e)? (?:or|and|with)(?: the)? "
     spdx, out = "spdx license identifier ", []
     for label, name, ids in NAMES:
+        _, own, short = _forms(label, name, ids)
         named = dict(label=label, keys=_keys(name))
-        by_id = dict(label=label, keys=_keys(ids))
-        out.append(by_id | dict(gate=spdx, pattern=f"{spdx}{ids}", priority=1))
+        by_id = dict(label=label, keys=_keys(short))
+        out.append(by_id | dict(gate=spdx, pattern=f"{spdx}{short}", priority=1))
+        out.append(by_id | dict(gate=spdx, pattern=f"{spdx}(?:{link})+{short}", last=f" {short}$", priority=1))
         out.append(named | dict(gate=" under ", pattern=f"{grant}{name}(?: licen[cs]e)?", priority=2))
         out.append(named | dict(gate="licen", pattern=f"(?:the )?{name}(?: licen[cs]e)" if "licen" not in name else f"(?:the )?{name}", priority=3))
+        if own:
+            out.append(by_id | dict(gate=" under ", pattern=f"{grant}{short}(?: licen[cs]e)?", priority=2))
+            out.append(by_id | dict(gate=" licen", pattern=f"(?:the )?{short}(?: licen[cs]e)", priority=3))
+        out.append(by_id | dict(gate=" under ", pattern=f"{grant}(?:{link})+{short}(?: licen[cs]e)?", last=f" {short}(?: licen[cs]e)?$", priority=2))
     out += [dict(label=label, gate=key, keys=[key], pattern=pattern, priority=priority) for label, key, pattern, priority in TEXTS]
-    return [r | dict(rule=i, pattern=f" (?:{r['pattern']})(?= )") for i, r in enumerate(out)]
+    return [dict(last="") | r | dict(rule=i, pattern=f" (?:{r['pattern']})(?= )") for i, r in enumerate(out)]
+
+
+#: Usual short forms besides the identifier.
+SHORT = {
+    "apache-2": "apache ?v?2(?: 0)?", "apache-1.1": "apache 1 1", "agpl-3": "(?:gnu )?agpl ?v?3(?: 0)?", "gpl-1": "(?:gnu )?gpl ?v?1(?: 0)?",
+    "gpl-2": "(?:gnu )?gpl(?: version)? ?v?2(?: 0)?", "gpl-3": "(?:gnu )?gpl(?: version)? ?v?3(?: 0)?", "lgpl-2": "(?:gnu )?lgpl(?: version)? ?v?2(?: 0)?",
+    "lgpl-2.1": "(?:gnu )?lgpl(?: version)? ?v?2 1", "lgpl-3": "(?:gnu )?lgpl(?: version)? ?v?3(?: 0)?", "mpl-1.1": "mpl ?v?1 1", "mpl-2": "mpl ?v?2(?: 0)?",
+    "epl-1": "epl ?v?1(?: 0)?", "epl-2": "epl ?v?2(?: 0)?", "eupl-1.2": "eupl ?v?1 [12]", "bsl-1": "bsl ?v?1(?: 0)?", "cddl-1": "cddl ?v?1 [01]",
+    "gfdl-1.3": "(?:gnu )?(?:gfdl|fdl) ?v?1 [123]"}
+
+
+def _forms(label: str, name: str, ids: str) -> tuple[str, bool, str]:
+    """Label, whether it has forms that ``name`` lacks, and the pattern of identifier and short forms, '+' and 'only' with it."""
+    short = SHORT.get(label)
+    if short is None:
+        return label, not re.fullmatch(name, ids), f"(?:{ids})"
+    later = "(?: only| or later| plus)?" if "gpl" in label or "gfdl" in label else ""
+    return label, True, f"(?:{ids}|{short}{later})"
 
 
 def _spaces(text: Column) -> Column:
@@ -201,7 +229,7 @@ def license_scan(docs: DataFrame, signatures: list[dict] | None = None) -> DataF
     groups: dict = {}
     for rule in own:
         groups.setdefault(rule["gate"], {}).setdefault(tuple(rule["keys"]), []).append(rule)
-    kind = "array<struct<gate:string,sets:array<struct<keys:array<string>,rules:array<struct<rule:int,label:string,pattern:string,priority:int>>>>>>"
+    kind = "array<struct<gate:string,sets:array<struct<keys:array<string>,rules:array<struct<rule:int,label:string,pattern:string,last:string,priority:int>>>>>>"
     signature = F.from_json(F.lit(json.dumps([dict(gate=g, sets=[dict(keys=k, rules=v) for k, v in sets.items()]) for g, sets in groups.items()])), kind)
     words = F.trim(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")))
     norm = F.col("norm")
@@ -221,13 +249,14 @@ def license_scan(docs: DataFrame, signatures: list[dict] | None = None) -> DataF
         F.explode_outer(tried).alias("r"))
     kept = ["number", "doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
     found = F.arrays_zip(F.split("norm", F.col("r.pattern"), -1).alias("gap"), F.regexp_extract_all("norm", F.col("r.pattern"), F.lit(0)).alias("match"))
-    at = (base.select(*kept, F.col("r.rule").alias("rule"), F.col("r.label").alias("label"), F.col("r.priority").alias("priority"),
+    at = (base.select(*kept, F.col("r.rule").alias("rule"), F.col("r.label").alias("label"), F.col("r.last").alias("last"), F.col("r.priority").alias("priority"),
                       F.posexplode_outer(F.when(F.col("r.pattern").isNotNull() & F.rlike("norm", F.col("r.pattern")),
                                                 F.filter(found, lambda x: x["match"].isNotNull()))).alias("pos", "m"))
-          .select(*kept, "rule", "label", "priority", "pos", _spaces(F.col("m.gap")).alias("gap"), _spaces(F.col("m.match")).alias("size"))
+          .select(*kept, "rule", "label", "priority", "pos", _spaces(F.col("m.gap")).alias("gap"), _spaces(F.col("m.match")).alias("size"),
+                  _spaces(F.when(F.col("last") == "", F.col("m.match")).otherwise(F.regexp_substr("m.match", F.col("last")))).alias("own_size"))
           .repartition("number"))
     turn = Window.partitionBy("number", "rule").orderBy("pos")
-    spans = at.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(turn)).withColumn("start", F.col("end") - F.col("size"))
+    spans = at.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(turn)).withColumn("start", F.col("end") - F.col("own_size"))
     before = (Window.partitionBy("number").orderBy(F.col("start"), F.desc("end"), "priority", "rule")
               .rowsBetween(Window.unboundedPreceding, -1))
     inside = F.lit(False)

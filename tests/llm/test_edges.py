@@ -402,3 +402,13 @@ def test_license_gates_and_examples(spark):
                 texts.append((len(texts), text))
     got = licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).filter("labels = ''").collect()
     assert [texts[r.doc_id] for r in got] == []
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("distributed under the BSD 3-Clause", "bsd-3"), ("released under the modified BSD", "bsd-3"), ("provided under ISC", "isc"), ("shared under zlib", "zlib"),
+    ("Licensed under Apache-2.0", "apache-2"), ("licensed under GPL-3.0-only", "gpl-3"), ("licensed under the GNU GPL v3", "gpl-3"), ("GPLv2 license", "gpl-2"),
+    ("licensed under MPL-2.0", "mpl-2"), ("the LGPL 2.1 licence", "lgpl-2.1"), ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2,mit"),
+    ("SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSD-3-Clause", "bsd-3,gpl-2"),
+    ("SPDX-License-Identifier: MIT\nruby and json files", "mit"), ("Licensed under MIT or Apache-2.0", "apache-2,mit"), ("a test under way with json", "")])
+def test_license_short_forms(spark, text, labels):
+    assert licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
