@@ -8,19 +8,23 @@ learned models, greedy packing); each is tested against brute force in
 from __future__ import annotations
 
 from .chat import op9_chat_format
+from .codes import op11_vector_codes
 from .covertree import op6_embedding_dedup
 from .langid import op7_language_id
 from .licenses import op4_license_scan
 from .mixing import op3_mix_sources
 from .packing import op8_best_fit_packing
+from .runs import op13_word_runs
 from .secrets import op10_secret_scan
 from .simhash import op2_simhash
 from .token_counts import op1_token_counts
 from .topk import op5_topk_search
+from .urls import op12_url_filter
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_simhash, op3_mix_sources, op4_license_scan, op5_topk_search, op6_embedding_dedup,
-    op7_language_id, op8_best_fit_packing, op9_chat_format, op10_secret_scan)}
+    op7_language_id, op8_best_fit_packing, op9_chat_format, op10_secret_scan,
+    op11_vector_codes, op12_url_filter, op13_word_runs)}
 
 ORACLES = {
     "op5_topk_search": """
