@@ -111,6 +111,8 @@ FX_BASE = {
     "fx12_files": ["part"],
 }
 
+FX_TEXTS = ("fx1_files", "fx12_files")
+
 # Views a view is built on (registered / inlined first).
 FX_DEPS = {"fx11_manifests": ["fx2_manifests"]}
 
@@ -120,6 +122,10 @@ def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for dep in FX_DEPS.get(name, []):
         fx(spark, sf_dir, dep)
     register_tables(spark, sf_dir, FX_BASE[name])
+    if name in FX_TEXTS:
+        # the base table is one small file: its rows are spread before each becomes a source text, as a corpus's files are
+        base, = FX_BASE[name]
+        spark.table(base).repartition(spark.sparkContext.defaultParallelism).createOrReplaceTempView(base)
     df = spark.sql(FX_SQL[name])
     df.createOrReplaceTempView(name)
     return df

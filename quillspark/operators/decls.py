@@ -1,9 +1,6 @@
-"""Declarations and their members from the lines table.
+"""Declarations and their members from the node table of :mod:`tree`.
 
-Input assumption: formatted source (top-level declarations start in column
-0, their blocks close with a column-0 ``}`` or ``)``).  A declaration's span
-is found with windows over ``(file, line_no)``; lines are assigned to spans
-with a running ``last(start, ignorenulls)`` — no range join.  Rows that do
+Input assumption: top-level declarations start in column 0.  Rows that do
 not delimit cleanly (block never closed) are returned as quarantine rows.
 """
 
@@ -14,9 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lines import code_text, comment_blocks, mark_comments, strip_ws
-
-IDENT = r"[A-Za-z_][A-Za-z0-9_]*"
+from .lines import comment_blocks
+from .tree import IDENT, NAMES, reveal, scan
 
 # ordered classification of a declaration's first line: (kind, regex, name group); type
 # parameters are taken out before (see _without_type_params)
@@ -48,28 +44,17 @@ def balanced(s: Column) -> Column:
         pieces, state, step, lambda a: F.when(a["done"], F.substr(s, F.lit(1), a["at"])).otherwise(""))).otherwise("")
 
 
-def _closed_up(s: Column) -> Column:
-    """Brackets and the commas inside them, of any depth, as control characters; see :func:`_opened_up`.
-
-    A pass takes the innermost brackets, so as many passes as there are brackets settle any depth.
-    """
-    def inner(x: Column, _: Column) -> Column:
-        x = F.regexp_replace(x, r",(?=[^()\[\]{}]*[)\]}])", "\x01")
-        x = F.regexp_replace(x, r"\(([^()\[\]{}]*)\)", "\x02$1\x03")
-        x = F.regexp_replace(x, r"\[([^()\[\]{}]*)\]", "\x04$1\x05")
-        return F.regexp_replace(x, r"\{([^()\[\]{}]*)\}", "\x06$1\x07")
-
-    n = F.length(s) - F.length(F.translate(s, _OPEN, ""))
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), s, inner)).otherwise(s)
-
-
-def _opened_up(s: Column) -> Column:
-    return F.translate(s, "\x01\x02\x03\x04\x05\x06\x07", ",()[]{}")
+def split_top(s: Column) -> Column:
+    """Split a list on the commas outside all brackets, of any depth, in one pass; empty items are left out."""
+    pieces = F.regexp_extract_all(s, F.lit(r"[^()\[\]{},]*+[()\[\]{},]|[^()\[\]{},]++"), F.lit(0))
 
+    def step(depth: Column, piece: Column) -> tuple[Column, Column]:
+        sign = F.right(piece, F.lit(1))
+        return (depth + F.when(sign.isin(*_OPEN), 1).when(sign.isin(*_CLOSE), -1).otherwise(0),
+                F.when((depth == 0) & (sign == ","), F.concat(F.substr(piece, F.lit(1), F.length(piece) - 1), F.lit("\x01"))).otherwise(piece))
 
-def split_top(s: Column) -> Column:
-    """Split a list on the commas outside all brackets, of any depth; empty items are left out."""
-    return F.filter(F.transform(F.split(_closed_up(s), ","), lambda x: F.trim(_opened_up(x))), lambda x: x != "")
+    marked = F.array_join(scan(pieces, F.lit(0), step, "string"), "")
+    return F.filter(F.transform(F.split(marked, "\x01"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _without_type_params(t: Column) -> Column:
@@ -131,202 +116,89 @@ def receiver_key(recv: Column | str) -> Column:
 
 
 # --- E6 ---------------------------------------------------------------------
-def _net(code: Column, opening: str, closing: str) -> Column:
-    """Brackets opened less brackets closed on a line."""
-    return F.length(F.translate(code, closing, "")) - F.length(F.translate(code, opening, ""))
-
-
-def label_lines(ln: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Label every line with the declaration it belongs to, in one window pass.
-
-    Adds ``kind`` (on declaration lines), ``owner_line`` / ``owner_kind`` /
-    ``owner_name`` / ``end_line`` of the span the line is in (or whose doc
-    block it is), ``role`` (``decl`` / ``body`` / ``doc`` / null), ``head`` (the
-    line is part of the declaration's header), ``go_on`` (the line before it
-    ends inside an expression or raw string), ``is_comment``, ``next_code``
-    (nearest following non-comment line) and ``bad`` (why a declaration can't be
-    delimited, else null).
-
-    Declarations begin at a keyword in column 0, or at a name one level inside a
-    ``type ( … )`` group, and end on the first line at which a running sum of
-    brackets is back where they began; literals and comments don't count
-    (``code`` of ``lines(code=True)``; without that column each line is read by
-    itself).  One whose end doesn't come before the next declaration is bad.
-
-    All windows are partitioned by the file key only, so they run on the
-    per-file hash partitioning of the lines table without another shuffle.
-    Forward-looking values use a growing frame in descending order
-    (incremental), never an unbounded-following frame.
-    """
-    order = Window.partitionBy(*key).orderBy("line_no")
-    asc, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    desc = Window.partitionBy(*key).orderBy(F.col("line_no").desc())
-    from_here, ahead = desc.rowsBetween(Window.unboundedPreceding, 0), desc.rowsBetween(Window.unboundedPreceding, -1)
-    x = mark_comments(ln, key)
-    code = F.rtrim(F.when(F.col("is_comment"), "").otherwise(F.col("code") if "code" in ln.columns else code_text("text")))
-    x = x.withColumn("code", F.regexp_replace(code, r"\s+\z", ""))
-    c = F.col("code")
-    x = x.withColumn("__d", _net(c, _OPEN, _CLOSE)).withColumn("__p", _net(c, "([", ")]")) \
-        .withColumn("__on", c.rlike(r"[-+*/%&|^<>=!,.\\]\z") & ~c.rlike(r"(?:\+\+|--)\z")) \
-        .withColumn("__word", c.rlike(r"^(?:type|func|var|const|import|package)\b"))
-    x = x.withColumn("__sum", F.sum("__d").over(asc)).withColumn("__psum", F.sum("__p").over(asc)) \
-        .withColumn("go_on", F.coalesce(F.lag("__on").over(order), F.lit(False)))
-    x = x.withColumn("__part", F.last(F.when(F.col("__word"), F.struct(
-        (F.col("__sum") - F.col("__d")).alias("base"), c.rlike(r"^type\s*\(").alias("group"))), ignorenulls=True).over(asc))
-    grouped = F.coalesce(F.col("__part.group") & (F.col("__sum") - F.col("__d") > F.col("__part.base")), F.lit(False))
-    spec = grouped & (F.col("__sum") - F.col("__d") == F.col("__part.base") + 1) & c.rlike(rf"^\s+{IDENT}\b") & ~F.col("go_on")
-    first = spec | (c.rlike(r"^(?:type|func|var|const)\b") & ~F.col("__part.group"))
-    x = x.withColumn("__spec", spec).withColumn("__first", first) \
-        .withColumn("__head", F.when(first, _without_type_params(F.when(spec, F.concat(F.lit("type "), F.ltrim(F.regexp_replace(
-            c, r"^\s+", "")))).otherwise(c)))) \
-        .withColumn("__end", F.when((c != "") & ~F.col("__on") & (
-            F.col("__sum") <= F.col("__part.base") + F.when(grouped, 1).otherwise(0)), F.col("line_no")))
-    x = x.withColumn("kind", F.when(F.col("__first"), _kind_expr(F.col("__head")))) \
-        .withColumn("__next_end", F.last("__end", ignorenulls=True).over(from_here)) \
-        .withColumn("__next_first", F.last(F.when(F.col("__word") | F.col("__first"), F.col("line_no")), ignorenulls=True).over(ahead))
-    bad = F.when(F.col("__first") & F.col("kind").isNull(), F.lit("declaration not recognised")) \
-        .when(F.col("__first") & (F.col("__next_end").isNull() | F.coalesce(F.col("__next_end") >= F.col("__next_first"), F.lit(False))),
-              F.lit("block not closed before the next declaration"))
-    x = x.withColumn("bad", bad)
-    good = F.col("__first") & F.col("bad").isNull()
-    name = _name_expr(F.col("__head"), F.col("kind"))
-    head = F.when(good, F.struct(F.col("line_no").alias("s"), F.col("__next_end").alias("e"), F.col("kind").alias("k"),
-                                 name.alias("n"), (F.col("__psum") - F.col("__p")).alias("p")))
-    x = x.withColumn("next_code", F.last(F.when(~F.col("is_comment"), F.struct(
-            F.col("line_no").alias("line_no"), F.when(good, F.struct(F.col("__next_end").alias("e"), F.col("kind").alias("k"),
-                                                                    name.alias("n"))).alias("decl"))), ignorenulls=True).over(ahead)) \
-        .withColumn("__span", F.last(head, ignorenulls=True).over(asc))
-    # a header ends with the first line that leaves no paren or bracket of it open
-    x = x.withColumn("__head_end", F.last(F.when((c != "") & (F.col("__psum") <= F.col("__span.p")), F.col("line_no")), ignorenulls=True).over(before))
-    in_span = F.col("__span").isNotNull() & (F.col("line_no") <= F.col("__span.e"))
-    doc_of = F.when(F.col("is_comment") & F.col("next_code.decl").isNotNull(), F.col("next_code"))
-    role = F.when(in_span & (F.col("line_no") == F.col("__span.s")), F.lit("decl")) \
-        .when(in_span, F.lit("body")).when(doc_of.isNotNull(), F.lit("doc"))
-    in_head = (F.col("line_no") == F.col("__span.s")) | (
-        F.col("__span.k").isin("func", "method", "functype") & F.coalesce(F.col("__head_end") < F.col("__span.s"), F.lit(True)))
-    return x.select(
-        *key, "line_no", "text", "code", "kind", "is_comment", "ctext", "bad", "go_on", role.alias("role"),
-        F.when(in_span, in_head).alias("head"), F.col("__spec").alias("spec"), F.col("__d").alias("net"),
-        F.when(in_span, F.col("__span.s")).otherwise(doc_of["line_no"]).alias("owner_line"),
-        F.when(in_span, F.col("__span.k")).otherwise(doc_of["decl"]["k"]).alias("owner_kind"),
-        F.when(in_span, F.col("__span.n")).otherwise(doc_of["decl"]["n"]).alias("owner_name"),
-        F.when(in_span, F.col("__span.e")).otherwise(doc_of["decl"]["e"]).alias("end_line"),
-        F.col("next_code.line_no").alias("next_code"))
-
-
 def _clean_doc(body: Column) -> Column:
     """Collapse blank-line runs and trim leading/trailing blank lines of a doc."""
     return F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), r"^\n+|\n+\z", "")
 
 
-def declarations(ln: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """One row per top-level declaration and the quarantine rows.
+def _one_line(text: Column) -> Column:
+    """Text over several lines as one, without blanks and commas that only the line ends called for."""
+    s = F.regexp_replace(F.regexp_replace(text, r"[^\S\n]*+\n\s*+", "\n"), r"^\s+|\s+\z", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "\n", " "), r"([(\[])\s+", "$1"), r",?\s+([)\]])", "$1")
+
+
+def declarations(nodes: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """One row per top-level declaration and the quarantine rows, from :func:`tree.nodes` with ``text``.
 
     Columns: ``key, decl_line, end_line, kind, name, decl, full_decl, doc, exported,
-    receiver, receiver_key``.  Built from :func:`label_lines` with one
-    aggregation per (file, declaration): header, full text and doc come from
-    the same grouped rows, no joins.
+    receiver, receiver_key``.  Declarations begin at a keyword in column 0, or are the specs of a
+    ``type ( … )`` group.  One whose brackets don't close before the next keyword, or whose head is
+    none of the known forms, is a quarantine row; each keyword gives one or the other.
     """
-    lab = label_lines(ln, key)
-    bad = lab.filter(F.col("bad").isNotNull()).select(
-        *key, F.col("line_no").alias("decl_line"), F.lit("declarations").alias("stage"), F.col("bad").alias("message"))
-    own = lab.filter(F.col("role").isNotNull())
-    text_part = F.when(F.col("role") != "doc", F.col("text"))
-    doc_part = F.when(F.col("role") == "doc", F.col("ctext"))
-    # only collect aggregates: planned as a hash-based object aggregate (no sort)
-    head_row = F.when(F.col("role") == "decl", F.struct(F.col("owner_kind").alias("k"), F.col("owner_name").alias("n"),
-                                                         F.col("end_line").alias("e"), F.col("text").alias("h"), F.col("spec").alias("g")))
-    head_part = F.when(F.col("head") & ~F.col("is_comment"), F.struct("line_no", strip_ws("code").alias("c")))
-    g = own.groupBy(*key, F.col("owner_line").alias("decl_line")).agg(
-        F.collect_list(head_row).alias("__hd"), F.array_sort(F.collect_list(head_part)).alias("__hs"),
-        F.array_sort(F.collect_list(F.struct("line_no", text_part.alias("t"), doc_part.alias("d")))).alias("__ls"))
-    g = g.select(*key, "decl_line", F.col("__hd")[0]["k"].alias("kind"), F.col("__hd")[0]["n"].alias("name"),
-                 F.col("__hd")[0]["e"].alias("end_line"), F.col("__hd")[0]["h"].alias("__text"), F.col("__hd")[0]["g"].alias("__spec"),
-                 F.array_join(F.transform("__hs", lambda r: r["c"]), " ").alias("__code"), "__ls")
-    full = F.array_join(F.transform(F.filter("__ls", lambda r: r["t"].isNotNull()), lambda r: r["t"]), "\n")
-    doc = _clean_doc(F.array_join(F.transform(F.filter("__ls", lambda r: r["d"].isNotNull()), lambda r: r["d"]), "\n"))
-    # a header over several lines as one line; a body on the same line goes
-    one = F.regexp_replace(F.regexp_replace("__code", r"([(\[])\s+", "$1"), r",?\s+([)\]])", "$1")
-    cut = _opened_up(F.regexp_replace(_closed_up(one), r"\s+[{\x06].*\z", ""))
-    h = F.when(F.col("kind").isin("func", "method", "functype"), cut) \
-        .when(F.col("kind").isin("struct", "interface"), F.col("__code")).otherwise(strip_ws("__text"))
-    g = g.withColumn("__head", F.when(F.col("__spec"), F.concat(F.lit("type "), h)).otherwise(h))
-    h = F.col("__head")
-    recv = F.when(F.col("kind") == "method", F.regexp_extract(h, r"^func\s*\(([^)]*)\)", 1))
-    recv_type = F.trim(F.regexp_replace(recv, r"^\s*" + IDENT + r"\s+", ""))
-    decls = g.select(*key, "decl_line", "end_line", "kind", "name",
-                     F.trim(F.regexp_replace(h, r"\s*[{(]\s*$", "")).alias("decl"),
-                     recv_type.alias("receiver"), full.alias("full_decl"), doc.alias("doc"))
+    first = (F.col("inside") == "") & (F.col("node") == 1) & F.col("word").isin("type", "func", "var", "const")
+    own = nodes.filter((first & ~((F.col("word") == "type") & F.coalesce(F.col("lists") == "types", F.lit(False)) & (F.col("left_open") == "")))
+                       | (F.col("inside") == "types"))
+    code = _one_line(F.when(F.col("inside") == "types", F.concat(F.lit("type "), F.ltrim(F.regexp_replace("head", r"^\s+", "")))).otherwise(F.col("head")))
+    own = own.withColumn("__code", code).withColumn("__kind_of", _without_type_params(F.concat(
+        "__code", F.when(F.col("lists").isin("struct", "interface"), "{").when(F.col("lists") == "values", "(").otherwise(""))))
+    own = own.withColumn("kind", _kind_expr(F.col("__kind_of")))
+    bad = F.when(F.col("left_open") != "", "block not closed before the next declaration").when(F.col("kind").isNull(), "declaration not recognised")
+    rejects = own.filter(bad.isNotNull()).select(*key, F.col("line").alias("decl_line"), F.lit("declarations").alias("stage"), bad.alias("message"))
+    good = own.filter(bad.isNull())
+    # variables, constants and other types show their first line
+    shown = F.substring_index(F.regexp_replace("text", r"^\s+", ""), "\n", 1)
+    shown = F.regexp_replace(F.when(F.col("inside") == "types", F.concat(F.lit("type "), shown)).otherwise(shown), r"\s+\z", "")
+    head = F.when(F.col("kind").isin("func", "method", "functype"), F.col("__code")) \
+        .when(F.col("kind").isin("struct", "interface"), F.concat("__code", F.when(F.col("hollow"), F.concat(F.regexp_extract("head", r"(\s?)\s*\z", 1), F.lit("{}"))).otherwise(""))) \
+        .otherwise(shown)
+    h = reveal(head)
+    recv = F.when(F.col("kind") == "method", F.regexp_extract("__code", r"^func\s*\(([^)]*)\)", 1))
+    decls = good.select(*key, F.col("line").alias("decl_line"), "end_line", "kind", _name_expr(F.col("__kind_of"), F.col("kind")).alias("name"),
+                        F.trim(F.regexp_replace(h, r"\s*[{(]\s*$", "")).alias("decl"), F.trim(F.regexp_replace(recv, r"^\s*" + IDENT + r"\s+", "")).alias("receiver"),
+                        F.col("text").alias("full_decl"), _clean_doc(F.col("doc")).alias("doc"))
     decls = decls.withColumn("receiver_key", F.when(F.col("receiver").isNotNull(), receiver_key("receiver"))) \
         .withColumn("exported", F.when(F.col("name") == "", F.lit(False)).otherwise(is_exported("name")))
-    return decls, bad
-
-
-def member_lines(lab: DataFrame, key: Sequence[str], kinds: Sequence[str]) -> DataFrame:
-    """Lines strictly inside the block of declarations of the given kinds (from
-    :func:`label_lines`), with the owner's ``owner_line`` / ``owner`` name, the
-    bracket ``depth`` relative to the owner block and the member's own doc (the
-    comment lines whose next code line is the member)."""
-    body = lab.filter((F.col("role") == "body") & F.col("owner_kind").isin(*kinds) &
-                      (F.col("line_no") > F.col("owner_line")) & (F.col("line_no") < F.col("end_line")))
-    before = Window.partitionBy(*key, "owner_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    code = F.when(~F.col("is_comment"), 1).otherwise(0)
-    body = body.withColumn("depth", F.coalesce(F.sum("net").over(before), F.lit(0))) \
-        .withColumn("__g", F.coalesce(F.sum(code).over(before), F.lit(0)))
-    # a member's doc = the comment lines right above it: they share its count
-    # of preceding code lines, so one window per such group (no self-join)
-    grp = Window.partitionBy(*key, "owner_line", "__g")
-    notes = F.collect_list(F.when(F.col("is_comment"), F.struct("line_no", F.col("ctext").alias("t")))).over(grp)
-    doc = F.array_join(F.transform(F.array_sort(notes), lambda r: r["t"]), "\n")
-    return body.withColumn("member_doc", doc).filter(~F.col("is_comment") & (strip_ws("text") != "")) \
-        .withColumn("member_doc", F.coalesce("member_doc", F.lit(""))) \
-        .select(*key, "owner_line", F.col("owner_name").alias("owner"), "line_no", "text", "code", "go_on", "depth", "member_doc")
+    return decls, rejects
+
+
+def _without_tag(code: Column) -> Column:
+    return F.regexp_replace(code, r"\s*+\x04[^\x05]*+\x05\s*\z", "")
 
 
 # --- E8 ---------------------------------------------------------------------
-def fields(ml: DataFrame, key: Sequence[str]) -> DataFrame:
-    """One row per field name; embedded fields have an empty name and the type as text.
-
-    A field declared as ``Name struct {`` opens a nested anonymous struct: its
-    members get ``depth`` + 1 and ``struct_path`` = the chain of enclosing
-    field names (``Profile`` or ``Outer.Inner``); the tag written after the
-    closing ``}`` belongs to the opening field (``anonymous`` = true).  Any
-    depth: a line takes a row for each level above it, and in the window of
-    that level the line before it is the one that opened the level.  Lines
-    inside anything else than a struct (a function type over several lines) are no fields.
+def fields(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per field name from :func:`tree.nodes`; embedded fields have an empty name and the type as text.
+
+    Members of a nested anonymous struct have ``depth`` + 1 and ``struct_path`` = the chain of enclosing
+    field names (``Profile`` or ``Outer.Inner``); the field that opens it is ``anonymous``
+    and has the tag after its ``}``.  A type over several lines is kept as written.
     """
-    code = strip_ws("code")
-    tag = F.when(code.endswith('""'), F.regexp_extract("text", r"`([^`]*)`", 1)).otherwise("")
-    body = strip_ws(F.regexp_replace(code, r'""\z', ""))
-    named = body.rlike(rf"^{IDENT}(?:\s*,\s*{IDENT})*\s+\S")
-    names = F.when(named, F.regexp_extract(body, rf"^({IDENT}(?:\s*,\s*{IDENT})*)\s+", 1))
-    typ = F.when(named, F.trim(F.regexp_replace(body, rf"^{IDENT}(?:\s*,\s*{IDENT})*\s+", ""))).otherwise(body)
-    x = ml.select(*key, "owner_line", "owner", "line_no", "depth", "member_doc", code.rlike(r"^[})]").alias("__close"),
-                  names.alias("names"), typ.alias("type_text"), tag.alias("tag"))
-    x = x.withColumn("__open", ~F.col("__close") & F.col("type_text").rlike(r"^struct\s*\{$")) \
-        .withColumn("type_text", F.regexp_replace("type_text", r"\s*\{$", "")) \
-        .withColumn("__level", F.explode(F.sequence(F.lit(0), F.greatest(F.col("depth").cast("int"), F.lit(0)))))
-    at = Window.partitionBy(*key, "owner_line", "__level")
-    before = at.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = at.orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    own = F.col("__level") == F.col("depth")
-    opener = F.struct(F.when(F.col("__open"), F.col("names")).alias("n"))
-    x = x.withColumn("__above", F.last(F.when(own & ~F.col("__close"), opener), ignorenulls=True).over(before)) \
-        .withColumn("__ctag", F.last(F.when(F.col("__close") & (F.col("__level") == F.col("depth") - 1), F.col("tag")), ignorenulls=True).over(ahead))
-    row = F.struct("owner", "depth", "member_doc", "type_text", "names", F.col("__open").alias("anonymous"),
-                   F.coalesce(F.nullif("tag", F.lit("")), F.when(F.col("__open"), F.col("__ctag")), F.lit("")).alias("tag"))
-    x = x.filter(~F.col("__close")).groupBy(*key, "owner_line", "line_no").agg(
-        F.collect_list(F.when(own, row)).alias("__row"),
-        F.array_sort(F.collect_list(F.when(~own, F.struct("__level", F.col("__above.n").alias("n"))))).alias("__path"))
-    x = x.filter(F.forall("__path", lambda r: r["n"].isNotNull())) \
-        .withColumn("struct_path", F.array_join(F.transform("__path", lambda r: r["n"]), ".")).withColumn("__r", F.col("__row")[0])
-    ex = x.select(*key, "owner_line", "__r.owner", "line_no", "__r.depth", "struct_path", "__r.member_doc", "__r.type_text", "__r.tag", "__r.anonymous",
-                  F.posexplode_outer(F.split(F.coalesce("__r.names", F.lit("")), r"\s*,\s*")).alias("name_pos", "name"))
-    return ex.withColumn("exported", F.when(F.col("name") == "", is_exported("type_text"))
-                         .otherwise(is_exported("name"))) \
+    x = nodes.filter((F.col("inside") == "struct") & (F.col("left_open") == ""))
+    opens = F.coalesce(F.col("lists") == "struct", F.lit(False))
+    quoted = F.regexp_extract(F.when(opens, F.col("tail")).otherwise(F.col("head")), r"\x04([^\x05]*+)\x05\s*\z", 1)
+    body = F.regexp_replace(_without_tag(F.col("head")), r"^\s+|\s+\z", "")
+    named = body.rlike(rf"^{NAMES}\s+\S")
+    x = x.select(*key, "owner_line", "owner", F.col("line").alias("line_no"), F.col("depth").cast("long").alias("depth"), F.col("path").alias("struct_path"),
+                 F.col("doc").alias("member_doc"), F.when(named, F.regexp_extract(body, rf"^({NAMES})\s+", 1)).alias("names"),
+                 reveal(F.when(named, F.trim(F.regexp_replace(body, rf"^{NAMES}\s+", ""))).otherwise(body)).alias("type_text"),
+                 F.regexp_extract(reveal(quoted), r"(?s)^`(.*)`$", 1).alias("tag"), opens.alias("anonymous"), F.col("node").alias("__node"))
+    ex = x.select(*[c for c in x.columns if c != "names"], F.posexplode_outer(F.split(F.coalesce("names", F.lit("")), r"\s*,\s*")).alias("name_pos", "name"))
+    # fields of one line keep their order: positions go on from item to item
+    return ex.withColumn("name_pos", F.shiftleft(F.col("__node").cast("long"), 20) + F.col("name_pos")).drop("__node") \
+        .withColumn("exported", F.when(F.col("name") == "", is_exported("type_text")).otherwise(is_exported("name"))) \
         .withColumn("embedded", F.col("name") == "")
 
 
+def member_rejects(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Members of structs and interfaces that have none of the known forms: quarantine rows."""
+    body = F.regexp_replace(_without_tag(F.col("head")), r"^\s+|\s+\z", "")
+    field = body.rlike(rf"^{NAMES}\s+\S") | body.rlike(rf"^\*?{IDENT}(?:\.{IDENT})?\s*(?:\[(?s:.*)\])?$")
+    member = body.rlike(rf"^{IDENT}\s*\(") | body.rlike(r"^[~(*\[]") | body.rlike(rf"^{IDENT}")
+    bad = ((F.col("inside") == "struct") & ~field) | ((F.col("inside") == "interface") & ~member)
+    return nodes.filter(bad & (F.col("left_open") == "")).select(
+        *key, F.col("line").alias("decl_line"), F.lit("members").alias("stage"), F.lit("member not recognised").alias("message"))
+
+
 # --- E9 / E10 ----------------------------------------------------------------
 def spec_names(spec_text: Column | str) -> Column:
     """Left side of ``a, b T = 1, 2`` → ``array(a, b)``."""
@@ -335,22 +207,23 @@ def spec_names(spec_text: Column | str) -> Column:
     return F.split(lhs, r"\s*,\s*")
 
 
-def value_specs(decls: DataFrame, ml: DataFrame, key: Sequence[str]) -> DataFrame:
-    """One row per var / const name: ``key, line_no, kind, name, doc, exported``.
+def value_specs(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per var / const name: ``key, line_no, kind, name, doc, exported``, from :func:`tree.nodes`.
 
-    Specs are the lines of a ``( … )`` group that stand outside all inner brackets and
-    begin an expression; any other var or const is one spec, over however
+    Specs are the items of a ``( … )`` group; any other var or const is one spec, over however
     many lines.  A spec's own doc comes before that of its group.
     """
-    kinds = decls.filter(F.col("kind").isin("const", "var")).withColumn("__group", F.col("decl").isin("const", "var"))
-    groups = kinds.filter("__group").select(*key, F.col("decl_line").alias("owner_line"), "kind", F.col("doc").alias("group_doc"))
-    inner = ml.filter((F.col("depth") == 0) & ~F.col("go_on")).join(groups, [*key, "owner_line"]) \
-        .select(*key, "line_no", "kind", F.col("code").alias("text"), "member_doc", "group_doc")
-    single = kinds.filter(~F.col("__group")).select(
-        *key, F.col("decl_line").alias("line_no"), "kind", F.regexp_replace("decl", r"^(var|const)\s+", "").alias("text"),
-        F.lit("").alias("member_doc"), F.col("doc").alias("group_doc"))
-    names = inner.unionByName(single).select(*key, "line_no", "kind", "member_doc", "group_doc", F.explode(spec_names("text")).alias("name"))
-    doc = F.when(F.col("member_doc") != "", F.col("member_doc")).otherwise(F.col("group_doc"))
+    own = nodes.filter(F.col("word").isin("var", "const") & (F.col("left_open") == ""))
+    top = (F.col("inside") == "") & (F.col("node") == 1)
+    group = top & F.coalesce(F.col("lists") == "values", F.lit(False))
+    chunk = [*key, "chunk_line"]
+    docs = own.filter(group).select(*chunk, F.col("doc").alias("group_doc"))
+    inner = own.filter(F.col("inside") == "values").join(docs, chunk, "left") \
+        .select(*key, F.col("line").alias("line_no"), F.col("word").alias("kind"), "head", "doc", "group_doc")
+    single = own.filter(top & ~group).select(*key, F.col("line").alias("line_no"), F.col("word").alias("kind"),
+                                             F.regexp_replace("head", r"^(?:var|const)\s+", "").alias("head"), F.lit("").alias("doc"), F.col("doc").alias("group_doc"))
+    names = inner.unionByName(single).select(*key, "line_no", "kind", "doc", "group_doc", F.explode(spec_names("head")).alias("name"))
+    doc = F.when(F.col("doc") != "", F.col("doc")).otherwise(_clean_doc(F.col("group_doc")))
     return names.filter(F.col("name") != "").select(*key, "line_no", "kind", "name", doc.alias("doc"), is_exported("name").alias("exported"))
 
 
@@ -376,21 +249,18 @@ def const_values(specs: DataFrame, group_cols: Sequence[str], pos_col: str, expr
     return x.withColumn("value", value).drop("__k")
 
 
-def const_specs(ml: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Specs of ``const ( … )`` groups from their member lines: one row per spec line
-    with ``names`` (left side), ``type_text`` and ``expr`` (null when the spec repeats
-    the previous one); ``pos`` = spec position in the group."""
-    t = strip_ws("text")
-    body = F.trim(F.regexp_replace(t, r"//.*$", ""))
-    lhs = F.regexp_extract(body, rf"^({IDENT}(?:\s*,\s*{IDENT})*)", 1)
-    rest = F.trim(F.regexp_replace(body, rf"^{IDENT}(?:\s*,\s*{IDENT})*", ""))
+def const_specs(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Specs of ``const ( … )`` groups: one row per spec with ``names`` (left side), ``type_text`` and ``expr``
+    (null when the spec repeats the previous one); ``pos`` = spec position in the group."""
+    body = F.regexp_replace("head", r"^\s+|\s+\z", "")
+    rest = F.trim(F.regexp_replace(body, rf"^{NAMES}", ""))
     typ = F.trim(F.regexp_extract(rest, r"^([^=]*)", 1))
-    expr = F.when(rest.contains("="), F.trim(F.regexp_extract(rest, r"=(.*)$", 1)))
-    w = Window.partitionBy(*key, "owner_line").orderBy("line_no")
-    specs = ml.filter((F.col("depth") == 0) & ~F.col("go_on") & (lhs != "") & ~t.startswith(")")) \
-        .select(*key, "owner_line", "line_no", "member_doc", lhs.alias("names"),
-                F.when(typ != "", typ).alias("type_text"), expr.alias("expr"))
-    return specs.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
+    expr = F.when(rest.contains("="), reveal(F.trim(F.regexp_extract(rest, r"(?s)=(.*)$", 1))))
+    w = Window.partitionBy(*key, "owner_line").orderBy("node")
+    specs = nodes.filter((F.col("inside") == "values") & (F.col("word") == "const") & (F.col("left_open") == "") & body.rlike(rf"^{IDENT}")) \
+        .select(*key, "owner_line", F.col("line").alias("line_no"), F.col("doc").alias("member_doc"), F.regexp_extract(body, rf"^({NAMES})", 1).alias("names"),
+                F.when(typ != "", typ).alias("type_text"), expr.alias("expr"), "node")
+    return specs.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).drop("node")
 
 
 def const_decls(specs: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -409,30 +279,24 @@ def const_decls(specs: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 # --- E11 --------------------------------------------------------------------
-def interface_members(ml: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def interface_members(nodes: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(methods, type-set terms) of interface bodies; terms de-duplicated first wins.
 
-    A member is a line outside all inner brackets with the lines that go on from
-    it.  One that isn't a method is an element of the type set: a union, a
+    A member that isn't a method is an element of the type set: a union, a
     single term or an embedded interface.
     """
-    turn = Window.partitionBy(*key, "owner_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    begins = F.when((F.col("depth") == 0) & ~F.col("go_on"), F.struct("line_no", "member_doc"))
-    unit = ml.withColumn("__m", F.last(begins, ignorenulls=True).over(turn)).groupBy(*key, "owner_line", "owner", "__m").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", strip_ws("code").alias("c")))).alias("__ls"))
-    t = F.array_join(F.transform("__ls", lambda r: r["c"]), " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"([(\[])\s+", "$1"), r",?\s+([)\]])", "$1")
-    top = unit.select(*key, "owner_line", "owner", F.col("__m.line_no").alias("line_no"), F.col("__m.member_doc").alias("member_doc"), t.alias("__t"))
+    top = nodes.filter((F.col("inside") == "interface") & (F.col("left_open") == "")).select(
+        *key, "owner_line", "owner", F.col("line").alias("line_no"), "node", F.col("doc").alias("member_doc"), reveal(_one_line(F.col("head"))).alias("__t"))
     method = F.col("__t").rlike(rf"^{IDENT}\s*\(")
     meth = top.filter(method).select(
-        *key, "owner_line", "owner", "line_no", "member_doc",
+        *key, "owner_line", "owner", "line_no", "node", "member_doc",
         F.regexp_extract("__t", rf"^({IDENT})", 1).alias("name"),
         F.regexp_extract("__t", rf"^{IDENT}\s*(\(.*)$", 1).alias("signature"))
     sets = top.filter(~method).select(
-        *key, "owner_line", "owner", "line_no", F.posexplode(F.split("__t", r"\s*\|\s*")).alias("term_pos", "term"))
+        *key, "owner_line", "owner", "node", F.posexplode(F.split("__t", r"\s*\|\s*")).alias("term_pos", "term"))
     sets = sets.withColumn("term", F.trim(F.regexp_replace("term", r"[()]", ""))).filter(F.col("term") != "")
     first = sets.groupBy(*key, "owner_line", "owner", "term").agg(
-        F.min(F.struct("line_no", "term_pos")).alias("__f"))
+        F.min(F.struct("node", "term_pos")).alias("__f"))
     wt = Window.partitionBy(*key, "owner_line").orderBy("__f")
     terms = first.withColumn("pos", (F.row_number().over(wt) - 1).cast("long")).drop("__f")
     return meth, terms

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: One token of a source text: comment, raw string, string, character, other text.  Possessive
 #: repetitions, so that long literals take no stack.
-_TOKEN = (r"(?s)//[^\n]*+|/\*.*?(?:\*/|\z)|`[^`]*+`?|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"?"
+TOKEN = (r"(?s)//[^\n]*+|/\*.*?(?:\*/|\z)|`[^`]*+`?|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"?"
           r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|[^/`\"']++|/")
 
 
@@ -36,7 +36,7 @@ def code_text(text: Column | str) -> Column:
                 .when(t.startswith("`"), F.concat(F.lit('"'), raw, F.lit('"')))
                 .when(t.startswith('"') | t.startswith("'"), '""').otherwise(t))
 
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0)), plain), "")
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), plain), "")
 
 
 # --- E1 ---------------------------------------------------------------------

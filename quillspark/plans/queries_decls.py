@@ -14,16 +14,19 @@ from ..operators import decls as D
 from ..operators import examples as EX
 from ..operators import lines as L
 from ..operators.paths import dir_of
+from ..operators.tree import nodes
 from ..shapes import rows_sql
 from .catalog import query
 
 K = ["file_id"]
 
 
+def fx1_nodes(spark, sf_dir, text=False):
+    return nodes(fx(spark, sf_dir, "fx1_files"), K, text=text)
+
+
 def fx1_decls(spark, sf_dir):
-    ln = L.lines(fx(spark, sf_dir, "fx1_files"), K, code=True)
-    decls, _bad = D.declarations(ln, K)
-    return ln, decls
+    return D.declarations(fx1_nodes(spark, sf_dir, text=True), K)[0]
 
 
 # Expected declaration rows of every Fx1 file; '#' stands for the file id.
@@ -50,20 +53,20 @@ DECLS_SQL = cte("fx1_files") + f"""
 # --- E6 ---------------------------------------------------------------------
 @query("e6_declarations", oracle=DECLS_SQL + "SELECT file_id, decl_line, end_line, kind, name, decl, doc, exported, receiver_key, full_decl FROM d")
 def e6_declarations(spark, sf_dir):
-    _, d = fx1_decls(spark, sf_dir)
+    d = fx1_decls(spark, sf_dir)
     return d.select(*K, "decl_line", "end_line", "kind", "name", "decl", "doc", "exported", "receiver_key", "full_decl")
 
 
 @query("f7_exported_filter", oracle=DECLS_SQL + "SELECT file_id, decl_line, name FROM d WHERE exported")
 def f7_exported_filter(spark, sf_dir):
-    _, d = fx1_decls(spark, sf_dir)
+    d = fx1_decls(spark, sf_dir)
     private = False
     return d.filter(F.col("exported") | F.lit(private)).select(*K, "decl_line", "name")
 
 
 @query("f9_unattached_funcs", oracle=DECLS_SQL + "SELECT file_id, name FROM d WHERE kind IN ('func', 'method') AND receiver_key IS NULL")
 def f9_unattached_funcs(spark, sf_dir):
-    _, d = fx1_decls(spark, sf_dir)
+    d = fx1_decls(spark, sf_dir)
     return d.filter(F.col("kind").isin("func", "method") & F.col("receiver_key").isNull()).select(*K, "name")
 
 
@@ -75,7 +78,7 @@ SELECT regexp_extract(path, '^/repo/(m[0-9]+)', 1) AS module,
  count(*) FILTER (WHERE kind = 'var') AS var, count(*) FILTER (WHERE kind = 'const') AS const
 FROM d GROUP BY 1""")
 def a4_kind_totals(spark, sf_dir):
-    _, d = fx1_decls(spark, sf_dir)
+    d = fx1_decls(spark, sf_dir)
     files = fx(spark, sf_dir, "fx1_files").select(*K, F.regexp_extract("path", r"^/repo/(m[0-9]+)", 1).alias("module"))
     return A.kind_totals(d.join(files, K), ["module"])
 
@@ -102,7 +105,7 @@ FROM d s JOIN d m ON m.kind = 'method' AND m.receiver_key = s.name
   AND regexp_extract(m.path, '^(.*)/[^/]*$', 1) = regexp_extract(s.path, '^(.*)/[^/]*$', 1)
 WHERE s.kind = 'struct'""")
 def j1_owner_methods(spark, sf_dir):
-    _, d = fx1_decls(spark, sf_dir)
+    d = fx1_decls(spark, sf_dir)
     files = fx(spark, sf_dir, "fx1_files").select(*K, dir_of("path").alias("package"))
     d = d.join(files, K)
     owners = d.filter(F.col("kind") == "struct").select("package", "file_id", F.col("name").alias("owner"))
@@ -117,7 +120,7 @@ SELECT m.file_id, m.name AS method,
        WHEN EXISTS (SELECT 1 FROM d s WHERE s.kind = 'type' AND s.name = m.receiver_key AND regexp_extract(s.path, '^(.*)/[^/]*$', 1) = regexp_extract(m.path, '^(.*)/[^/]*$', 1)) THEN 'type' END AS owner_kind
 FROM d m WHERE m.kind = 'method'""")
 def j13_priority_owner(spark, sf_dir):
-    _, d = fx1_decls(spark, sf_dir)
+    d = fx1_decls(spark, sf_dir)
     files = fx(spark, sf_dir, "fx1_files").select(*K, dir_of("path").alias("package"))
     d = d.join(files, K)
     meths = d.filter(F.col("kind") == "method").select(*K, "package", F.col("name").alias("method"),
@@ -153,9 +156,7 @@ def a3_import_block(spark, sf_dir):
 
 # --- E8 / A5 / A6 -----------------------------------------------------------
 def fx1_fields(spark, sf_dir):
-    ln, d = fx1_decls(spark, sf_dir)
-    ml = D.member_lines(D.label_lines(ln, K), K, ["struct"])
-    return D.fields(ml, K)
+    return D.fields(fx1_nodes(spark, sf_dir), K)
 
 
 FIELD_VALUES = """(VALUES (17, 'Name', 'string', 'json:"name,omitempty" yaml:"name"', 'Name is the name.', true),
@@ -216,14 +217,12 @@ SELECT file_id, v.name || CAST(file_id AS VARCHAR) AS name, CAST(v.ln AS BIGINT)
 FROM fx1_files, (VALUES ('A', 35, 'const', 'A is first.', true), ('B', 36, 'const', '', true), ('c', 37, 'const', '', false),
                        ('x', 40, 'var', '', false), ('Y', 40, 'var', '', true)) v(name, ln, kind, doc, exported)""")
 def e9_var_specs(spark, sf_dir):
-    ln, d = fx1_decls(spark, sf_dir)
-    return D.value_specs(d, D.member_lines(D.label_lines(ln, K), K, ["const", "var"]), K)
+    return D.value_specs(fx1_nodes(spark, sf_dir), K)
 
 
 # --- E11 --------------------------------------------------------------------
 def fx1_interfaces(spark, sf_dir):
-    ln, d = fx1_decls(spark, sf_dir)
-    return D.interface_members(D.member_lines(D.label_lines(ln, K), K, ["interface"]), K)
+    return D.interface_members(fx1_nodes(spark, sf_dir), K)
 
 
 @query("e11_interface_methods", oracle=cte("fx1_files") + """
@@ -241,7 +240,7 @@ def e11_type_set(spark, sf_dir):
 
 # --- E12 / A7 / X10 ---------------------------------------------------------
 def fx1_params(spark, sf_dir):
-    _, d = fx1_decls(spark, sf_dir)
+    d = fx1_decls(spark, sf_dir)
     s = D.signature_parts(d.filter(F.col("kind").isin("func", "method", "functype")))
     out = D.param_rows(D.signature_lists(s, K), K, carry=["kind", "decl_name"])
     return d, out
@@ -283,8 +282,8 @@ def x10_type_params(spark, sf_dir):
 
 
 # --- varied shapes (Fx12) -----------------------------------------------------
-def fx12_lines(spark, sf_dir):
-    return L.lines(fx(spark, sf_dir, "fx12_files"), K, code=True)
+def fx12_nodes(spark, sf_dir, text=False):
+    return nodes(fx(spark, sf_dir, "fx12_files"), K, text=text)
 
 
 def _shapes(what: str, columns: str) -> str:
@@ -298,49 +297,44 @@ def _id(column: str) -> str:
 @query("e6_declaration_shapes", oracle=_shapes("decls", "l, e, kind, name, decl, doc, exported, receiver_key") + f"""
 SELECT file_id, base + l AS decl_line, base + e AS end_line, kind, {_id('name')}, {_id('decl')}, {_id('doc')}, exported, {_id('receiver_key')} FROM wanted""")
 def e6_declaration_shapes(spark, sf_dir):
-    d, _ = D.declarations(fx12_lines(spark, sf_dir), K)
+    d, _ = D.declarations(fx12_nodes(spark, sf_dir, text=True), K)
     return d.select(*K, "decl_line", "end_line", "kind", "name", "decl", "doc", "exported", "receiver_key")
 
 
 @query("q1_declaration_rejects", oracle=_shapes("bad", "l, message") + "SELECT file_id, base + l AS decl_line, message FROM wanted")
 def q1_declaration_rejects(spark, sf_dir):
-    return D.declarations(fx12_lines(spark, sf_dir), K)[1].select(*K, "decl_line", "message")
-
-
-def fx12_members(spark, sf_dir, *kinds):
-    return D.member_lines(D.label_lines(fx12_lines(spark, sf_dir), K), K, kinds)
+    return D.declarations(fx12_nodes(spark, sf_dir, text=True), K)[1].select(*K, "decl_line", "message")
 
 
 @query("e8_field_shapes", oracle=_shapes("fields", "l, owner, depth, struct_path, name, type_text, tag, member_doc, exported, embedded, anonymous") + f"""
 SELECT file_id, base + l AS line_no, {_id('owner')}, CAST(depth AS BIGINT) AS depth, struct_path, name, type_text, tag, member_doc, exported, embedded, anonymous FROM wanted""")
 def e8_field_shapes(spark, sf_dir):
-    f = D.fields(fx12_members(spark, sf_dir, "struct"), K)
+    f = D.fields(fx12_nodes(spark, sf_dir), K)
     return f.select(*K, "line_no", "owner", F.col("depth").cast("long").alias("depth"), "struct_path", "name", "type_text", "tag",
                     "member_doc", "exported", "embedded", "anonymous")
 
 
 @query("a5_tag_shapes", oracle=_shapes("tags", "owner, has_tags") + f"SELECT file_id, {_id('owner')}, has_tags FROM wanted")
 def a5_tag_shapes(spark, sf_dir):
-    return A.tag_presence(D.fields(fx12_members(spark, sf_dir, "struct"), K), K)
+    return A.tag_presence(D.fields(fx12_nodes(spark, sf_dir), K), K)
 
 
 @query("a8_example_shapes", oracle=_shapes("examples", "owner, example_json") + f"SELECT file_id, {_id('owner')}, example_json FROM wanted")
 def a8_example_shapes(spark, sf_dir):
-    ln = fx12_lines(spark, sf_dir)
-    owners = D.declarations(ln, K)[0].filter(F.col("kind") == "struct").select(*K, F.col("decl_line").alias("owner_line"), F.col("name").alias("owner"))
-    return EX.example_json(D.fields(D.member_lines(D.label_lines(ln, K), K, ["struct"]), K), K, owners)
+    own = fx12_nodes(spark, sf_dir, text=True)
+    owners = D.declarations(own, K)[0].filter(F.col("kind") == "struct").select(*K, F.col("decl_line").alias("owner_line"), F.col("name").alias("owner"))
+    return EX.example_json(D.fields(own, K), K, owners)
 
 
 @query("e9_spec_shapes", oracle=_shapes("specs", "l, kind, name, exported") + f"SELECT file_id, base + l AS line_no, kind, {_id('name')}, exported FROM wanted")
 def e9_spec_shapes(spark, sf_dir):
-    d, _ = D.declarations(fx12_lines(spark, sf_dir), K)
-    return D.value_specs(d, fx12_members(spark, sf_dir, "const", "var"), K).select(*K, "line_no", "kind", "name", "exported")
+    return D.value_specs(fx12_nodes(spark, sf_dir), K).select(*K, "line_no", "kind", "name", "exported")
 
 
 @query("e11_member_shapes", oracle=_shapes("members", "owner, what, pos, member") + f"SELECT file_id, {_id('owner')}, what, CAST(pos AS BIGINT) AS pos, member FROM wanted")
 def e11_member_shapes(spark, sf_dir):
-    m, t = D.interface_members(fx12_members(spark, sf_dir, "interface"), K)
-    turn = Window.partitionBy(*K, "owner_line").orderBy("line_no")
+    m, t = D.interface_members(fx12_nodes(spark, sf_dir), K)
+    turn = Window.partitionBy(*K, "owner_line").orderBy("node")
     m = m.select(*K, "owner", F.lit("method").alias("what"), (F.row_number().over(turn) - 1).cast("long").alias("pos"),
                  F.concat("name", "signature").alias("member"))
     return m.unionByName(t.select(*K, "owner", F.lit("term").alias("what"), "pos", F.col("term").alias("member")))
@@ -348,10 +342,10 @@ def e11_member_shapes(spark, sf_dir):
 
 @query("a7_signature_shapes", oracle=_shapes("signatures", "l, signature") + f"SELECT file_id, base + l AS decl_line, {_id('signature')} FROM wanted")
 def a7_signature_shapes(spark, sf_dir):
-    ln = fx12_lines(spark, sf_dir)
+    own = fx12_nodes(spark, sf_dir, text=True)
     heads = [*K, "decl_line", "kind", "name", "decl"]
-    d = D.declarations(ln, K)[0].filter(F.col("kind").isin("func", "method", "functype")).select(heads)
-    m = D.method_heads(D.interface_members(D.member_lines(D.label_lines(ln, K), K, ["interface"]), K)[0]).select(heads)
+    d = D.declarations(own, K)[0].filter(F.col("kind").isin("func", "method", "functype")).select(heads)
+    m = D.method_heads(D.interface_members(own, K)[0]).select(heads)
     parts = D.signature_parts(d.unionByName(m))
     return A.signatures(D.param_rows(D.signature_lists(parts, K), K, carry=["kind", "decl_name"]), K).select(*K, "decl_line", "signature")
 

@@ -110,7 +110,7 @@ def fx1_file_summary(spark, sf_dir):
                                 F.min_by(F.regexp_extract("text", r"^package\s+(.*)$", 1), "line_no").alias("package"))
     pdoc = L.attach_docs(pkg_line, L.comment_blocks(ln, ["file_id"]), ["file_id"])
     tags = L.build_tags(ln, ["file_id"]).groupBy("file_id").agg(F.collect_list("tag").alias("tags"))
-    _, d = fx1_decls(spark, sf_dir)
+    d = fx1_decls(spark, sf_dir)
     nd = d.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_decls"))
     return files.select("file_id", "path", P.dir_of("path").alias("dir")) \
         .join(pdoc.select("file_id", "package", "doc"), "file_id", "left") \
@@ -149,7 +149,7 @@ def a9_example_yaml(spark, sf_dir):
 
 # --- R1 / R2 / P3 -----------------------------------------------------------
 def fx1_sections(spark, sf_dir, overrides=None):
-    _, d = fx1_decls(spark, sf_dir)
+    d = fx1_decls(spark, sf_dir)
     files = fx(spark, sf_dir, "fx1_files").select("file_id", "path", P.dir_of("path").alias("package"))
     return RD.render_sections(d.join(files, "file_id"), overrides)
 

@@ -73,10 +73,9 @@ NESTED_SRC = (
 
 def _nested_fields(spark):
     from quillspark.operators import decls as D
-    from quillspark.operators.lines import lines
+    from quillspark.operators.tree import nodes
     df = spark.createDataFrame([(1, NESTED_SRC)], "file_id long, content string")
-    ln = lines(df, ["file_id"])
-    return D.fields(D.member_lines(D.label_lines(ln, ["file_id"]), ["file_id"], ["struct"]), ["file_id"])
+    return D.fields(nodes(df, ["file_id"]), ["file_id"])
 
 
 def test_nested_struct_fields(spark):
@@ -97,9 +96,9 @@ def test_nested_examples(spark):
 
 def _func_doc(spark, src):
     from quillspark.operators import decls as D
-    from quillspark.operators.lines import lines
+    from quillspark.operators.tree import nodes
     df = spark.createDataFrame([(1, src)], "file_id long, content string")
-    d, _ = D.declarations(lines(df, ["file_id"]), ["file_id"])
+    d, _ = D.declarations(nodes(df, ["file_id"], text=True), ["file_id"])
     return {r["name"]: r["doc"] for r in d.collect()}
 
 
@@ -145,10 +144,9 @@ def test_type_kinds(spark):
 
 def _const_decls(spark, src):
     from quillspark.operators import decls as D
-    from quillspark.operators.lines import lines
+    from quillspark.operators.tree import nodes
     df = spark.createDataFrame([(1, src)], "file_id long, content string")
-    ml = D.member_lines(D.label_lines(lines(df, ["file_id"]), ["file_id"]), ["file_id"], ["const"])
-    out = D.const_decls(D.const_specs(ml, ["file_id"]), ["file_id"])
+    out = D.const_decls(D.const_specs(nodes(df, ["file_id"]), ["file_id"]), ["file_id"])
     return [r["decl"] for r in out.orderBy("line_no", "name_pos").collect()]
 
 

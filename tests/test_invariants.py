@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from quillspark.fixtures import fx
 from quillspark.operators import modules as M
 from quillspark.operators import paths as P
-from quillspark.operators.lines import lines
+from quillspark.operators.tree import nodes
 from quillspark.operators.decls import declarations
 
 SF = "/root/testdata/sf0.001"
@@ -27,8 +27,7 @@ def test_manifest_quarantine_adds_up(spark):
 
 def test_unclosed_block_goes_to_quarantine(spark):
     df = spark.createDataFrame([(1, "package x\n\ntype A struct {\n\tX int\n\ntype B int\n")], "file_id long, content string")
-    ln = lines(df, ["file_id"])
-    good, bad = declarations(ln, ["file_id"])
+    good, bad = declarations(nodes(df, ["file_id"], text=True), ["file_id"])
     assert [r["name"] for r in good.collect()] == ["B"]
     assert bad.count() == 1
 

@@ -31,9 +31,9 @@ def test_flagship_prunes_columns(spark):
     assert "page_id" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
-def test_declarations_single_corpus_shuffle(spark):
-    df = QS["e6_declarations"](spark, SF)
-    plan = _plan(df)
-    # the corpus is shuffled once by file (plus the spread of the one-row-group input table)
-    assert plan.count("Exchange hashpartitioning(file_id") == 1
-    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+def test_declarations_without_shuffle(spark):
+    """Nodes come from within a file's row: no text moves, apart from the spread of the small input table before texts are made."""
+    for name in ("e6_declarations", "e6_declaration_shapes", "e8_fields", "e8_field_shapes", "e11_interface_methods"):
+        plan = _plan(QS[name](spark, SF))
+        assert "Exchange hashpartitioning" not in plan and "Window" not in plan and "Join" not in plan, name
+        assert "RoundRobinPartitioning" in plan and "content" not in plan.split("RoundRobinPartitioning")[1], name
