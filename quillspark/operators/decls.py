@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lines import comment_blocks
-from .tree import IDENT, NAMES, reveal, scan
+from .tree import IDENT, NAMES, let, reveal, scan
 
 # ordered classification of a declaration's first line: (kind, regex, name group); type
 # parameters are taken out before (see _without_type_params)
@@ -130,30 +130,35 @@ def _one_line(text: Column) -> Column:
 def declarations(nodes: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """One row per top-level declaration and the quarantine rows, from :func:`tree.nodes` with ``text``.
 
-    Columns: ``key, decl_line, end_line, kind, name, decl, full_decl, doc, exported,
+    Columns: ``key, node, decl_line, end_line, kind, name, decl, full_decl, doc, exported,
     receiver, receiver_key``.  Declarations begin at a keyword in column 0, or are the specs of a
     ``type ( … )`` group.  One whose brackets don't close before the next keyword, or whose head is
     none of the known forms, is a quarantine row; each keyword gives one or the other.
     """
-    first = (F.col("inside") == "") & (F.col("node") == 1) & F.col("word").isin("type", "func", "var", "const")
-    own = nodes.filter((first & ~((F.col("word") == "type") & F.coalesce(F.col("lists") == "types", F.lit(False)) & (F.col("left_open") == "")))
+    first = F.col("first") & F.col("word").isin("type", "func", "var", "const")
+    own = nodes.filter((first & ~((F.col("word") == "type") & F.coalesce(F.col("lists") == "types", F.lit(False)) & ~F.col("left_open")))
                        | (F.col("inside") == "types"))
+    # computed once for each row, behind a generator that later filters aren't moved below
     code = _one_line(F.when(F.col("inside") == "types", F.concat(F.lit("type "), F.ltrim(F.regexp_replace("head", r"^\s+", "")))).otherwise(F.col("head")))
-    own = own.withColumn("__code", code).withColumn("__kind_of", _without_type_params(F.concat(
-        "__code", F.when(F.col("lists").isin("struct", "interface"), "{").when(F.col("lists") == "values", "(").otherwise(""))))
-    own = own.withColumn("kind", _kind_expr(F.col("__kind_of")))
-    bad = F.when(F.col("left_open") != "", "block not closed before the next declaration").when(F.col("kind").isNull(), "declaration not recognised")
+    opens = F.when(F.col("lists").isin("struct", "interface"), "{").when(F.col("lists") == "values", "(").otherwise("")
+
+    def known(c: Column) -> Column:
+        return let(_without_type_params(F.concat(c, opens)), lambda t: let(_kind_expr(t), lambda kind: F.array(F.struct(
+            c.alias("__code"), kind.alias("kind"), _name_expr(t, kind).alias("name")))))
+    own = own.select("*", F.inline(let(code, known)))
+    bad = F.when(F.col("left_open"), "block not closed before the next declaration").when(F.col("kind").isNull(), "declaration not recognised")
     rejects = own.filter(bad.isNotNull()).select(*key, F.col("line").alias("decl_line"), F.lit("declarations").alias("stage"), bad.alias("message"))
     good = own.filter(bad.isNull())
     # variables, constants and other types show their first line
     shown = F.substring_index(F.regexp_replace("text", r"^\s+", ""), "\n", 1)
+    shown = F.when(F.col("lists") == "values", F.col("word")).otherwise(shown)
     shown = F.regexp_replace(F.when(F.col("inside") == "types", F.concat(F.lit("type "), shown)).otherwise(shown), r"\s+\z", "")
     head = F.when(F.col("kind").isin("func", "method", "functype"), F.col("__code")) \
         .when(F.col("kind").isin("struct", "interface"), F.concat("__code", F.when(F.col("hollow"), F.concat(F.regexp_extract("head", r"(\s?)\s*\z", 1), F.lit("{}"))).otherwise(""))) \
         .otherwise(shown)
     h = reveal(head)
     recv = F.when(F.col("kind") == "method", F.regexp_extract("__code", r"^func\s*\(([^)]*)\)", 1))
-    decls = good.select(*key, F.col("line").alias("decl_line"), "end_line", "kind", _name_expr(F.col("__kind_of"), F.col("kind")).alias("name"),
+    decls = good.select(*key, "node", F.col("line").alias("decl_line"), "end_line", "kind", "name",
                         F.trim(F.regexp_replace(h, r"\s*[{(]\s*$", "")).alias("decl"), F.trim(F.regexp_replace(recv, r"^\s*" + IDENT + r"\s+", "")).alias("receiver"),
                         F.col("text").alias("full_decl"), _clean_doc(F.col("doc")).alias("doc"))
     decls = decls.withColumn("receiver_key", F.when(F.col("receiver").isNotNull(), receiver_key("receiver"))) \
@@ -161,8 +166,13 @@ def declarations(nodes: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataF
     return decls, rejects
 
 
-def _without_tag(code: Column) -> Column:
-    return F.regexp_replace(code, r"\s*+\x04[^\x05]*+\x05\s*\z", "")
+def _member(head: Column) -> Column:
+    """A member's text without its tag."""
+    return F.regexp_replace(F.regexp_replace(head, r"\s*+\x04[^\x05]*+\x05\s*\z", ""), r"^\s+|\s+\z", "")
+
+
+def _is_field(body: Column) -> Column:
+    return body.rlike(rf"^{NAMES}\s+\S") | body.rlike(rf"^\*?{IDENT}(?:\.{IDENT})?\s*(?:\[(?s:.*)\])?$")
 
 
 # --- E8 ---------------------------------------------------------------------
@@ -173,10 +183,10 @@ def fields(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
     field names (``Profile`` or ``Outer.Inner``); the field that opens it is ``anonymous``
     and has the tag after its ``}``.  A type over several lines is kept as written.
     """
-    x = nodes.filter((F.col("inside") == "struct") & (F.col("left_open") == ""))
+    x = nodes.filter((F.col("inside") == "struct") & ~F.col("left_open") & _is_field(_member(F.col("head"))))
     opens = F.coalesce(F.col("lists") == "struct", F.lit(False))
     quoted = F.regexp_extract(F.when(opens, F.col("tail")).otherwise(F.col("head")), r"\x04([^\x05]*+)\x05\s*\z", 1)
-    body = F.regexp_replace(_without_tag(F.col("head")), r"^\s+|\s+\z", "")
+    body = _member(F.col("head"))
     named = body.rlike(rf"^{NAMES}\s+\S")
     x = x.select(*key, "owner_line", "owner", F.col("line").alias("line_no"), F.col("depth").cast("long").alias("depth"), F.col("path").alias("struct_path"),
                  F.col("doc").alias("member_doc"), F.when(named, F.regexp_extract(body, rf"^({NAMES})\s+", 1)).alias("names"),
@@ -191,11 +201,10 @@ def fields(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def member_rejects(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
     """Members of structs and interfaces that have none of the known forms: quarantine rows."""
-    body = F.regexp_replace(_without_tag(F.col("head")), r"^\s+|\s+\z", "")
-    field = body.rlike(rf"^{NAMES}\s+\S") | body.rlike(rf"^\*?{IDENT}(?:\.{IDENT})?\s*(?:\[(?s:.*)\])?$")
-    member = body.rlike(rf"^{IDENT}\s*\(") | body.rlike(r"^[~(*\[]") | body.rlike(rf"^{IDENT}")
+    body = _member(F.col("head"))
+    field, member = _is_field(body), body.rlike(rf"^(?:{IDENT}|[~(*\[])")
     bad = ((F.col("inside") == "struct") & ~field) | ((F.col("inside") == "interface") & ~member)
-    return nodes.filter(bad & (F.col("left_open") == "")).select(
+    return nodes.filter(bad & ~F.col("left_open")).select(
         *key, F.col("line").alias("decl_line"), F.lit("members").alias("stage"), F.lit("member not recognised").alias("message"))
 
 
@@ -213,8 +222,8 @@ def value_specs(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
     Specs are the items of a ``( … )`` group; any other var or const is one spec, over however
     many lines.  A spec's own doc comes before that of its group.
     """
-    own = nodes.filter(F.col("word").isin("var", "const") & (F.col("left_open") == ""))
-    top = (F.col("inside") == "") & (F.col("node") == 1)
+    own = nodes.filter(F.col("word").isin("var", "const") & ~F.col("left_open"))
+    top = F.col("first")
     group = top & F.coalesce(F.col("lists") == "values", F.lit(False))
     chunk = [*key, "chunk_line"]
     docs = own.filter(group).select(*chunk, F.col("doc").alias("group_doc"))
@@ -257,7 +266,7 @@ def const_specs(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
     typ = F.trim(F.regexp_extract(rest, r"^([^=]*)", 1))
     expr = F.when(rest.contains("="), reveal(F.trim(F.regexp_extract(rest, r"(?s)=(.*)$", 1))))
     w = Window.partitionBy(*key, "owner_line").orderBy("node")
-    specs = nodes.filter((F.col("inside") == "values") & (F.col("word") == "const") & (F.col("left_open") == "") & body.rlike(rf"^{IDENT}")) \
+    specs = nodes.filter((F.col("inside") == "values") & (F.col("word") == "const") & ~F.col("left_open") & body.rlike(rf"^{IDENT}")) \
         .select(*key, "owner_line", F.col("line").alias("line_no"), F.col("doc").alias("member_doc"), F.regexp_extract(body, rf"^({NAMES})", 1).alias("names"),
                 F.when(typ != "", typ).alias("type_text"), expr.alias("expr"), "node")
     return specs.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).drop("node")
@@ -285,7 +294,7 @@ def interface_members(nodes: DataFrame, key: Sequence[str]) -> tuple[DataFrame,
     A member that isn't a method is an element of the type set: a union, a
     single term or an embedded interface.
     """
-    top = nodes.filter((F.col("inside") == "interface") & (F.col("left_open") == "")).select(
+    top = nodes.filter((F.col("inside") == "interface") & ~F.col("left_open") & F.col("head").rlike(rf"^\s*(?:{IDENT}|[~(*\[])")).select(
         *key, "owner_line", "owner", F.col("line").alias("line_no"), "node", F.col("doc").alias("member_doc"), reveal(_one_line(F.col("head"))).alias("__t"))
     method = F.col("__t").rlike(rf"^{IDENT}\s*\(")
     meth = top.filter(method).select(

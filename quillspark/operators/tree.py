@@ -26,21 +26,22 @@ _PLAIN = "\x02\x03\x04\x05\n\t ()[]{};,\"'`/|=*.:<>&~!+-%^#@$?\\"
 _HIDDEN = "".join(chr(0xE000 + ord(c)) for c in _PLAIN)
 _MARKS = "\x02\x03\x04\x05"
 _COMMENT, _LITERAL = r"\x02[^\x03]*+\x03", r"\x04[^\x05]*+\x05"
-#: Tokens of an encoded chunk.
-_PIECE = rf"{_COMMENT}|{_LITERAL}|[()\[\]{{}};\n]|[^\x02\x04()\[\]{{}};\n]++"
+#: Tokens of an encoded chunk.  Outside type declarations a block of indented lines up to a brace in column 0 is one token.
+_PIECE = rf"{_COMMENT}|{_LITERAL}|[()\[\]{{}};]|[ \t]*+\n|[^\x02\x04()\[\]{{}};\n]++"
+_BODY = r"\{[^\n{}]*+\n(?:(?:[ \t][^\n]*+)?+\n)*+\}"
+_GO_ON = r"[-+*/%&|^<>=!,.:~]\s*\z"
 _WORDS = "type|func|var|const|import|package"
 _LINE_END = chr(0xE000 + ord("\n"))
-#: Items are gathered in blocks of so many, so that a long list isn't copied for each of its items.
-_BLOCK = 128
 
-_ITEM = ("id int, parent int, inside string, owner string, owner_line int, depth int, path string, a int, b int, open int, close int, line int, last int, doc int")
+_ITEM_TYPE = ("struct<id:int,parent:int,inside:string,owner:string,owner_line:int,depth:int,path:string,"
+              "a:int,b:int,open:int,close:int,line:int,last:int,doc:int>")
 _LEVEL = ("id", "parent", "inside", "owner", "owner_line", "depth", "path", "a", "open", "close", "line", "doc")
-_STATE = ("line", "mark", "ended", "doc", "n", "brackets", "stack", "out", "done")
+_STATE = ("line", "mark", "ended", "doc", "n", "opaque", "stack", "out")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), use)[0]
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, use)
 
 
 def encode(text: Column) -> Column:
@@ -80,42 +81,60 @@ def _doc_above(chunk: Column) -> Column:
     return F.when(lines == "", "").otherwise(_doc(F.regexp_extract_all(F.reverse(lines), F.lit(_COMMENT), F.lit(0))))
 
 
-def _appended(s: Column, item: Column) -> tuple[Column, Column]:
-    full = F.size(s["out"]) >= _BLOCK
-    return (F.when(full, F.array(item)).otherwise(F.concat(s["out"], F.array(item))),
-            F.when(full, F.concat(s["done"], F.array(s["out"]))).otherwise(s["done"]))
+def fold(n: Column, zero: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``step(state, i)`` for i from 1 to ``n``, as ``struct(s, out)``: the last state, and all that the steps added to its array ``out``.
 
+    A state is copied at each step, so long outputs are taken out of it after every
+    square root of ``n`` steps: ``n ** 1.5`` copies in all, not the square.
+    """
+    size = F.greatest(F.lit(16), F.ceil(F.sqrt(n)).cast("int"))
+    names = _STATE if kind == _ITEM_TYPE else ("s", "out")
+    none = F.array().cast(f"array<{kind}>")
 
-def scan(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
-    """What ``step(state, item) -> (next state, output of SQL type kind)`` puts out for each item, in time linear in the items."""
-    zero = F.struct(start.alias("s"), F.array().cast(f"array<{kind}>").alias("out"), F.array().cast(f"array<array<{kind}>>").alias("done"))
-
-    def one(a: Column, x: Column) -> Column:
-        after, item = step(a["s"], x)
-        out, done = _appended(a, item)
-        return F.struct(after.alias("s"), out.alias("out"), done.alias("done"))
-    return F.aggregate(items, zero, one, lambda a: F.flatten(F.concat(a["done"], F.array(a["out"]))))
+    def block(a: Column, first: Column) -> Column:
+        run = F.aggregate(F.sequence(first, F.least(first + size - 1, n)), a["s"], step)
+        return let(run, lambda r: F.struct(_put(r, names, out=none).alias("s"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+    start = F.struct(zero.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), n, size), start, block, lambda a: F.struct(a["s"].alias("s"), F.flatten(a["out"]).alias("out")))
 
 
-def chunks(files: DataFrame, key: Sequence[str], content_col: str = "content") -> DataFrame:
-    """``key, word, line, chunk, doc``: the encoded text from each keyword in column 0 to the next, and the comment right above."""
+def scan(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What ``step(state, item) -> (next state, output of SQL type kind)`` puts out for each item."""
+    def over(all_items: Column) -> Column:
+        def one(a: Column, i: Column) -> Column:
+            after, item = step(a["s"], F.get(all_items, i - 1))
+            return F.struct(after.alias("s"), F.concat(a["out"], F.array(item)).alias("out"))
+        none = F.array().cast(f"array<{kind}>")
+        zero = F.struct(start.alias("s"), none.alias("out"))
+        return F.when(F.size(all_items) > 0, fold(F.size(all_items), zero, one, kind)["out"]).otherwise(none)
+    return let(items, over)
+
+
+def chunks(files: DataFrame, key: Sequence[str], content_col: str = "content", words: Sequence[str] = tuple(_WORDS.split("|"))) -> DataFrame:
+    """``key, word, line, chunk, doc``: the encoded text from each keyword in column 0 to the next, and the comment right above; of those that begin with one of ``words``."""
     parts = F.split(F.concat(F.lit("\n"), encode(F.col(content_col))), rf"\n(?=(?:{_WORDS})\b)")
 
     def rows(p: Column) -> Column:
         starts = scan(p, F.lit(0), lambda at, c: ((at + _line_ends(c) + 1).cast("int"), at), "int")
-        return let(starts, lambda at: F.transform(p, lambda c, i: F.struct(
-            F.regexp_extract(c, rf"^({_WORDS})\b", 1).alias("word"), F.get(at, i).cast("long").alias("line"), c.alias("chunk"),
-            F.when(i > 0, _doc_above(F.get(p, i - 1))).otherwise("").alias("doc"))))
-    found = F.filter(let(parts, rows), lambda c: c["word"] != "")
-    return files.select(*key, F.inline(found))
+        def row(at: Column) -> Column:
+            return F.transform(p, lambda c, i: F.when(c.rlike(rf"^(?:{'|'.join(words)})\b"), F.struct(
+                F.regexp_extract(c, rf"^({_WORDS})\b", 1).alias("word"), F.get(at, i).cast("long").alias("line"), c.alias("chunk"),
+                F.when(i > 0, _doc_above(F.get(p, i - 1))).otherwise("").alias("doc"))))
+        return let(starts, row)
+    return files.select(*key, F.inline(F.array_compact(let(parts, rows))))
 
 
 def _put(s: Column, names: Sequence[str], **changes: Column) -> Column:
     return F.struct(*[(changes[n] if n in changes else s[n]).alias(n) for n in names])
 
 
+def _part(tokens: Column, start: Column, stop: Column) -> Column:
+    """Tokens from ``start`` to before ``stop``, without a look at the others (``slice`` reads the whole array)."""
+    return F.when(stop > start, F.transform(F.sequence(start, stop - 1), lambda k: F.get(tokens, k - 1))).otherwise(F.array().cast("array<string>"))
+
+
 def _text(tokens: Column, start: Column, stop: Column) -> Column:
-    return F.array_join(F.filter(F.slice(tokens, start, stop - start), lambda t: ~t.startswith("\x02")), "")
+    return F.array_join(F.filter(_part(tokens, start, stop), lambda t: ~t.startswith("\x02")), "")
 
 
 # Heads before a brace that opens a list of members, by what it then lists.
@@ -124,15 +143,29 @@ _INTERFACE = rf"(?s)^\s*(?:type\s+)?{IDENT}(?:\[.*\])?\s+interface\s*$"
 _GROUP = r"^(type|var|const|import)\s*$"
 
 
+def _tokens(word: Column, chunk: Column) -> Column:
+    plain = F.regexp_extract_all(chunk, F.lit(_PIECE), F.lit(0))
+
+    def even(t: Column) -> Column:
+        return F.length(F.translate(t, "([{", "")) == F.length(F.translate(t, ")]}", ""))
+    coarse = let(F.regexp_extract_all(chunk, F.lit(rf"{_BODY}|{_PIECE}"), F.lit(0)),
+                 lambda p: F.when(F.forall(p, lambda t: ~t.startswith("{\n") | even(t)), p).otherwise(plain))
+    return F.concat(F.when(word == "type", plain).otherwise(coarse), F.array(F.lit("\n")))
+
+
 def _fold(tokens: Column, first_line: Column) -> Column:
-    """``struct(items, open)``: the items in order of their end, and the brackets left open."""
+    """``struct(items, left)``: the items in order of their end, and whether brackets are left open.
+
+    A level of the stack is a list of items with at most one item open; brackets that
+    don't open a list are only counted (``opaque``).  ``mark`` tells what stands on a line so far (nothing, a
+    comment, code), ``ended`` whether the last line of code was a whole one.
+    """
     none, empty = F.lit(0), F.lit("")
     kinds = {"id": none, "parent": none, "inside": empty, "owner": empty, "owner_line": none, "depth": none, "path": empty, "a": none,
              "open": none, "close": none, "line": none, "doc": none}
     ground = F.struct(*[v.alias(k) for k, v in kinds.items()])
-    zero = F.struct(first_line.cast("int").alias("line"), none.alias("mark"), F.lit(False).alias("ended"), none.alias("doc"), none.alias("n"), empty.alias("brackets"),
-                    F.array(ground).alias("stack"), F.array().cast(f"array<struct<{_ITEM.replace(' ', ':').replace(',:', ',')}>>").alias("out"),
-                    F.array().cast(f"array<array<struct<{_ITEM.replace(' ', ':').replace(',:', ',')}>>>").alias("done"))
+    zero = F.struct(first_line.cast("int").alias("line"), none.alias("mark"), F.lit(False).alias("ended"), none.alias("doc"), none.alias("n"), none.alias("opaque"),
+                    F.array(ground).alias("stack"), F.array().cast(f"array<{_ITEM_TYPE}>").alias("out"))
 
     def item(top: Column, stop: Column, line: Column) -> Column:
         return F.struct(*[top[c].alias(c) for c in ("id", "parent", "inside", "owner", "owner_line", "depth", "path", "a")], stop.alias("b"),
@@ -143,96 +176,101 @@ def _fold(tokens: Column, first_line: Column) -> Column:
 
     def closed(s: Column, i: Column) -> Column:
         """The open item, if any, ends before token ``i``."""
-        top = F.element_at(s["stack"], -1)
-        out, done = _appended(s, item(top, i, s["line"]))
-        return F.when(top["a"] > 0, _put(s, _STATE, stack=with_top(s, _put(top, _LEVEL, a=none, open=none, close=none)), out=out, done=done)).otherwise(s)
+        def end(top: Column) -> Column:
+            return F.when(top["a"] > 0, _put(s, _STATE, stack=with_top(s, _put(top, _LEVEL, a=none, open=none, close=none)),
+                                             out=F.concat(s["out"], F.array(item(top, i, s["line"]))))).otherwise(s)
+        return let(F.element_at(s["stack"], -1), end)
 
     def begun(s: Column, i: Column) -> Column:
-        """Token ``i`` begins an item where none is open."""
-        top = F.element_at(s["stack"], -1)
-        new = _put(top, _LEVEL, id=s["n"] + 1, a=i, line=s["line"], doc=s["doc"])
-        at_list = F.right(s["brackets"], F.lit(1)).isin("", "s", "i", "g")
-        s2 = F.when(at_list & (top["a"] == 0), _put(s, _STATE, n=s["n"] + 1, stack=with_top(s, new))).otherwise(s)
-        return s2
+        """Token ``i`` is code in a list: it begins an item if none is open."""
+        def begin(top: Column) -> Column:
+            new = _put(top, _LEVEL, id=s["n"] + 1, a=i, line=s["line"], doc=s["doc"])
+            return F.when(top["a"] == 0, _put(s, _STATE, n=s["n"] + 1, stack=with_top(s, new), mark=F.lit(2), doc=none)) \
+                .when(s["mark"] == 2, s).otherwise(_put(s, _STATE, mark=F.lit(2), doc=none))
+        return let(F.element_at(s["stack"], -1), begin)
 
     def opened(s: Column, t: Column, i: Column) -> Column:
-        """An opening bracket: does it open a list of members?"""
-        top = F.element_at(s["stack"], -1)
-        at_list = F.right(s["brackets"], F.lit(1)).isin("", "s", "i", "g")
-
-        def decide(head: Column) -> Column:
+        """An opening bracket, or a whole block, in a list: does it open a list of members?"""
+        def decide(top: Column, head: Column) -> Column:
             types = top["inside"].isin("", "types")
             what = F.when((t == "{") & (types | (top["inside"] == "struct")) & head.rlike(_STRUCT), "struct") \
                 .when((t == "{") & types & head.rlike(_INTERFACE), "interface") \
                 .when((t == "(") & (top["inside"] == "") & head.rlike(_GROUP),
                       F.when(head.startswith("type"), "types").when(head.startswith("import"), "imports").otherwise("values"))
-            body = (t == "{") & (top["inside"] == "") & (top["open"] == 0) & head.rlike(r"^func\b") & ~head.rlike(r"\b(?:struct|interface)\s*$")
+            body = t.startswith("{") & (top["inside"] == "") & (top["open"] == 0) & head.rlike(r"^func\b") & ~head.rlike(r"\b(?:struct|interface)\s*$")
             name = F.regexp_extract(head, rf"^\s*(?:type\s+)?({NAMES})", 1)
             inner = top["inside"] == "struct"
-            level = _put(top, _LEVEL, parent=top["id"], inside=what, owner=F.when(inner, top["owner"]).otherwise(name),
-                         owner_line=F.when(inner, top["owner_line"]).otherwise(top["line"]), depth=F.when(inner, top["depth"] + 1).otherwise(none),
-                         path=F.when(inner, F.when(top["path"] == "", name).otherwise(F.concat(top["path"], F.lit("."), name))).otherwise(empty),
-                         a=none, open=none, close=none)
-            listed = _put(s, _STATE, ended=F.lit(False), mark=F.lit(2), doc=none,
-                          brackets=F.concat(s["brackets"], F.when(what == "struct", "s").when(what == "interface", "i").otherwise("g")),
-                          stack=F.concat(with_top(s, _put(top, _LEVEL, open=i)), F.array(level)))
-            plain = _put(s, _STATE, ended=F.lit(False), mark=F.lit(2), doc=none, brackets=F.concat(s["brackets"], t),
-                         stack=F.when(body, with_top(s, _put(top, _LEVEL, open=i))).otherwise(s["stack"]))
-            return F.when(what.isNotNull(), listed).otherwise(plain)
-
-        return F.when(at_list & (t != "["), let(_text(tokens, top["a"], i), decide)) \
-            .otherwise(_put(s, _STATE, ended=F.lit(False), mark=F.lit(2), doc=none, brackets=F.concat(s["brackets"], t)))
 
-    def shut(s: Column, i: Column) -> Column:
-        """A closing bracket."""
-        rest = F.substr(s["brackets"], F.lit(1), F.length(s["brackets"]) - 1)
-        of_list = F.right(s["brackets"], F.lit(1)).isin("s", "i", "g")
+            def move(w: Column) -> Column:
+                level = _put(top, _LEVEL, parent=top["id"], inside=w, owner=F.when(inner, top["owner"]).otherwise(name),
+                             owner_line=F.when(inner, top["owner_line"]).otherwise(top["line"]), depth=F.when(inner, top["depth"] + 1).otherwise(none),
+                             path=F.when(inner, F.when(top["path"] == "", name).otherwise(F.concat(top["path"], F.lit("."), name))).otherwise(empty),
+                             a=none, open=none, close=none)
+                listed = _put(s, _STATE, stack=F.concat(with_top(s, _put(top, _LEVEL, open=i)), F.array(level)))
+                plain = _put(s, _STATE, opaque=F.when(F.length(t) == 1, 1).otherwise(none), line=(s["line"] + _line_ends(t)).cast("int"),
+                             stack=F.when(body, with_top(s, _put(top, _LEVEL, open=i))).otherwise(s["stack"]))
+                return F.when(w.isNotNull(), listed).otherwise(plain)
+            return let(what, move)
+        return let(F.element_at(s["stack"], -1), lambda top: let(_text(tokens, top["a"], i), lambda head: decide(top, head)))
 
+    def shut(s: Column, i: Column) -> Column:
+        """A closing bracket: of a counted one, or of the list; one too many is left out."""
         def popped(c: Column) -> Column:
             below = F.element_at(c["stack"], -2)
             stack = F.concat(F.slice(c["stack"], 1, F.size(c["stack"]) - 2), F.array(_put(below, _LEVEL, close=i)))
-            return _put(c, _STATE, ended=F.lit(True), mark=F.lit(2), doc=none, brackets=rest, stack=stack)
-        return F.when(of_list, let(closed(s, i), popped)).otherwise(_put(s, _STATE, ended=F.lit(True), mark=F.lit(2), doc=none, brackets=rest))
+            return _put(c, _STATE, mark=F.lit(2), doc=none, stack=stack)
+        return F.when(s["opaque"] > 0, _put(s, _STATE, mark=F.lit(2), doc=none, opaque=s["opaque"] - 1)) \
+            .when(F.size(s["stack"]) > 1, let(closed(s, i), popped)).otherwise(s)
+
+    def newline(s: Column, i: Column) -> Column:
+        """Ends an item unless the line's code goes on; a line without code leaves that as it was."""
+        def ended(last: Column) -> Column:
+            whole = F.when(s["mark"] < 2, s["ended"]).otherwise(~last.rlike(_GO_ON))
+
+            def on(x: Column) -> Column:
+                return _put(x, _STATE, line=x["line"] + 1, mark=none, ended=whole, doc=F.when(x["mark"] == 1, x["doc"]).otherwise(none))
+            return let(F.when(whole & (s["mark"] == 2), closed(s, i)).otherwise(s), on)
+        before = F.get(tokens, i - 2)
+        return let(F.when(before.startswith("\x02"), F.get(tokens, i - 3)).otherwise(before), ended)
 
     def step(s: Column, i: Column) -> Column:
         def by_token(t: Column) -> Column:
-            at_list = F.right(s["brackets"], F.lit(1)).isin("", "s", "i", "g")
-            after = F.when(t.rlike("^[\x02\x04]"), (s["line"] + _line_ends(t)).cast("int")).otherwise(s["line"])
-
-            def ended(x: Column) -> Column:
-                return _put(x, _STATE, line=x["line"] + 1, mark=none, doc=F.when(x["mark"] == 1, x["doc"]).otherwise(none))
-            said = F.when(s["mark"] == 0, _put(s, _STATE, mark=F.lit(1), doc=F.when(s["doc"] == 0, i).otherwise(s["doc"]), line=after)) \
-                .otherwise(_put(s, _STATE, line=after))
-            more = let(begun(s, i), lambda x: _put(x, _STATE, mark=F.lit(2), doc=none, line=after, ended=t.startswith("\x04") | ~t.rlike(r"[-+*/%&|^<>=!,.:~]\s*\z")))
-            return F.when(t == "\n", let(F.when(at_list & s["ended"], closed(s, i)).otherwise(s), ended)) \
+            after = F.when(t.contains(_LINE_END), (s["line"] + _line_ends(t)).cast("int")).otherwise(s["line"])
+            said = _put(s, _STATE, line=after, mark=F.greatest(s["mark"], F.lit(1)), doc=F.when((s["mark"] == 0) & (s["doc"] == 0), i).otherwise(s["doc"]))
+            counted = F.when(t.endswith("\n"), _put(s, _STATE, line=s["line"] + 1)).when(t.contains(_LINE_END), _put(s, _STATE, line=after)).otherwise(s)
+            return F.when(t.isin(")", "]", "}"), shut(s, i)) \
+                .when(s["opaque"] > 0, F.when(t.isin("(", "[", "{"), _put(s, _STATE, opaque=s["opaque"] + 1)).otherwise(counted)) \
+                .when(t.endswith("\n"), newline(s, i)) \
                 .when(t.startswith("\x02"), said) \
-                .when(t == ";", F.when(at_list, _put(closed(s, i), _STATE, mark=F.lit(2), doc=none)).otherwise(_put(s, _STATE, mark=F.lit(2), doc=none))) \
-                .when(t.isin("(", "[", "{"), let(begun(s, i), lambda x: opened(x, t, i))) \
-                .when(t.isin(")", "]", "}"), shut(s, i)) \
-                .when(t.rlike(r"^\s*\z"), s).otherwise(more)
+                .when(t == ";", let(closed(s, i), lambda x: _put(x, _STATE, mark=F.lit(2), doc=none))) \
+                .when(t.startswith("(") | t.startswith("[") | t.startswith("{"), let(begun(s, i), lambda x: opened(x, t, i))) \
+                .when(F.btrim(t, F.lit(" \t\r\f\x0b")) == "", s) \
+                .otherwise(let(begun(s, i), lambda x: F.when(t.contains(_LINE_END), _put(x, _STATE, line=after)).otherwise(x)))
         return let(F.get(tokens, i - 1), by_token)
 
     # a chunk that leaves brackets open is one item
     whole = item(_put(ground, _LEVEL, id=F.lit(1), a=F.lit(1), line=first_line.cast("int")), F.size(tokens), first_line.cast("int"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(tokens)), zero, step, lambda s: F.struct(
-        F.when(s["brackets"] == "", F.flatten(F.concat(s["done"], F.array(s["out"])))).otherwise(F.array(whole)).alias("items"), s["brackets"].alias("left")))
+    return let(fold(F.size(tokens), zero, step, _ITEM_TYPE), lambda r: let((r["s"]["opaque"] > 0) | (F.size(r["s"]["stack"]) > 1), lambda left: F.struct(
+        F.when(left, F.array(whole)).otherwise(r["out"]).alias("items"), left.alias("left"))))
 
 
-def nodes(files: DataFrame, key: Sequence[str], content_col: str = "content", text: bool = False) -> DataFrame:
-    """The node table of each file: a row for each declaration, spec and member.
+def nodes(files: DataFrame, key: Sequence[str], content_col: str = "content", text: bool = False,
+          words: Sequence[str] = ("type", "func", "var", "const", "import")) -> DataFrame:
+    """The node table of each file: a row for each declaration, spec and member of the chunks that begin with one of ``words``.
 
-    Columns: ``key``; ``word`` (keyword of the chunk), ``chunk_line``; ``node`` (pre-order number in the chunk)
-    and ``parent`` (0 at the top); ``inside`` (``""``, ``types``, ``values``, ``imports``, ``struct``, ``interface``: what list it is
-    in) and ``lists`` (the same of its members, else null); ``line``, ``end_line``; ``owner``, ``owner_line``, ``depth``, ``path`` (of members: the
+    Columns: ``key``; ``word`` (keyword of the chunk), ``chunk_line``; ``node`` (number of the item in the file,
+    in order of beginnings) and ``parent`` (null at the top); ``inside`` (``""``, ``types``, ``values``, ``imports``, ``struct``, ``interface``: what list it is
+    in) and ``lists`` (the same of its members, else null);
+    ``first`` (it begins at the chunk's keyword); ``line``, ``end_line``; ``owner``, ``owner_line``, ``depth``, ``path`` (of members: the
     declaration and the names of the nested structs around them); ``doc`` (comment lines right above); ``head`` (encoded
     text up to its list of members or body), ``tail`` (what follows the list), ``hollow`` (its list is ``{}``), with ``text`` its whole
-    text as written; ``left_open``: the brackets that a chunk doesn't close (it is one row then), else empty.
+    text as written; ``left_open``: the chunk leaves brackets open (it is one row then).
     """
     def rows(tokens: Column) -> Column:
         def build(r: Column) -> Column:
             def node(x: Column) -> Column:
                 child = F.when(x["open"] == 0, None).when(x["close"] > 0, F.get(tokens, x["open"] - 1))
-                inner = F.when(x["doc"] > 0, _doc(F.slice(tokens, x["doc"], x["a"] - x["doc"]))).otherwise("")
+                inner = F.when(x["doc"] > 0, _doc(_part(tokens, x["doc"], x["a"]))).otherwise("")
                 return F.struct(
                     x["id"].alias("node"), x["parent"].alias("parent"), x["inside"].alias("inside"), child.alias("bracket"), x["owner"].alias("owner"),
                     x["owner_line"].cast("long").alias("owner_line"), x["depth"].alias("depth"), x["path"].alias("path"), x["line"].cast("long").alias("line"),
@@ -240,14 +278,16 @@ def nodes(files: DataFrame, key: Sequence[str], content_col: str = "content", te
                     _text(tokens, x["a"], F.when(x["open"] > 0, x["open"]).otherwise(x["b"])).alias("head"),
                     F.when(x["close"] > 0, _text(tokens, x["close"] + 1, x["b"])).otherwise("").alias("tail"),
                     ((x["close"] > 0) & (x["close"] == x["open"] + 1)).alias("hollow"),
-                    *([reveal(F.array_join(F.slice(tokens, x["a"], x["b"] - x["a"]), "")).alias("text")] if text else []), r["left"].alias("left_open"))
+                    *([reveal(F.array_join(_part(tokens, x["a"], x["b"]), "")).alias("text")] if text else []), r["left"].alias("left_open"))
             return F.transform(r["items"], node)
         return let(_fold(tokens, F.col("line")), build)
 
-    c = chunks(files, key, content_col)
-    tokens = F.concat(F.regexp_extract_all("chunk", F.lit(_PIECE), F.lit(0)), F.array(F.lit("\n")))
-    x = c.select(*key, "word", F.col("line").alias("chunk_line"), F.col("doc").alias("__doc"), F.inline(let(tokens, rows)))
+    c = chunks(files, key, content_col, words)
+    x = c.select(*key, "word", F.col("line").alias("chunk_line"), F.col("doc").alias("__doc"), F.inline(let(_tokens(F.col("word"), F.col("chunk")), rows)))
     lists = F.when(F.col("bracket") == "(", F.when(F.col("word") == "type", "types").when(F.col("word") == "import", "imports").otherwise("values")) \
         .when(F.col("bracket") == "{", F.when(F.col("head").rlike(r"\binterface\s*$"), "interface").otherwise("struct"))
-    doc = F.when((F.col("inside") == "") & (F.col("line") == F.col("chunk_line")), F.col("__doc")).otherwise(F.col("member_doc"))
+    number = lambda c: F.shiftleft(F.col("chunk_line"), 32) + F.col(c)
+    x = x.withColumn("first", (F.col("inside") == "") & (F.col("node") == 1)) \
+        .withColumn("parent", F.when(F.col("parent") > 0, number("parent"))).withColumn("node", number("node"))
+    doc = F.when(F.col("first"), F.col("__doc")).otherwise(F.col("member_doc"))
     return x.withColumn("lists", lists).withColumn("doc", doc).drop("__doc", "bracket", "member_doc")

@@ -21,8 +21,11 @@ from .catalog import query
 K = ["file_id"]
 
 
-def fx1_nodes(spark, sf_dir, text=False):
-    return nodes(fx(spark, sf_dir, "fx1_files"), K, text=text)
+DECLS = ("type", "func", "var", "const")
+
+
+def fx1_nodes(spark, sf_dir, *words, text=False):
+    return nodes(fx(spark, sf_dir, "fx1_files"), K, text=text, words=words or DECLS)
 
 
 def fx1_decls(spark, sf_dir):
@@ -156,7 +159,7 @@ def a3_import_block(spark, sf_dir):
 
 # --- E8 / A5 / A6 -----------------------------------------------------------
 def fx1_fields(spark, sf_dir):
-    return D.fields(fx1_nodes(spark, sf_dir), K)
+    return D.fields(fx1_nodes(spark, sf_dir, "type"), K)
 
 
 FIELD_VALUES = """(VALUES (17, 'Name', 'string', 'json:"name,omitempty" yaml:"name"', 'Name is the name.', true),
@@ -217,12 +220,12 @@ SELECT file_id, v.name || CAST(file_id AS VARCHAR) AS name, CAST(v.ln AS BIGINT)
 FROM fx1_files, (VALUES ('A', 35, 'const', 'A is first.', true), ('B', 36, 'const', '', true), ('c', 37, 'const', '', false),
                        ('x', 40, 'var', '', false), ('Y', 40, 'var', '', true)) v(name, ln, kind, doc, exported)""")
 def e9_var_specs(spark, sf_dir):
-    return D.value_specs(fx1_nodes(spark, sf_dir), K)
+    return D.value_specs(fx1_nodes(spark, sf_dir, "var", "const"), K)
 
 
 # --- E11 --------------------------------------------------------------------
 def fx1_interfaces(spark, sf_dir):
-    return D.interface_members(fx1_nodes(spark, sf_dir), K)
+    return D.interface_members(fx1_nodes(spark, sf_dir, "type"), K)
 
 
 @query("e11_interface_methods", oracle=cte("fx1_files") + """
@@ -282,8 +285,8 @@ def x10_type_params(spark, sf_dir):
 
 
 # --- varied shapes (Fx12) -----------------------------------------------------
-def fx12_nodes(spark, sf_dir, text=False):
-    return nodes(fx(spark, sf_dir, "fx12_files"), K, text=text)
+def fx12_nodes(spark, sf_dir, *words, text=False):
+    return nodes(fx(spark, sf_dir, "fx12_files"), K, text=text, words=words or DECLS)
 
 
 def _shapes(what: str, columns: str) -> str:
@@ -306,17 +309,22 @@ def q1_declaration_rejects(spark, sf_dir):
     return D.declarations(fx12_nodes(spark, sf_dir, text=True), K)[1].select(*K, "decl_line", "message")
 
 
+@query("q1_member_rejects", oracle=_shapes("odd", "l, message") + "SELECT file_id, base + l AS decl_line, message FROM wanted")
+def q1_member_rejects(spark, sf_dir):
+    return D.member_rejects(fx12_nodes(spark, sf_dir, "type"), K).select(*K, "decl_line", "message")
+
+
 @query("e8_field_shapes", oracle=_shapes("fields", "l, owner, depth, struct_path, name, type_text, tag, member_doc, exported, embedded, anonymous") + f"""
-SELECT file_id, base + l AS line_no, {_id('owner')}, CAST(depth AS BIGINT) AS depth, struct_path, name, type_text, tag, member_doc, exported, embedded, anonymous FROM wanted""")
+SELECT file_id, base + l AS line_no, {_id('owner')}, CAST(depth AS BIGINT) AS depth, struct_path, name, {_id('type_text')}, tag, member_doc, exported, embedded, anonymous FROM wanted""")
 def e8_field_shapes(spark, sf_dir):
-    f = D.fields(fx12_nodes(spark, sf_dir), K)
+    f = D.fields(fx12_nodes(spark, sf_dir, "type"), K)
     return f.select(*K, "line_no", "owner", F.col("depth").cast("long").alias("depth"), "struct_path", "name", "type_text", "tag",
                     "member_doc", "exported", "embedded", "anonymous")
 
 
 @query("a5_tag_shapes", oracle=_shapes("tags", "owner, has_tags") + f"SELECT file_id, {_id('owner')}, has_tags FROM wanted")
 def a5_tag_shapes(spark, sf_dir):
-    return A.tag_presence(D.fields(fx12_nodes(spark, sf_dir), K), K)
+    return A.tag_presence(D.fields(fx12_nodes(spark, sf_dir, "type"), K), K)
 
 
 @query("a8_example_shapes", oracle=_shapes("examples", "owner, example_json") + f"SELECT file_id, {_id('owner')}, example_json FROM wanted")
@@ -328,12 +336,12 @@ def a8_example_shapes(spark, sf_dir):
 
 @query("e9_spec_shapes", oracle=_shapes("specs", "l, kind, name, exported") + f"SELECT file_id, base + l AS line_no, kind, {_id('name')}, exported FROM wanted")
 def e9_spec_shapes(spark, sf_dir):
-    return D.value_specs(fx12_nodes(spark, sf_dir), K).select(*K, "line_no", "kind", "name", "exported")
+    return D.value_specs(fx12_nodes(spark, sf_dir, "var", "const"), K).select(*K, "line_no", "kind", "name", "exported")
 
 
 @query("e11_member_shapes", oracle=_shapes("members", "owner, what, pos, member") + f"SELECT file_id, {_id('owner')}, what, CAST(pos AS BIGINT) AS pos, member FROM wanted")
 def e11_member_shapes(spark, sf_dir):
-    m, t = D.interface_members(fx12_nodes(spark, sf_dir), K)
+    m, t = D.interface_members(fx12_nodes(spark, sf_dir, "type"), K)
     turn = Window.partitionBy(*K, "owner_line").orderBy("node")
     m = m.select(*K, "owner", F.lit("method").alias("what"), (F.row_number().over(turn) - 1).cast("long").alias("pos"),
                  F.concat("name", "signature").alias("member"))
@@ -343,11 +351,12 @@ def e11_member_shapes(spark, sf_dir):
 @query("a7_signature_shapes", oracle=_shapes("signatures", "l, signature") + f"SELECT file_id, base + l AS decl_line, {_id('signature')} FROM wanted")
 def a7_signature_shapes(spark, sf_dir):
     own = fx12_nodes(spark, sf_dir, text=True)
-    heads = [*K, "decl_line", "kind", "name", "decl"]
+    one = [*K, "node"]  # several may stand on a line
+    heads = [*one, "decl_line", "kind", "name", "decl"]
     d = D.declarations(own, K)[0].filter(F.col("kind").isin("func", "method", "functype")).select(heads)
     m = D.method_heads(D.interface_members(own, K)[0]).select(heads)
     parts = D.signature_parts(d.unionByName(m))
-    return A.signatures(D.param_rows(D.signature_lists(parts, K), K, carry=["kind", "decl_name"]), K).select(*K, "decl_line", "signature")
+    return A.signatures(D.param_rows(D.signature_lists(parts, one), one, carry=["kind", "decl_name"]), one).select(*K, "decl_line", "signature")
 
 
 # --- E13 / E14 (Fx9) --------------------------------------------------------

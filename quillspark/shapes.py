@@ -10,7 +10,7 @@ from __future__ import annotations
 #   decls: line, end, kind, name, decl, doc, exported, receiver key
 #   fields: line, owner, depth, path, name, type, tag, doc, exported, embedded, anonymous
 #   specs: line, kind, name, exported      members: owner, what, pos, text
-#   signatures: line, text                 bad: line, message      tags: owner, has json / yaml    examples: owner, JSON
+#   signatures: line, text                 bad (declarations), odd (members): line, message      tags: owner, has json / yaml    examples: owner, JSON
 SHAPES = [
     dict(text='''type (
 	// GA# is first.
@@ -141,6 +141,77 @@ type Slice# []struct {
 	Q int
 }
 ''', decls=[(4, 6, "type", "Slice#", "type Slice# []struct", "", True, None)], bad=[(0, "block not closed before the next declaration")]),
+    # the same things on one line
+    dict(text='''// One# is short.
+type One# struct { A int; b, C string `json:"c"` }
+
+type Two# interface { Get() int; Set(v int) error; ~int | ~string }
+
+type None# struct{}
+''', decls=[(1, 1, "struct", "One#", "type One# struct", "One# is short.", True, None), (3, 3, "interface", "Two#", "type Two# interface", "", True, None),
+            (5, 5, "struct", "None#", "type None# struct{}", "", True, None)],
+         fields=[(1, "One#", 0, "", "A", "int", "", "", True, False, False), (1, "One#", 0, "", "b", "string", 'json:"c"', "", False, False, False),
+                 (1, "One#", 0, "", "C", "string", 'json:"c"', "", True, False, False)], tags=[("One#", True)],
+         members=[("Two#", "method", 0, "Get() int"), ("Two#", "method", 1, "Set(v int) error"), ("Two#", "term", 0, "~int"), ("Two#", "term", 1, "~string")],
+         signatures=[(3, "Get() int"), (3, "Set(v int) error")],
+         examples=[("One#", '{\n  "A": 0,\n  "c": "example"\n}'), ("None#", "{}")]),
+    # type params, a function type and a nested struct over several lines
+    dict(text='''type Pair#[K comparable,
+	V any,
+] struct {
+	F func(
+		a int,
+	) error `yaml:"f"`
+	// G and H.
+	G, H map[string]struct{ N int }
+	M struct{ X, Y int; z bool } `json:"m"`
+}
+''', decls=[(0, 9, "struct", "Pair#", "type Pair#[K comparable, V any] struct", "", True, None)],
+         fields=[(3, "Pair#", 0, "", "F", "func(\n\t\ta int,\n\t) error", 'yaml:"f"', "", True, False, False),
+                 (7, "Pair#", 0, "", "G", "map[string]struct{ N int }", "", "G and H.", True, False, False),
+                 (7, "Pair#", 0, "", "H", "map[string]struct{ N int }", "", "G and H.", True, False, False),
+                 (8, "Pair#", 0, "", "M", "struct", 'json:"m"', "", True, False, True), (8, "Pair#", 1, "M", "X", "int", "", "", True, False, False),
+                 (8, "Pair#", 1, "M", "Y", "int", "", "", True, False, False), (8, "Pair#", 1, "M", "z", "bool", "", "", False, False, False)],
+         tags=[("Pair#", True)], examples=[("Pair#", '{\n  "F": {},\n  "G": {},\n  "H": {},\n  "m": {\n    "X": 0,\n    "Y": 0\n  }\n}')]),
+    # groups on one line, brackets inside a signature
+    dict(text='''type (A# = int; B# struct { P *A# })
+
+const (k# = 1; K2# = "a;b" /* c */)
+
+// Do# does.
+//
+// Twice.
+func (r Recv#) Do#(x struct{ A int }, y interface{ F() }) (z []int, err error) { return }
+
+var v# = func() int {
+	return 1
+}()
+''', decls=[(0, 0, "type", "A#", "type A# = int", "", True, None), (0, 0, "struct", "B#", "type B# struct", "", True, None), (2, 2, "const", "", "const", "", False, None),
+            (7, 7, "method", "Do#", "func (r Recv#) Do#(x struct{ A int }, y interface{ F() }) (z []int, err error)", "Do# does.\n\nTwice.", True, "Recv#"),
+            (9, 11, "var", "v#", "var v# = func() int", "", False, None)],
+         fields=[(0, "B#", 0, "", "P", "*A#", "", "", True, False, False)], tags=[("B#", False)], examples=[("B#", '{\n  "P": {}\n}')],
+         specs=[(2, "const", "k#", False), (2, "const", "K2#", True), (9, "var", "v#", False)],
+         signatures=[(7, "func (r Recv#) Do#(x struct{ A int }, y interface{ F() }) (z []int, err error)")]),
+    # what can't be read
+    dict(text='''type Lost# struct {
+	A int
+
+func ok#() {
+}
+
+type ?# int
+
+var Fine# int
+
+type Odd# struct {
+	+ int
+	X int
+}
+''', decls=[(3, 4, "func", "ok#", "func ok#()", "", False, None), (8, 8, "var", "Fine#", "var Fine# int", "", True, None),
+            (10, 13, "struct", "Odd#", "type Odd# struct", "", True, None)],
+         bad=[(0, "block not closed before the next declaration"), (6, "declaration not recognised")], odd=[(11, "member not recognised")],
+         fields=[(12, "Odd#", 0, "", "X", "int", "", "", True, False, False)], tags=[("Odd#", False)], examples=[("Odd#", '{\n  "X": 0\n}')],
+         specs=[(8, "var", "Fine#", True)], signatures=[(3, "func ok#()")]),
 ]
 SLOTS, STEP = 3, 3
 
