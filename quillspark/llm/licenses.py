@@ -116,13 +116,14 @@ TEXTS = (
     ("all-rights-reserved", "all rights reserved", "all rights reserved", 3),
     ("proprietary", "confidential and proprietary", "confidential and proprietary", 2),
     ("proprietary", "proprietary license", "proprietary license", 2),
-    ("proprietary", "without permission", "may not be (?:copied|reproduced|distributed)(?: or \\w+)* without permission", 2),
+    ("proprietary", "without permission", "may not be (?:copied|reproduced|distributed)(?: or (?!without )\\w+)*+ without permission", 2),
     ("warranty-disclaimer", "without warrant", "without warrant(?:y|ies) of any kind(?: express or implied)?", 4),
     ("gpl", "general public license", "(?:gnu )?general public license", 4),
     ("lgpl", "lesser general public license", "(?:gnu )?lesser general public license", 4),
     ("cc", "creative commons", "creative commons(?: license)?", 4),
     ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9][0-9]", 4),
 )
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Confidence by priority.
 SCORES = (1.0, 0.9, 0.7, 0.4)
 
@@ -168,19 +169,21 @@ def rules() -> list[dict]:
     word = "[a-z0-9]+"
     known = "|".join(short for _, _, short in (_forms(*n) for n in NAMES))
     link = f"(?:{known}|licenseref(?: {word}){{1,3}}|(?:{word} ){{1,4}}exception(?: [0-9]{{1,2}}){{0,2}})(?: licen[cs]e)? (?:or|and|with)(?: the)? "
+    # a list is walked without giving back, up to the license's own part: such a loop needs no stack, however long the list
+    before = lambda short: f"(?!{short}(?: licen[cs]e)? (?:or|and|with) )"
     spdx, out = "spdx license identifier ", []
     for label, name, ids in NAMES:
         _, own, short = _forms(label, name, ids)
         named = dict(label=label, keys=_keys(name))
         by_id = dict(label=label, keys=_keys(short))
         out.append(by_id | dict(gate=spdx, pattern=f"{spdx}{short}", priority=1))
-        out.append(by_id | dict(gate=spdx, pattern=f"{spdx}(?:{link})+{short}", last=f" {short}$", priority=1))
+        out.append(by_id | dict(gate=spdx, pattern=f"{spdx}(?:{before(short)}{link})++{short}", last=f" {short}$", priority=1))
         out.append(named | dict(gate=" under ", pattern=f"{grant}{name}(?: licen[cs]e)?", priority=2))
         out.append(named | dict(gate="licen", pattern=f"(?:the )?{name}(?: licen[cs]e)" if "licen" not in name else f"(?:the )?{name}", priority=3))
         if own:
             out.append(by_id | dict(gate=" under ", pattern=f"{grant}{short}(?: licen[cs]e)?", priority=2))
             out.append(by_id | dict(gate=" licen", pattern=f"(?:the )?{short}(?: licen[cs]e)", priority=3))
-        out.append(by_id | dict(gate=" under ", pattern=f"{grant}(?:{link})+{short}(?: licen[cs]e)?", last=f" {short}(?: licen[cs]e)?$", priority=2))
+        out.append(by_id | dict(gate=" under ", pattern=f"{grant}(?:{before(short)}{link})++{short}(?: licen[cs]e)?", last=f" {short}(?: licen[cs]e)?$", priority=2))
     out += [dict(label=label, gate=key, keys=[key], pattern=pattern, priority=priority) for label, key, pattern, priority in TEXTS]
     return [dict(last="") | r | dict(rule=i, pattern=f" (?:{r['pattern']})(?= )") for i, r in enumerate(out)]
 
@@ -231,7 +234,7 @@ def license_scan(docs: DataFrame, signatures: list[dict] | None = None) -> DataF
         groups.setdefault(rule["gate"], {}).setdefault(tuple(rule["keys"]), []).append(rule)
     kind = "array<struct<gate:string,sets:array<struct<keys:array<string>,rules:array<struct<rule:int,label:string,pattern:string,last:string,priority:int>>>>>>"
     signature = F.from_json(F.lit(json.dumps([dict(gate=g, sets=[dict(keys=k, rules=v) for k, v in sets.items()]) for g, sets in groups.items()])), kind)
-    words = F.trim(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")))
+    words = F.trim(F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), _UPPER, _UPPER.lower()))
     norm = F.col("norm")
     places = [(F.contains(norm, F.lit(f" {p} ")), p, label) for p, label in BASE]
     spot = lambda make: [F.when(has, make(p)) for has, p, _ in places]

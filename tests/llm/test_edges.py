@@ -382,9 +382,9 @@ def _example(tree, rng):
             out += _example(arg[1][int(rng.integers(len(arg[1])))], rng)
         elif op is c.SUBPATTERN:
             out += _example(arg[-1], rng)
-        elif op is c.MAX_REPEAT:
+        elif op in (c.MAX_REPEAT, c.POSSESSIVE_REPEAT):
             out += "".join(_example(arg[2], rng) for _ in range(int(rng.integers(arg[0], min(int(arg[1]), arg[0] + 2) + 1))))
-        elif op is not c.ASSERT:
+        elif op not in (c.ASSERT, c.ASSERT_NOT):
             raise ValueError(op)
     return out
 
@@ -412,3 +412,26 @@ def test_license_gates_and_examples(spark):
     ("SPDX-License-Identifier: MIT\nruby and json files", "mit"), ("Licensed under MIT or Apache-2.0", "apache-2,mit"), ("a test under way with json", "")])
 def test_license_short_forms(spark, text, labels):
     assert licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
+
+
+def test_license_lists_of_any_length(spark):
+    """Long lists need no stack: identifiers, unknown parts and words joined by 'or'."""
+    texts = [("SPDX-License-Identifier: " + "MIT OR " * 100_000 + "Apache-2.0", "apache-2,mit"), ("Licensed under " + "MIT or ISC and " * 20_000 + "Zlib", "isc,mit,zlib"),
+             ("may not be copied" + " or x" * 100_000 + " without permission", "proprietary"), ("SPDX-License-Identifier: " + "LicenseRef-a OR " * 50_000 + "MIT-0 OR MIT", "mit,mit-0"),
+             ("may not be copied or distributed without permission", "proprietary"), ("SPDX-License-Identifier: MIT-0 OR ISC OR MIT", "isc,mit,mit-0")]
+    got = licenses.license_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert [r.labels for r in sorted(got, key=lambda r: r.doc_id)] == [w for _, w in texts]
+
+
+def test_license_base_columns_against_a_scan(spark):
+    """Counts and places of the base phrases over a whole table, word by word."""
+    import re
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.license_scan(docs).collect()}
+    upper = {i: i + 32 for i in range(65, 91)}
+    phrases = [(p.split(), label) for p, label in licenses.BASE]
+    for doc_id, text in docs.collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(upper))
+        found = [(i, label) for p, label in phrases for i in range(len(words) - len(p) + 1) if words[i:i + len(p)] == p]
+        at = [i for i, _ in found]
+        assert got[doc_id] == (len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({label for _, label in found}))), doc_id
