@@ -107,18 +107,23 @@ def _plist(role: str) -> Column:
     return ordered_join(["pos"], F.when((F.col("role") == role) & F.col("pos").isNotNull(), item), ", ")
 
 
-def signatures(params: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Signature text of func / method / functype declarations and interface methods from their E12 rows,
-    type params included: ``func (r T) Name[K any](…) …``, ``type Name func(…) …``, ``Name(…) …``.
+def signature_pieces(params: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``kind, name`` and the lists of each declaration as text (``recv, tparams, params, results``) with the number of results, from E12 rows.
 
     ``params`` carries ``kind`` and ``decl_name`` and has at least one row per
     declaration (null ``pos`` for an empty list), so one aggregation per
     declaration builds the text — no join back to the declarations.
     """
-    agg = params.groupBy(*key, "decl_line").agg(
+    return params.groupBy(*key, "decl_line").agg(
         F.first("kind").alias("kind"), F.first("decl_name").alias("name"),
         _plist("receiver").alias("recv"), _plist("type_param").alias("tparams"), _plist("param").alias("params"), _plist("result").alias("results"),
         F.sum(F.when((F.col("role") == "result") & F.col("pos").isNotNull(), 1).otherwise(0)).alias("n_res"))
+
+
+def signatures(params: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Signature text of func / method / functype declarations and interface methods from their E12 rows,
+    type params included: ``func (r T) Name[K any](…) …``, ``type Name func(…) …``, ``Name(…) …``."""
+    agg = signature_pieces(params, key)
     res = F.when(F.col("n_res") == 0, F.lit("")) \
         .when(F.col("n_res") == 1, F.concat(F.lit(" "), "results")) \
         .otherwise(F.concat(F.lit(" ("), "results", F.lit(")")))

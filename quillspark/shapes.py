@@ -244,3 +244,75 @@ placed AS (SELECT file_id, sid, CAST(3 + coalesce(sum(n + 1) OVER (PARTITION BY
 want AS (SELECT * FROM (VALUES {rows}) w(sid, {columns})),
 wanted AS (SELECT file_id, base, want.* FROM placed JOIN want USING (sid))
 """
+
+
+# Fx13: declarations that refer to each other, to a module of Fx2 and to other packages.  In its rows # is the file id,
+# @ the anchor of the file's own package and ~ a hash sign.
+LINKS = dict(text='''import al "example.com/m1/p"
+import "github.com/acme/lib"
+
+// Owner# owns.
+type Owner#[T any, U comparable] struct {
+	Items map[string][]T `json:"items"`
+	next *al.Item
+	Fn func(x *Owner#) error
+	N [Max]lib.Box[T, []al.Item]
+	M map[al.Key]struct{ X Owner# }
+}
+
+type List#[E any] []E
+
+func (o *Owner#[T, U]) Get(k U, w map[string]*Widget#, v ...T) (T, *al.Item)
+
+func (l List#[E]) At(i int) E { return l[i] }
+
+type Hook#[A any] func(A, chan<- lib.Event) error
+
+type Face# interface { Do(ctx lib.Context, q unknown.Q) (n int, err error); Len() Owner# }
+
+func New#[Z any](z Z) {}
+''', owners=[(14, "Get", "struct", "T any, U comparable"), (16, "At", "type", "E any")],
+    headings=[(5, "Items\tmap[string][]T"), (6, "next\t*<<example-com-m1-p-Item,al.Item>>"), (7, "Fn\tfunc(x *Owner#) error"),
+              (8, "N\t[Max]link:https://pkg.go.dev/github.com/acme/lib~Box[lib.Box][T, []<<example-com-m1-p-Item,al.Item>>]"),
+              (9, "M\tmap[<<example-com-m1-p-Key,al.Key>>]struct{ X Owner# }")],
+    off=[(14, "func (o *Owner#[T, U]) Get(k U, w map[string]*Widget#, v ...T) (T, *al.Item)"), (16, "func (l List#[E]) At(i int) E"),
+         (18, "type Hook#[A any] func(A, chan<- lib.Event) error"), (20, "Do(ctx lib.Context, q unknown.Q) (n int, err error)"), (20, "Len() Owner#"),
+         (22, "func New#[Z any](z Z)")],
+    internal=[(14, "func (o *<<@-Owner#,Owner#>>[T, U]) Get(k U, w map[string]*<<@-Widget#,Widget#>>, v ...T) (T, *<<example-com-m1-p-Item,al.Item>>)"),
+              (16, "func (l <<@-List#,List#>>[E]) At(i int) E"), (18, "type Hook#[A any] func(A, chan<- lib.Event) error"),
+              (20, "Do(ctx lib.Context, q unknown.Q) (n int, err error)"), (20, "Len() <<@-Owner#,Owner#>>"), (22, "func New#[Z any](z Z)")],
+    external=[(14, "func (o *<<@-Owner#,Owner#>>[T, U]) Get(k U, w map[string]*<<@-Widget#,Widget#>>, v ...T) (T, *<<example-com-m1-p-Item,al.Item>>)"),
+              (16, "func (l <<@-List#,List#>>[E]) At(i int) E"),
+              (18, "type Hook#[A any] func(A, chan<- link:https://pkg.go.dev/github.com/acme/lib~Event[lib.Event]) error"),
+              (20, "Do(ctx link:https://pkg.go.dev/github.com/acme/lib~Context[lib.Context], q unknown.Q) (n int, err error)"), (20, "Len() <<@-Owner#,Owner#>>"),
+              (22, "func New#[Z any](z Z)")],
+    separate=[(14, "func (o *<<@-Owner#,Owner#>>[T, U]) Get(k U, w map[string]*<<@-Widget#,Widget#>>, v ...T) (T, *link:m1.adoc~example-com-m1-p-Item[al.Item])"),
+              (16, "func (l <<@-List#,List#>>[E]) At(i int) E"),
+              (18, "type Hook#[A any] func(A, chan<- link:https://pkg.go.dev/github.com/acme/lib~Event[lib.Event]) error"),
+              (20, "Do(ctx link:https://pkg.go.dev/github.com/acme/lib~Context[lib.Context], q unknown.Q) (n int, err error)"), (20, "Len() <<@-Owner#,Owner#>>"),
+              (22, "func New#[Z any](z Z)")],
+    markup=[(14, '<span class="hljs-function"><span class="hljs-keyword">func</span> <span class="hljs-params">(o *<a href="~@-Owner#">Owner#</a>[T, U]) </span>'
+                 '<span class="hljs-title">Get</span><span class="hljs-params">(k U, w map[string]*<a href="~@-Widget#">Widget#</a>, v ...T)</span></span> '
+                 '<span class="hljs-type">(T, *al.<a href="~example-com-m1-p-Item">Item</a>)</span>'),
+            (16, '<span class="hljs-function"><span class="hljs-keyword">func</span> <span class="hljs-params">(l <a href="~@-List#">List#</a>[E]) </span>'
+                 '<span class="hljs-title">At</span><span class="hljs-params">(i int)</span></span> <span class="hljs-type">E</span>'),
+            (18, '<span class="hljs-keyword">type</span> <span class="hljs-title">Hook#[A any]</span> <span class="hljs-function"><span class="hljs-keyword">func</span>'
+                 '<span class="hljs-params">(A, chan&lt;- lib.<a href="https://pkg.go.dev/github.com/acme/lib~Event">Event</a>)</span></span> <span class="hljs-type">error</span>'),
+            (20, '<span class="hljs-function"><span class="hljs-title">Do</span><span class="hljs-params">(ctx lib.<a href="https://pkg.go.dev/github.com/acme/lib~Context">Context</a>, '
+                 'q unknown.Q)</span></span> <span class="hljs-type">(n int, err error)</span>'),
+            (20, '<span class="hljs-function"><span class="hljs-title">Len</span><span class="hljs-params">()</span></span> <span class="hljs-type"><a href="~@-Owner#">Owner#</a></span>'),
+            (22, '<span class="hljs-function"><span class="hljs-keyword">func</span> <span class="hljs-title">New#[Z any]</span><span class="hljs-params">(z Z)</span></span>')])
+
+
+def link_files_sql() -> str:
+    return f"SELECT p_partkey AS file_id, replace('package p#' || chr(10) || chr(10) || {_text(LINKS['text'])}, '#', CAST(p_partkey AS STRING)) AS content FROM part"
+
+
+def link_rows_sql(what: str, columns: str) -> str:
+    """CTE (DuckDB) ``wanted``: the rows of kind ``what`` for every file of Fx13, signs replaced in the text column ``t``."""
+    rows = ", ".join("(" + ", ".join(map(_value, r)) + ")" for r in LINKS[what])
+    own = "'example-com-m' || CAST(file_id % 25 AS VARCHAR) || '-p'"
+    return f"""
+, want AS (SELECT * FROM (VALUES {rows}) w({columns})),
+wanted AS (SELECT file_id, want.* REPLACE (CAST(l + 3 AS BIGINT) AS l, replace(replace(replace(t, '#', CAST(file_id AS VARCHAR)), '@', {own}), '~', '#') AS t) FROM fx13_files, want)
+"""
