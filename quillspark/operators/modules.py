@@ -1,10 +1,9 @@
 """Manifests and module ownership.
 
 Prefix joins never use ``startswith`` as a join condition between two large
-sides.  The distinct prefix lengths present on the small side (module bases or
-names) are a set bounded by the longest path (checked); every path is expanded
-only to those lengths and joined by equality on ``(length, prefix)``.
-Boundary-aware prefixes explode the ``/``-prefixes of each path instead.
+sides.  Rows are resolved by their distinct values (directories, import paths): a value is expanded
+to the prefix lengths that the small side has and joined by equality on ``(length, prefix)``, or to its
+ancestor directories, and the result is joined back to the rows once.
 """
 
 from __future__ import annotations
@@ -79,66 +78,66 @@ def manifest_table(manifests: DataFrame, path_col: str = "path", content_col: st
     return out.select("base", "manifest_path", "kind", ok.alias("ok"), "name")
 
 
-# --- prefix buckets -----------------------------------------------------------
-def _prefix_lengths(small: DataFrame, key: str) -> list[int]:
-    """Distinct lengths of ``key`` on the small side: as many as its longest value has characters at most."""
-    rows = small.select(F.length(key).alias("n")).distinct().collect()
-    return sorted(r["n"] for r in rows if r["n"] is not None)
-
-
-def prefix_candidates(big: DataFrame, path_col: str, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+# --- prefix index -------------------------------------------------------------
+def prefix_candidates(big: DataFrame, path_col: str, small: DataFrame, key: str) -> DataFrame:
     """(big row, small row) pairs where ``small.key`` is a raw string prefix of ``big.path_col``.
 
     Equi-join on ``(len, prefix)``; each big row is expanded only to the
-    distinct key lengths that exist.  ``how="left"`` keeps rows without any
-    match (small columns null), so callers can aggregate per row without a
-    join back.
+    distinct key lengths that exist, which the query itself gathers (as many numbers as the longest key has characters at most).
     """
-    lens = _prefix_lengths(small, key)
-    arr = F.array(*[F.lit(n) for n in lens]) if lens else F.array().cast("array<int>")
-    gen = F.explode_outer if how == "left" else F.explode
-    exp = big.withColumn("__qs_len", gen(F.filter(arr, lambda n: n <= F.length(F.col(path_col))))) \
+    lens = small.agg(F.array_sort(F.collect_set(F.length(key))).alias("n"))
+    exp = big.withColumn("__qs_lens", lens.scalar()) \
+        .withColumn("__qs_len", F.explode(F.filter("__qs_lens", lambda n: n <= F.length(F.col(path_col))))) \
         .withColumn("__qs_pre", F.col(path_col).substr(F.lit(1), F.col("__qs_len")))
-    # the small side keeps its own key column: null after a left join when nothing matched
     s = small.withColumn("__qs_len", F.length(key)).withColumn("__qs_pre", F.col(key))
     # one module base may own a third of all paths: Spark broadcasts the small side
     # by its bytes, and AQE splits the hot key of a shuffle join
-    return exp.join(s, ["__qs_len", "__qs_pre"], how).drop("__qs_len", "__qs_pre")
+    return exp.join(s, ["__qs_len", "__qs_pre"]).drop("__qs_lens", "__qs_len", "__qs_pre")
 
 
-def _carry(df: DataFrame, row_key: list[str], drop: list[str]) -> list[Column]:
-    """``first`` of every non-key input column (exact: one input row per unique key)."""
-    return [F.first(c).alias(c) for c in df.columns if c not in row_key and c not in drop]
+def by_value(rows: DataFrame, value: Column, resolve) -> DataFrame:
+    """``rows`` with what ``resolve(values)`` finds for ``value``, worked out once for each distinct value and joined back.
 
+    ``resolve`` takes the distinct ``__qs_v`` and gives a row with more columns for those it can
+    resolve.  Rows move once, to meet the resolved values (not at all where these are few enough for Spark to broadcast).
+    """
+    keyed = rows.withColumn("__qs_v", value)
+    found = resolve(keyed.select("__qs_v").filter(F.col("__qs_v").isNotNull()).distinct())
+    return keyed.join(found, "__qs_v", "left").drop("__qs_v")
 
-# --- J2 ---------------------------------------------------------------------
-def first_prefix_owner(paths: DataFrame, path_col: str, modules: DataFrame,
-                       row_key: list[str], default_module: str | None = None) -> DataFrame:
-    """Module whose ``base`` is a raw prefix of the path; first in module order wins.
 
-    ``row_key`` must identify a row.  One left join on the exploded prefix
-    lengths and one aggregation per row — no join back to ``paths``.
-    """
+def _reach(path_col: str, small: DataFrame, key: str) -> tuple[Column, Column]:
+    """The part of a path on which raw prefixes of ``small.key`` depend: its directory, and as much
+    of the file's name as the longest key could reach.  Paths of a directory mostly share it."""
+    longest = F.coalesce(small.agg(F.max(F.length(key)).alias("n")).scalar(), F.lit(0))
+    up_to = F.length(F.regexp_extract(F.col(path_col), r"^.*/", 0))
+    return longest, F.substring(F.col(path_col), F.lit(1), F.greatest(up_to, F.col("__qs_reach")))
+
+
+# --- J2 ---------------------------------------------------------------------
+def first_prefix_owner(paths: DataFrame, path_col: str, modules: DataFrame, default_module: str | None = None) -> DataFrame:
+    """Module whose ``base`` is a raw prefix of the path; first in module order wins (``owner``, ``owner_base``)."""
     m = modules.select(F.col("base").alias("__qs_base"), F.col("name").alias("__qs_name"),
                        F.col("module_order").alias("__qs_order"))
-    cand = prefix_candidates(paths, path_col, m, "__qs_base", how="left")
-    out = cand.groupBy(*row_key).agg(
-        *_carry(paths, row_key, []),
-        F.min_by(F.struct(F.col("__qs_name").alias("name"), F.col("__qs_base").alias("base")), "__qs_order").alias("m"))
-    return out.withColumn("owner", F.coalesce(F.col("m.name"), F.lit(default_module))) \
-        .withColumn("owner_base", F.col("m.base")).drop("m")
+
+    def resolve(values: DataFrame) -> DataFrame:
+        return prefix_candidates(values, "__qs_v", m, "__qs_base").groupBy("__qs_v").agg(
+            F.min_by(F.struct(F.col("__qs_name").alias("name"), F.col("__qs_base").alias("base")), "__qs_order").alias("__qs_m"))
+    longest, reach = _reach(path_col, m, "__qs_base")
+    out = by_value(paths.withColumn("__qs_reach", longest), reach, resolve).drop("__qs_reach")
+    return out.withColumn("owner", F.coalesce(F.col("__qs_m.name"), F.lit(default_module))) \
+        .withColumn("owner_base", F.col("__qs_m.base")).drop("__qs_m")
 
 
 # --- J3 ---------------------------------------------------------------------
-def longest_prefix_module(paths: DataFrame, path_col: str, modules: DataFrame,
-                          row_key: list[str]) -> DataFrame:
-    """Module with the longest name that is a raw prefix of ``path_col`` (ties: module order)."""
+def longest_prefix_module(paths: DataFrame, path_col: str, modules: DataFrame) -> DataFrame:
+    """Module with the longest name that is a raw prefix of ``path_col`` (ties: module order), as ``module``."""
     m = modules.select(F.col("name").alias("__qs_name"), F.col("module_order").alias("__qs_order"))
-    cand = prefix_candidates(paths, path_col, m, "__qs_name", how="left")
-    return cand.groupBy(*row_key).agg(
-        *_carry(paths, row_key, []),
-        F.min_by(F.col("__qs_name"), F.when(F.col("__qs_name").isNotNull(), F.struct(
-            (-F.length("__qs_name")).alias("l"), F.col("__qs_order")))).alias("module"))
+
+    def resolve(values: DataFrame) -> DataFrame:
+        return prefix_candidates(values, "__qs_v", m, "__qs_name").groupBy("__qs_v").agg(
+            F.min_by(F.col("__qs_name"), F.struct((-F.length("__qs_name")).alias("l"), F.col("__qs_order"))).alias("module"))
+    return by_value(paths, F.col(path_col), resolve)
 
 
 # --- J4 ---------------------------------------------------------------------
@@ -149,22 +148,16 @@ def explode_slash_prefixes(df: DataFrame, col: str, out: str = "__qs_p") -> Data
         .withColumn(out, F.expr(f"substring_index(`{col}`, '/', __qs_k + 1)")).drop("__qs_k", "__qs_seg")
 
 
-def module_membership(paths: DataFrame, path_col: str, modules: DataFrame, row_key: list[str]) -> DataFrame:
-    """Two flags per row: raw prefix of any module name, boundary-aware prefix of any.
-
-    Both candidate sets (raw length buckets, ``/``-prefixes) are unioned and
-    reduced with one aggregation per row.
-    """
+def module_membership(paths: DataFrame, path_col: str, modules: DataFrame) -> DataFrame:
+    """Two flags per row: raw prefix of any module name, boundary-aware prefix of any."""
     names = modules.select(F.col("name").alias("__qs_name")).filter(F.col("name") != "").distinct()
-    raw = prefix_candidates(paths.select(*row_key, path_col), path_col, names, "__qs_name", how="left") \
-        .select(*row_key, F.col("__qs_name").isNotNull().alias("__raw"), F.lit(False).alias("__bnd"))
-    bnd = explode_slash_prefixes(paths.select(*row_key, path_col), path_col) \
-        .join(names.withColumnRenamed("__qs_name", "__qs_p").withColumn("__hit", F.lit(True)),
-              "__qs_p", "left") \
-        .select(*row_key, F.lit(False).alias("__raw"), F.coalesce("__hit", F.lit(False)).alias("__bnd"))
-    flags = raw.unionByName(bnd).groupBy(*row_key).agg(F.bool_or("__raw").alias("raw_member"),
-                                                      F.bool_or("__bnd").alias("boundary_member"))
-    return paths.join(flags, row_key, "left")
+
+    def resolve(values: DataFrame) -> DataFrame:
+        raw = prefix_candidates(values, "__qs_v", names, "__qs_name")
+        bounded = (F.col("__qs_v") == F.col("__qs_name")) | F.substr(F.col("__qs_v"), F.length("__qs_name") + 1, F.lit(1)).eqNullSafe(F.lit("/"))
+        return raw.groupBy("__qs_v").agg(F.bool_or(bounded).alias("boundary_member")).withColumn("raw_member", F.lit(True))
+    out = by_value(paths, F.col(path_col), resolve)
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("raw_member", "boundary_member")})
 
 
 # --- J5 ---------------------------------------------------------------------
@@ -181,32 +174,24 @@ def explode_ancestors(df: DataFrame, dir_col: str) -> DataFrame:
         .withColumn("depth", n - 1 - F.col("__qs_k")).drop("__qs_k", "__qs_seg")
 
 
-def nearest_manifest(paths: DataFrame, dir_col: str, manifests: DataFrame, row_key: list[str]) -> DataFrame:
+def nearest_manifest(paths: DataFrame, dir_col: str, manifests: DataFrame) -> DataFrame:
     """Nearest ancestor directory holding a manifest; workspace beats module at one level.
 
     ``manifests``: (base, kind in {workspace, module}, manifest_path, ok BOOLEAN, name).
     Adds ``manifest_path``, ``manifest_kind``, ``manifest_name``, ``status`` (ok /
-    failed to load / none found).  ``row_key`` must identify a row; ancestors
-    are left-joined to the (checked, broadcast) manifest table and reduced
-    with one aggregation per row.
+    failed to load / none found).  Only the distinct directories are expanded to their ancestors.
     """
-    anc = explode_ancestors(paths, dir_col)
-    m = (manifests.select(F.col("base").alias("__qs_b"), F.col("kind").alias("__qs_kind"),
-                                            F.col("manifest_path").alias("__qs_mp"), F.col("ok").alias("__qs_ok"),
-                                            F.col("name").alias("__qs_name")))
-    hits = anc.join(m, anc["base"] == m["__qs_b"], "left")
-    rank = F.when(F.col("__qs_mp").isNotNull(),
-                  F.struct(F.col("depth"), F.when(F.col("__qs_kind") == "workspace", 0).otherwise(1).alias("k")))
-    best = hits.groupBy(*row_key).agg(
-        *_carry(paths, row_key, []),
-        F.min_by(F.struct(F.col("__qs_mp").alias("p"), F.col("__qs_kind").alias("k"), F.col("__qs_name").alias("n"),
-                          F.col("__qs_ok").alias("ok")), rank).alias("b"))
-    out = best.select(*row_key, *[c for c in paths.columns if c not in row_key],
-                      F.col("b.p").alias("manifest_path"), F.col("b.k").alias("manifest_kind"),
-                      F.col("b.n").alias("manifest_name"), F.col("b.ok").alias("ok"))
-    status = F.when(F.col("manifest_path").isNull(), F.lit("no manifest found")) \
-        .when(F.col("ok"), F.lit("ok")).otherwise(F.concat(F.lit("unusable "), F.substring_index("manifest_path", "/", -1)))
-    return out.withColumn("status", status).drop("ok")
+    m = manifests.select("base", F.col("kind").alias("__qs_kind"), F.struct(
+        F.col("manifest_path").alias("p"), F.col("kind").alias("k"), F.col("name").alias("n"), F.col("ok").alias("ok")).alias("__qs_m"))
+
+    def resolve(values: DataFrame) -> DataFrame:
+        rank = F.struct(F.col("depth"), F.when(F.col("__qs_kind") == "workspace", 0).otherwise(1).alias("k"), F.col("__qs_m.p").alias("p"))
+        return explode_ancestors(values, "__qs_v").join(m, "base").groupBy("__qs_v").agg(F.min_by("__qs_m", rank).alias("__qs_b"))
+    out = by_value(paths, F.col(dir_col), resolve)
+    status = F.when(F.col("__qs_b").isNull(), F.lit("no manifest found")) \
+        .when(F.col("__qs_b.ok"), F.lit("ok")).otherwise(F.concat(F.lit("unusable "), F.substring_index(F.col("__qs_b.p"), "/", -1)))
+    return out.select(*paths.columns, F.col("__qs_b.p").alias("manifest_path"), F.col("__qs_b.k").alias("manifest_kind"),
+                      F.col("__qs_b.n").alias("manifest_name"), status.alias("status"))
 
 
 # --- J6 ---------------------------------------------------------------------

@@ -9,20 +9,12 @@ from ..operators import modules as M
 from .catalog import query
 
 KEY = ["l_orderkey", "l_linenumber"]
-# (l_orderkey, l_linenumber) repeats in the driver data and even whole rows
-# repeat: the operators work on distinct rows with their multiplicity ``__n``
-# (deterministic on any recomputation), and the multiplicity is restored last.
-ROW = ["l_orderkey", "l_linenumber", "import_path", "path"]
-RID = ROW
 
 
 def path_rows(spark, sf_dir):
-    return fx(spark, sf_dir, "fx2_paths").groupBy(*ROW).agg(F.count(F.lit(1)).alias("__n"))
+    return fx(spark, sf_dir, "fx2_paths")
 
 
-def restore(df):
-    """Repeat every distinct row ``__n`` times."""
-    return df.withColumn("__rep", F.explode(F.array_repeat(F.lit(1), F.col("__n").cast("int")))).drop("__rep", "__n")
 DEFAULT_MODULE = "example.com/root"
 
 
@@ -94,8 +86,8 @@ def x9_version_canonical(spark, sf_dir):
 SELECT p.l_orderkey, p.l_linenumber, p.path, coalesce(c.owner, '{DEFAULT_MODULE}') AS owner
 FROM fx2_paths p LEFT JOIN c USING (l_orderkey, l_linenumber, import_path, path)""")
 def j2_first_prefix_owner(spark, sf_dir):
-    out = M.first_prefix_owner(path_rows(spark, sf_dir), "path", module_table(spark, sf_dir), RID, DEFAULT_MODULE)
-    return restore(out.select(*KEY, "path", "owner", "__n"))
+    out = M.first_prefix_owner(path_rows(spark, sf_dir), "path", module_table(spark, sf_dir), DEFAULT_MODULE)
+    return out.select(*KEY, "path", "owner")
 
 
 @query("f10_module_paths", oracle=cte("fx2_manifests", "fx2_paths") + MODS_SQL + """
@@ -122,8 +114,8 @@ def u1_module_union(spark, sf_dir):
         FROM fx2_paths p JOIN mods m ON starts_with(p.import_path, m.name) GROUP BY p.l_orderkey, p.l_linenumber, p.import_path, p.path)
 SELECT p.l_orderkey, p.l_linenumber, p.import_path, c.module FROM fx2_paths p LEFT JOIN c USING (l_orderkey, l_linenumber, import_path, path)""")
 def j3_longest_prefix(spark, sf_dir):
-    out = M.longest_prefix_module(path_rows(spark, sf_dir), "import_path", module_table(spark, sf_dir), RID)
-    return restore(out.select(*KEY, "import_path", "module", "__n"))
+    out = M.longest_prefix_module(path_rows(spark, sf_dir), "import_path", module_table(spark, sf_dir))
+    return out.select(*KEY, "import_path", "module")
 
 
 @query("j4_module_membership", oracle=cte("fx2_manifests", "fx2_paths") + MODS_SQL + """
@@ -132,9 +124,8 @@ SELECT p.l_orderkey, p.l_linenumber,
   EXISTS (SELECT 1 FROM mods m WHERE p.import_path = m.name OR starts_with(p.import_path, m.name || '/')) AS boundary_member
 FROM fx2_paths p""")
 def j4_module_membership(spark, sf_dir):
-    out = M.module_membership(path_rows(spark, sf_dir), "import_path", module_table(spark, sf_dir), RID)
-    return restore(out.select(*KEY, "raw_member", "boundary_member", "__n")) \
-        .select(*KEY, "raw_member", "boundary_member")
+    out = M.module_membership(path_rows(spark, sf_dir), "import_path", module_table(spark, sf_dir))
+    return out.select(*KEY, "raw_member", "boundary_member")
 
 
 # --- J5 / J6 / Q1 -----------------------------------------------------------
@@ -160,7 +151,7 @@ FROM fx2_paths p LEFT JOIN best b ON b.l_orderkey = p.l_orderkey AND b.l_linenum
 @query("j5_nearest_manifest", oracle=J5_SQL)
 def j5_nearest_manifest(spark, sf_dir):
     paths = path_rows(spark, sf_dir).withColumn("dir", M.dir_of("path"))
-    return restore(M.nearest_manifest(paths, "dir", manifest_dirs(spark, sf_dir), RID)) \
+    return M.nearest_manifest(paths, "dir", manifest_dirs(spark, sf_dir)) \
         .select(*KEY, "manifest_path", "manifest_kind", "manifest_name", "status")
 
 
@@ -173,7 +164,7 @@ SELECT p.l_orderkey, p.l_linenumber,
        THEN c.owner || '/' || substr(regexp_extract(p.path, '^(.*)/[^/]*$', 1), length(c.base) + 2) END AS fq_package
 FROM fx2_paths p LEFT JOIN c USING (l_orderkey, l_linenumber, import_path, path)""")
 def j6_resolve_package(spark, sf_dir):
-    owned = restore(M.first_prefix_owner(path_rows(spark, sf_dir), "path", module_table(spark, sf_dir), RID))
+    owned = M.first_prefix_owner(path_rows(spark, sf_dir), "path", module_table(spark, sf_dir))
     return owned.select(*KEY, M.resolve_package("path", "owner_base", "owner").alias("fq_package"))
 
 
@@ -187,7 +178,7 @@ WHERE regexp_extract(path, '^/repo/(m[0-9]+)/', 1) IN (SELECT regexp_extract(pat
 def q1_quarantine(spark, sf_dir):
     bad_manifests = manifests(spark, sf_dir)[2]
     paths = path_rows(spark, sf_dir).withColumn("dir", M.dir_of("path"))
-    looked = restore(M.nearest_manifest(paths, "dir", manifest_dirs(spark, sf_dir), RID))
+    looked = M.nearest_manifest(paths, "dir", manifest_dirs(spark, sf_dir))
     bad_paths = looked.filter(F.col("status") != "ok").select(
         F.lit("manifest lookup").alias("stage"), "path", F.col("status").alias("message"))
     return bad_manifests.unionByName(bad_paths)
