@@ -106,6 +106,11 @@ def by_value(rows: DataFrame, value: Column, resolve) -> DataFrame:
     return keyed.join(found, "__qs_v", "left").drop("__qs_v")
 
 
+def _least(candidate: Column) -> Column:
+    """The least candidate of a value (it has one a prefix length at most); hashed, as ``min_by`` of text would sort."""
+    return F.array_min(F.collect_list(candidate))
+
+
 def _reach(path_col: str, small: DataFrame, key: str) -> tuple[Column, Column]:
     """The part of a path on which raw prefixes of ``small.key`` depend: its directory, and as much
     of the file's name as the longest key could reach.  Paths of a directory mostly share it."""
@@ -122,7 +127,7 @@ def first_prefix_owner(paths: DataFrame, path_col: str, modules: DataFrame, defa
 
     def resolve(values: DataFrame) -> DataFrame:
         return prefix_candidates(values, "__qs_v", m, "__qs_base").groupBy("__qs_v").agg(
-            F.min_by(F.struct(F.col("__qs_name").alias("name"), F.col("__qs_base").alias("base")), "__qs_order").alias("__qs_m"))
+            _least(F.struct(F.col("__qs_order"), F.col("__qs_name").alias("name"), F.col("__qs_base").alias("base"))).alias("__qs_m"))
     longest, reach = _reach(path_col, m, "__qs_base")
     out = by_value(paths.withColumn("__qs_reach", longest), reach, resolve).drop("__qs_reach")
     return out.withColumn("owner", F.coalesce(F.col("__qs_m.name"), F.lit(default_module))) \
@@ -136,7 +141,7 @@ def longest_prefix_module(paths: DataFrame, path_col: str, modules: DataFrame) -
 
     def resolve(values: DataFrame) -> DataFrame:
         return prefix_candidates(values, "__qs_v", m, "__qs_name").groupBy("__qs_v").agg(
-            F.min_by(F.col("__qs_name"), F.struct((-F.length("__qs_name")).alias("l"), F.col("__qs_order"))).alias("module"))
+            _least(F.struct((-F.length("__qs_name")).alias("l"), F.col("__qs_order"), F.col("__qs_name").alias("name")))["name"].alias("module"))
     return by_value(paths, F.col(path_col), resolve)
 
 
@@ -186,7 +191,7 @@ def nearest_manifest(paths: DataFrame, dir_col: str, manifests: DataFrame) -> Da
 
     def resolve(values: DataFrame) -> DataFrame:
         rank = F.struct(F.col("depth"), F.when(F.col("__qs_kind") == "workspace", 0).otherwise(1).alias("k"), F.col("__qs_m.p").alias("p"))
-        return explode_ancestors(values, "__qs_v").join(m, "base").groupBy("__qs_v").agg(F.min_by("__qs_m", rank).alias("__qs_b"))
+        return explode_ancestors(values, "__qs_v").join(m, "base").groupBy("__qs_v").agg(_least(F.struct(rank.alias("r"), F.col("__qs_m").alias("m")))["m"].alias("__qs_b"))
     out = by_value(paths, F.col(dir_col), resolve)
     status = F.when(F.col("__qs_b").isNull(), F.lit("no manifest found")) \
         .when(F.col("__qs_b.ok"), F.lit("ok")).otherwise(F.concat(F.lit("unusable "), F.substring_index(F.col("__qs_b.p"), "/", -1)))

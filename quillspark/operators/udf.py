@@ -1,21 +1,20 @@
 """User functions over files and packages.
 
 A per-file function runs over Arrow batches with ``mapInPandas`` (bounded
-memory: one batch at a time).  A per-package function runs with
-``groupBy(...).applyInPandas``; because one package may hold a large share of
-all files, the package is cut into chunks of at most ``chunk_rows`` rows
-(chunk count per package from a partial count, rows spread by hash), the
-function sees one chunk, and its partial results are combined per package by
-a Spark aggregation.  No group larger than ``chunk_rows`` reaches Python.
+memory: one batch at a time).  A per-package function is either a pair of a partial and a
+merge function, which splits any package over any number of tasks, or, where it needs the package in
+order, a function over a sorted stream of the package's batches.  Neither ever holds a whole package.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+#: Packages whose states a task holds before it hands them on.
+STATES = 10_000
 
 
 def walk_files(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -26,25 +25,54 @@ def walk_files(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
     return df.mapInPandas(run, schema)
 
 
-def walk_packages(df: DataFrame, group_col: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
-                  combine: dict[str, Callable[[Column], Column]] | None = None, row_key: str | None = None,
-                  chunk_rows: int = 50_000) -> DataFrame:
-    """Apply ``fn`` per package.
+def walk_packages(df: DataFrame, group_col: str, partial: Callable[[pd.DataFrame], pd.DataFrame],
+                  merge: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``partial(some rows of a package) -> state rows`` and ``merge(state rows of a package) -> state rows``, both of ``schema`` with ``group_col``.
+
+    Rows don't move: each task makes states of what it reads and merges them as it goes, and
+    only states are shuffled, at most one of each package from each task (or for each STATES packages in it).  ``merge`` must
+    not depend on order or grouping; then a package's result doesn't depend on its size or
+    on how it is cut.  Rows with a null ``group_col`` are one package.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for key, rows in batch.groupby(group_col, dropna=False, sort=False):
+                key = None if pd.isna(key) else key
+                state = partial(rows)
+                held[key] = merge(pd.concat([held[key], state], ignore_index=True)) if key in held else state
+            if len(held) > STATES:
+                yield pd.concat(held.values(), ignore_index=True)
+                held = {}
+        if held:
+            yield pd.concat(held.values(), ignore_index=True)
+    return df.mapInPandas(run, schema).groupBy(group_col).applyInPandas(merge, schema)
+
+
+def stream_packages(df: DataFrame, group_col: str, order: Sequence[str],
+                    fn: Callable[[object, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """P2 in order: ``fn(package, batches)`` sees all rows of a package, sorted by ``order``, as a stream of batches.
 
-    With ``combine`` (output column → Spark aggregate, e.g. ``F.sum``) the
-    package is processed in bounded chunks and the partial outputs combined;
-    without it ``fn`` sees the whole package (only for packages known to be small).
+    One task sorts (spilling as needed) and streams a package, so this is for functions that
+    need its order; its memory is a batch, whatever the package's size.  ``fn`` need not read its batches to the end.
     """
-    if combine is None:
-        return df.groupBy(group_col).applyInPandas(fn, schema)
-    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("__qs_n"))
-    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("__qs_n") / F.lit(chunk_rows)))
-    key = F.col(row_key) if row_key else F.monotonically_increasing_id()
-    chunked = df.join(sizes, group_col).withColumn("__qs_chunk", F.pmod(F.xxhash64(key), n_chunks)).drop("__qs_n")
-    cols = [c for c in df.columns]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(pdf[cols])
-
-    partial = chunked.groupBy(group_col, "__qs_chunk").applyInPandas(run, schema)
-    return partial.groupBy(group_col).agg(*[agg(F.col(c)).alias(c) for c, agg in combine.items()])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def pieces():
+            for batch in batches:
+                for key, rows in batch.groupby(group_col, dropna=False, sort=False):
+                    yield None if pd.isna(key) else key, rows
+        todo = pieces()
+        ahead = next(todo, None)
+        while ahead is not None:
+            package = ahead[0]
+
+            def own():
+                nonlocal ahead
+                while ahead is not None and ahead[0] == package:
+                    rows, ahead = ahead[1], next(todo, None)
+                    yield rows
+            mine = own()
+            yield from fn(package, mine)
+            for _ in mine:
+                pass
+    return df.repartition(group_col).sortWithinPartitions(group_col, *order).mapInPandas(run, schema)

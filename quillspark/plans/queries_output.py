@@ -11,7 +11,7 @@ from ..operators import examples as EX
 from ..operators import lines as L
 from ..operators import paths as P
 from ..operators import refs as R
-from ..operators.udf import walk_files, walk_packages
+from ..operators.udf import stream_packages, walk_files, walk_packages
 from ..operators.windows import global_index, run_blocks, section_rank
 from ..session import read_table
 from ..sources.corpus import package_output_file
@@ -286,17 +286,42 @@ def p1_per_file_function(spark, sf_dir):
 
 
 def _source_summary(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What some rows of a source add up to."""
     return pd.DataFrame({"source": [pdf["source"].iloc[0]], "n_docs": [len(pdf)],
                          "n_chars": [int(pdf["text"].str.len().sum())],
                          "first_doc": [int(pdf["doc_id"].min())]})
 
 
+def _merge_summaries(states: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"source": [states["source"].iloc[0]], "n_docs": [int(states["n_docs"].sum())], "n_chars": [int(states["n_chars"].sum())],
+                         "first_doc": [int(states["first_doc"].min())]})
+
+
 @query("p2_per_package_function", oracle="""
 SELECT source, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, min(doc_id) AS first_doc FROM documents GROUP BY source""")
 def p2_per_package_function(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    return walk_packages(docs, "source", _source_summary, "source string, n_docs long, n_chars long, first_doc long",
-                         combine={"n_docs": F.sum, "n_chars": F.sum, "first_doc": F.min}, row_key="doc_id")
+    return walk_packages(docs, "source", _source_summary, _merge_summaries, "source string, n_docs long, n_chars long, first_doc long")
+
+
+def _gaps(source, batches):
+    """Widest gap between neighbouring ids of a source, and the document before it."""
+    last = widest = at = None
+    for pdf in batches:
+        for doc in pdf["doc_id"]:
+            if last is not None and (widest is None or doc - last > widest):
+                widest, at = int(doc - last), int(last)
+            last = doc
+    if widest is not None:
+        yield pd.DataFrame({"source": [source], "widest_gap": [widest], "after_doc": [at]})
+
+
+@query("p2_package_stream", oracle="""
+WITH n AS (SELECT source, doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) - doc_id AS gap FROM documents)
+SELECT source, max(gap) AS widest_gap, arg_max(doc_id, [gap, -doc_id]) AS after_doc FROM n WHERE gap IS NOT NULL GROUP BY source""")
+def p2_package_stream(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("source", "doc_id")
+    return stream_packages(docs, "source", ["doc_id"], _gaps, "source string, widest_gap long, after_doc long")
 
 
 # --- T1 ---------------------------------------------------------------------
@@ -304,14 +329,17 @@ def p2_per_package_function(spark, sf_dir):
 SELECT doc_id, source, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents""")
 def t1_incremental_walk(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    src = scratch_dir(spark, "t1-src")
-    # the corpus arrives as one file per source group (written by Spark, partitioned by source)
-    docs.repartition("source").write.mode("overwrite").parquet(src)
-    target = scratch_dir(spark, "t1-out")
-    ckpt = scratch_dir(spark, "t1-ckpt")
+    src, target, ckpt = (scratch_dir(spark, f"t1-{x}") for x in ("src", "out", "ckpt"))
+    schema = "doc_id long, source string, n_lines long, revision int"
 
     def process(batch):
-        return batch.select("doc_id", "source", (F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"))
-
-    incremental_walk(spark, src, docs.schema, ckpt, target, process, ["doc_id"])
-    return final_state(spark, target, ["doc_id"]).select("doc_id", "source", "n_lines")
+        return batch.select("doc_id", "source", (F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"), "revision")
+
+    # the corpus arrives twice: half of the documents, some in an old revision, then the others and the new revisions
+    old = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("draft\n"), "text")).otherwise(F.col("text"))
+    first = docs.filter("doc_id % 2 = 0").withColumn("text", old).withColumn("revision", F.lit(0))
+    second = docs.filter("doc_id % 2 = 1 or doc_id % 4 = 0").withColumn("revision", F.lit(1))
+    for arrived in (first, second):
+        arrived.write.option("maxRecordsPerFile", 2000).mode("append").parquet(src)
+        incremental_walk(spark, src, arrived.schema, ckpt, target, process, ["doc_id"], "revision")
+    return final_state(spark, target, schema).select("doc_id", "source", "n_lines")

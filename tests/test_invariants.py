@@ -54,43 +54,118 @@ def test_run_blocks_chunked_equals_plain(spark):
     assert sorted(plain.collect()) == sorted(chunked.collect())
 
 
-def test_chunked_package_function_matches_whole(spark):
+def test_package_function_of_any_size(spark, monkeypatch):
     import pandas as pd
-    from quillspark.operators.udf import walk_packages
+    from quillspark.operators import udf
 
-    def summary(pdf):
+    def _sums(pdf):
         return pd.DataFrame({"g": [pdf["g"].iloc[0]], "n": [len(pdf)], "s": [int(pdf["v"].sum())]})
-    df = spark.range(0, 5000).select((F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 7)).alias("g"),
-                                     F.col("id").alias("v"))
-    whole = walk_packages(df, "g", summary, "g long, n long, s long")
-    chunked = walk_packages(df, "g", summary, "g long, n long, s long", combine={"n": F.sum, "s": F.sum},
-                            row_key="v", chunk_rows=100)
-    assert sorted(whole.collect()) == sorted(chunked.select("g", "n", "s").collect())
 
+    def _merged(pdf):
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "n": [int(pdf["n"].sum())], "s": [int(pdf["s"].sum())]})
+    hot = F.when(F.col("id") < 1_000_000, 0).otherwise(F.col("id") % 7 + 1)
+    df = spark.range(0, 1_000_500, 1, 6).select(hot.alias("g"), F.col("id").alias("v"))
+    want = sorted(tuple(r) for r in df.groupBy("g").agg(F.count("v").alias("n"), F.sum("v").alias("s")).collect())
+    assert sorted(tuple(r) for r in udf.walk_packages(df, "g", _sums, _merged, "g long, n long, s long").collect()) == want
+    monkeypatch.setattr(udf, "STATES", 2)
+    assert sorted(tuple(r) for r in udf.walk_packages(df, "g", _sums, _merged, "g long, n long, s long").collect()) == want
 
-def test_incremental_walk_handles_only_new_files(spark):
+
+def test_package_stream_is_ordered_and_whole(spark):
+    import pandas as pd
+    from quillspark.operators.udf import stream_packages
+
+    def count_up(package, batches):
+        if package == "skipped":
+            return
+        n, ok, last = 0, True, -1
+        for pdf in batches:
+            ok &= (pdf["v"].diff().dropna() > 0).all() and pdf["v"].iloc[0] > last
+            n, last = n + len(pdf), pdf["v"].iloc[-1]
+        yield pd.DataFrame({"g": [package], "n": [n], "ordered": [bool(ok)]})
+    name = F.when(F.col("id") < 30_000, "hot").when(F.col("id") % 3 == 0, "skipped").when(F.col("id") % 3 == 1, F.lit(None)).otherwise("b")
+    df = spark.range(0, 30_300, 1, 5).select(name.alias("g"), F.col("id").alias("v"))
+    got = {r.g: (r.n, r.ordered) for r in stream_packages(df, "g", ["v"], count_up, "g string, n long, ordered boolean").collect()}
+    assert got == {"hot": (30_000, True), None: (100, True), "b": (100, True)}
+
+
+WALKED = "doc_id long, source string, n int, revision int"
+
+
+def _walk(spark, folders, schema, seen=None):
+    from quillspark.streaming.incremental import incremental_walk
+    src, out, ckpt = folders
+
+    def process(batch):
+        if seen is not None:
+            seen.append(batch.select("doc_id").distinct().count())
+        return batch.select("doc_id", "source", F.length("text").alias("n"), "revision")
+    incremental_walk(spark, src, schema, ckpt, out, process, ["doc_id"], "revision")
+
+
+def test_incremental_walk_reads_new_files_and_touched_buckets_only(spark):
+    import glob
     from quillspark.session import read_table
     from quillspark.sources.sinks import scratch_dir
-    from quillspark.streaming.incremental import final_state, incremental_walk
-    docs = read_table(spark, SF, "documents").select("doc_id", "source", "text")
-    src, out, ckpt = scratch_dir(spark, "t1s"), scratch_dir(spark, "t1o"), scratch_dir(spark, "t1c")
-    first = docs.filter(F.col("doc_id") % 2 == 0)
-    second = docs.filter(F.col("doc_id") % 2 == 1)
+    from quillspark.streaming.incremental import final_state
+    docs = read_table(spark, SF, "documents").select("doc_id", "source", "text", F.lit(0).alias("revision"))
+    folders = [scratch_dir(spark, x) for x in ("t1s", "t1o", "t1c")]
+    src, out, _ = folders
+    local = out.removeprefix("file:")
     seen = []
-
-    def process(batch):
-        seen.append(1)
-        return batch.select("doc_id", "source", F.length("text").alias("n"))
-
-    first.write.mode("append").parquet(src)
-    incremental_walk(spark, src, docs.schema, ckpt, out, process, ["doc_id"])
-    n1 = final_state(spark, out, ["doc_id"]).count()
-    second.write.mode("append").parquet(src)
-    incremental_walk(spark, src, docs.schema, ckpt, out, process, ["doc_id"])
-    state = final_state(spark, out, ["doc_id"])
-    assert n1 == first.count()
-    assert state.count() == docs.count()
-    assert state.select("doc_id").distinct().count() == docs.count()
+    docs.filter(F.col("doc_id") % 2 == 0).write.mode("append").parquet(src)
+    _walk(spark, folders, docs.schema, seen)
+    assert final_state(spark, out, WALKED).count() == docs.filter(F.col("doc_id") % 2 == 0).count()
+    # of the first batch's buckets, those that the next one doesn't touch are made unreadable meanwhile
+    new = docs.filter("doc_id in (4, 5)").select("doc_id", "source", F.lit("xyz").alias("text"), F.lit(1).alias("revision"))
+    touched = {r[0] for r in new.select(F.pmod(F.xxhash64("doc_id"), F.lit(64))).collect()}
+    kept = {}
+    for path in glob.glob(f"{local}/data/batch=0/__bucket=*/*.parquet"):
+        if int(path.split("__bucket=")[1].split("/")[0]) not in touched:
+            kept[path] = open(path, "rb").read()
+            open(path, "wb").write(b"not parquet")
+    assert len(kept) > 10
+    new.coalesce(1).write.mode("append").parquet(src)
+    _walk(spark, folders, docs.schema, seen)
+    assert seen[1:] == [2]
+    written = {int(p.split("__bucket=")[1].split("/")[0]) for p in glob.glob(f"{local}/data/batch=1/__bucket=*/*.parquet")}
+    assert written == touched
+    for path, data in kept.items():
+        open(path, "wb").write(data)
+    state = {r.doc_id: (r.n, r.revision) for r in final_state(spark, out, WALKED).collect()}
+    assert state[4] == (3, 1) and state[5] == (3, 1) and state[6][1] == 0 and len(state) == docs.filter(F.col("doc_id") % 2 == 0).count() + 1
+    # an older revision that comes late changes nothing
+    docs.filter("doc_id = 4").write.mode("append").parquet(src)
+    _walk(spark, folders, docs.schema)
+    assert {r.doc_id: (r.n, r.revision) for r in final_state(spark, out, WALKED).collect()} == state
+
+
+def test_killed_walk_repeats_to_the_same_state(spark, monkeypatch):
+    from quillspark.session import read_table
+    from quillspark.sources.sinks import scratch_dir
+    from quillspark.streaming import incremental
+    docs = read_table(spark, SF, "documents").select("doc_id", "source", "text", F.lit(0).alias("revision"))
+    folders = [scratch_dir(spark, x) for x in ("t1s", "t1o", "t1c")]
+    src, out, _ = folders
+    docs.filter("doc_id < 50").write.mode("append").parquet(src)
+    _walk(spark, folders, docs.schema)
+    before = sorted(incremental.final_state(spark, out, WALKED).collect())
+    docs.filter("doc_id between 40 and 90").withColumn("revision", F.lit(1)).write.mode("append").parquet(src)
+    whole = incremental._write_manifest
+
+    def killed(*args):
+        raise RuntimeError("killed")
+    monkeypatch.setattr(incremental, "_write_manifest", killed)
+    try:
+        _walk(spark, folders, docs.schema)
+        raise AssertionError("the walk should have been killed")
+    except Exception as e:
+        assert "killed" in str(e)
+    assert sorted(incremental.final_state(spark, out, WALKED).collect()) == before  # data is there, but not in a manifest
+    monkeypatch.setattr(incremental, "_write_manifest", whole)
+    _walk(spark, folders, docs.schema)
+    state = {r.doc_id: r.revision for r in incremental.final_state(spark, out, WALKED).collect()}
+    assert state == {r.doc_id: int(r.doc_id >= 40) for r in docs.filter("doc_id <= 90").select("doc_id").collect()}
 
 
 def test_workspace_load_status(spark):

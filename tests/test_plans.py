@@ -8,7 +8,7 @@ from quillspark.plans import catalog
 SF = "/root/testdata/sf0.001"
 catalog.load_all()
 QS = catalog.QUERIES
-PYTHON_OK = {"p1_per_file_function", "p2_per_package_function"}
+PYTHON_OK = {"p1_per_file_function", "p2_per_package_function", "p2_package_stream"}
 
 
 def _plan(df):
@@ -37,3 +37,13 @@ def test_declarations_without_shuffle(spark):
         plan = _plan(QS[name](spark, SF))
         assert "Exchange hashpartitioning" not in plan and "Window" not in plan and "Join" not in plan, name
         assert "RoundRobinPartitioning" in plan and "content" not in plan.split("RoundRobinPartitioning")[1], name
+
+
+@pytest.mark.parametrize("name", ["j2_first_prefix_owner", "j3_longest_prefix", "j4_module_membership", "j5_nearest_manifest", "j6_resolve_package"])
+def test_prefix_joins_resolve_distinct_values(spark, name):
+    """Rows are neither regrouped nor multiplied: aggregates know the resolved value only, and rows meet it in one join."""
+    plan = _plan(QS[name](spark, SF))
+    assert "SortAggregate" not in plan and "first(" not in plan and "array_repeat" not in plan
+    for line in plan.split("\n"):
+        if "Aggregate(" in line or "Generate " in line:
+            assert "l_orderkey" not in line, line
