@@ -1,10 +1,9 @@
 """Example JSON / YAML documents per struct from its field rows.
 
-Values come from a ``when`` chain on the field type.  Nested anonymous
-structs are built bottom-up, one aggregation per nesting level (as many as the
-deepest struct has): the object text of every ``(owner,
-struct_path)`` group becomes the value of the field that opened it.  Every
-group is one struct's visible fields, so no group grows with the corpus.
+Values come from a ``when`` chain on the field type.  One aggregation gathers a struct's
+fields in their order, nested ones after the field that opens them; a field's
+depth and the next one's then tell where objects open and close, at any depth.  A
+group is one struct's fields, so no group grows with the corpus.
 """
 
 from __future__ import annotations
@@ -14,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .aggregates import ordered_join
 from .decls import tag_value
+from .tree import let, scan
 
 # Example literal per basic type.
 _INTS = ["int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64", "byte", "rune"]
@@ -35,80 +34,68 @@ def _pad(n: Column) -> Column:
     return F.when(n <= 0, F.lit("")).otherwise(F.repeat(F.lit("  "), n))
 
 
-def _own_path() -> Column:
-    """Path a field's own members carry: parent path + field name."""
-    return F.when(F.coalesce(F.col("struct_path"), F.lit("")) == "", F.col("name")) \
-        .otherwise(F.concat("struct_path", F.lit("."), "name"))
+def _shown(fields: DataFrame, key: Sequence[str], tag_key: str, value: Column) -> DataFrame:
+    """``key, owner_line, owner, rows``: each struct's visible fields in order, ``(depth, name, value, opens)``.
 
-
-def _build(fields: DataFrame, key: Sequence[str], tag_key: str, line: Column, sep: str, wrap,
-           owners: DataFrame | None) -> DataFrame:
-    """Bottom-up assembly.  ``line(value)`` renders one field, ``wrap(body, depth)`` one object."""
-    from ..session import ensure_checkpoint_dir
-    k = [*key, "owner_line", "owner"]
+    ``opens`` tells whether a nested struct has rows (0: it has none, 1: none that shows, 2: some that show); null for
+    other fields.  A field shows if it is exported, named, not left out by its tag, and all around it show.
+    """
     tv = tag_value("tag", tag_key)
-    # the field rows are written once to the shared checkpoint folder: every
-    # nesting level below reads them there instead of recomputing extraction,
-    # and the deepest level actually present bounds the loop
-    ensure_checkpoint_dir(fields.sparkSession)
-    fields = fields.checkpoint(eager=True)
-    max_depth = int(fields.agg(F.max("depth").alias("d")).first()["d"] or 0)
-    f = fields.withColumn(
-        "__fname", F.when(tv != "", F.substring_index(tv, ",", 1)).otherwise(F.col("name"))) \
-        .withColumn("__visible", F.col("exported") & (F.col("name") != "") & (tv != "-") & (F.col("__fname") != "")) \
-        .withColumn("struct_path", F.coalesce("struct_path", F.lit("")))
-    nested = None          # (k, __gpath = struct_path of the group, __obj = object text)
-    for lv in range(max_depth, -1, -1):
-        rows = f.filter(F.col("depth") == lv).withColumn("__own", _own_path())
-        if nested is None:
-            rows = rows.withColumn("__obj", F.lit(None).cast("string"))
-        else:
-            rows = rows.join(nested.withColumnRenamed("__gpath", "__own"), [*k, "__own"], "left")
-        rendered = rows.withColumn("__line", F.when(F.col("__visible"), line(F.col("__obj"))))
-        grouped = rendered.groupBy(*k, F.col("struct_path").alias("__gpath")).agg(
-            ordered_join(["line_no", "name_pos"], "__line", sep).alias("__body"),
-            F.count(F.col("__line")).alias("__nvis"))
-        nested = grouped.select(*k, "__gpath", wrap(F.col("__body"), F.col("__nvis"), F.lit(lv)).alias("__obj"))
-    top = nested.filter(F.col("__gpath") == "")
-    if owners is None:
-        return top
-    # structs without fields
-    return owners.select(*k).join(top, k, "left").withColumn("__obj", F.coalesce("__obj", F.lit("{}")))
+    name = F.when(tv != "", F.substring_index(tv, ",", 1)).otherwise(F.col("name"))
+    seen = F.col("exported") & (F.col("name") != "") & (tv != "-") & (name != "")
+    row = F.struct("line_no", "name_pos", F.col("depth").cast("int").alias("depth"), name.alias("name"), value.alias("value"), F.coalesce("anonymous", F.lit(False)).alias("nests"),
+                   F.coalesce(seen, F.lit(False)).alias("seen"))
+    kind = "struct<depth:int,name:string,value:string,nests:boolean,shows:boolean>"
+
+    def step(hidden: Column, r: Column) -> tuple[Column, Column]:
+        """``hidden``: depth of the nearest field around that doesn't show, or null."""
+        below = F.when(r["depth"] > hidden, hidden)
+        shows = below.isNull() & r["seen"]
+        return (F.when(below.isNotNull(), below).when(~r["seen"], r["depth"]),
+                F.struct(r["depth"].alias("depth"), r["name"].alias("name"), r["value"].alias("value"), r["nests"].alias("nests"), shows.alias("shows")))
+
+    def with_next(rows: Column) -> Column:
+        more = F.transform(rows, lambda r, i: F.struct(r.alias("r"), F.coalesce(F.get(rows, i + 1)["depth"] > r["depth"], F.lit(False)).alias("has")))
+        return let(F.filter(more, lambda m: m["r"]["shows"]), lambda own: F.transform(own, lambda m, i: F.struct(
+            m["r"]["depth"].alias("depth"), m["r"]["name"].alias("name"), m["r"]["value"].alias("value"),
+            F.when(m["r"]["nests"], F.when(~m["has"], 0).when(F.coalesce(F.get(own, i + 1)["r"]["depth"] > m["r"]["depth"], F.lit(False)), 2).otherwise(1)).alias("opens"))))
+
+    rows = scan(F.array_sort(F.collect_list(row)), F.lit(None).cast("int"), step, kind)
+    return fields.groupBy(*key, "owner_line", "owner").agg(let(rows, with_next).alias("rows"))
+
+
+def _documents(shown: DataFrame, key: Sequence[str], text: Column, column: str, owners: DataFrame | None) -> DataFrame:
+    k = [*key, "owner_line", "owner"]
+    out = shown.select(*k, text.alias(column))
+    if owners is not None:  # structs without fields
+        out = owners.select(*k).join(out, k, "left").withColumn(column, F.coalesce(column, F.lit("{}")))
+    return out.select(*key, "owner", column)
 
 
 def example_json(fields: DataFrame, key: Sequence[str], owners: DataFrame | None = None) -> DataFrame:
     """``owners(key, owner_line, owner)``: all structs, so that those without fields get a row too."""
     t = F.regexp_replace(F.trim(F.col("type_text")), r"^\*", "")
-
-    def line(obj: Column) -> Column:
-        value = F.when(F.col("anonymous"), F.coalesce(obj, F.lit("{}"))) \
-            .when(t.startswith("[]"), F.concat(F.lit("["), example_value(F.substr(t, F.lit(3))), F.lit("]"))) \
-            .when(t.startswith("map["), F.lit("{}")).otherwise(example_value(t))
-        return F.concat(_pad(F.col("depth") + 1), F.lit('"'), F.col("__fname"), F.lit('": '), value)
-
-    def wrap(body: Column, nvis: Column, depth: Column) -> Column:
-        return F.when(nvis > 0, F.concat(F.lit("{\n"), body, F.lit("\n"), _pad(depth), F.lit("}"))) \
-            .otherwise(F.concat(F.lit("{\n"), _pad(depth), F.lit("}")))
-
-    out = _build(fields, key, "json", line, ",\n", wrap, owners)
-    return out.select(*key, "owner", F.col("__obj").alias("example_json"))
+    value = F.when(t.startswith("[]"), F.concat(F.lit("["), example_value(F.substr(t, F.lit(3))), F.lit("]"))) \
+        .when(t.startswith("map["), F.lit("{}")).otherwise(example_value(t))
+
+    def line(rows: Column) -> Column:
+        def one(r: Column, i: Column) -> Column:
+            depth = r["depth"]
+            then = F.coalesce(F.get(rows, i + 1)["depth"], F.lit(-1))
+            own = F.when(r["opens"] == 0, "{}").when(r["opens"] == 1, F.concat(F.lit("{\n"), _pad(depth + 1), F.lit("}"))) \
+                .when(r["opens"] == 2, "{\n").otherwise(r["value"])
+            closes = F.when(depth > then, F.array_join(F.transform(F.sequence(depth, then + 1, F.lit(-1)), lambda d: F.concat(F.lit("\n"), _pad(d), F.lit("}"))), ""))
+            after = F.when(r["opens"] == 2, "").otherwise(F.concat(F.coalesce(closes, F.lit("")), F.when(then >= 0, ",\n").otherwise("")))
+            return F.concat(_pad(depth + 1), F.lit('"'), r["name"], F.lit('": '), own, after)
+        return F.when(F.size(rows) == 0, "{\n}").otherwise(F.concat(F.lit("{\n"), F.array_join(F.transform(rows, one), "")))
+    return _documents(_shown(fields, key, "json", value), key, line(F.col("rows")), "example_json", owners)
 
 
 def example_yaml(fields: DataFrame, key: Sequence[str], owners: DataFrame | None = None) -> DataFrame:
     """``owners(key, owner_line, owner)``: all structs, so that those without fields get a row too."""
     t = F.regexp_replace(F.trim(F.col("type_text")), r"^\*", "")
-
-    def line(obj: Column) -> Column:
-        nested = F.when(F.coalesce(obj, F.lit("")).isin("", "{}"), F.lit("{}")).otherwise(F.concat(F.lit("\n"), obj))
-        value = F.when(F.col("anonymous"), nested) \
-            .when(t.startswith("[]"), F.concat(F.lit("\n"), _pad(F.col("depth") + 1), F.lit("- "),
-                                               example_value(F.substr(t, F.lit(3))))) \
-            .when(t.startswith("map["), F.lit("{}")).otherwise(example_value(t))
-        return F.concat(_pad(F.col("depth")), F.col("__fname"), F.lit(":"),
-                        F.when(value.startswith("\n"), value).otherwise(F.concat(F.lit(" "), value)))
-
-    def wrap(body: Column, nvis: Column, depth: Column) -> Column:
-        return F.coalesce(body, F.lit(""))
-
-    out = _build(fields, key, "yaml", line, "\n", wrap, owners)
-    return out.select(*key, "owner", F.col("__obj").alias("example_yaml"))
+    value = F.when(t.startswith("[]"), F.concat(F.lit("\n"), _pad(F.col("depth") + 1), F.lit("- "), example_value(F.substr(t, F.lit(3))))) \
+        .when(t.startswith("map["), F.lit(" {}")).otherwise(F.concat(F.lit(" "), example_value(t)))
+    lines = F.transform("rows", lambda r: F.concat(_pad(r["depth"]), r["name"], F.lit(":"),
+                                                   F.when(r["opens"] == 2, "").when(r["opens"].isNotNull(), " {}").otherwise(r["value"])))
+    return _documents(_shown(fields, key, "yaml", value), key, F.array_join(lines, "\n"), "example_yaml", owners)

@@ -190,32 +190,50 @@ def discover_tags(ln: DataFrame, key: Sequence[str], rel_dir_col: str) -> DataFr
 
 # --- F8 ---------------------------------------------------------------------
 def constraint_holds(expr: Column | str, tags: Sequence[str]) -> Column:
-    """Evaluate a ``//go:build`` expression for the given tag set.
+    """Evaluate a ``//go:build`` expression for the given tag set, in one pass over its tokens.
 
-    Identifiers become ``T``/``F``; then rewrite passes reduce ``!x``, ``(x)``,
-    ``x&&y``, ``x||y``.  A pass shortens whatever can be reduced, so as many
-    passes as the expression has characters settle any depth; what is left
-    unreduced is malformed and evaluates to null (caller quarantines it).
+    ``!`` binds closer than ``&&``, that closer than ``||``.  A level of parens is what its alternatives and
+    its present conjunction come to so far, and whether a ``!`` stands open; outer levels
+    wait on a stack, a character each.  A malformed expression is null (caller quarantines it).
     """
     e = F.col(expr) if isinstance(expr, str) else expr
-    s = F.regexp_replace(e, r"\s+", "")
-    tagset = "|".join(map(re.escape, sorted(set(tags), key=len, reverse=True)))
-    if tagset:   # active tags → '#', every other identifier → F, then '#' → T
-        s = F.regexp_replace(s, rf"(?<![A-Za-z0-9_.])(?:{tagset})(?![A-Za-z0-9_.])", "#")
-    s = F.regexp_replace(F.regexp_replace(s, r"[A-Za-z0-9_.]+", "F"), "#", "T")
-
-    def reduced(x: Column) -> Column:
-        x = F.regexp_replace(x, r"!T", "f")
-        x = F.regexp_replace(x, r"!F", "T")
-        x = F.regexp_replace(x, r"f", "F")
-        x = F.regexp_replace(x, r"\(([TF])\)", "$1")
-        x = F.regexp_replace(x, r"(?<!!)T&&T", "T")
-        x = F.regexp_replace(x, r"(?<!!)[TF]&&[TF]", "F")
-        x = F.regexp_replace(x, r"(?<![&!])T\|\|[TF](?![&])|(?<![&!])[TF]\|\|T(?![&])", "T")
-        return F.regexp_replace(x, r"(?<![&!])F\|\|F(?![&])", "F")
-
-    s = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s))), s, lambda x, _: reduced(x))
-    return F.when(s == "T", True).when(s == "F", False)
+    names = ("any", "all", "no", "want", "bad", "stack")
+    active = F.array(*[F.lit(t) for t in sorted(set(tags))]).cast("array<string>")
+
+    def state(**v: Column) -> Column:
+        return F.struct(*[v[n].alias(n) for n in names])
+
+    def put(s: Column, **v: Column) -> Column:
+        return state(**{n: v.get(n, s[n]) for n in names})
+
+    yes, no = F.lit(True), F.lit(False)
+    zero = state(any=no, all=yes, no=no, want=yes, bad=no, stack=F.lit(""))
+
+    def closed(s: Column) -> Column:
+        level = F.ascii(F.right(s["stack"], F.lit(1))) - F.lit(ord("0"))
+        was = lambda bit: level.bitwiseAND(F.lit(bit)) > 0
+        value = (s["any"] | s["all"]) != was(1)
+        return state(any=was(4), all=was(2) & value, no=no, want=no, bad=s["stack"] == "",
+                     stack=F.substring(s["stack"], F.lit(1), F.greatest(F.length(s["stack"]) - 1, F.lit(0))))
+
+    def step(s: Column, t: Column) -> Column:
+        bits = F.lit(ord("0")) + F.when(s["any"], 4).otherwise(0) + F.when(s["all"], 2).otherwise(0) + F.when(s["no"], 1).otherwise(0)
+        operand = F.when(t == "!", put(s, no=~s["no"])) \
+            .when(t == "(", state(any=no, all=yes, no=no, want=yes, bad=no, stack=F.concat(s["stack"], F.char(bits)))) \
+            .when(t.rlike(r"^[\p{L}\p{N}_.]"), put(s, all=s["all"] & (F.array_contains(active, t) != s["no"]), no=no, want=no)) \
+            .otherwise(put(s, bad=yes))
+        operator = F.when(t == "&&", put(s, want=yes)).when(t == "||", put(s, any=s["any"] | s["all"], all=yes, want=yes)) \
+            .when(t == ")", closed(s)).otherwise(put(s, bad=yes))
+        return F.when(s["bad"], s).when(s["want"], operand).otherwise(operator)
+
+    tokens = F.regexp_extract_all(e, F.lit(r"&&|\|\||[\p{L}\p{N}_.]++|[^\s]"), F.lit(0))
+    return F.aggregate(tokens, zero, step, lambda s: F.when(~s["bad"] & ~s["want"] & (s["stack"] == ""), s["any"] | s["all"]))
+
+
+def constraint_rejects(constraints: DataFrame, key: Sequence[str], expr_col: str, tags: Sequence[str]) -> DataFrame:
+    """Quarantine rows of the constraints that can't be read."""
+    return constraints.filter(F.col(expr_col).isNotNull() & constraint_holds(expr_col, tags).isNull()).select(
+        *key, F.lit("build constraint").alias("stage"), F.concat(F.lit("malformed constraint "), F.substring(expr_col, 1, 200)).alias("message"))
 
 
 def plus_build_to_expr(line: Column | str) -> Column:

@@ -334,6 +334,13 @@ def a8_example_shapes(spark, sf_dir):
     return EX.example_json(D.fields(own, K), K, owners)
 
 
+@query("a9_example_shapes", oracle=_shapes("yaml", "owner, example_yaml") + f"SELECT file_id, {_id('owner')}, example_yaml FROM wanted")
+def a9_example_shapes(spark, sf_dir):
+    own = fx12_nodes(spark, sf_dir, "type", text=True)
+    owners = D.declarations(own, K)[0].filter(F.col("kind") == "struct").select(*K, F.col("decl_line").alias("owner_line"), F.col("name").alias("owner"))
+    return EX.example_yaml(D.fields(own, K), K, owners)
+
+
 @query("e9_spec_shapes", oracle=_shapes("specs", "l, kind, name, exported") + f"SELECT file_id, base + l AS line_no, kind, {_id('name')}, exported FROM wanted")
 def e9_spec_shapes(spark, sf_dir):
     return D.value_specs(fx12_nodes(spark, sf_dir, "var", "const"), K).select(*K, "line_no", "kind", "name", "exported")

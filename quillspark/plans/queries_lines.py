@@ -91,6 +91,30 @@ def f8_build_constraint(spark, sf_dir):
     return files.join(per_file, "file_id", "left").select("file_id", F.when(F.col("any").isNull(), True).otherwise(F.col("ok")).alias("holds"))
 
 
+# Constraints of every part, one of them nested by its key: text, whether it holds for TAGSET
+CONSTRAINTS = ["linux && !windows", "!(linux || darwin)", "windows || linux && extra", "(windows || linux) && !extra", "!!linux", "linux &&", "(linux", "linux darwin", "&& linux", "linux)"]
+CONSTRAINT_SQL = "SELECT p_partkey, CASE p_partkey % 11 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CONSTRAINTS)) \
+    + " ELSE repeat('!(windows || ', CAST(p_partkey % 40 AS INT)) || 'linux' || repeat(')', CAST(p_partkey % 40 AS INT)) END AS expr FROM part"
+HOLDS_SQL = """CASE p_partkey % 11 WHEN 0 THEN 'linux' IN {t} AND 'windows' NOT IN {t} WHEN 1 THEN NOT ('linux' IN {t} OR 'darwin' IN {t})
+  WHEN 2 THEN 'windows' IN {t} OR ('linux' IN {t} AND 'extra' IN {t}) WHEN 3 THEN ('windows' IN {t} OR 'linux' IN {t}) AND 'extra' NOT IN {t} WHEN 4 THEN 'linux' IN {t}
+  WHEN 10 THEN (p_partkey % 40 % 2 = 0) = ('linux' IN {t}) ELSE NULL END""".replace("{t}", "(" + ", ".join(f"'{t}'" for t in TAGSET) + ")")
+
+
+def constraints(spark, sf_dir):
+    read_table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return spark.sql(CONSTRAINT_SQL)
+
+
+@query("f8_constraint_grammar", oracle=f"SELECT p_partkey, {HOLDS_SQL} AS holds FROM part")
+def f8_constraint_grammar(spark, sf_dir):
+    return constraints(spark, sf_dir).select("p_partkey", L.constraint_holds("expr", TAGSET).alias("holds"))
+
+
+@query("q1_constraint_rejects", oracle=f"WITH c AS ({CONSTRAINT_SQL}) SELECT p_partkey, 'build constraint' AS stage, 'malformed constraint ' || expr AS message FROM c WHERE p_partkey % 11 BETWEEN 5 AND 9")
+def q1_constraint_rejects(spark, sf_dir):
+    return L.constraint_rejects(constraints(spark, sf_dir), ["p_partkey"], "expr", TAGSET)
+
+
 # --- X3 / X4 / X5 (Fx10) ----------------------------------------------------
 @query("x3_macro_expand", oracle=cte("fx10_docs") + """
 SELECT doc_id, replace(replace(replace(replace(doc, '${gad:current:fq}', path), '${gad:current:fqdir}', regexp_extract(path, '^(.*)/[^/]*$', 1)),

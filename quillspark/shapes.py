@@ -10,7 +10,7 @@ from __future__ import annotations
 #   decls: line, end, kind, name, decl, doc, exported, receiver key
 #   fields: line, owner, depth, path, name, type, tag, doc, exported, embedded, anonymous
 #   specs: line, kind, name, exported      members: owner, what, pos, text
-#   signatures: line, text                 bad (declarations), odd (members): line, message      tags: owner, has json / yaml    examples: owner, JSON
+#   signatures: line, text                 bad (declarations), odd (members): line, message      tags: owner, has json / yaml    examples: owner, JSON; yaml: owner, YAML
 SHAPES = [
     dict(text='''type (
 	// GA# is first.
@@ -23,7 +23,7 @@ SHAPES = [
 ''', decls=[(2, 4, "struct", "GA#", "type GA# struct", "GA# is first.", True, None), (5, 5, "type", "gb#", "type gb# int", "", False, None),
             (6, 6, "struct", "GC#", "type GC#[T []int] struct{}", "", True, None)],
          fields=[(3, "GA#", 0, "", "X", "int", 'db:"x"', "", True, False, False)], tags=[("GA#", False)],
-         examples=[("GA#", '{\n  "X": 0\n}'), ("GC#", "{}")]),
+         examples=[("GA#", '{\n  "X": 0\n}'), ("GC#", "{}")], yaml=[("GA#", "X: 0"), ("GC#", "{}")]),
     dict(text='''// Multi# has a header of some lines.
 func Multi#(
 	a int,
@@ -106,6 +106,7 @@ type Empty# struct {
                  (6, "Deep#", 4, "L1.L2.L3.L4", "L5", "struct", 'json:"l5"', "", True, False, True),
                  (8, "Deep#", 5, "L1.L2.L3.L4.L5", "Z", "string", 'json:"z"', "Z is last.", True, False, False),
                  (14, "Deep#", 0, "", "", "io.Reader", "", "", True, True, False)], tags=[("Deep#", True)],
+         yaml=[("Empty#", "{}"), ("Deep#", 'l1:\n  L2:\n    L3:\n      L4:\n        L5:\n          Z: "example"')],
          examples=[("Empty#", "{}"), ("Deep#", '''{
   "L1": {
     "L2": {
@@ -154,7 +155,7 @@ type None# struct{}
                  (1, "One#", 0, "", "C", "string", 'json:"c"', "", True, False, False)], tags=[("One#", True)],
          members=[("Two#", "method", 0, "Get() int"), ("Two#", "method", 1, "Set(v int) error"), ("Two#", "term", 0, "~int"), ("Two#", "term", 1, "~string")],
          signatures=[(3, "Get() int"), (3, "Set(v int) error")],
-         examples=[("One#", '{\n  "A": 0,\n  "c": "example"\n}'), ("None#", "{}")]),
+         examples=[("One#", '{\n  "A": 0,\n  "c": "example"\n}'), ("None#", "{}")], yaml=[("One#", 'A: 0\nC: "example"'), ("None#", "{}")]),
     # type params, a function type and a nested struct over several lines
     dict(text='''type Pair#[K comparable,
 	V any,
@@ -172,7 +173,7 @@ type None# struct{}
                  (7, "Pair#", 0, "", "H", "map[string]struct{ N int }", "", "G and H.", True, False, False),
                  (8, "Pair#", 0, "", "M", "struct", 'json:"m"', "", True, False, True), (8, "Pair#", 1, "M", "X", "int", "", "", True, False, False),
                  (8, "Pair#", 1, "M", "Y", "int", "", "", True, False, False), (8, "Pair#", 1, "M", "z", "bool", "", "", False, False, False)],
-         tags=[("Pair#", True)], examples=[("Pair#", '{\n  "F": {},\n  "G": {},\n  "H": {},\n  "m": {\n    "X": 0,\n    "Y": 0\n  }\n}')]),
+         yaml=[("Pair#", "f: {}\nG: {}\nH: {}\nM:\n  X: 0\n  Y: 0")], tags=[("Pair#", True)], examples=[("Pair#", '{\n  "F": {},\n  "G": {},\n  "H": {},\n  "m": {\n    "X": 0,\n    "Y": 0\n  }\n}')]),
     # groups on one line, brackets inside a signature
     dict(text='''type (A# = int; B# struct { P *A# })
 
@@ -189,7 +190,7 @@ var v# = func() int {
 ''', decls=[(0, 0, "type", "A#", "type A# = int", "", True, None), (0, 0, "struct", "B#", "type B# struct", "", True, None), (2, 2, "const", "", "const", "", False, None),
             (7, 7, "method", "Do#", "func (r Recv#) Do#(x struct{ A int }, y interface{ F() }) (z []int, err error)", "Do# does.\n\nTwice.", True, "Recv#"),
             (9, 11, "var", "v#", "var v# = func() int", "", False, None)],
-         fields=[(0, "B#", 0, "", "P", "*A#", "", "", True, False, False)], tags=[("B#", False)], examples=[("B#", '{\n  "P": {}\n}')],
+         fields=[(0, "B#", 0, "", "P", "*A#", "", "", True, False, False)], yaml=[("B#", "P: {}")], tags=[("B#", False)], examples=[("B#", '{\n  "P": {}\n}')],
          specs=[(2, "const", "k#", False), (2, "const", "K2#", True), (9, "var", "v#", False)],
          signatures=[(7, "func (r Recv#) Do#(x struct{ A int }, y interface{ F() }) (z []int, err error)")]),
     # what can't be read
@@ -210,7 +211,7 @@ type Odd# struct {
 ''', decls=[(3, 4, "func", "ok#", "func ok#()", "", False, None), (8, 8, "var", "Fine#", "var Fine# int", "", True, None),
             (10, 13, "struct", "Odd#", "type Odd# struct", "", True, None)],
          bad=[(0, "block not closed before the next declaration"), (6, "declaration not recognised")], odd=[(11, "member not recognised")],
-         fields=[(12, "Odd#", 0, "", "X", "int", "", "", True, False, False)], tags=[("Odd#", False)], examples=[("Odd#", '{\n  "X": 0\n}')],
+         fields=[(12, "Odd#", 0, "", "X", "int", "", "", True, False, False)], yaml=[("Odd#", "X: 0")], tags=[("Odd#", False)], examples=[("Odd#", '{\n  "X": 0\n}')],
          specs=[(8, "var", "Fine#", True)], signatures=[(3, "func ok#()")]),
 ]
 SLOTS, STEP = 3, 3

@@ -174,6 +174,18 @@ def test_build_constraints(spark):
     assert got_old == list(old.values())
 
 
+def test_long_constraints(spark):
+    import time
+    from quillspark.operators.lines import constraint_holds
+    many = 10_000
+    cases = {" && ".join(["linux"] * many): True, " || ".join(["x"] * many) + " || linux": True, "(" * many + "linux" + ")" * many: True,
+             "!(" * many + "linux" + ")" * many: True, "!(" * (many + 1) + "linux" + ")" * (many + 1): False, "(" * many + "linux" + ")" * (many - 1): None,
+             "x || linux && y || !z && linux": True, "": None, "linux & amd64": None, "linux amd64": None, "!": None, "()": None}
+    start = time.time()
+    assert _one(spark, lambda c: constraint_holds(c, ["linux", "amd64"]), list(cases)) == list(cases.values())
+    assert time.time() - start < 30
+
+
 HEADING_CASES = [
     ("# Main Title\nSome content", "Main Title\nSome content"),
     ("## Subsection\nMore content", "Subsection\nMore content"),
