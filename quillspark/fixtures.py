@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .session import register_tables
-from .shapes import files_sql, link_files_sql
+from .shapes import files_sql, link_files_sql, package_files_sql
 
 # Fixed fixture texts (given with the test data description).
 FX_SQL: dict[str, str] = {}
@@ -96,6 +96,7 @@ FROM customer
 # Fx12: files of varied declaration shapes.
 FX_SQL["fx12_files"] = files_sql()
 FX_SQL["fx13_files"] = link_files_sql()
+FX_SQL["fx14_files"] = package_files_sql()
 
 # Which base tables each view reads.
 FX_BASE = {
@@ -111,9 +112,10 @@ FX_BASE = {
     "fx11_manifests": ["customer"],
     "fx12_files": ["part"],
     "fx13_files": ["part"],
+    "fx14_files": ["supplier"],
 }
 
-FX_TEXTS = ("fx1_files", "fx12_files", "fx13_files")
+FX_TEXTS = ("fx1_files", "fx12_files", "fx13_files", "fx14_files")
 
 # Views a view is built on (registered / inlined first).
 FX_DEPS = {"fx11_manifests": ["fx2_manifests"]}

@@ -124,13 +124,17 @@ def signatures(params: DataFrame, key: Sequence[str]) -> DataFrame:
     """Signature text of func / method / functype declarations and interface methods from their E12 rows,
     type params included: ``func (r T) Name[K any](…) …``, ``type Name func(…) …``, ``Name(…) …``."""
     agg = signature_pieces(params, key)
+    return agg.select(*key, "decl_line", "kind", "name", signature_text().alias("signature"))
+
+
+def signature_text() -> Column:
+    """The signature from the columns of :func:`signature_pieces`."""
     res = F.when(F.col("n_res") == 0, F.lit("")) \
         .when(F.col("n_res") == 1, F.concat(F.lit(" "), "results")) \
         .otherwise(F.concat(F.lit(" ("), "results", F.lit(")")))
     recv = F.when(F.col("recv") != "", F.concat(F.lit("("), "recv", F.lit(") "))).otherwise("")
     named = F.concat("name", F.when(F.col("tparams") != "", F.concat(F.lit("["), "tparams", F.lit("]"))).otherwise(""))
     rest = F.concat(F.lit("("), "params", F.lit(")"), res)
-    sig = F.when(F.col("kind") == "functype", F.concat(F.lit("type "), named, F.lit(" func"), rest)) \
+    return F.when(F.col("kind") == "functype", F.concat(F.lit("type "), named, F.lit(" func"), rest)) \
         .when(F.col("kind") == "interface_method", F.concat(named, rest)) \
         .otherwise(F.concat(F.lit("func "), recv, named, rest))
-    return agg.select(*key, "decl_line", "kind", "name", sig.alias("signature"))

@@ -188,7 +188,7 @@ def fields(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
     quoted = F.regexp_extract(F.when(opens, F.col("tail")).otherwise(F.col("head")), r"\x04([^\x05]*+)\x05\s*\z", 1)
     body = _member(F.col("head"))
     named = body.rlike(rf"^{NAMES}\s+\S")
-    x = x.select(*key, "owner_line", "owner", F.col("line").alias("line_no"), F.col("depth").cast("long").alias("depth"), F.col("path").alias("struct_path"),
+    x = x.select(*key, "owner_line", "owner", F.col("line").alias("line_no"), F.col("depth").cast("long").alias("depth"), "struct_path",
                  F.col("doc").alias("member_doc"), F.when(named, F.regexp_extract(body, rf"^({NAMES})\s+", 1)).alias("names"),
                  reveal(F.when(named, F.trim(F.regexp_replace(body, rf"^{NAMES}\s+", ""))).otherwise(body)).alias("type_text"),
                  F.regexp_extract(reveal(quoted), r"(?s)^`(.*)`$", 1).alias("tag"), opens.alias("anonymous"), F.col("node").alias("__node"))
@@ -269,7 +269,7 @@ def const_specs(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
     specs = nodes.filter((F.col("inside") == "values") & (F.col("word") == "const") & ~F.col("left_open") & body.rlike(rf"^{IDENT}")) \
         .select(*key, "owner_line", F.col("line").alias("line_no"), F.col("doc").alias("member_doc"), F.regexp_extract(body, rf"^({NAMES})", 1).alias("names"),
                 F.when(typ != "", typ).alias("type_text"), expr.alias("expr"), "node")
-    return specs.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).drop("node")
+    return specs.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
 
 
 def const_decls(specs: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -280,7 +280,7 @@ def const_decls(specs: DataFrame, key: Sequence[str]) -> DataFrame:
     x = const_values(specs, grp, "pos", "expr") \
         .withColumn("eff_type", F.last(F.when(F.col("expr").isNotNull(), F.coalesce("type_text", F.lit(""))),
                                        ignorenulls=True).over(w))
-    x = x.select(*grp, "line_no", "pos", "eff_type", "eff_expr", "value",
+    x = x.select(*grp, "line_no", "node", "member_doc", "pos", "eff_type", "eff_expr", "value",
                  F.posexplode(F.split("names", r"\s*,\s*")).alias("name_pos", "name"))
     val = F.coalesce(F.col("value").cast("string"), F.col("eff_expr"))
     typ = F.when(F.coalesce("eff_type", F.lit("")) != "", F.concat(F.lit(" "), "eff_type")).otherwise(F.lit(""))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import anchor_id, escape_entities, module_short_name
 from .aggregates import ordered_join
+from .decls import balanced, interface_members, method_heads, param_rows, signature_lists, signature_parts, split_top
 from .modules import explode_slash_prefixes
 from .refs import BUILTIN_TYPES, EXTERNAL_DOC_URL
 from .tree import IDENT, scan
@@ -115,6 +116,43 @@ def owner_type_params(methods: DataFrame, types: DataFrame, package: Sequence[st
         .withColumn("owner_params", F.coalesce(F.col("__s.type_params"), F.col("__t.type_params"))).drop("__s", "__t")
 
 
+def type_params(decls: DataFrame) -> DataFrame:
+    """Struct and named type declarations with ``type_params``, the text between their brackets."""
+    rest = F.regexp_replace("decl", rf"^type\s+{IDENT}", "")
+    own = F.when(rest.startswith("["), balanced(rest)).otherwise("")
+    return decls.filter(F.col("kind").isin("struct", "type", "interface")).withColumn("type_params", F.substr(own, F.lit(2), F.length(own) - 2))
+
+
+def names_of(df: DataFrame, text: str) -> DataFrame:
+    """A row for each ``name`` in a type parameter list."""
+    return df.withColumn("name", F.explode(F.transform(split_top(F.col(text)), lambda p: F.regexp_extract(p, rf"^({IDENT})", 1))))
+
+
+def signature_params(nodes: DataFrame, decls: DataFrame, key: Sequence[str], package: Sequence[str], aliases: DataFrame, modules: DataFrame, own_package: Column,
+                     mode: str = "external", separate: bool = False, html: bool = False) -> DataFrame:
+    """E12 rows of all signatures of a node table (functions, methods, function types, interface methods) with linked types.
+
+    A declaration's scope holds its own type parameters, its owner's (by ``package`` and receiver) and, for
+    an interface's method, the interface's.
+    """
+    one = [*key, "node"]
+    heads = [*one, "decl_line", "kind", "name", "decl"]
+    members = interface_members(nodes, key)[0]
+    funcs = decls.filter(F.col("kind").isin("func", "method", "functype"))
+    parts = signature_parts(funcs.select(heads).unionByName(method_heads(members).select(heads)))
+    rows = param_rows(signature_lists(parts, one), one, carry=["kind", "decl_name"])
+    generic = type_params(decls)
+    owners = owner_type_params(decls.filter(F.col("kind") == "method"), generic, package)
+    of_interface = members.join(generic.filter("kind = 'interface'").select(*key, F.col("name").alias("owner"), F.col("decl_line").alias("owner_line"), "type_params"),
+                                [*key, "owner", "owner_line"])
+    scope = names_of(owners.filter("owner_params != ''"), "owner_params").select(*one, "name") \
+        .unionByName(names_of(of_interface.filter("type_params != ''").drop("name"), "type_params").select(*one, "name")) \
+        .unionByName(rows.filter("role = 'type_param' and name is not null").select(*one, "name"))
+    typed = rows.filter("role != 'type_param' and pos is not null")
+    linked = linked_texts(typed, [*one, "role", "pos"], "type_text", key, aliases, modules, own_package, scope, one, mode, separate, html)
+    return rows.filter("role = 'type_param' or pos is null").unionByName(linked.drop("type_text").withColumnRenamed("linked", "type_text"))
+
+
 # --- W2 -----------------------------------------------------------------------
 _TOKEN = "struct<kind:string,content:string>"
 

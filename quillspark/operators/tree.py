@@ -261,7 +261,7 @@ def nodes(files: DataFrame, key: Sequence[str], content_col: str = "content", te
     Columns: ``key``; ``word`` (keyword of the chunk), ``chunk_line``; ``node`` (number of the item in the file,
     in order of beginnings) and ``parent`` (null at the top); ``inside`` (``""``, ``types``, ``values``, ``imports``, ``struct``, ``interface``: what list it is
     in) and ``lists`` (the same of its members, else null);
-    ``first`` (it begins at the chunk's keyword); ``line``, ``end_line``; ``owner``, ``owner_line``, ``depth``, ``path`` (of members: the
+    ``first`` (it begins at the chunk's keyword); ``line``, ``end_line``; ``owner``, ``owner_line``, ``depth``, ``struct_path`` (of members: the
     declaration and the names of the nested structs around them); ``doc`` (comment lines right above); ``head`` (encoded
     text up to its list of members or body), ``tail`` (what follows the list), ``hollow`` (its list is ``{}``), with ``text`` its whole
     text as written; ``left_open``: the chunk leaves brackets open (it is one row then).
@@ -273,7 +273,7 @@ def nodes(files: DataFrame, key: Sequence[str], content_col: str = "content", te
                 inner = F.when(x["doc"] > 0, _doc(_part(tokens, x["doc"], x["a"]))).otherwise("")
                 return F.struct(
                     x["id"].alias("node"), x["parent"].alias("parent"), x["inside"].alias("inside"), child.alias("bracket"), x["owner"].alias("owner"),
-                    x["owner_line"].cast("long").alias("owner_line"), x["depth"].alias("depth"), x["path"].alias("path"), x["line"].cast("long").alias("line"),
+                    x["owner_line"].cast("long").alias("owner_line"), x["depth"].alias("depth"), x["path"].alias("struct_path"), x["line"].cast("long").alias("line"),
                     x["last"].cast("long").alias("end_line"), inner.alias("member_doc"),
                     _text(tokens, x["a"], F.when(x["open"] > 0, x["open"]).otherwise(x["b"])).alias("head"),
                     F.when(x["close"] > 0, _text(tokens, x["close"] + 1, x["b"])).otherwise("").alias("tail"),

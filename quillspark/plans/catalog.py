@@ -33,5 +33,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
         queries_paths, queries_modules, queries_lines, queries_decls,
-        queries_refs, queries_output, queries_links,
+        queries_refs, queries_output, queries_links, queries_documents,
     )

@@ -10,7 +10,7 @@ from ..operators import decls as D
 from ..operators import lines as L
 from ..operators import links as LK
 from ..operators import refs as R
-from ..operators.tree import IDENT, nodes
+from ..operators.tree import nodes
 from ..shapes import link_rows_sql
 from .catalog import query
 from .queries_modules import module_table
@@ -34,30 +34,9 @@ def _parsed(spark, sf_dir):
     return n, D.declarations(n, K)[0], R.alias_map(D.imports(L.lines(files, K, partition=False), K), K)
 
 
-def _type_params(decls):
-    """Type parameter text of struct and named type declarations."""
-    rest = F.regexp_replace("decl", rf"^type\s+{IDENT}", "")
-    own = F.when(rest.startswith("["), D.balanced(rest)).otherwise("")
-    return decls.filter(F.col("kind").isin("struct", "type")).withColumn("type_params", F.substr(own, F.lit(2), F.length(own) - 2))
-
-
-def _names(df, text):
-    """Names of a type parameter list."""
-    return df.withColumn("name", F.explode(F.transform(D.split_top(F.col(text)), lambda p: F.regexp_extract(p, rf"^({IDENT})", 1))))
-
-
 def _signature_params(spark, sf_dir, mode, separate=False, html=False):
-    """E12 rows of all signatures with linked types; the scope holds own and owner's type params."""
     n, d, aliases = _parsed(spark, sf_dir)
-    heads = [*ONE, "decl_line", "kind", "name", "decl"]
-    funcs = d.filter(F.col("kind").isin("func", "method", "functype"))
-    parts = D.signature_parts(funcs.select(heads).unionByName(D.method_heads(D.interface_members(n, K)[0]).select(heads)))
-    rows = D.param_rows(D.signature_lists(parts, ONE), ONE, carry=["kind", "decl_name"])
-    owners = LK.owner_type_params(d.filter(F.col("kind") == "method"), _type_params(d), K)
-    scope = _names(owners, "owner_params").select(*ONE, "name").unionByName(rows.filter("role = 'type_param' and name is not null").select(*ONE, "name"))
-    typed = rows.filter("role != 'type_param' and pos is not null")
-    linked = LK.linked_texts(typed, [*ONE, "role", "pos"], "type_text", K, aliases, module_table(spark, sf_dir), _own(), scope, ONE, mode, separate, html)
-    return rows.filter("role = 'type_param' or pos is null").unionByName(linked.drop("type_text").withColumnRenamed("linked", "type_text"))
+    return LK.signature_params(n, d, K, K, aliases, module_table(spark, sf_dir), _own(), mode, separate, html)
 
 
 def _register(name: str, mode: str, separate: bool = False) -> None:
@@ -74,7 +53,7 @@ for _name, _mode, _separate in (("off", "off", False), ("internal", "internal",
 def j8_field_headings(spark, sf_dir):
     n, d, aliases = _parsed(spark, sf_dir)
     f = D.fields(n, K).select(*K, "owner", "line_no", "name_pos", "name", "type_text")
-    scope = _names(_type_params(d).select(*K, F.col("name").alias("owner"), "type_params"), "type_params").select(*K, "owner", "name")
+    scope = LK.names_of(LK.type_params(d).select(*K, F.col("name").alias("owner"), "type_params"), "type_params").select(*K, "owner", "name")
     out = LK.linked_texts(f, [*K, "name_pos"], "type_text", K, aliases, module_table(spark, sf_dir), _own(), scope, [*K, "owner"])
     return out.select(*K, "line_no", F.when(F.col("name") == "", F.col("linked")).otherwise(F.concat_ws("\t", "name", "linked")).alias("heading"))
 
@@ -82,7 +61,7 @@ def j8_field_headings(spark, sf_dir):
 @query("j13_owner_type_params", oracle=_wanted("owners", "l, t, owner_kind, owner_params") + "SELECT file_id, l AS decl_line, t AS method, owner_kind, owner_params FROM wanted")
 def j13_owner_type_params(spark, sf_dir):
     _, d, _ = _parsed(spark, sf_dir)
-    out = LK.owner_type_params(d.filter(F.col("kind") == "method"), _type_params(d), K)
+    out = LK.owner_type_params(d.filter(F.col("kind") == "method"), LK.type_params(d), K)
     return out.select(*K, "decl_line", F.col("name").alias("method"), "owner_kind", "owner_params")
 
 

@@ -65,7 +65,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="qs-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", current)
     sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
 

@@ -317,3 +317,248 @@ def link_rows_sql(what: str, columns: str) -> str:
 , want AS (SELECT * FROM (VALUES {rows}) w({columns})),
 wanted AS (SELECT file_id, want.* REPLACE (CAST(l + 3 AS BIGINT) AS l, replace(replace(replace(t, '#', CAST(file_id AS VARCHAR)), '@', {own}), '~', '#') AS t) FROM fx13_files, want)
 """
+
+
+# Fx14: packages of two files, and the document of a package (# the package's number, @ a hash sign).
+PACKAGE = {"a": '''//go:build linux
+
+// Package s# serves.
+package s#
+
+import "fmt"
+
+// Service# greets with `fmt.Println` and `Conf#`.
+type Service# struct {
+	// Name is shown.
+	Name string `json:"name"`
+	Conf *Conf#
+	hidden int
+	Opts struct {
+		On bool
+	}
+}
+
+// Greet says hello.
+func (s *Service#) Greet(to string) (n int, err error) {
+	return fmt.Println(to)
+}
+
+func (s *Service#) quiet() {}
+
+const (
+	// Low# is first.
+	Low# = iota + 1
+	High#
+	none#
+)
+
+// Default# serves all.
+var Default# = &Service#{Name: "x"}
+''', "b": '''// More about s#.
+package s#
+
+// Conf# holds values.
+type Conf#[T any] map[string]T
+
+// Form# formats.
+type Form# interface {
+	// Format makes text.
+	Format(c Conf#[int]) string
+	Len() int
+	~int | ~string
+}
+
+// Hook# is called.
+type Hook# func(*Service#) error
+
+// New# makes one.
+func New#(hooks ...Hook#) *Service# {
+	return nil
+}
+
+func local#() {}
+'''}
+DOCUMENT = '''== Package example.com/m1/s#
+
+[NOTE]
+====
+*Build Tags:* `linux`
+====
+
+Package s# serves.
+
+More about s#.
+
+== Imports
+
+[source, go]
+----
+import "fmt"
+----
+
+== Interfaces
+
+[[example-com-m1-s#-Form#]]
+
+=== Form#
+[source, go]
+----
+type Form# interface {
+	~int | ~string
+	Format(c Conf#[int])	string
+	Len()	int
+}
+----
+
+Form# formats.
+
+==== Undocumented
+
+[cols="1,1",options="header"]
+|===
+|Name |Signature
+|`Len`|`Len() int`
+|===
+
+==== Format(c <<example-com-m1-s#-Conf#,Conf#>>[int]) string
+
+Format makes text.
+
+[source, go]
+----
+Format(c Conf#[int]) string
+----
+
+==== Type Set
+
+* `~int`
+* `~string`
+
+== Structs
+
+[[example-com-m1-s#-Service#]]
+
+=== Service#
+[source, go]
+----
+type Service# struct {
+	Name	string
+	Conf	*Conf#
+	Opts	struct
+}
+----
+
+Service# greets with link:https://pkg.go.dev/fmt@Println[fmt.Println] and <<example-com-m1-s#-Conf#,Conf#>>.
+
+==== JSON Example
+[source, json]
+----
+{
+  "name": "example",
+  "Conf": {},
+  "Opts": {
+    "On": false
+  }
+}
+----
+
+==== Undocumented
+
+[cols="1,1,1",options="header"]
+|===
+|Field |Type |Tag
+|`Conf`|`*Conf#`|
+|===
+
+==== Name string
+
+Name is shown.
+
+==== Receivers
+
+===== Greet
+[source, go]
+----
+func (s *Service#) Greet(to string) (n int, err error)
+----
+Greet says hello.
+
+== Variable Typedefinitions
+
+[[example-com-m1-s#-Conf#]]
+
+=== Conf#[T any]
+[source, go]
+----
+type Conf#[T any] map[string]T
+----
+
+Conf# holds values.
+
+== Constants
+
+[source, go]
+----
+const (
+	Low#	= 1
+	High#	= 2
+)
+----
+
+=== Low#
+[source, go]
+----
+Low# = 1
+----
+Low# is first.
+
+=== High#
+[source, go]
+----
+High# = 2
+----
+
+== Function Definitions
+
+[[example-com-m1-s#-Hook#]]
+
+=== Hook#
+[source, go]
+----
+type Hook# func(*Service#) error
+----
+
+Hook# is called.
+
+== Variables
+
+=== Default#
+[source, go]
+----
+var Default# = &Service#{Name: "x"}
+----
+Default# serves all.
+
+== Functions
+
+=== New#
+[source, go]
+----
+func New#(hooks ...Hook#) *Service#
+----
+
+New# makes one.'''
+
+
+def package_files_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT 'example.com/m1/s' || CAST(s_suppkey AS STRING) AS package, '/repo/m1/s' || CAST(s_suppkey AS STRING) || '/{name}.go' AS path, "
+        f"replace({_text(text)}, '#', CAST(s_suppkey AS STRING)) AS content FROM supplier" for name, text in PACKAGE.items())
+
+
+def package_lines_sql() -> str:
+    """DuckDB: the lines of every package's document, ``package, line_no, text``."""
+    return f"""
+, docs AS (SELECT 'example.com/m1/s' || CAST(s_suppkey AS VARCHAR) AS package, string_split(replace(replace({_text(DOCUMENT)}, '#', CAST(s_suppkey AS VARCHAR)), '@', '#'), chr(10)) AS l FROM supplier)
+, lines AS (SELECT package, CAST(unnest(range(1, len(l) + 1)) AS BIGINT) AS line_no, unnest(l) AS text FROM docs)
+"""

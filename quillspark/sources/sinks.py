@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,38 @@ def write_merged(rows: DataFrame, out_dir: str, order: Sequence[str], text_col:
         kept.unpersist()
 
 
+def write_lines(lines: DataFrame, out_dir: str, order: Sequence[str], doc_col: str | None = None, text_col: str = "text") -> None:
+    """Lines (no line ends in ``text_col``) as ordered text files, a folder ``doc_col=…`` for each document, or all as one document."""
+    from pyspark import StorageLevel
+    docs = [doc_col] if doc_col else []
+    kept = lines.select(*docs, *order, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sorted_rows = kept.repartitionByRange(*docs, *order).sortWithinPartitions(*docs, *order).select(*docs, text_col)
+        writer = sorted_rows.write.mode("overwrite")
+        (writer.partitionBy(doc_col) if doc_col else writer).text(out_dir)
+    finally:
+        kept.unpersist()
+
+
+def document_manifest(spark, out_dir: str, doc_col: str | None = None) -> DataFrame:
+    """What is on disk: ``doc_col``, ``part`` (file), ``first_line`` (from 1) and ``lines`` of each file, in part order."""
+    docs = [doc_col] if doc_col else []
+    text = spark.read.text(out_dir, wholetext=True).select(*docs, F.col("_metadata.file_name").alias("part"), "value")
+    counts = text.select(*docs, "part", (F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))).cast("long").alias("lines"))
+    # files of one document, a few numbers each; a merged document has as many as the write had tasks
+    before = Window.partitionBy(*docs or [F.lit(0)]).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("first_line", F.coalesce(F.sum("lines").over(before), F.lit(0)) + 1)
+
+
+def read_lines(spark, out_dir: str, doc_col: str | None = None) -> DataFrame:
+    """The documents read back: ``doc_col``, ``line_no``, ``text`` for every line on disk."""
+    docs = [doc_col] if doc_col else []
+    text = spark.read.text(out_dir, wholetext=True).select(
+        *docs, F.col("_metadata.file_name").alias("part"), F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)).alias("at", "text"))
+    return text.join(document_manifest(spark, out_dir, doc_col).drop("lines"), [*docs, "part"]) \
+        .select(*docs, (F.col("first_line") + F.col("at")).cast("long").alias("line_no"), "text")
+
+
 def scratch_dir(spark, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
     import uuid
