@@ -1,8 +1,8 @@
 """Registered queries of this package.
 
 SQL can't express these operators (64-bit hashes of shingles, tokenizers,
-learned models, greedy packing); each is tested against brute force in
-``tests/llm``.  The exact search is the exception.
+learned models, greedy packing); ``tests/llm`` holds them against brute force, but
+the language and secret models, which are tested on small cases.  The exact search is the exception.
 """
 
 from __future__ import annotations
