@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import fresh, small_arrow_batches, table, written
 from .tokens import coder, default_tokenizer
 
 CAPACITY = 2048
-#: Units that one task packs at a time; free tokens up to which a bin counts as full; least share of bins that a further round must save.
+#: Units that one task packs at a time; free tokens up to which a bin counts as full; least share of bins that a round must save before the root is packed.
 GROUP, SLACK, SAVED = 8192, 8, 0.002
 #: Places of the mix whose documents are packed together (one cycle of the default mix); pieces that a document may have.
 SPAN, PIECES = 640, 1 << 21
@@ -92,15 +92,69 @@ def _pack_group(capacity: int):
     return run
 
 
+def best_fit_counted(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """``best_fit`` over how many units there are of each size: ``(size, rank, n, bin, offset)``.
+
+    The units ``rank .. rank + n - 1`` of a size go into the bins ``bin .. bin + n - 1``,
+    each at ``offset``.  Bins with equal room are held as runs of numbers, so
+    the work depends on the sizes and rooms that occur (``capacity`` at most), not on how
+    many units there are.
+    """
+    runs: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    steps, rooms, bins = [], 0, 0
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            fit = rooms >> size
+            if fit:
+                room = size + (fit & -fit).bit_length() - 1
+                first, n = runs[room].pop()
+                if n > left:
+                    runs[room].append((first + left, n - left))
+                    n = left
+                if not runs[room]:
+                    rooms ^= 1 << room
+            else:  # what fits beside each other goes into as many new bins as it needs; a last, less filled one comes after them
+                room, first, n = capacity, bins, max(1, left // (capacity // size))
+                bins += n
+            steps.append((size, rank, n, first, capacity - room))
+            runs[room - size].append((first, n))
+            rooms |= 1 << room - size
+            rank, left = rank + n, left - n
+    return steps
+
+
+def _pack_root(units: DataFrame, left: int, capacity: int) -> DataFrame:
+    """Best fit over all ``units(unit, size)`` at once: ``unit, bin, at``, bins counted down from -1.
+
+    The driver sees how many units have each size (``capacity`` rows at most).  Units
+    are ranked in parts, and part counts give the offsets, so one size may have them all.
+    """
+    dealt = units.withColumn("part", F.pmod(F.xxhash64("unit"), F.lit(-(-left // GROUP))))
+    sizes = written(dealt.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    steps = best_fit_counted({r["size"]: r["n"] for r in sizes.groupBy("size").agg(F.sum("n").alias("n")).collect()}, capacity)
+    plan = (units.sparkSession.createDataFrame(steps, "size long, rank long, n long, bin long, at long")
+            .groupBy("size").agg(F.sort_array(F.collect_list(F.struct("rank", "n", "bin", "at"))).alias("steps")))
+    order = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("size", "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    turn = Window.partitionBy("part", "size").orderBy("unit")
+    ranked = dealt.withColumn("turn", F.row_number().over(turn) - 1).join(offsets, ["part", "size"]).withColumn("own", F.col("before") + F.col("turn"))
+    step = F.filter("steps", lambda s: (s["rank"] <= F.col("own")) & (F.col("own") < s["rank"] + s["n"]))[0]
+    return (ranked.join(F.broadcast(plan), "size").withColumn("step", step)
+            .select("unit", (-1 - (F.col("step.bin") + F.col("own") - F.col("step.rank"))).alias("bin"), F.col("step.at").alias("at")))
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
     """Put items into bins of ``capacity``; adds ``sequence_id`` and ``offset`` (gapless from 0 in each bin).
 
     Each round deals the units to groups by hash and packs every group best fit,
     largest first.  Bins with at most ``SLACK`` room are done; the others are the
-    units of the next round, whose groups are fewer, as a tree that merges.  It
-    ends with a round of one group, or one that saves under ``SAVED`` of the
-    bins.  A bin's name is its smallest unit, so groups need no counter in
-    common; groups are sorted before packing, and every round is a table in the
+    units of the next round, whose groups are fewer, as a tree that merges.  Once
+    one group would be left, or a round saves under ``SAVED`` of the bins, the root packs
+    all units that are left best fit at once, by how many there are of each size; so
+    the merge always ends at one root, whatever their number.  A group's bin is named
+    by its smallest unit, so groups need no counter in common, and the root's by
+    negative numbers; groups are sorted before packing, and every round is a table in the
     shared folder, so a repeated task gives the same bins.
 
     Lengths must be from 1 to ``capacity``; others raise.  Repeated items are
@@ -114,16 +168,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     if low is not None and not 1 <= low <= high <= capacity:
         raise ValueError(f"lengths from {low} to {high} don't fit into bins of {capacity}")
     open_units = rows.filter(size < capacity).select(F.col(number).alias("unit"), size.alias("size"))
-    left, rounds = open_units.count(), []
-    while left:
-        groups = -(-left // GROUP)
-        dealt = open_units.withColumn("part", F.pmod(F.xxhash64("unit", F.lit(len(rounds))), F.lit(groups)))
+    left, before, rounds = open_units.count(), None, []
+    while left > GROUP and (before is None or left <= (1 - SAVED) * before):
+        dealt = open_units.withColumn("part", F.pmod(F.xxhash64("unit", F.lit(len(rounds))), F.lit(-(-left // GROUP))))
         done = written(dealt.groupBy("part").applyInPandas(_pack_group(capacity), "unit long, bin long, at long, fill long"), "bins")
         rounds.append(done)
         open_units = done.filter((F.col("unit") == F.col("bin")) & (F.col("fill") < capacity - SLACK)).select("unit", F.col("fill").alias("size"))
         before, left = left, open_units.count()
-        if groups == 1 or left > (1 - SAVED) * before:
-            break
+    if left:
+        rounds.append(written(_pack_root(open_units, left, capacity), "bins"))
     out = rows.withColumn("sequence_id", F.col(number)).withColumn("offset", F.lit(0).cast("long"))
     for done in rounds:
         out = (out.join(done.select(F.col("unit").alias("sequence_id"), "bin", "at"), "sequence_id", "left")
