@@ -99,22 +99,29 @@ def _labelled(docs: DataFrame, held: bool = False) -> DataFrame:
     part = Window.partitionBy("lang", "part").orderBy("h", "doc_id")  # so that no task ranks more than a part's rows of each task
     turn = Window.partitionBy("lang").orderBy("h", "doc_id")
     return (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (mine == 2 if held else mine != 2))
-            .select(F.monotonically_increasing_id().alias("number"), "doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+            .groupBy("doc_id", "lang").agg(F.xxhash64("doc_id").alias("h"))
             .withColumn("part", F.pmod("h", F.lit(PARTS))).withColumn("turn", F.row_number().over(part)).filter(F.col("turn") <= PER_LANGUAGE)
             .withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= PER_LANGUAGE)
             .orderBy("turn", "h", "doc_id", "lang").limit(SAMPLE).select("doc_id", "lang", "turn", "h"))
 
 
+def _texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """Rows of ``sample``, one each, with the smallest of their texts (copies meet by a minimum where they are)."""
+    return (docs.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"])
+            .groupBy("doc_id", "lang", "turn", "h").agg(F.min("text").alias("text")))
+
+
 def fit(docs: DataFrame) -> Model | None:
     """Learn from text and non-null ``lang`` of rows whose crc32 of ``doc_id`` is not 2 modulo 4; None without such rows.
 
     The sample is bounded by ``PER_LANGUAGE`` and ``SAMPLE``; only its presence bits come to the driver.
+    Rows of one ``doc_id`` and ``lang`` count once, with their smallest text.
     """
     @F.pandas_udf("binary")
     def bits(texts: pd.Series) -> pd.Series:
         return pd.Series([np.packbits(presence(t)).tobytes() if _has_letter(t) else None for t in texts])
 
-    rows = (docs.select("doc_id", "lang", "text").join(F.broadcast(_labelled(docs)), ["doc_id", "lang"])
+    rows = (_texts(docs, _labelled(docs))
             .select("turn", "h", "doc_id", "lang", bits("text").alias("bits")).filter("bits IS NOT NULL")
             .orderBy("turn", "h", "doc_id", "lang").limit(SAMPLE).collect())
     if not rows:
@@ -181,7 +188,7 @@ def calibrated(docs: DataFrame) -> Model | None:
     if model is None:
         return None
     p = predictor(docs.sparkSession, model, likeness=True)("text")
-    rows = (docs.select("doc_id", "lang", "text").join(F.broadcast(_labelled(docs, held=True)), ["doc_id", "lang"]).select("lang", p.alias("p"))
+    rows = (_texts(docs, _labelled(docs, held=True)).select("lang", p.alias("p"))
             .filter("p.lang_pred = lang").groupBy("lang").agg(F.percentile("p.likeness", F.lit(CLEAN)).alias("least")).collect())
     found = {r["lang"]: r["least"] for r in rows}
     model.clean = {a: found.get(a, min(found.values(), default=0.0)) for a in model.languages}
