@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -45,6 +46,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Give each row of a scan a number of its own (repeated rows get different ones)."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+def identified(df: DataFrame, file: str, place: str) -> DataFrame:
+    """Name each row by its file and its place there, the same in every job over it.
+
+    For a scan of Parquet files (with filters or fewer columns, but nothing that
+    repeats rows); anything else is written once and then read as such a scan.
+    """
+    try:
+        known = df.metadataColumn("_metadata")
+        return df.select("*", known["file_path"].alias(file), known["row_index"].alias(place))
+    except AnalysisException:
+        return identified(written(df, "rows"), file, place)

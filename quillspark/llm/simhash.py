@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fresh, numbered, small_arrow_batches, table, written
+from .common import fresh, identified, small_arrow_batches, table, written
 from .components import connected_components
 
 #: Seed of the shingle hash.
@@ -147,19 +147,20 @@ def simhash_components(docs: DataFrame, width: int = 3, max_bits: int = 3) -> Da
 def simhash_dedup(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataFrame:
     """Keep one row of each component, the one with the smallest ``doc_id``, with all its columns.
 
-    ``docs`` must be a table scan: its rows are numbered twice.  Of repeated
-    rows one stays.
+    Rows are known by their file and their place in it, which no split of the
+    scan changes (see ``identified``).  Of repeated rows one stays.
     """
     small_arrow_batches(docs.sparkSession)
-    number, = fresh(docs, "row_number_")
-    rows = numbered(docs, number)
-    prints = written(rows.select(F.col(number).alias("n"), F.col("doc_id").cast("long"), _fingerprints(width)("text").alias("fp")), "simhash")
-    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n")).alias("first"))
+    file, place = fresh(docs, "file_", "place_")
+    rows = identified(docs, file, place)
+    prints = written(rows.select(F.col(file).alias("file"), F.col(place).alias("place"), F.col("doc_id").cast("long"),
+                                 _fingerprints(width)("text").alias("fp")), "simhash")
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "place")).alias("first"))
     root = connected_components(links(first.select("fp"), max_bits))
     kept = (first.join(root, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp"))
-            .agg(F.min("first").alias("first")).select(F.col("first.n").alias(number)))
+            .agg(F.min("first").alias("first")).select(F.col("first.file").alias(file), F.col("first.place").alias(place)))
     # the same plan at every size: neither side is bounded
-    return rows.join(written(kept, "kept").hint("merge"), number, "left_semi").select(*docs.columns)
+    return rows.join(written(kept, "kept").hint("merge"), [file, place], "left_semi").select(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir):
