@@ -81,7 +81,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, block: i
     share_of = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(int(v)).cast("long"))])
     totals = sizes.groupBy("pool").agg(F.sum("n").alias("n")).select("pool", share_of[F.col("pool")].alias("share"), F.expr(f"(n + {block - 1}) DIV {block}").alias("blocks"))
     plan = _schedule(totals).select("pool", F.col("share").alias(share), F.col("phases").alias(phases))
-    turn = Window.partitionBy("pool", part).orderBy(spread, "doc_id")
+    rest = [c for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant"))]  # rows that differ have one order in every run
+    turn = Window.partitionBy("pool", part).orderBy(spread, "doc_id", *rest)
     cycle = F.expr(f"block DIV {share}")
     held = F.filter(F.col(phases), lambda p: (p["c"] <= cycle) & (cycle < p["until"]))[0]
     return (rows.withColumn(rank, F.row_number().over(turn) - 1)
