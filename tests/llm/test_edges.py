@@ -81,6 +81,24 @@ def test_simhash_dedup(docs):
     assert simhash.simhash_dedup(docs.limit(0)).count() == 0
 
 
+def test_simhash_dedup_knows_rows_by_their_place(spark, tmp_path):
+    """Splits of the scan may change between its two readings; what is no scan is written first."""
+    path, size = str(tmp_path / "t"), "spark.sql.files.maxPartitionBytes"
+    data = [(None if i % 7 == 0 else i % 500, f"own text number {i % 500} of words w{i % 500} v{i % 500} u{i % 500} and z{i % 500}", f"row {i}") for i in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, _metadata string")
+    df.repartition(3).write.option("parquet.block.size", 4096).parquet(path)
+    was = spark.conf.get(size)
+    kept = simhash.simhash_dedup(spark.read.parquet(path))
+    try:
+        spark.conf.set(size, "8k")
+        got = rows(kept)
+    finally:
+        spark.conf.set(size, was)
+    again = rows(simhash.simhash_dedup(spark.read.parquet(path)))
+    assert got == again and len({r[1] for r in got}) == len(got) and all(r in set(data) for r in got)
+    assert [r[:2] for r in rows(simhash.simhash_dedup(df))] == [r[:2] for r in got]
+
+
 def test_licenses(docs):
     got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
     r = got[11]
@@ -209,6 +227,18 @@ def test_language(docs):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_learns_repeated_rows_once(spark):
+    texts = {1: ("the cat sat on the mat", "en"), 3: ("le chat est sur la table", "fr"), 4: ("the dog lay on the rug", "en"), 8: ("le chien dort ici", "fr")}
+    held = [d for d in texts if zlib.crc32(str(d).encode()) % 4 == 2]
+    once = [(d, t, a) for d, (t, a) in texts.items()]
+    many = once + [(1, "the cat sat on the mat", "en")] * 400 + [(1, "the cat sat up", "en")] * 300
+    docs = spark.createDataFrame(many, "doc_id long, text string, lang string").repartition(3)
+    sample = langid._texts(docs, langid._labelled(docs)).collect()
+    assert sorted((r.doc_id, r.text) for r in sample) == sorted((d, t) for d, t, _ in once if d not in held)
+    got = langid.identify(docs).groupBy("doc_id", "lang_pred").count().collect()
+    assert sum(r["count"] for r in got) == len(many)
+
+
 def test_packing(docs):
     pieces = packing.token_pieces(docs, capacity=64)
     got = packing.pack(pieces, 64).collect()
@@ -244,6 +274,39 @@ def test_packing_rounds(spark, monkeypatch):
     assert got.sequence_id.nunique() <= 1.03 * whole
 
 
+@pytest.mark.parametrize("low, high, n", [(1, 2048, 3000), (1, 40, 3000), (1025, 1300, 500), (300, 700, 5000), (683, 684, 1000), (5, 6, 1)])
+def test_best_fit_by_counts(low, high, n):
+    """The root's plan uses as many bins as best fit over the units and puts them side by side."""
+    sizes = np.random.default_rng(n).integers(low, high, n).tolist()
+    steps = packing.best_fit_counted({s: sizes.count(s) for s in set(sizes)}, 2048)
+    fill, at = {}, {}
+    for size, rank, many, first, offset in steps:
+        assert at.setdefault(size, 0) == rank
+        at[size] += many
+        for b in range(first, first + many):
+            assert fill.get(b, 0) == offset
+            fill[b] = offset + size
+    assert at == {s: sizes.count(s) for s in set(sizes)} and max(fill.values()) <= 2048
+    assert len(fill) == 1 + max(b for b, _ in packing.best_fit(sizes, 2048))
+
+
+@pytest.mark.parametrize("kind", ["spread", "nothing fits", "one size", "two halves"])
+def test_packing_reaches_one_root(spark, monkeypatch, kind):
+    """Many groups whose rounds save little: all that is left meets at the root, so no two bins with room would fit into one."""
+    monkeypatch.setattr(packing, "GROUP", 50)
+    sizes = {"spread": np.random.default_rng(9).integers(1, 2049, 1200), "nothing fits": np.random.default_rng(9).integers(1100, 2000, 700), "one size": np.full(700, 500),
+             "two halves": np.concatenate([np.full(600, 1500), np.full(30, 548)])}[kind]
+    items = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "id long, length long")
+    got = packing.pack(items).toPandas()
+    assert sorted(got.id) == list(range(len(sizes)))
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset == g.length.cumsum() - g.length).all() and g.length.sum() <= 2048
+    fills = sorted(f for f in got.groupby("sequence_id").length.sum() if f < 2048 - packing.SLACK)
+    assert sum(fills[:2]) > 2048 or len(fills) < 2
+    whole = 1 + max(b for b, _ in packing.best_fit(sizes.tolist(), 2048))
+    assert kind != "nothing fits" or got.sequence_id.nunique() == whole
+
+
 TURNS = [(1, 0, "system", "be </s> kind"), (1, 1, "user", "[INST] hi \\[INST]"), (1, 2, "assistant", "<\\/s></s>"), (1, 2, "assistant", "<\\/s></s>"),
          (2, None, None, None), (2, 1, "assistant", None), (None, 0, "user", "x"), (3, 0, "assistant", LONG), (3, 1, "ro\nle", "tail<"),
          *[(4, t, ("system", "user", "assistant")[0 if not t else 1 + t % 2], f"turn {t} " * 90) for t in range(30)]]
