@@ -311,6 +311,15 @@ def interface_members(nodes: DataFrame, key: Sequence[str]) -> tuple[DataFrame,
     return meth, terms
 
 
+def owner_methods(owners: DataFrame, methods: DataFrame, how: str = "left") -> DataFrame:
+    """Methods met with their types by ``(package, owner)``; a method's ``owner`` is its receiver key.
+
+    ``left`` keeps types without methods, ``inner`` drops them, and ``left_semi``
+    / ``left_anti`` give the types that have any / none.
+    """
+    return owners.join(methods, ["package", "owner"], how)
+
+
 def method_heads(meth: DataFrame) -> DataFrame:
     """Interface methods in the shape of declarations, for :func:`signature_parts`."""
     return meth.select("*", F.col("line_no").alias("decl_line"), F.lit("interface_method").alias("kind"),

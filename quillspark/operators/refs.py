@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import anchor_id
+from ..functions.text import anchor_id, relative_path
 from .modules import explode_slash_prefixes
 
 # Builtin type names (never linked).
@@ -140,9 +140,11 @@ def rewrite_docs(docs: DataFrame, key: Sequence[str], resolved: DataFrame, doc_c
 
 
 # --- J11 --------------------------------------------------------------------
-def classify_package_refs(pkg_imports: DataFrame, package_info: DataFrame, module_names: DataFrame) -> DataFrame:
+def classify_package_refs(pkg_imports: DataFrame, package_info: DataFrame, module_names: DataFrame,
+                          outfile: str | None = None) -> DataFrame:
     """Distinct imports per package → internal-known (anchor + document),
-    internal (module member, derived document) or external (URL)."""
+    internal (module member, derived document) or external (URL).
+    With ``outfile`` a known package's document is given relative to that file's directory."""
     d = pkg_imports.select("package", "import_path").distinct()
     info = package_info.select(F.col("fq_package").alias("import_path"), F.col("anchor").alias("known_anchor"),
                                F.col("out_file").alias("known_file"))
@@ -153,7 +155,8 @@ def classify_package_refs(pkg_imports: DataFrame, package_info: DataFrame, modul
     d = d.join(mem, "import_path", "left")
     cls = F.when(F.col("known_anchor").isNotNull(), "internal-known") \
         .when(F.coalesce("__int", F.lit(False)), "internal").otherwise("external")
-    link = F.when(F.col("known_anchor").isNotNull(), F.col("known_file")) \
+    known = F.col("known_file") if outfile is None else relative_path(F.lit(outfile.rpartition("/")[0]), F.col("known_file"))
+    link = F.when(F.col("known_anchor").isNotNull(), known) \
         .when(F.coalesce("__int", F.lit(False)), F.concat(F.translate("import_path", "/\\", "__"), F.lit(".adoc"))) \
         .otherwise(F.concat(F.lit(EXTERNAL_DOC_URL), F.regexp_replace("import_path", "^/", "")))
     return d.select("package", "import_path", cls.alias("class"), F.col("known_anchor").alias("anchor"),

@@ -117,6 +117,31 @@ def j1_owner_methods(spark, sf_dir):
     return owners.join(meths, ["package", "owner"]).select("file_id", "owner", "method", "method_file")
 
 
+J1_SQL = DECLS_SQL + """
+, w AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS package FROM d)
+, o AS (SELECT * FROM w WHERE kind IN ('struct', 'interface', 'type', 'functype'))
+, m AS (SELECT file_id AS method_file, package, receiver_key AS owner, name AS method FROM w WHERE kind = 'method')
+"""
+
+
+def owners_and_methods(spark, sf_dir):
+    """All named types with their package, and all methods by package and receiver key."""
+    d = fx1_decls(spark, sf_dir).join(fx(spark, sf_dir, "fx1_files").select(*K, dir_of("path").alias("package")), K)
+    return (d.filter(F.col("kind").isin("struct", "interface", "type", "functype")).select("package", F.col("name").alias("owner"), *K, "kind"),
+            d.filter(F.col("kind") == "method").select("package", F.col("receiver_key").alias("owner"), F.col("name").alias("method"),
+                                                       F.col("file_id").alias("method_file")))
+
+
+@query("j1_types_and_methods", oracle=J1_SQL + "SELECT o.file_id, o.kind, o.name AS owner, m.method, m.method_file FROM o LEFT JOIN m ON m.package = o.package AND m.owner = o.name")
+def j1_types_and_methods(spark, sf_dir):
+    return D.owner_methods(*owners_and_methods(spark, sf_dir)).select(*K, "kind", "owner", "method", "method_file")
+
+
+@query("j1_types_with_methods", oracle=J1_SQL + "SELECT file_id, kind, name AS owner FROM o WHERE (package, name) IN (SELECT package, owner FROM m WHERE owner IS NOT NULL)")
+def j1_types_with_methods(spark, sf_dir):
+    return D.owner_methods(*owners_and_methods(spark, sf_dir), how="left_semi").select(*K, "kind", "owner")
+
+
 @query("j13_priority_owner", oracle=DECLS_SQL + """
 SELECT m.file_id, m.name AS method,
   CASE WHEN EXISTS (SELECT 1 FROM d s WHERE s.kind = 'struct' AND s.name = m.receiver_key AND regexp_extract(s.path, '^(.*)/[^/]*$', 1) = regexp_extract(m.path, '^(.*)/[^/]*$', 1)) THEN 'struct'

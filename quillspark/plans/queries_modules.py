@@ -168,6 +168,48 @@ def j6_resolve_package(spark, sf_dir):
     return owned.select(*KEY, M.resolve_package("path", "owner_base", "owner").alias("fq_package"))
 
 
+# files with and without a name of their own, a caller's module and a package clause
+CHAIN_SQL = """
+, o AS (SELECT p.*, CASE WHEN p.l_orderkey % 5 = 0 THEN p.import_path ELSE '' END AS own_fq,
+          CASE WHEN p.l_linenumber % 2 = 0 THEN '/repo' END AS caller_base, CASE WHEN p.l_orderkey % 7 <> 0 THEN 'p' || CAST(p.l_linenumber AS VARCHAR) ELSE '' END AS clause
+        FROM fx2_paths p)
+, dirs AS (SELECT o.*, regexp_extract(o.path, '^(.*)/[^/]*$', 1) AS dir FROM o)
+, first AS (SELECT d.path, arg_min(m.name, m.module_order) AS owner, arg_min(m.base, m.module_order) AS base
+            FROM (SELECT DISTINCT path FROM fx2_paths) d JOIN mods m ON starts_with(d.path, m.base) GROUP BY d.path)
+, named AS (SELECT d.*, f.owner, f.base, CASE WHEN d.dir = f.base THEN f.owner
+              WHEN starts_with(d.dir, f.base || '/') THEN f.owner || substr(d.dir, length(f.base) + 1) END AS by_module
+            FROM dirs d LEFT JOIN first f USING (path))
+"""
+
+
+def chain_rows(spark, sf_dir):
+    """Owned paths with what else a file's package may be named by."""
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    return M.first_prefix_owner(path_rows(spark, sf_dir), "path", module_table(spark, sf_dir)).withColumns({
+        "own_fq": F.when(order % 5 == 0, F.col("import_path")).otherwise(""),
+        "caller_base": F.when(line % 2 == 0, F.lit("/repo")),
+        "clause": F.when(order % 7 != 0, F.concat(F.lit("p"), line.cast("string"))).otherwise("")})
+
+
+@query("j6_package_chain", oracle=cte("fx2_manifests", "fx2_paths") + MODS_SQL + CHAIN_SQL + """
+SELECT l_orderkey, l_linenumber, CASE WHEN own_fq <> '' THEN own_fq WHEN by_module IS NOT NULL THEN by_module
+  WHEN caller_base IS NOT NULL AND starts_with(dir, '/repo/') THEN 'example.com/root/' || substr(dir, 7)
+  WHEN clause <> '' THEN clause ELSE 'example.com/caller' END AS package_path
+FROM named""")
+def j6_package_chain(spark, sf_dir):
+    return chain_rows(spark, sf_dir).select(*KEY, M.package_path(
+        F.col("own_fq"), M.resolve_package("path", "owner_base", "owner"),
+        M.resolve_package("path", "caller_base", F.lit("example.com/root")), F.col("clause"),
+        F.lit("example.com/caller")).alias("package_path"))
+
+
+@query("q1_resolve_rejects", oracle=cte("fx2_manifests", "fx2_paths") + MODS_SQL + CHAIN_SQL + """
+SELECT 'package name' AS stage, path, CASE WHEN base IS NULL THEN 'no module for the file' ELSE 'not inside module ' || owner || ' at ' || base END AS message
+FROM named WHERE by_module IS NULL""")
+def q1_resolve_rejects(spark, sf_dir):
+    return M.resolve_rejects(chain_rows(spark, sf_dir), "path", "owner_base", "owner")
+
+
 @query("q1_quarantine", oracle=cte("fx2_manifests", "fx2_paths") + """
 SELECT 'manifest' AS stage, path, 'no module line in ' || path AS message
 FROM fx2_manifests WHERE NOT ends_with(path, '/go.work') AND NOT regexp_matches(content, '(?m)^[ \t]*module[ \t]')

@@ -118,6 +118,23 @@ SELECT d.package, d.import_path,
        ELSE 'https://pkg.go.dev/' || d.import_path END AS link
 FROM d LEFT JOIN pinfo p ON p.fq = d.import_path""")
 def j11_package_refs(spark, sf_dir):
+    return _package_refs(spark, sf_dir)
+
+
+# the same documents, seen from a master file below the same directory, one beside it and one elsewhere
+@query("j11_relative_files", oracle=cte("fx2_manifests", "fx7_imports") + MODS_SQL + f"""
+, known AS (SELECT DISTINCT {PKG_OF_FILE} AS fq FROM fx7_imports)
+, d AS (SELECT DISTINCT {PKG_OF_FILE} AS package, import_path FROM fx7_imports)
+SELECT v.outfile, d.package, d.import_path, v.pre || 'packages/' || replace(d.import_path, '/', '_') || '.adoc' AS link
+FROM d JOIN known k ON k.fq = d.import_path, (VALUES ('docs/all.adoc', '../'), ('packages/all.adoc', ''), ('a/b/all.adoc', '../../')) v(outfile, pre)
+""".replace("v.pre || 'packages/' ||", "CASE WHEN v.pre = '' THEN '' ELSE v.pre || 'packages/' END ||"))
+def j11_relative_files(spark, sf_dir):
+    parts = [_package_refs(spark, sf_dir, o).filter(F.col("class") == "internal-known").select(F.lit(o).alias("outfile"), "package", "import_path", "link")
+             for o in ("docs/all.adoc", "packages/all.adoc", "a/b/all.adoc")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _package_refs(spark, sf_dir, outfile=None):
     from ..operators.windows import global_index
     imp = fx(spark, sf_dir, "fx7_imports")
     pkg = F.concat(F.lit("example.com/m"), (F.col("file_id") % 25).cast("string"), F.lit("/p"),
@@ -126,7 +143,7 @@ def j11_package_refs(spark, sf_dir):
     info = global_index(pi.select(F.col("package").alias("fq_package")).distinct(), ["fq_package"], "idx")
     info = info.select("fq_package", F.concat(F.lit("pkg-"), F.col("idx").cast("string")).alias("anchor"),
                        F.concat(F.lit("packages/"), F.translate("fq_package", "/", "_"), F.lit(".adoc")).alias("out_file"))
-    return R.classify_package_refs(pi, info, module_table(spark, sf_dir))
+    return R.classify_package_refs(pi, info, module_table(spark, sf_dir), outfile)
 
 
 # --- J8 ---------------------------------------------------------------------

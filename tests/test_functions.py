@@ -236,3 +236,24 @@ def test_doc_reference_resolution(spark):
     assert got["string"] is None
     out = R.rewrite_docs(docs, ["doc_id"], res).first()["doc_linked"]
     assert out.startswith("See <<example-com-m1-p-Item,Item>>, ") and out.endswith(", `string`.")
+
+
+def test_package_name_chain_and_rejects(spark):
+    from quillspark.operators import modules as M
+    df = spark.createDataFrame([("/r/a/x.go", "/r", "m", "", "p"), ("/r10/x.go", "/r", "m", None, "p"), ("/r10/x.go", "/r", "m", "q/own", "p"),
+                                ("/z/x.go", None, None, "", ""), (None, "/r", "m", "", None)], "path string, base string, name string, own string, clause string")
+    named = M.package_path(F.col("own"), M.resolve_package("path", "base", "name"), F.col("clause"))
+    assert [r.c for r in df.select(named.alias("c")).collect()] == ["m/a", "p", "q/own", "", ""]
+    bad = [tuple(r) for r in M.resolve_rejects(df, "path", "base", "name").collect()]
+    assert bad == [("package name", "/r10/x.go", "not inside module m at /r")] * 2 + [
+        ("package name", "/z/x.go", "no module for the file"), ("package name", None, "not inside module m at /r")]
+    assert len(bad) + df.filter(M.resolve_package("path", "base", "name").isNotNull()).count() == df.count()
+
+
+def test_types_with_and_without_methods(spark):
+    from quillspark.operators.decls import owner_methods
+    types = spark.createDataFrame([("p", "A"), ("p", "B"), ("q", "A"), ("q", None)], "package string, owner string")
+    methods = spark.createDataFrame([("p", "A", "f"), ("p", "A", "g"), ("q", "Z", "h"), ("q", None, "i")], "package string, owner string, method string")
+    got = {how: sorted(map(str, (tuple(r) for r in owner_methods(types, methods, how).collect()))) for how in ("left", "inner", "left_semi", "left_anti")}
+    assert got["inner"] == ["('p', 'A', 'f')", "('p', 'A', 'g')"] and got["left_semi"] == ["('p', 'A')"]
+    assert got["left_anti"] == ["('p', 'B')", "('q', 'A')", "('q', None)"] and len(got["left"]) == 5
