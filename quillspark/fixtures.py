@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import register_tables
+from .session import read_table, register_tables
 from .shapes import files_sql, link_files_sql, package_files_sql
 
 # Fixed fixture texts (given with the test data description).
@@ -115,12 +115,20 @@ FX_BASE = {
     "fx14_files": ["supplier"],
 }
 
+#: Source texts of a task, whatever the number of files.
+TASK_FILES = 4_000
 FX_TEXTS = ("fx1_files", "fx12_files", "fx13_files", "fx14_files")
 
 # Views a view is built on (registered / inlined first).
 FX_DEPS = {"fx11_manifests": ["fx2_manifests"]}
 
 
+def text_tasks(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Tasks for the texts of view ``name``, one for each row of its table: TASK_FILES or fewer each."""
+    base, = FX_BASE[name]
+    return max(spark.sparkContext.defaultParallelism, -(-read_table(spark, sf_dir, base).count() // TASK_FILES))
+
+
 def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Return fixture view ``name`` built from the tables under ``sf_dir``."""
     for dep in FX_DEPS.get(name, []):
@@ -129,7 +137,7 @@ def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in FX_TEXTS:
         # the base table is one small file: its rows are spread before each becomes a source text, as a corpus's files are
         base, = FX_BASE[name]
-        spark.table(base).repartition(spark.sparkContext.defaultParallelism).createOrReplaceTempView(base)
+        spark.table(base).repartition(text_tasks(spark, sf_dir, name)).createOrReplaceTempView(base)
     df = spark.sql(FX_SQL[name])
     df.createOrReplaceTempView(name)
     return df

@@ -127,14 +127,8 @@ def _one_line(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "\n", " "), r"([(\[])\s+", "$1"), r",?\s+([)\]])", "$1")
 
 
-def declarations(nodes: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """One row per top-level declaration and the quarantine rows, from :func:`tree.nodes` with ``text``.
-
-    Columns: ``key, node, decl_line, end_line, kind, name, decl, full_decl, doc, exported,
-    receiver, receiver_key``.  Declarations begin at a keyword in column 0, or are the specs of a
-    ``type ( … )`` group.  One whose brackets don't close before the next keyword, or whose head is
-    none of the known forms, is a quarantine row; each keyword gives one or the other.
-    """
+def _classified(nodes: DataFrame) -> DataFrame:
+    """The nodes that are declarations, with ``kind``, ``name``, ``__code`` and ``__bad``: what makes one a quarantine row, else null."""
     first = F.col("first") & F.col("word").isin("type", "func", "var", "const")
     own = nodes.filter((first & ~((F.col("word") == "type") & F.coalesce(F.col("lists") == "types", F.lit(False)) & ~F.col("left_open")))
                        | (F.col("inside") == "types"))
@@ -145,10 +139,25 @@ def declarations(nodes: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataF
     def known(c: Column) -> Column:
         return let(_without_type_params(F.concat(c, opens)), lambda t: let(_kind_expr(t), lambda kind: F.array(F.struct(
             c.alias("__code"), kind.alias("kind"), _name_expr(t, kind).alias("name")))))
-    own = own.select("*", F.inline(let(code, known)))
     bad = F.when(F.col("left_open"), "block not closed before the next declaration").when(F.col("kind").isNull(), "declaration not recognised")
-    rejects = own.filter(bad.isNotNull()).select(*key, F.col("line").alias("decl_line"), F.lit("declarations").alias("stage"), bad.alias("message"))
-    good = own.filter(bad.isNull())
+    return own.select("*", F.inline(let(code, known))).withColumn("__bad", bad)
+
+
+def declaration_rejects(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The quarantine rows of :func:`declarations`; the nodes need no ``text``."""
+    return _classified(nodes).filter(F.col("__bad").isNotNull()).select(*key, F.col("line").alias("decl_line"), F.lit("declarations").alias("stage"), F.col("__bad").alias("message"))
+
+
+def declarations(nodes: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """One row per top-level declaration and the quarantine rows, from :func:`tree.nodes` with ``text``.
+
+    Columns: ``key, node, decl_line, end_line, kind, name, decl, full_decl, doc, exported,
+    receiver, receiver_key``.  Declarations begin at a keyword in column 0, or are the specs of a
+    ``type ( … )`` group.  One whose brackets don't close before the next keyword, or whose head is
+    none of the known forms, is a quarantine row; each keyword gives one or the other.
+    """
+    rejects = declaration_rejects(nodes, key)
+    good = _classified(nodes).filter(F.col("__bad").isNull())
     # variables, constants and other types show their first line
     shown = F.substring_index(F.regexp_replace("text", r"^\s+", ""), "\n", 1)
     shown = F.when(F.col("lists") == "values", F.col("word")).otherwise(shown)
@@ -227,7 +236,7 @@ def value_specs(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
     group = top & F.coalesce(F.col("lists") == "values", F.lit(False))
     chunk = [*key, "chunk_line"]
     docs = own.filter(group).select(*chunk, F.col("doc").alias("group_doc"))
-    inner = own.filter(F.col("inside") == "values").join(docs, chunk, "left") \
+    inner = own.filter(F.col("inside") == "values").join(docs.hint("merge"), chunk, "left") \
         .select(*key, F.col("line").alias("line_no"), F.col("word").alias("kind"), "head", "doc", "group_doc")
     single = own.filter(top & ~group).select(*key, F.col("line").alias("line_no"), F.col("word").alias("kind"),
                                              F.regexp_replace("head", r"^(?:var|const)\s+", "").alias("head"), F.lit("").alias("doc"), F.col("doc").alias("group_doc"))
@@ -317,7 +326,8 @@ def owner_methods(owners: DataFrame, methods: DataFrame, how: str = "left") -> D
     ``left`` keeps types without methods, ``inner`` drops them, and ``left_semi``
     / ``left_anti`` give the types that have any / none.
     """
-    return owners.join(methods, ["package", "owner"], how)
+    # neither side is broadcast: both grow with the corpus, and a table made from compressed rows looks small to the planner
+    return owners.join(methods.hint("merge"), ["package", "owner"], how)
 
 
 def method_heads(meth: DataFrame) -> DataFrame:
@@ -443,6 +453,17 @@ def tag_value(tag: Column | str, key: str) -> Column:
 
 
 # --- E7 ---------------------------------------------------------------------
+def import_part(files: DataFrame, content_col: str = "content") -> DataFrame:
+    """``files`` with texts up to the end of the last import, for :func:`imports`: nothing behind it says anything about imports.
+
+    That is the last line that begins with ``import``, and the lines from there to before the first closing paren in column 0.
+    """
+    text = F.col(content_col)
+    last = F.regexp_extract(text, r"(?s)\A(?:.*\n)?import[^\n]*+", 0)
+    block = F.regexp_extract(F.substr(text, F.length(last) + 1), r"\A(?:\n(?!\))[^\n]*+)*+", 0)
+    return files.withColumn(content_col, F.when(last != "", F.concat(last, block)).otherwise(F.when(text.isNotNull(), "")))
+
+
 def imports(ln: DataFrame, key: Sequence[str]) -> DataFrame:
     """Import specs (block or single-line form): ``key, line_no, pos, alias, import_path, doc``."""
     w = Window.partitionBy(*key).orderBy("line_no")
@@ -456,7 +477,7 @@ def imports(ln: DataFrame, key: Sequence[str]) -> DataFrame:
     blocks = comment_blocks(ln, key).select(*key, (F.col("block_end") + 1).alias("line_no"), "doc")
     out = specs.select(*key, "line_no", F.regexp_extract(t, spec_rx, 1).alias("alias"),
                        F.regexp_extract(t, spec_rx, 2).alias("import_path")) \
-        .join(blocks, [*key, "line_no"], "left").withColumn("doc", F.coalesce("doc", F.lit("")))
+        .join(blocks.hint("merge"), [*key, "line_no"], "left").withColumn("doc", F.coalesce("doc", F.lit("")))
     return out.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
 
 

@@ -22,7 +22,7 @@ TOKEN = (r"(?s)//[^\n]*+|/\*.*?(?:\*/|\z)|`[^`]*+`?|\"[^\"\\\n]*+(?:\\.[^\"\\\n]
 
 
 # --- E1 ---------------------------------------------------------------------
-def lines(df: DataFrame, key: Sequence[str], content_col: str = "content", partition: bool = True,
+def lines(df: DataFrame, key: Sequence[str], content_col: str = "content", partition: bool | int = True,
           head: int | None = None) -> DataFrame:
     """One row per line: ``key..., line_no (1-based), text``.
 
@@ -31,11 +31,13 @@ def lines(df: DataFrame, key: Sequence[str], content_col: str = "content", parti
     every later per-file window, aggregate and (key, line) join reuses that
     partitioning instead of shuffling the lines again.  Without it no text moves:
     for plain explosions, and where few lines are left before the next shuffle.
+    A number says how many partitions: the planner else joins them by the size of the
+    texts, of which the lines and their sorts take many times as much.
     ``head`` keeps that many lines of each file.
     """
     src = df.select(*key, content_col)
     if partition:
-        src = src.repartition(*key)
+        src = src.repartition(*([] if partition is True else [partition]), *key)
     text = F.split(F.col(content_col), "\n", -1)
     if head is not None:
         text = F.slice(text, 1, head)
@@ -103,7 +105,7 @@ def attach_docs(targets: DataFrame, blocks: DataFrame, key: Sequence[str], line_
                 doc_col: str = "doc") -> DataFrame:
     """A block belongs to the target starting on the line right after it."""
     b = blocks.select(*key, (F.col("block_end") + 1).alias(line_col), F.col("doc").alias(doc_col))
-    return targets.join(b, [*key, line_col], "left").withColumn(doc_col, F.coalesce(F.col(doc_col), F.lit("")))
+    return targets.join(b.hint("merge"), [*key, line_col], "left").withColumn(doc_col, F.coalesce(F.col(doc_col), F.lit("")))
 
 
 def full_docs(ln: DataFrame, targets: DataFrame, key: Sequence[str], line_col: str = "line_no") -> DataFrame:

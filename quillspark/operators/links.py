@@ -13,9 +13,12 @@ from .decls import balanced, interface_members, method_heads, param_rows, signat
 from .modules import explode_slash_prefixes
 from .refs import BUILTIN_TYPES, EXTERNAL_DOC_URL
 from .tree import IDENT, scan
+from ..sources.sinks import kept
 
 #: Link modes: none, anchors of known modules, and these with documentation URLs of other packages.
 MODES = ("off", "internal", "external")
+#: Tasks that the files importing one path are spread over.
+SPREAD = 16
 
 
 # --- positions ----------------------------------------------------------------
@@ -76,11 +79,15 @@ def linked_texts(rows: DataFrame, key: Sequence[str], text_col: str, file: Seque
     bare = F.col("__ident") & ~F.col("piece").isin(*BUILTIN_TYPES)
     x = x.withColumn("__alias", F.when(bare & F.col("piece").contains("."), F.substring_index("piece", ".", 1))) \
         .withColumn("__name", F.when(bare, F.substring_index("piece", ".", -1)))
-    x = x.join(aliases.select(*file, F.col("alias_key").alias("__alias"), "import_path"), [*file, "__alias"], "left")
-    x = x.join(_targets(aliases.select("import_path").distinct(), modules), "import_path", "left")
+    # aliases meet their modules before the pieces meet the aliases: most pieces have no import path, and one task would read all of
+    # them; a path that very many files import is spread over SPREAD tasks.  Nothing that grows with the corpus is broadcast.
+    targets = _targets(aliases.select("import_path").distinct(), modules).withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    known = aliases.select(*file, F.col("alias_key").alias("__alias"), "import_path").withColumn("__turn", F.pmod(F.xxhash64(*file), F.lit(SPREAD)).cast("int")) \
+        .join(targets.hint("merge"), ["import_path", "__turn"], "left").drop("__turn")
+    x = x.join(known.hint("merge"), [*file, "__alias"], "left")
     if scope is not None:
         s = scope.select(*scope_key, F.col("name").alias("piece")).distinct().withColumn("__param", F.lit(True))
-        x = x.join(s, [*scope_key, "piece"], "left")
+        x = x.join(s.hint("merge"), [*scope_key, "piece"], "left")
     else:
         x = x.withColumn("__param", F.lit(None).cast("boolean"))
     inner, outer = F.col("__module").isNotNull(), F.col("import_path").isNotNull() & F.lit(mode == "external")
@@ -98,7 +105,7 @@ def linked_texts(rows: DataFrame, key: Sequence[str], text_col: str, file: Seque
     text = F.when(F.col("__name").isNull() | F.coalesce("__param", F.lit(False)), escape(F.col("piece"))) \
         .when(F.col("__alias").isNull(), own).when(inner, module).when(outer, other).otherwise(escape(F.col("piece")))
     done = x.groupBy(*key).agg(ordered_join(["__pos"], F.coalesce(text, F.lit("")), "").alias("linked"))
-    return rows.join(done, list(key), "left")
+    return rows.join(done.hint("merge"), list(key), "left")
 
 
 # --- J13 ----------------------------------------------------------------------
@@ -111,7 +118,7 @@ def owner_type_params(methods: DataFrame, types: DataFrame, package: Sequence[st
     def of(kind: str, prefix: str) -> DataFrame:
         return types.filter(F.col("kind") == kind).groupBy(*package, F.col("name").alias("receiver_key")) \
             .agg(F.min(F.struct(F.col("type_params"))).alias(prefix))
-    x = methods.join(of("struct", "__s"), [*package, "receiver_key"], "left").join(of("type", "__t"), [*package, "receiver_key"], "left")
+    x = methods.join(of("struct", "__s").hint("merge"), [*package, "receiver_key"], "left").join(of("type", "__t").hint("merge"), [*package, "receiver_key"], "left")
     return x.withColumn("owner_kind", F.when(F.col("__s").isNotNull(), "struct").when(F.col("__t").isNotNull(), "type")) \
         .withColumn("owner_params", F.coalesce(F.col("__s.type_params"), F.col("__t.type_params"))).drop("__s", "__t")
 
@@ -140,10 +147,10 @@ def signature_params(nodes: DataFrame, decls: DataFrame, key: Sequence[str], pac
     members = interface_members(nodes, key)[0]
     funcs = decls.filter(F.col("kind").isin("func", "method", "functype"))
     parts = signature_parts(funcs.select(heads).unionByName(method_heads(members).select(heads)))
-    rows = param_rows(signature_lists(parts, one), one, carry=["kind", "decl_name"])
+    rows = kept(param_rows(signature_lists(parts, one), one, carry=["kind", "decl_name"]))  # read three times below
     generic = type_params(decls)
     owners = owner_type_params(decls.filter(F.col("kind") == "method"), generic, package)
-    of_interface = members.join(generic.filter("kind = 'interface'").select(*key, F.col("name").alias("owner"), F.col("decl_line").alias("owner_line"), "type_params"),
+    of_interface = members.join(generic.filter("kind = 'interface'").select(*key, F.col("name").alias("owner"), F.col("decl_line").alias("owner_line"), "type_params").hint("merge"),
                                 [*key, "owner", "owner_line"])
     scope = names_of(owners.filter("owner_params != ''"), "owner_params").select(*one, "name") \
         .unionByName(names_of(of_interface.filter("type_params != ''").drop("name"), "type_params").select(*one, "name")) \

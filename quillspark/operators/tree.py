@@ -36,7 +36,7 @@ _LINE_END = chr(0xE000 + ord("\n"))
 _ITEM_TYPE = ("struct<id:int,parent:int,inside:string,owner:string,owner_line:int,depth:int,path:string,"
               "a:int,b:int,open:int,close:int,line:int,last:int,doc:int>")
 _LEVEL = ("id", "parent", "inside", "owner", "owner_line", "depth", "path", "a", "open", "close", "line", "doc")
-_STATE = ("line", "mark", "ended", "doc", "n", "opaque", "stack", "out")
+_STATE = ("line", "mark", "ended", "doc", "n", "opaque", "top", "around", "out")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -156,8 +156,8 @@ def _tokens(word: Column, chunk: Column) -> Column:
 def _fold(tokens: Column, first_line: Column) -> Column:
     """``struct(items, left)``: the items in order of their end, and whether brackets are left open.
 
-    A level of the stack is a list of items with at most one item open; brackets that
-    don't open a list are only counted (``opaque``).  ``mark`` tells what stands on a line so far (nothing, a
+    A level of the stack is a list of items with at most one item open, the innermost apart as ``top`` as nearly all steps
+    change only that one; brackets that don't open a list are only counted (``opaque``).  ``mark`` tells what stands on a line so far (nothing, a
     comment, code), ``ended`` whether the last line of code was a whole one.
     """
     none, empty = F.lit(0), F.lit("")
@@ -165,29 +165,23 @@ def _fold(tokens: Column, first_line: Column) -> Column:
              "open": none, "close": none, "line": none, "doc": none}
     ground = F.struct(*[v.alias(k) for k, v in kinds.items()])
     zero = F.struct(first_line.cast("int").alias("line"), none.alias("mark"), F.lit(False).alias("ended"), none.alias("doc"), none.alias("n"), none.alias("opaque"),
-                    F.array(ground).alias("stack"), F.array().cast(f"array<{_ITEM_TYPE}>").alias("out"))
+                    ground.alias("top"), F.slice(F.array(ground), 1, 0).alias("around"), F.array().cast(f"array<{_ITEM_TYPE}>").alias("out"))
 
     def item(top: Column, stop: Column, line: Column) -> Column:
         return F.struct(*[top[c].alias(c) for c in ("id", "parent", "inside", "owner", "owner_line", "depth", "path", "a")], stop.alias("b"),
                         top["open"].alias("open"), top["close"].alias("close"), top["line"].alias("line"), line.alias("last"), top["doc"].alias("doc"))
 
-    def with_top(s: Column, top: Column) -> Column:
-        return F.concat(F.slice(s["stack"], 1, F.size(s["stack"]) - 1), F.array(top))
-
     def closed(s: Column, i: Column) -> Column:
         """The open item, if any, ends before token ``i``."""
-        def end(top: Column) -> Column:
-            return F.when(top["a"] > 0, _put(s, _STATE, stack=with_top(s, _put(top, _LEVEL, a=none, open=none, close=none)),
-                                             out=F.concat(s["out"], F.array(item(top, i, s["line"]))))).otherwise(s)
-        return let(F.element_at(s["stack"], -1), end)
+        top = s["top"]
+        return F.when(top["a"] > 0, _put(s, _STATE, top=_put(top, _LEVEL, a=none, open=none, close=none),
+                                         out=F.concat(s["out"], F.array(item(top, i, s["line"]))))).otherwise(s)
 
     def begun(s: Column, i: Column) -> Column:
         """Token ``i`` is code in a list: it begins an item if none is open."""
-        def begin(top: Column) -> Column:
-            new = _put(top, _LEVEL, id=s["n"] + 1, a=i, line=s["line"], doc=s["doc"])
-            return F.when(top["a"] == 0, _put(s, _STATE, n=s["n"] + 1, stack=with_top(s, new), mark=F.lit(2), doc=none)) \
-                .when(s["mark"] == 2, s).otherwise(_put(s, _STATE, mark=F.lit(2), doc=none))
-        return let(F.element_at(s["stack"], -1), begin)
+        new = _put(s["top"], _LEVEL, id=s["n"] + 1, a=i, line=s["line"], doc=s["doc"])
+        return F.when(s["top"]["a"] == 0, _put(s, _STATE, n=s["n"] + 1, top=new, mark=F.lit(2), doc=none)) \
+            .when(s["mark"] == 2, s).otherwise(_put(s, _STATE, mark=F.lit(2), doc=none))
 
     def opened(s: Column, t: Column, i: Column) -> Column:
         """An opening bracket, or a whole block, in a list: does it open a list of members?"""
@@ -206,21 +200,21 @@ def _fold(tokens: Column, first_line: Column) -> Column:
                              owner_line=F.when(inner, top["owner_line"]).otherwise(top["line"]), depth=F.when(inner, top["depth"] + 1).otherwise(none),
                              path=F.when(inner, F.when(top["path"] == "", name).otherwise(F.concat(top["path"], F.lit("."), name))).otherwise(empty),
                              a=none, open=none, close=none)
-                listed = _put(s, _STATE, stack=F.concat(with_top(s, _put(top, _LEVEL, open=i)), F.array(level)))
-                plain = _put(s, _STATE, opaque=F.when(F.length(t) == 1, 1).otherwise(none), line=(s["line"] + _line_ends(t)).cast("int"),
-                             stack=F.when(body, with_top(s, _put(top, _LEVEL, open=i))).otherwise(s["stack"]))
+                listed = _put(s, _STATE, top=level, around=F.concat(s["around"], F.array(_put(top, _LEVEL, open=i))))
+                plain = _put(s, _STATE, opaque=F.when(F.length(t) == 1, 1).otherwise(none),
+                             line=F.when(F.length(t) == 1, s["line"]).otherwise((s["line"] + _line_ends(t)).cast("int")),
+                             top=F.when(body, _put(top, _LEVEL, open=i)).otherwise(top))
                 return F.when(w.isNotNull(), listed).otherwise(plain)
             return let(what, move)
-        return let(F.element_at(s["stack"], -1), lambda top: let(_text(tokens, top["a"], i), lambda head: decide(top, head)))
+        return let(_text(tokens, s["top"]["a"], i), lambda head: decide(s["top"], head))
 
     def shut(s: Column, i: Column) -> Column:
         """A closing bracket: of a counted one, or of the list; one too many is left out."""
         def popped(c: Column) -> Column:
-            below = F.element_at(c["stack"], -2)
-            stack = F.concat(F.slice(c["stack"], 1, F.size(c["stack"]) - 2), F.array(_put(below, _LEVEL, close=i)))
-            return _put(c, _STATE, mark=F.lit(2), doc=none, stack=stack)
+            below = _put(F.element_at(c["around"], -1), _LEVEL, close=i)
+            return _put(c, _STATE, mark=F.lit(2), doc=none, top=below, around=F.slice(c["around"], 1, F.size(c["around"]) - 1))
         return F.when(s["opaque"] > 0, _put(s, _STATE, mark=F.lit(2), doc=none, opaque=s["opaque"] - 1)) \
-            .when(F.size(s["stack"]) > 1, let(closed(s, i), popped)).otherwise(s)
+            .when(F.size(s["around"]) > 0, let(closed(s, i), popped)).otherwise(s)
 
     def newline(s: Column, i: Column) -> Column:
         """Ends an item unless the line's code goes on; a line without code leaves that as it was."""
@@ -250,7 +244,7 @@ def _fold(tokens: Column, first_line: Column) -> Column:
 
     # a chunk that leaves brackets open is one item
     whole = item(_put(ground, _LEVEL, id=F.lit(1), a=F.lit(1), line=first_line.cast("int")), F.size(tokens), first_line.cast("int"))
-    return let(fold(F.size(tokens), zero, step, _ITEM_TYPE), lambda r: let((r["s"]["opaque"] > 0) | (F.size(r["s"]["stack"]) > 1), lambda left: F.struct(
+    return let(fold(F.size(tokens), zero, step, _ITEM_TYPE), lambda r: let((r["s"]["opaque"] > 0) | (F.size(r["s"]["around"]) > 0), lambda left: F.struct(
         F.when(left, F.array(whole)).otherwise(r["out"]).alias("items"), left.alias("left"))))
 
 

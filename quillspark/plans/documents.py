@@ -20,7 +20,7 @@ from ..operators import links as LK
 from ..operators import refs as R
 from ..operators.tree import nodes
 from ..operators.windows import SECTION_ORDER_DEFAULT
-from ..sources.sinks import scratch_dir
+from ..sources.sinks import kept
 
 #: Order of a document's rows: section, then item (file and place), part of the item, and place in the part.
 ORDER = ["section", "path", "node", "part", "sub_path", "pos"]
@@ -53,13 +53,6 @@ def _rows(df: DataFrame, section: Column, part: int, text: Column, path: str | C
     return out.filter(F.coalesce("text", F.lit("")) != "")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: lost executors cost nothing, and small tables come in few partitions."""
-    path = scratch_dir(df.sparkSession, "document-part")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def document_lines(rows: DataFrame) -> DataFrame:
     """The rows of a document as its lines: ``package``, ``ORDER``, ``line`` (in the row) and ``text``."""
     text = F.concat(F.when(F.col("tight"), F.array().cast("array<string>")).otherwise(F.array(F.lit(""))), F.split("text", "\n"))
@@ -85,7 +78,8 @@ def package_documents(files: DataFrame, modules: DataFrame, private: bool = Fals
     key = ["package", "path"]
     # read many times below: written once each, as are the tables that follow from them
     n = kept(nodes(files, key, text=True, words=("package", "type", "func", "var", "const")))
-    aliases = kept(R.alias_map(D.imports(L.lines(files, key, partition=False), key), key))
+    header = D.import_part(files)
+    aliases = kept(R.alias_map(D.imports(L.lines(header, key, partition=False), key), key))
     if mode != "off":
         told = linked_docs(n.filter("doc != ''").select(*key, "node", "doc"), [*key, "node"], key, aliases, modules)
         n = kept(n.drop("doc").join(told, [*key, "node"], "left").withColumn("doc", F.coalesce("doc", F.lit(""))))
@@ -102,7 +96,7 @@ def package_documents(files: DataFrame, modules: DataFrame, private: bool = Fals
     note = F.concat(F.lit("[NOTE]\n====\n*Build Tags:* "), F.array_join(F.transform("tags", lambda t: F.concat(F.lit("`"), t, F.lit("`"))), ", "), F.lit("\n===="))
     out.append(_rows(tags, top, 1, note, F.lit(""), F.lit(0)))
     out.append(_rows(n.filter("word = 'package' and first"), top, 2, F.col("doc")))
-    block = A.import_block(D.imports(L.lines(files, key, partition=False), key).withColumn("pos", F.struct("path", "pos")), ["package"])
+    block = A.import_block(D.imports(L.lines(header, key, partition=False), key).withColumn("pos", F.struct("path", "pos")), ["package"])
     out.append(_rows(block, F.lit(_SECTION["imports"]), 1, _source(F.col("import_block")), F.lit(""), F.lit(0)))
 
     # declarations

@@ -12,6 +12,7 @@ from ..operators import links as LK
 from ..operators import refs as R
 from ..operators.tree import nodes
 from ..shapes import link_rows_sql
+from ..sources.sinks import kept
 from .catalog import query
 from .queries_modules import module_table
 
@@ -28,15 +29,18 @@ def _wanted(what: str, columns: str = "l, t") -> str:
 
 
 def _parsed(spark, sf_dir):
-    """Node table, declarations and aliases of Fx13."""
-    files = fx(spark, sf_dir, "fx13_files")
-    n = nodes(files, K, text=True, words=("type", "func"))
-    return n, D.declarations(n, K)[0], R.alias_map(D.imports(L.lines(files, K, partition=False), K), K)
+    """Node table and declarations of Fx13, computed once for all that reads them."""
+    n = kept(nodes(fx(spark, sf_dir, "fx13_files"), K, text=True, words=("type", "func")))
+    return n, kept(D.declarations(n, K)[0].drop("full_decl"))
+
+
+def _aliases(spark, sf_dir):
+    return kept(R.alias_map(D.imports(L.lines(D.import_part(fx(spark, sf_dir, "fx13_files")), K, partition=False), K), K))
 
 
 def _signature_params(spark, sf_dir, mode, separate=False, html=False):
-    n, d, aliases = _parsed(spark, sf_dir)
-    return LK.signature_params(n, d, K, K, aliases, module_table(spark, sf_dir), _own(), mode, separate, html)
+    n, d = _parsed(spark, sf_dir)
+    return LK.signature_params(n, d, K, K, _aliases(spark, sf_dir), module_table(spark, sf_dir), _own(), mode, separate, html)
 
 
 def _register(name: str, mode: str, separate: bool = False) -> None:
@@ -51,16 +55,16 @@ for _name, _mode, _separate in (("off", "off", False), ("internal", "internal",
 
 @query("j8_field_headings", oracle=_wanted("headings") + "SELECT file_id, l AS line_no, t AS heading FROM wanted")
 def j8_field_headings(spark, sf_dir):
-    n, d, aliases = _parsed(spark, sf_dir)
-    f = D.fields(n, K).select(*K, "owner", "line_no", "name_pos", "name", "type_text")
+    n, d = _parsed(spark, sf_dir)
+    f = kept(D.fields(n, K).select(*K, "owner", "line_no", "name_pos", "name", "type_text"))
     scope = LK.names_of(LK.type_params(d).select(*K, F.col("name").alias("owner"), "type_params"), "type_params").select(*K, "owner", "name")
-    out = LK.linked_texts(f, [*K, "name_pos"], "type_text", K, aliases, module_table(spark, sf_dir), _own(), scope, [*K, "owner"])
+    out = LK.linked_texts(f, [*K, "name_pos"], "type_text", K, _aliases(spark, sf_dir), module_table(spark, sf_dir), _own(), scope, [*K, "owner"])
     return out.select(*K, "line_no", F.when(F.col("name") == "", F.col("linked")).otherwise(F.concat_ws("\t", "name", "linked")).alias("heading"))
 
 
 @query("j13_owner_type_params", oracle=_wanted("owners", "l, t, owner_kind, owner_params") + "SELECT file_id, l AS decl_line, t AS method, owner_kind, owner_params FROM wanted")
 def j13_owner_type_params(spark, sf_dir):
-    _, d, _ = _parsed(spark, sf_dir)
+    d = kept(D.declarations(nodes(fx(spark, sf_dir, "fx13_files"), K, text=True, words=("type", "func")), K)[0].select(*K, "decl_line", "kind", "name", "decl", "receiver_key"))
     out = LK.owner_type_params(d.filter(F.col("kind") == "method"), LK.type_params(d), K)
     return out.select(*K, "decl_line", F.col("name").alias("method"), "owner_kind", "owner_params")
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..fixtures import cte, fx
+from ..fixtures import cte, fx, text_tasks
 from ..operators import examples as EX
 from ..operators import lines as L
 from ..operators import paths as P
@@ -104,7 +104,7 @@ def o2_section_order(spark, sf_dir):
 # --- A2 ---------------------------------------------------------------------
 def fx1_file_summary(spark, sf_dir):
     files = fx(spark, sf_dir, "fx1_files")
-    ln = L.lines(files, ["file_id"])
+    ln = L.lines(files, ["file_id"], partition=text_tasks(spark, sf_dir, "fx1_files"))
     pkg_line = ln.filter(F.col("text").startswith("package ")) \
         .groupBy("file_id").agg(F.min("line_no").alias("line_no"),
                                 F.min_by(F.regexp_extract("text", r"^package\s+(.*)$", 1), "line_no").alias("package"))
@@ -113,8 +113,8 @@ def fx1_file_summary(spark, sf_dir):
     d = fx1_decls(spark, sf_dir)
     nd = d.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_decls"))
     return files.select("file_id", "path", P.dir_of("path").alias("dir")) \
-        .join(pdoc.select("file_id", "package", "doc"), "file_id", "left") \
-        .join(tags, "file_id", "left").join(nd, "file_id", "left")
+        .join(pdoc.select("file_id", "package", "doc").hint("merge"), "file_id", "left") \
+        .join(tags.hint("merge"), "file_id", "left").join(nd.hint("merge"), "file_id", "left")
 
 
 @query("a2_package_aggregate", oracle=cte("fx1_files") + """
@@ -151,7 +151,7 @@ def a9_example_yaml(spark, sf_dir):
 def fx1_sections(spark, sf_dir, overrides=None):
     d = fx1_decls(spark, sf_dir)
     files = fx(spark, sf_dir, "fx1_files").select("file_id", "path", P.dir_of("path").alias("package"))
-    return RD.render_sections(d.join(files, "file_id"), overrides)
+    return RD.render_sections(d.join(files.hint("merge"), "file_id"), overrides)
 
 
 R1_SQL = cte("fx1_files") + """

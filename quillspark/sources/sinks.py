@@ -81,3 +81,10 @@ def scratch_dir(spark, name: str) -> str:
     from ..session import ensure_checkpoint_dir
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back: computed once however often it is read; lost executors cost nothing, and small tables come in few partitions."""
+    path = scratch_dir(df.sparkSession, "document-part")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
