@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import small_arrow_batches, table
 
-#: Fit on at most so many labelled rows of each language, and so many in all; landmarks among them.
+#: Landmarks, and the labelled rows that they are looked for in: at most so many of each language, and so many in all.
 PER_LANGUAGE, SAMPLE, LANDMARKS = 300, 4800, 96
+#: Steps of likeness, from 0 to 1, that held-out rows are counted by.
+STEPS = 10_000
 #: Parts of a language that are ranked before the language is.
 PARTS = 64
 #: Hash buckets of the character n-grams of each length (1, 2, 3).
@@ -55,21 +57,31 @@ def _scaled(found: np.ndarray) -> np.ndarray:
 class Model:
     """Kernel ridge regression, one language against the rest, in the space of the landmarks' kernels."""
 
-    def __init__(self, found: np.ndarray, languages: list[str]):
-        self.languages = sorted(set(languages))
-        marks = _scaled(found[:LANDMARKS])
+    def __init__(self, landmarks: np.ndarray):
+        marks = _scaled(landmarks)
         self.used = np.flatnonzero(marks.any(0))
         self.marks = np.ascontiguousarray(marks[:, self.used].T)
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
-        root = vectors / np.sqrt(np.maximum(values, JITTER))  # Nyström map of the landmarks' kernel
-        z = self._kernel(found) @ root
-        z = np.hstack([z, np.ones((len(z), 1))])
-        y = np.array([[1.0 if a == b else -1.0 for b in self.languages] for a in languages])
-        weights = np.linalg.solve(z.T @ z + RIDGE * np.eye(z.shape[1]), z.T @ y)
-        self.weights, self.base = root @ weights[:-1], weights[-1]
-        own = np.array(languages)
-        self.shares = np.array([found[own == a, _EDGES[-2]:].mean(0, dtype=np.float32) for a in self.languages])
+        self.root = vectors / np.sqrt(np.maximum(values, JITTER))  # Nyström map of the landmarks' kernel
+
+    def sums(self, found: np.ndarray) -> list[np.ndarray]:
+        """What rows of a language add to the regression: their number, features, products of features, and the 3-grams they hold."""
+        z = np.hstack([self._kernel(found) @ self.root, np.ones((len(found), 1))])
+        return [np.array([len(z)], float), z.sum(0), (z.T @ z).ravel(), found[:, _EDGES[-2]:].sum(0, dtype=float)]
+
+    def learn(self, sums: dict[str, list[np.ndarray]]) -> Model:
+        """Set the weights from the sums of all rows of each language."""
+        self.languages = sorted(sums)
+        own = [sums[a] for a in self.languages]
+        size = len(own[0][1])
+        # every language has the same weight, however many rows it has; at most PER_LANGUAGE each, as RIDGE was set for such numbers
+        share = [min(1.0, PER_LANGUAGE / v[0][0]) for v in own]
+        of = np.array([w * v[1] for w, v in zip(share, own)])
+        weights = np.linalg.solve(sum(w * v[2] for w, v in zip(share, own)).reshape(size, size) + RIDGE * np.eye(size), (2 * of - of.sum(0)).T)
+        self.weights, self.base = self.root @ weights[:-1], weights[-1]
+        self.shares = np.array([v[3] / v[0] for v in own], np.float32)
         self.clean: dict[str, float] = {}
+        return self
 
     def _kernel(self, found: np.ndarray) -> np.ndarray:
         scaled = found[:, self.used].astype(np.float32)
@@ -93,12 +105,17 @@ def _has_letter(text) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def _labelled(docs: DataFrame, held: bool = False) -> DataFrame:
-    """The fit's sample, or one of the rows that are held out: the first rows of each language in an order by hash, in turns."""
+def _learned_from(held: bool = False):
+    """Condition on labelled rows: those that are learned from, or those held out."""
     mine = F.crc32(F.col("doc_id").cast("string")) % 4
+    return F.col("lang").isNotNull() & F.col("text").isNotNull() & (mine == 2 if held else mine != 2)
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """Rows that landmarks are looked for in: the first of each language in an order by hash, in turns."""
     part = Window.partitionBy("lang", "part").orderBy("h", "doc_id")  # so that no task ranks more than a part's rows of each task
     turn = Window.partitionBy("lang").orderBy("h", "doc_id")
-    return (docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (mine == 2 if held else mine != 2))
+    return (docs.filter(_learned_from())
             .groupBy("doc_id", "lang").agg(F.xxhash64("doc_id").alias("h"))
             .withColumn("part", F.pmod("h", F.lit(PARTS))).withColumn("turn", F.row_number().over(part)).filter(F.col("turn") <= PER_LANGUAGE)
             .withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= PER_LANGUAGE)
@@ -111,23 +128,76 @@ def _texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
             .groupBy("doc_id", "lang", "turn", "h").agg(F.min("text").alias("text")))
 
 
-def fit(docs: DataFrame) -> Model | None:
-    """Learn from text and non-null ``lang`` of rows whose crc32 of ``doc_id`` is not 2 modulo 4; None without such rows.
+def _all_texts(docs: DataFrame, held: bool = False) -> DataFrame:
+    """All rows that are learned from, or all held out; one for each ``doc_id`` and ``lang``, with the smallest of their texts."""
+    return docs.filter(_learned_from(held)).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
-    The sample is bounded by ``PER_LANGUAGE`` and ``SAMPLE``; only its presence bits come to the driver.
-    Rows of one ``doc_id`` and ``lang`` count once, with their smallest text.
-    """
+
+def landmarks(docs: DataFrame) -> np.ndarray | None:
+    """Presence rows of the landmarks: a bounded set of texts that all others are compared with; only their bits come to the driver."""
     @F.pandas_udf("binary")
     def bits(texts: pd.Series) -> pd.Series:
         return pd.Series([np.packbits(presence(t)).tobytes() if _has_letter(t) else None for t in texts])
 
     rows = (_texts(docs, _labelled(docs))
             .select("turn", "h", "doc_id", "lang", bits("text").alias("bits")).filter("bits IS NOT NULL")
-            .orderBy("turn", "h", "doc_id", "lang").limit(SAMPLE).collect())
+            .orderBy("turn", "h", "doc_id", "lang").limit(LANDMARKS).collect())
     if not rows:
         return None
-    found = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8), count=_EDGES[-1]) for r in rows]).astype(bool)
-    return Model(found, [r.lang for r in rows])
+    return np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8), count=_EDGES[-1]) for r in rows]).astype(bool)
+
+
+def fit(docs: DataFrame) -> Model | None:
+    """Learn from text and non-null ``lang`` of all rows whose crc32 of ``doc_id`` is not 2 modulo 4; None without such rows.
+
+    Texts are compared with a bounded set of landmarks, but the regression and the shares of 3-grams are of all rows: each task adds up
+    what its rows come to for each language, the tasks' sums are added by language, and one sum a language comes to the driver.
+    Rows of one ``doc_id`` and ``lang`` count once, with their smallest text.
+    """
+    found = landmarks(docs)
+    if found is None:
+        return None
+    model = Model(found)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def frame(sums: dict) -> pd.DataFrame:
+        return pd.DataFrame({"lang": list(sums), "sums": [np.concatenate(v).tobytes() for v in sums.values()]})
+
+    def add(to: dict, lang: str, more: list) -> None:
+        if lang in to:
+            for a, b in zip(to[lang], more):
+                a += b
+        else:
+            to[lang] = more
+
+    def rows(batches):
+        sums: dict = {}
+        for batch in batches:
+            batch = batch[[_has_letter(t) for t in batch["text"]]]
+            for lang, part in batch.groupby("lang", sort=False):
+                for a in range(0, len(part), _DOCS):
+                    add(sums, lang, held.value.sums(np.array([presence(t) for t in part["text"].iloc[a:a + _DOCS]])))
+        if sums:
+            yield frame(sums)
+
+    def parts(packed: bytes) -> list:
+        size = len(held.value.marks.T) + 1
+        return [v.copy() for v in np.split(np.frombuffer(packed), np.cumsum([1, size, size * size]))]
+
+    def merged(batches):
+        sums: dict = {}
+        for batch in batches:
+            for lang, packed in zip(batch["lang"], batch["sums"]):
+                add(sums, lang, parts(packed))
+        if sums:
+            yield frame(sums)
+
+    kind = "lang string, sums binary"
+    partial = _all_texts(docs).select("lang", "text").mapInPandas(rows, kind)
+    # a language's sums meet in two steps, so that no task adds those of all others
+    near = partial.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS))).repartition("lang", "part").select("lang", "sums").mapInPandas(merged, kind)
+    total = near.repartition("lang").mapInPandas(merged, kind).collect()
+    return model.learn({r["lang"]: parts(r["sums"]) for r in total})
 
 
 def predictor(spark, model: Model | None, likeness: bool = False):
@@ -179,8 +249,8 @@ LEAST_LIKENESS, CLEAN = 0.4, 0.01
 def calibrated(docs: DataFrame) -> Model | None:
     """``fit`` with ``clean``: for each language the likeness that all but ``CLEAN`` of its held-out, rightly named texts have.
 
-    At most ``PER_LANGUAGE`` held-out rows of a language and ``SAMPLE`` in all
-    are read, one number a language comes to the driver.  A language without
+    All held-out rows count, in ``STEPS`` steps of likeness: a count for each step of a language that has any
+    comes to the driver.  A language without
     such rows has the least number of the others; without any, likeness rejects
     nothing.
     """
@@ -188,9 +258,12 @@ def calibrated(docs: DataFrame) -> Model | None:
     if model is None:
         return None
     p = predictor(docs.sparkSession, model, likeness=True)("text")
-    rows = (_texts(docs, _labelled(docs, held=True)).select("lang", p.alias("p"))
-            .filter("p.lang_pred = lang").groupBy("lang").agg(F.percentile("p.likeness", F.lit(CLEAN)).alias("least")).collect())
-    found = {r["lang"]: r["least"] for r in rows}
+    rows = (_all_texts(docs, held=True).select("lang", p.alias("p")).filter("p.lang_pred = lang")
+            .groupBy("lang", F.floor(F.col("p.likeness") * STEPS).alias("step")).count().collect())
+    found = {}
+    for lang in {r["lang"] for r in rows}:
+        steps, counts = zip(*sorted((r["step"], r["count"]) for r in rows if r["lang"] == lang))
+        found[lang] = steps[int(np.searchsorted(np.cumsum(counts), CLEAN * (sum(counts) - 1), side="right"))] / STEPS
     model.clean = {a: found.get(a, min(found.values(), default=0.0)) for a in model.languages}
     return model
 

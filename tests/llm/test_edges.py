@@ -239,6 +239,22 @@ def test_language_learns_repeated_rows_once(spark):
     assert sum(r["count"] for r in got) == len(many)
 
 
+def test_language_learns_from_all_rows(spark, monkeypatch):
+    """The landmarks are few, but every learned row counts in the shares of 3-grams and every held-out one in the likeness asked for."""
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 5)
+    monkeypatch.setattr(langid, "SAMPLE", 10)
+    monkeypatch.setattr(langid, "LANDMARKS", 8)
+    texts = [(d, f"the cat number {d} sat on the mat" + " zqx" * (d % 3 == 0), "en") if d % 2 else (d, f"le chat {d} est sur la table", "fr") for d in range(300)]
+    model = langid.calibrated(spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(5))
+    learned = [(t, a) for d, t, a in texts if zlib.crc32(str(d).encode()) % 4 != 2]
+    assert model.languages == ["en", "fr"] and len(model.marks.T) == 8
+    for i, lang in enumerate(model.languages):
+        found = np.array([langid.presence(t) for t, a in learned if a == lang])
+        assert np.allclose(model.shares[i], found[:, langid._EDGES[-2]:].mean(0))
+        held = sorted(model.likeness(t, i) for d, t, a in texts if zlib.crc32(str(d).encode()) % 4 == 2 and a == lang)
+        assert len(held) > 5 and abs(model.clean[lang] - held[int(langid.CLEAN * (len(held) - 1))]) <= 1 / langid.STEPS
+
+
 def test_packing(docs):
     pieces = packing.token_pieces(docs, capacity=64)
     got = packing.pack(pieces, 64).collect()
