@@ -47,3 +47,23 @@ def test_prefix_joins_resolve_distinct_values(spark, name):
     for line in plan.split("\n"):
         if "Aggregate(" in line or "Generate " in line:
             assert "l_orderkey" not in line, line
+
+
+@pytest.mark.parametrize("name", ["a2_package_aggregate", "a4_kind_totals", "j1_types_and_methods", "j1_types_with_methods", "p3_layout_override", "r1_decl_sections", "r2_section_wrappers"])
+def test_tables_that_grow_are_not_broadcast(spark, name):
+    assert "BroadcastExchange" not in _plan(QS[name](spark, SF))
+
+
+def test_texts_come_in_tasks_of_bounded_size(spark, monkeypatch):
+    from quillspark import fixtures
+    monkeypatch.setattr(fixtures, "TASK_FILES", 20)
+    assert "RoundRobinPartitioning(10)" in _plan(fixtures.fx(spark, SF, "fx1_files"))
+
+
+def test_imports_need_the_import_part_only(spark):
+    from quillspark.operators import decls as D, lines as L
+    texts = ["", "package p", "import \"a\"\nvar x = (\n)\nimport (\n// b\n\tb \"b/c\"\n\n\"d\"\n)\nfunc f() {\n\"e\"\n}\n", "import (\n\"a\"\n\"b\"", "/* import\n*/\nimport . \"x\"\n// end\n\"no\"", "importer\n(\n"]
+    files = spark.createDataFrame(list(enumerate([*texts, None])), "file_id long, content string")
+    rows = lambda f: sorted(map(tuple, D.imports(L.lines(f, ["file_id"]), ["file_id"]).collect()))
+    assert rows(D.import_part(files)) == rows(files) and len(rows(files)) >= 6
+    assert D.import_part(files).filter("content like '%func%'").count() == 0
