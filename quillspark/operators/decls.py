@@ -145,7 +145,11 @@ def _classified(nodes: DataFrame) -> DataFrame:
 
 def declaration_rejects(nodes: DataFrame, key: Sequence[str]) -> DataFrame:
     """The quarantine rows of :func:`declarations`; the nodes need no ``text``."""
-    return _classified(nodes).filter(F.col("__bad").isNotNull()).select(*key, F.col("line").alias("decl_line"), F.lit("declarations").alias("stage"), F.col("__bad").alias("message"))
+    return _rejects(_classified(nodes), key)
+
+
+def _rejects(own: DataFrame, key: Sequence[str]) -> DataFrame:
+    return own.filter(F.col("__bad").isNotNull()).select(*key, F.col("line").alias("decl_line"), F.lit("declarations").alias("stage"), F.col("__bad").alias("message"))
 
 
 def declarations(nodes: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -156,8 +160,9 @@ def declarations(nodes: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataF
     ``type ( … )`` group.  One whose brackets don't close before the next keyword, or whose head is
     none of the known forms, is a quarantine row; each keyword gives one or the other.
     """
-    rejects = declaration_rejects(nodes, key)
-    good = _classified(nodes).filter(F.col("__bad").isNull())
+    own = _classified(nodes)
+    rejects = _rejects(own, key)
+    good = own.filter(F.col("__bad").isNull())
     # variables, constants and other types show their first line
     shown = F.substring_index(F.regexp_replace("text", r"^\s+", ""), "\n", 1)
     shown = F.when(F.col("lists") == "values", F.col("word")).otherwise(shown)
