@@ -45,7 +45,7 @@ def package_aggregate(files: DataFrame, dir_col: str = "dir") -> DataFrame:
         F.count(F.lit(1)).alias("n_files"),
         F.sum("n_decls").cast("long").alias("n_decls"),
     )
-    return main.join(tags, dir_col, "left").withColumn("build_tags", F.coalesce("build_tags", F.lit("")))
+    return main.join(tags.hint("merge"), dir_col, "left").withColumn("build_tags", F.coalesce("build_tags", F.lit("")))
 
 
 def package_doc_rows(files: DataFrame, dir_col: str = "dir") -> DataFrame:
