@@ -68,7 +68,7 @@ def _documents(shown: DataFrame, key: Sequence[str], text: Column, column: str,
     k = [*key, "owner_line", "owner"]
     out = shown.select(*k, text.alias(column))
     if owners is not None:  # structs without fields
-        out = owners.select(*k).join(out, k, "left").withColumn(column, F.coalesce(column, F.lit("{}")))
+        out = owners.select(*k).join(out.hint("merge"), k, "left").withColumn(column, F.coalesce(column, F.lit("{}")))
     return out.select(*key, "owner", column)
 
 

@@ -54,6 +54,11 @@ def test_tables_that_grow_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in _plan(QS[name](spark, SF))
 
 
+@pytest.mark.parametrize("name", ["a8_example_shapes", "a9_example_shapes"])
+def test_examples_are_not_broadcast(spark, name):
+    assert "BroadcastExchange" not in _plan(QS[name](spark, SF))
+
+
 def test_texts_come_in_tasks_of_bounded_size(spark, monkeypatch):
     from quillspark import fixtures
     monkeypatch.setattr(fixtures, "TASK_FILES", 20)
