@@ -7,6 +7,8 @@ not delimit cleanly (block never closed) are returned as quarantine rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,13 +32,17 @@ _OPEN, _CLOSE = "([{", ")]}"
 
 
 # --- brackets of any depth ----------------------------------------------------
+def _ends(piece: Column, signs: str) -> Column:
+    return reduce(or_, [piece.endswith(sign) for sign in signs])
+
+
 def balanced(s: Column) -> Column:
     """The bracketed beginning of ``s`` up to its matching bracket; empty if it begins with none or never closes."""
     pieces = F.regexp_extract_all(s, F.lit(r"[^()\[\]{}]*[()\[\]{}]"), F.lit(0))
     state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(False).alias("done"))
 
     def step(a: Column, piece: Column) -> Column:
-        depth = a["depth"] + F.when(F.right(piece, F.lit(1)).isin(*_OPEN), 1).otherwise(-1)
+        depth = a["depth"] + F.when(_ends(piece, _OPEN), 1).otherwise(-1)
         return F.when(a["done"], a).otherwise(F.struct(depth.alias("depth"), (a["at"] + F.length(piece)).alias("at"),
                                                        (depth <= 0).alias("done")))
 
@@ -49,9 +55,8 @@ def split_top(s: Column) -> Column:
     pieces = F.regexp_extract_all(s, F.lit(r"[^()\[\]{},]*+[()\[\]{},]|[^()\[\]{},]++"), F.lit(0))
 
     def step(depth: Column, piece: Column) -> tuple[Column, Column]:
-        sign = F.right(piece, F.lit(1))
-        return (depth + F.when(sign.isin(*_OPEN), 1).when(sign.isin(*_CLOSE), -1).otherwise(0),
-                F.when((depth == 0) & (sign == ","), F.concat(F.substr(piece, F.lit(1), F.length(piece) - 1), F.lit("\x01"))).otherwise(piece))
+        return (depth + F.when(_ends(piece, _OPEN), 1).when(_ends(piece, _CLOSE), -1).otherwise(0),
+                F.when((depth == 0) & piece.endswith(","), F.concat(F.substr(piece, F.lit(1), F.length(piece) - 1), F.lit("\x01"))).otherwise(piece))
 
     marked = F.array_join(scan(pieces, F.lit(0), step, "string"), "")
     return F.filter(F.transform(F.split(marked, "\x01"), lambda x: F.trim(x)), lambda x: x != "")

@@ -12,7 +12,7 @@ from .aggregates import ordered_join
 from .decls import balanced, interface_members, method_heads, param_rows, signature_lists, signature_parts, split_top
 from .modules import explode_slash_prefixes
 from .refs import BUILTIN_TYPES, EXTERNAL_DOC_URL
-from .tree import IDENT, scan
+from .tree import IDENT, one_of, scan
 from ..sources.sinks import kept
 
 #: Link modes: none, anchors of known modules, and these with documentation URLs of other packages.
@@ -35,16 +35,16 @@ def type_pieces(text: Column) -> Column:
     start = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("func"), F.lit(-1).alias("shut"), F.lit(False).alias("named"), F.lit("").alias("last"))
 
     def step(s: Column, p: Column) -> tuple[Column, Column]:
-        word, opens, closes = p.rlike(rf"^{IDENT}"), p.isin("(", "[", "{"), p.isin(")", "]", "}")
+        word, opens, closes = p.rlike(rf"^{IDENT}"), one_of(p, "(", "[", "{"), one_of(p, ")", "]", "}")
         plain = (s["func"] >= 0) | (s["shut"] >= 0)
         depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
         func = F.when((s["func"] < 0) & (p == "func"), s["depth"]).when((closes & (depth < s["func"])) | ((p == ",") & (s["depth"] == s["func"])), -1).otherwise(s["func"])
-        body = (p == "{") & s["last"].isin("struct", "interface")
+        body = (p == "{") & one_of(s["last"], "struct", "interface")
         length = (p == "[") & ~s["named"]
         shut = F.when((s["shut"] < 0) & (body | length), s["depth"]).when(closes & (depth <= s["shut"]), -1).otherwise(s["shut"])
-        after = F.struct(depth.alias("depth"), func.alias("func"), shut.alias("shut"), (word & ~p.isin("chan", "struct", "interface", "func")).alias("named"),
+        after = F.struct(depth.alias("depth"), func.alias("func"), shut.alias("shut"), (word & ~one_of(p, "chan", "struct", "interface", "func")).alias("named"),
                          F.when(F.trim(p) == "", s["last"]).otherwise(p).alias("last"))
-        ident = word & ~plain & ~p.isin("map", "chan", "func", "struct", "interface")
+        ident = word & ~plain & ~one_of(p, "map", "chan", "func", "struct", "interface")
         return after, F.struct(p.alias("piece"), ident.alias("ident"))
     return scan(pieces, start, step, "struct<piece:string,ident:boolean>")
 
@@ -194,16 +194,16 @@ def highlight_blocks(tokens: Column, kind: Column) -> Column:
     Being inside a function carries from token to token: the keyword ``func`` (in an interface's method its name, in
     a function type also the parameters) begins it, the result ends it.
     """
-    like = kind.isin("func", "method", "interface_method")
+    like = one_of(kind, "func", "method", "interface_method")
     function = F.lit("hljs-function")
     start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("block"), F.lit(None).cast("string").alias("wrapper"))
 
     def step(s: Column, t: Column) -> tuple[Column, Column]:
         k = t["kind"]
         begins = ((k == "keyword") & (t["content"] == "func")) | ((k == "name") & (kind == "interface_method")) | ((k == "params") & (kind == "functype"))
-        inside = ~k.isin("gap", "result") & (s["inside"] | begins)
-        wraps = F.when(k.isin("keyword", "text"), inside).when(k.isin("name", "params"), inside | like) \
-            .when(k == "receiver", inside | kind.isin("func", "method")).otherwise(False)
+        inside = ~one_of(k, "gap", "result") & (s["inside"] | begins)
+        wraps = F.when(one_of(k, "keyword", "text"), inside).when(one_of(k, "name", "params"), inside | like) \
+            .when(k == "receiver", inside | one_of(kind, "func", "method")).otherwise(False)
         wrapper = F.when(wraps, function).otherwise("")
         block = s["block"] + F.when(s["wrapper"].eqNullSafe(wrapper), 0).otherwise(1)
         css = None

@@ -11,6 +11,8 @@ work in proportion to the text.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,22 +46,35 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, use)
 
 
+def one_of(value: Column, *options: str) -> Column:
+    """``value.isin(*options)`` for a few options; the evaluation of ``isin`` inside a fold costs more than that of all the rest of a step."""
+    return reduce(or_, [value == o for o in options])
+
+
+def choose(*cases: tuple[Column, Column], otherwise: Column) -> Column:
+    """The value of the first case that holds, as ``when``; as conditions inside each other, which a fold evaluates faster than a list of cases."""
+    for holds, value in reversed(cases):
+        otherwise = F.call_function("if", holds, value, otherwise)
+    return otherwise
+
+
 def encode(text: Column) -> Column:
     """The text with literals and comments between marks and hidden; :func:`reveal` gives it back."""
     def one(t: Column) -> Column:
         hidden = F.translate(t, _PLAIN, _HIDDEN)
         return F.when(t.startswith("//") | t.startswith("/*"), F.concat(F.lit("\x02"), hidden, F.lit("\x03"))) \
             .when(t.rlike("^[`\"']"), F.concat(F.lit("\x04"), hidden, F.lit("\x05"))).otherwise(t)
-    safe = F.translate(text, _MARKS, _HIDDEN[:4])
+    safe = F.when(text.rlike(f"[{_MARKS}]"), F.translate(text, _MARKS, _HIDDEN[:4])).otherwise(text)
     return F.array_join(F.transform(F.regexp_extract_all(safe, F.lit(TOKEN), F.lit(0)), one), "")
 
 
 def reveal(text: Column) -> Column:
-    return F.translate(text, _HIDDEN + _MARKS, _PLAIN)
+    # most texts have nothing hidden in them, and to look is cheaper than to translate
+    return let(text, lambda t: F.when(t.rlike(rf"[{_MARKS}\ue000-\ue07f]"), F.translate(t, _HIDDEN + _MARKS, _PLAIN)).otherwise(t))
 
 
 def _line_ends(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, "\n" + _LINE_END, ""))
+    return F.length(text) - F.length(F.replace(F.replace(text, F.lit("\n")), F.lit(_LINE_END)))
 
 
 def _comment_text(token: Column) -> Column:
@@ -174,19 +189,19 @@ def _fold(tokens: Column, first_line: Column) -> Column:
     def closed(s: Column, i: Column) -> Column:
         """The open item, if any, ends before token ``i``."""
         top = s["top"]
-        return F.when(top["a"] > 0, _put(s, _STATE, top=_put(top, _LEVEL, a=none, open=none, close=none),
-                                         out=F.concat(s["out"], F.array(item(top, i, s["line"]))))).otherwise(s)
+        return choose((top["a"] > 0, _put(s, _STATE, top=_put(top, _LEVEL, a=none, open=none, close=none),
+                                          out=F.concat(s["out"], F.array(item(top, i, s["line"]))))), otherwise=s)
 
     def begun(s: Column, i: Column) -> Column:
         """Token ``i`` is code in a list: it begins an item if none is open."""
         new = _put(s["top"], _LEVEL, id=s["n"] + 1, a=i, line=s["line"], doc=s["doc"])
-        return F.when(s["top"]["a"] == 0, _put(s, _STATE, n=s["n"] + 1, top=new, mark=F.lit(2), doc=none)) \
-            .when(s["mark"] == 2, s).otherwise(_put(s, _STATE, mark=F.lit(2), doc=none))
+        return choose((s["top"]["a"] == 0, _put(s, _STATE, n=s["n"] + 1, top=new, mark=F.lit(2), doc=none)),
+                      (s["mark"] == 2, s), otherwise=_put(s, _STATE, mark=F.lit(2), doc=none))
 
     def opened(s: Column, t: Column, i: Column) -> Column:
         """An opening bracket, or a whole block, in a list: does it open a list of members?"""
         def decide(top: Column, head: Column) -> Column:
-            types = top["inside"].isin("", "types")
+            types = one_of(top["inside"], "", "types")
             what = F.when((t == "{") & (types | (top["inside"] == "struct")) & head.rlike(_STRUCT), "struct") \
                 .when((t == "{") & types & head.rlike(_INTERFACE), "interface") \
                 .when((t == "(") & (top["inside"] == "") & head.rlike(_GROUP),
@@ -204,7 +219,7 @@ def _fold(tokens: Column, first_line: Column) -> Column:
                 plain = _put(s, _STATE, opaque=F.when(F.length(t) == 1, 1).otherwise(none),
                              line=F.when(F.length(t) == 1, s["line"]).otherwise((s["line"] + _line_ends(t)).cast("int")),
                              top=F.when(body, _put(top, _LEVEL, open=i)).otherwise(top))
-                return F.when(w.isNotNull(), listed).otherwise(plain)
+                return choose((w.isNotNull(), listed), otherwise=plain)
             return let(what, move)
         return let(_text(tokens, s["top"]["a"], i), lambda head: decide(s["top"], head))
 
@@ -213,33 +228,34 @@ def _fold(tokens: Column, first_line: Column) -> Column:
         def popped(c: Column) -> Column:
             below = _put(F.element_at(c["around"], -1), _LEVEL, close=i)
             return _put(c, _STATE, mark=F.lit(2), doc=none, top=below, around=F.slice(c["around"], 1, F.size(c["around"]) - 1))
-        return F.when(s["opaque"] > 0, _put(s, _STATE, mark=F.lit(2), doc=none, opaque=s["opaque"] - 1)) \
-            .when(F.size(s["around"]) > 0, let(closed(s, i), popped)).otherwise(s)
+        return choose((s["opaque"] > 0, _put(s, _STATE, mark=F.lit(2), doc=none, opaque=s["opaque"] - 1)),
+                      (F.size(s["around"]) > 0, let(closed(s, i), popped)), otherwise=s)
 
     def newline(s: Column, i: Column) -> Column:
         """Ends an item unless the line's code goes on; a line without code leaves that as it was."""
         def ended(last: Column) -> Column:
-            whole = F.when(s["mark"] < 2, s["ended"]).otherwise(~last.rlike(_GO_ON))
+            whole = choose((s["mark"] < 2, s["ended"]), otherwise=~last.rlike(_GO_ON))
 
             def on(x: Column) -> Column:
-                return _put(x, _STATE, line=x["line"] + 1, mark=none, ended=whole, doc=F.when(x["mark"] == 1, x["doc"]).otherwise(none))
-            return let(F.when(whole & (s["mark"] == 2), closed(s, i)).otherwise(s), on)
+                return _put(x, _STATE, line=x["line"] + 1, mark=none, ended=whole, doc=choose((x["mark"] == 1, x["doc"]), otherwise=none))
+            return let(choose((whole & (s["mark"] == 2), closed(s, i)), otherwise=s), on)
         before = F.get(tokens, i - 2)
-        return let(F.when(before.startswith("\x02"), F.get(tokens, i - 3)).otherwise(before), ended)
+        return let(choose((before.startswith("\x02"), F.get(tokens, i - 3)), otherwise=before), ended)
 
     def step(s: Column, i: Column) -> Column:
         def by_token(t: Column) -> Column:
-            after = F.when(t.contains(_LINE_END), (s["line"] + _line_ends(t)).cast("int")).otherwise(s["line"])
-            said = _put(s, _STATE, line=after, mark=F.greatest(s["mark"], F.lit(1)), doc=F.when((s["mark"] == 0) & (s["doc"] == 0), i).otherwise(s["doc"]))
-            counted = F.when(t.endswith("\n"), _put(s, _STATE, line=s["line"] + 1)).when(t.contains(_LINE_END), _put(s, _STATE, line=after)).otherwise(s)
-            return F.when(t.isin(")", "]", "}"), shut(s, i)) \
-                .when(s["opaque"] > 0, F.when(t.isin("(", "[", "{"), _put(s, _STATE, opaque=s["opaque"] + 1)).otherwise(counted)) \
-                .when(t.endswith("\n"), newline(s, i)) \
-                .when(t.startswith("\x02"), said) \
-                .when(t == ";", let(closed(s, i), lambda x: _put(x, _STATE, mark=F.lit(2), doc=none))) \
-                .when(t.startswith("(") | t.startswith("[") | t.startswith("{"), let(begun(s, i), lambda x: opened(x, t, i))) \
-                .when(F.btrim(t, F.lit(" \t\r\f\x0b")) == "", s) \
-                .otherwise(let(begun(s, i), lambda x: F.when(t.contains(_LINE_END), _put(x, _STATE, line=after)).otherwise(x)))
+            after = choose((t.contains(_LINE_END), (s["line"] + _line_ends(t)).cast("int")), otherwise=s["line"])
+            said = _put(s, _STATE, line=after, mark=F.greatest(s["mark"], F.lit(1)), doc=choose(((s["mark"] == 0) & (s["doc"] == 0), i), otherwise=s["doc"]))
+            counted = choose((t.endswith("\n"), _put(s, _STATE, line=s["line"] + 1)), (t.contains(_LINE_END), _put(s, _STATE, line=after)), otherwise=s)
+            return choose(
+                (one_of(t, ")", "]", "}"), shut(s, i)),
+                (s["opaque"] > 0, choose((one_of(t, "(", "[", "{"), _put(s, _STATE, opaque=s["opaque"] + 1)), otherwise=counted)),
+                (t.endswith("\n"), newline(s, i)),
+                (t.startswith("\x02"), said),
+                (t == ";", let(closed(s, i), lambda x: _put(x, _STATE, mark=F.lit(2), doc=none))),
+                (t.startswith("(") | t.startswith("[") | t.startswith("{"), let(begun(s, i), lambda x: opened(x, t, i))),
+                (F.btrim(t, F.lit(" \t\r\f\x0b")) == "", s),
+                otherwise=let(begun(s, i), lambda x: choose((t.contains(_LINE_END), _put(x, _STATE, line=after)), otherwise=x)))
         return let(F.get(tokens, i - 1), by_token)
 
     # a chunk that leaves brackets open is one item

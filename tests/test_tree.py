@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspark.fixtures import fx
 from quillspark.operators import decls as D
-from quillspark.operators.tree import encode, nodes, reveal
+from quillspark.operators.tree import _line_ends, encode, nodes, reveal
 
 SF = "/root/testdata/sf0.001"
 KEY = ["file_id"]
@@ -75,3 +75,26 @@ def test_split_top_is_linear(spark):
     start = time.time()
     out = spark.createDataFrame([(text,)], "t string").select(D.split_top(F.col("t")).alias("p")).first().p
     assert len(out) == 20_002 and out[0] == "a int" and out[1].count(",") == 1 and time.time() - start < 30
+
+
+def test_folds_test_signs_one_by_one(spark):
+    """``isin`` inside a fold took a quarter of the node table's time."""
+    from quillspark.operators import links as LK
+    df = spark.createDataFrame([(1, "x", [("name", "F")])], "file_id long, content string, tokens array<struct<kind:string,content:string>>")
+    text = F.col("content")
+    for out in (nodes(df, KEY, text=True), df.select(D.split_top(text), D.balanced(text)), df.select(LK.type_pieces(text)),
+                df.select(LK.highlight_blocks(F.col("tokens"), text))):
+        plan = out._jdf.queryExecution().analyzed().numberedTreeString() + " ".join(e.sql() for e in _expressions(out))
+        assert "lambda" in plan and " IN (" not in plan
+
+
+def _expressions(df):
+    found = df._jdf.queryExecution().analyzed().expressions()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_signs_and_line_ends_of_encoded_texts(spark):
+    texts = ["", None, "plain", "a // b ( c\n`{\n}` 'x' \"y\"", "\x02\x03 \n\x04\x05", "/* a\n\nb */ c\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(reveal(encode(F.col("t"))).alias("r"), _line_ends(encode(F.col("t"))).alias("n")).collect()
+    assert [(r.r, r.n) for r in rows] == [(t, None if t is None else t.count("\n")) for t in texts]
+    assert spark.range(1).select(reveal(F.lit("\ue028x\ue00a\ue0ff"))).first()[0] == "(x\n\ue0ff"
