@@ -109,13 +109,8 @@ FROM d s JOIN d m ON m.kind = 'method' AND m.receiver_key = s.name
   AND regexp_extract(m.path, '^(.*)/[^/]*$', 1) = regexp_extract(s.path, '^(.*)/[^/]*$', 1)
 WHERE s.kind = 'struct'""")
 def j1_owner_methods(spark, sf_dir):
-    d = fx1_decls(spark, sf_dir)
-    files = fx(spark, sf_dir, "fx1_files").select(*K, dir_of("path").alias("package"))
-    d = d.join(files.hint("merge"), K)
-    owners = d.filter(F.col("kind") == "struct").select("package", "file_id", F.col("name").alias("owner"))
-    meths = d.filter(F.col("kind") == "method").select("package", F.col("receiver_key").alias("owner"),
-                                                       F.col("name").alias("method"), F.col("file_id").alias("method_file"))
-    return owners.join(meths.hint("merge"), ["package", "owner"]).select("file_id", "owner", "method", "method_file")
+    owners, meths = owners_and_methods(spark, sf_dir)
+    return D.owner_methods(owners.filter(F.col("kind") == "struct"), meths, how="inner").select("file_id", "owner", "method", "method_file")
 
 
 J1_SQL = DECLS_SQL + """
@@ -127,8 +122,10 @@ J1_SQL = DECLS_SQL + """
 
 def owners_and_methods(spark, sf_dir):
     """All named types with their package, and all methods by package and receiver key."""
-    d = fx1_decls(spark, sf_dir).join(fx(spark, sf_dir, "fx1_files").select(*K, dir_of("path").alias("package")).hint("merge"), K)
-    return (d.filter(F.col("kind").isin("struct", "interface", "type", "functype")).select("package", F.col("name").alias("owner"), *K, "kind"),
+    d = fx1_decls(spark, sf_dir).filter(F.col("kind").isin("struct", "interface", "type", "functype", "method")).select(*K, "kind", "name", "receiver_key")
+    # read twice below
+    d = kept(d.join(fx(spark, sf_dir, "fx1_files").select(*K, dir_of("path").alias("package")).hint("merge"), K))
+    return (d.filter(F.col("kind") != "method").select("package", F.col("name").alias("owner"), *K, "kind"),
             d.filter(F.col("kind") == "method").select("package", F.col("receiver_key").alias("owner"), F.col("name").alias("method"),
                                                        F.col("file_id").alias("method_file")))
 

@@ -54,6 +54,25 @@ def test_tables_that_grow_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in _plan(QS[name](spark, SF))
 
 
+@pytest.mark.parametrize("name", ["j1_owner_methods", "j1_types_and_methods", "j1_types_with_methods"])
+def test_owners_and_methods_are_parsed_once(spark, monkeypatch, name):
+    """Both sides of the join read one table of declarations; no text is parsed for either, and nothing is broadcast for the table."""
+    from quillspark.plans import queries_decls
+    plans, keep = [], queries_decls.kept
+    monkeypatch.setattr(queries_decls, "kept", lambda df: (plans.append(_plan(df)), keep(df))[1])
+    plan = _plan(QS[name](spark, SF))
+    assert "SortMergeJoin" in plan and "RoundRobinPartitioning" not in plan
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastExchange" not in plans[0] + plan
+
+
+def test_rows_of_package_documents_are_not_broadcast(spark, monkeypatch):
+    from quillspark.plans import queries_output
+    plans, write = [], queries_output.write_per_group
+    monkeypatch.setattr(queries_output, "write_per_group", lambda rows, *a: (plans.append(_plan(rows)), write(rows, *a)))
+    QS["s4_per_package_documents"](spark, SF)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastExchange" not in plans[0]
+
+
 @pytest.mark.parametrize("name", ["a8_example_shapes", "a9_example_shapes"])
 def test_examples_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in _plan(QS[name](spark, SF))
