@@ -32,12 +32,22 @@ _OPEN, _CLOSE = "([{", ")]}"
 
 
 # --- brackets of any depth ----------------------------------------------------
+def even(depth: int, other: str = "") -> str:
+    """Pattern of brackets that close, with others in them up to ``depth`` and no sign of ``other``: most need no fold.
+
+    Repeats are counted, as a pattern's stack grows with them.
+    """
+    plain = rf"[^()\[\]{{}}{other}]"
+    return rf"[(\[{{](?:{plain}++|{even(depth - 1, other)}){{0,60}}+[)\]}}]" if depth else rf"[(\[{{]{plain}*+[)\]}}]"
+
+
 def _ends(piece: Column, signs: str) -> Column:
     return reduce(or_, [piece.endswith(sign) for sign in signs])
 
 
 def balanced(s: Column) -> Column:
     """The bracketed beginning of ``s`` up to its matching bracket; empty if it begins with none or never closes."""
+    short = F.regexp_extract(s, rf"^{even(2)}", 0)
     pieces = F.regexp_extract_all(s, F.lit(r"[^()\[\]{}]*[()\[\]{}]"), F.lit(0))
     state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(False).alias("done"))
 
@@ -46,7 +56,7 @@ def balanced(s: Column) -> Column:
         return F.when(a["done"], a).otherwise(F.struct(depth.alias("depth"), (a["at"] + F.length(piece)).alias("at"),
                                                        (depth <= 0).alias("done")))
 
-    return F.when(s.rlike(r"^[(\[{]"), F.aggregate(
+    return F.when(short != "", short).when(s.rlike(r"^[(\[{]"), F.aggregate(
         pieces, state, step, lambda a: F.when(a["done"], F.substr(s, F.lit(1), a["at"])).otherwise(""))).otherwise("")
 
 
@@ -59,7 +69,10 @@ def split_top(s: Column) -> Column:
                 F.when((depth == 0) & piece.endswith(","), F.concat(F.substr(piece, F.lit(1), F.length(piece) - 1), F.lit("\x01"))).otherwise(piece))
 
     marked = F.array_join(scan(pieces, F.lit(0), step, "string"), "")
-    return F.filter(F.transform(F.split(marked, "\x01"), lambda x: F.trim(x)), lambda x: x != "")
+    within = even(2, r"\x01")
+    items = F.when(s.rlike(rf"\A(?:[^()\[\]{{}}\x01]++|{within}){{0,60}}+\z"), F.regexp_extract_all(s, F.lit(rf"(?:[^()\[\]{{}},\x01]++|{within}){{1,60}}+"), F.lit(0))) \
+        .otherwise(F.split(marked, "\x01"))
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _without_type_params(t: Column) -> Column:

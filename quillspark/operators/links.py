@@ -46,7 +46,11 @@ def type_pieces(text: Column) -> Column:
                          F.when(F.trim(p) == "", s["last"]).otherwise(p).alias("last"))
         ident = word & ~plain & ~one_of(p, "map", "chan", "func", "struct", "interface")
         return after, F.struct(p.alias("piece"), ident.alias("ident"))
-    return scan(pieces, start, step, "struct<piece:string,ident:boolean>")
+    # a name alone, or with signs before it, needs no fold
+    signs, word = F.regexp_extract(text, rf"\A([^A-Za-z0-9_()\[\]{{}},]*+){name}\z", 1), F.regexp_extract(text, rf"({name})\z", 1)
+    own = F.struct(word.alias("piece"), (~one_of(word, "map", "chan", "func", "struct", "interface")).alias("ident"))
+    short = F.when(signs == "", F.array(own)).otherwise(F.array(F.struct(signs.alias("piece"), F.lit(False).alias("ident")), own))
+    return F.when(text.rlike(rf"\A[^A-Za-z0-9_()\[\]{{}},]*+{name}\z"), short).otherwise(scan(pieces, start, step, "struct<piece:string,ident:boolean>"))
 
 
 # --- J8 -----------------------------------------------------------------------

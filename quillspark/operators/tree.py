@@ -31,6 +31,18 @@ _COMMENT, _LITERAL = r"\x02[^\x03]*+\x03", r"\x04[^\x05]*+\x05"
 #: Tokens of an encoded chunk.  Outside type declarations a block of indented lines up to a brace in column 0 is one token.
 _PIECE = rf"{_COMMENT}|{_LITERAL}|[()\[\]{{}};]|[ \t]*+\n|[^\x02\x04()\[\]{{}};\n]++"
 _BODY = r"\{[^\n{}]*+\n(?:(?:[ \t][^\n]*+)?+\n)*+\}"
+
+
+def _even(depth: int) -> str:
+    """Round and square brackets that close on their line, with others in them up to ``depth``; repeats are counted, as a pattern's stack grows with them."""
+    inner = r"[^\x02\x04()\[\]{};\n]"
+    return rf"[(\[](?:{inner}++|{_even(depth - 1)}){{0,60}}+[)\]]" if depth else rf"[(\[]{inner}*+[)\]]"
+
+
+#: Code with such brackets in it is one token: they open no list where no keyword of a group stands before one, and all else that they hold is only counted.
+_RUN = rf"(?=[ \t\r\f\x0b]*+[^ \t\r\f\x0b\x02\x04()\[\]{{}};\n])(?:(?![ \t]*+\n)[^\x02\x04()\[\]{{}};\n]++|{_even(2)}){{1,60}}+"
+_LONG_PIECE = _PIECE.replace(r"|[ \t]*+\n|", rf"|[ \t]*+\n|{_RUN}|")
+_GROUP_OPENS = rf"\b(?:type|var|const|import)(?:\s|{_COMMENT})*+\("
 _GO_ON = r"[-+*/%&|^<>=!,.:~]\s*\z"
 _WORDS = "type|func|var|const|import|package"
 _LINE_END = chr(0xE000 + ord("\n"))
@@ -159,13 +171,15 @@ _GROUP = r"^(type|var|const|import)\s*$"
 
 
 def _tokens(word: Column, chunk: Column) -> Column:
-    plain = F.regexp_extract_all(chunk, F.lit(_PIECE), F.lit(0))
-
     def even(t: Column) -> Column:
         return F.length(F.translate(t, "([{", "")) == F.length(F.translate(t, ")]}", ""))
-    coarse = let(F.regexp_extract_all(chunk, F.lit(rf"{_BODY}|{_PIECE}"), F.lit(0)),
-                 lambda p: F.when(F.forall(p, lambda t: ~t.startswith("{\n") | even(t)), p).otherwise(plain))
-    return F.concat(F.when(word == "type", plain).otherwise(coarse), F.array(F.lit("\n")))
+
+    def cut(piece: str) -> Column:
+        plain = F.regexp_extract_all(chunk, F.lit(piece), F.lit(0))
+        coarse = let(F.regexp_extract_all(chunk, F.lit(rf"{_BODY}|{piece}"), F.lit(0)),
+                     lambda p: F.when(F.forall(p, lambda t: ~t.startswith("{\n") | even(t)), p).otherwise(plain))
+        return F.when(word == "type", plain).otherwise(coarse)
+    return F.concat(F.when(chunk.rlike(_GROUP_OPENS), cut(_PIECE)).otherwise(cut(_LONG_PIECE)), F.array(F.lit("\n")))
 
 
 def _fold(tokens: Column, first_line: Column) -> Column:
@@ -259,9 +273,21 @@ def _fold(tokens: Column, first_line: Column) -> Column:
         return let(F.get(tokens, i - 1), by_token)
 
     # a chunk that leaves brackets open is one item
-    whole = item(_put(ground, _LEVEL, id=F.lit(1), a=F.lit(1), line=first_line.cast("int")), F.size(tokens), first_line.cast("int"))
-    return let(fold(F.size(tokens), zero, step, _ITEM_TYPE), lambda r: let((r["s"]["opaque"] > 0) | (F.size(r["s"]["around"]) > 0), lambda left: F.struct(
-        F.when(left, F.array(whole)).otherwise(r["out"]).alias("items"), left.alias("left"))))
+    first = _put(ground, _LEVEL, id=F.lit(1), a=F.lit(1), line=first_line.cast("int"))
+    whole = item(first, F.size(tokens), first_line.cast("int"))
+    # a chunk of one line, or of a function's head and its body as one token, needs no fold: its one item ends at the first line end
+    head, block = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))
+
+    def ends_after(k: int) -> Column:
+        return F.forall(F.slice(tokens, k + 1, F.size(tokens)), lambda t: t.endswith("\n"))
+
+    def only(x: Column) -> Column:
+        return F.struct(F.array(x).alias("items"), F.lit(False).alias("left"))
+    bodied = block.startswith("{") & (F.length(block) > 1) & head.rlike(r"^func\b") & ~head.rlike(r"\b(?:struct|interface)\s*$") & ends_after(2)
+    line = only(item(first, F.lit(2), first_line.cast("int")))
+    body = only(item(_put(first, _LEVEL, open=F.lit(2)), F.lit(3), (first_line + _line_ends(block)).cast("int")))
+    return choose((block.endswith("\n") & ends_after(1) & ~head.rlike(_GO_ON), line), (bodied, body), otherwise=let(fold(F.size(tokens), zero, step, _ITEM_TYPE), lambda r: let((r["s"]["opaque"] > 0) | (F.size(r["s"]["around"]) > 0), lambda left: F.struct(
+        F.when(left, F.array(whole)).otherwise(r["out"]).alias("items"), left.alias("left")))))
 
 
 def nodes(files: DataFrame, key: Sequence[str], content_col: str = "content", text: bool = False,

@@ -98,3 +98,39 @@ def test_signs_and_line_ends_of_encoded_texts(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(reveal(encode(F.col("t"))).alias("r"), _line_ends(encode(F.col("t"))).alias("n")).collect()
     assert [(r.r, r.n) for r in rows] == [(t, None if t is None else t.count("\n")) for t in texts]
     assert spark.range(1).select(reveal(F.lit("\ue028x\ue00a\ue0ff"))).first()[0] == "(x\n\ue0ff"
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_short_cuts_give_the_rows_of_the_fold(spark, monkeypatch):
+    """Even brackets in one token, and chunks of one item without a fold: the same rows as token by token."""
+    from quillspark.operators import tree
+    src = ["func (o *O[T]) Get(k U, w map[string]*W) (T, *a.I) \n\nfunc x() {\n\treturn f(a[1])\n}\n", "type (A = int; B struct { P *A })\nvar (a = f(g(h(i(1))))\n\tb = 2)\n", "type H func(a, chan<- l.E) error // c\n",
+           "type A int;var (x = 1)\n/*c*/var (y)\nvar q = f(1) +\n\t2\nvar r =\n\tf(3)\n", "func a(\n\tb int,\n) (c int) \n{\n}\nfunc d() (\nfunc e)\n", "type I interface { Do(a int) error; ~[]int }\nconst c = d(1) \r\n"]
+    files = spark.createDataFrame(list(enumerate(src)), "file_id long, content string")
+    found = _rows(nodes(files, KEY, text=True))
+    monkeypatch.setattr(tree, "_LONG_PIECE", tree._PIECE)
+    assert _rows(nodes(files, KEY, text=True)) == found and len(found) > 20
+
+
+def test_simple_texts_need_no_fold(spark):
+    """A text of even brackets gives what the same text gives in brackets too deep for the pattern."""
+    from quillspark.operators import links as LK
+    df = spark.createDataFrame([("a, b int, f func(x, y [2]int) (z), g",), (" , ",), ("*a.B",), ("chan",), ("a.b.c",), ("[T any](x)",), ("(a]b",), (None,)], "t string")
+    t = F.col("t")
+    rows = {r.t: r for r in df.select(t, D.split_top(t).alias("s"), D.balanced(t).alias("b"), LK.type_pieces(t).alias("p")).collect()}
+    assert rows["a, b int, f func(x, y [2]int) (z), g"].s == ["a", "b int", "f func(x, y [2]int) (z)", "g"] and rows[" , "].s == [] and rows[None].s == []
+    assert [rows[x].b for x in ("[T any](x)", "(a]b", "chan", None)] == ["[T any]", "(a]", "", ""]
+    assert [[tuple(p) for p in rows[x].p] for x in ("*a.B", "chan", "a.b.c")] == [[("*", False), ("a.B", True)], [("chan", False)], [("a.b", True), (".", False), ("c", True)]]
+    deep = "a, " + "(" * 9 + "b, c" + ")" * 9 + ", " + "[x], " * 90
+    out = spark.createDataFrame([(deep,)], "t string").select(D.split_top(F.col("t")).alias("s"), D.balanced(F.substr(F.col("t"), F.lit(4))).alias("b")).first()
+    assert out.s == ["a", "(" * 9 + "b, c" + ")" * 9, *["[x]"] * 90] and out.b == "(" * 9 + "b, c" + ")" * 9
+
+
+def test_most_chunks_are_one_token_a_line(spark):
+    """A signature was some twenty tokens, each a step of the fold."""
+    from quillspark.operators.tree import _tokens
+    c = spark.createDataFrame([("func", "func (o *O[T]) Get(k U, w map[string]*W, v ...T) (T, *a.I)\n")], "word string, chunk string")
+    assert len(c.select(_tokens(F.col("word"), F.col("chunk"))).first()[0]) == 3
