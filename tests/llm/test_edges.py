@@ -143,6 +143,30 @@ def test_mixing(docs, spark):
     _pfair([p for _, p in blocks], weights)
 
 
+def test_unnamed_sources_are_mixed(spark):
+    """Sources without a weight, one of them hot, take turns in their pool; named ones keep the order by hash."""
+    sizes = {"src0": 90, "hot": 700, "a": 41, "b": 40, "c": 40, None: 7, "": 3, "src9": 1}
+    data = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    df = spark.createDataFrame(data, "doc_id long, source string")
+    got = mixing.mix_sources(df, block=16, parts=8).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(data)))
+    order = [r.source for r in sorted(got, key=lambda r: (r.block, r.in_block)) if r.pool == mixing.OTHER]
+    free = sorted(((n, s) for s, n in sizes.items() if s != "src0"), key=lambda x: -x[0])
+    assert [(r.block, r.in_block) for r in sorted(got, key=lambda r: r.slot * 16 + r.in_block) if r.pool == mixing.OTHER] == [divmod(k, 16) for k in range(len(order))]
+    turns = [[s for n, s in free if n > k] for k in range(700)]
+    at = 0
+    for left in turns:  # each turn has every source that is left once
+        assert sorted(map(str, order[at:at + len(left)])) == sorted(map(str, left))
+        at += len(left)
+    assert at == len(order)
+    # as many sources as rows
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("u"), "id").alias("source"))
+    assert sorted((r.block, r.in_block) for r in mixing.mix_sources(many, parts=8).collect()) == [divmod(k, mixing.BLOCK) for k in range(3000)]
+    # the pipeline's stage: the hot source has no more of the first places than the others
+    mixed = corpus_pipeline.mixture(spark, df.filter("source in ('hot', 'a', 'b', 'c')").withColumn("text", F.lit("x")), None).orderBy("slot").limit(160).collect()
+    assert {s: sum(r.source == s for r in mixed) for s in ("hot", "a", "b", "c")} == dict.fromkeys(("hot", "a", "b", "c"), 40)
+
+
 def test_mixing_order(docs):
     df = mixing.in_order(mixing.mix_sources(docs), *docs.columns)
     assert df.columns == docs.columns and df.count() == len(DOCS)
