@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lines import comment_blocks
-from .tree import IDENT, NAMES, let, reveal, scan
+from .tree import IDENT, NAMES, choose, let, reveal, scan
 
 # ordered classification of a declaration's first line: (kind, regex, name group); type
 # parameters are taken out before (see _without_type_params)
@@ -365,22 +365,29 @@ def param_rows(lists: DataFrame, key: Sequence[str], list_col: str = "list_text"
     """One row per parameter of ``list_col`` with name and type; ``a, b T`` gives two.
 
     ``lists`` has one row per (key, decl_line, role) list; all roles are
-    handled in one pass (windows partitioned by the file key + group).  An
+    handled in one pass, each list inside its row.  An
     empty list keeps one row with a null ``pos`` so every declaration stays
     present downstream (``carry`` columns ride along).
     """
     grp = [*key, *group]
-    x = lists.select(*grp, *carry, F.posexplode_outer(split_top(F.col(list_col))).alias("pos", "item"))
-    named_list = F.max(F.col("item").rlike(rf"^(?!(?:chan|func|struct|interface|map)\b){IDENT}\s+\S").cast("int")).over(Window.partitionBy(*grp))
-    x = x.withColumn("__named", named_list == 1)
-    name = F.when(F.col("__named"), F.regexp_extract("item", rf"^({IDENT})", 1))
-    typ = F.when(F.col("__named"), F.nullif(F.trim(F.regexp_replace("item", rf"^{IDENT}\s*", "")), F.lit(""))) \
-        .otherwise(F.col("item"))
-    back = Window.partitionBy(*grp).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("name", name).withColumn("type_text", typ) \
-        .withColumn("type_text", F.last("type_text", ignorenulls=True).over(back))
-    return x.select(*grp, *carry, F.col("pos").cast("long").alias("pos"),
-                    F.when(F.col("pos").isNotNull(), F.coalesce("name", F.lit(""))).alias("name"), "type_text")
+
+    def pairs(items: Column) -> Column:
+        def of(named: Column) -> Column:
+            return F.transform(items, lambda x: F.struct(
+                F.when(named, F.regexp_extract(x, rf"^({IDENT})", 1)).otherwise("").alias("name"),
+                F.when(named, F.nullif(F.trim(F.regexp_replace(x, rf"^{IDENT}\s*", "")), F.lit(""))).otherwise(x).alias("type_text")))
+        return let(F.exists(items, lambda x: x.rlike(rf"^(?!(?:chan|func|struct|interface|map)\b){IDENT}\s+\S")), of)
+
+    def filled(all_pairs: Column) -> Column:
+        """A name without a type has that of the next one with a type."""
+        def step(after: Column, p: Column) -> tuple[Column, Column]:
+            kind = F.coalesce(p["type_text"], after)
+            return kind, F.struct(p["name"].alias("name"), kind.alias("type_text"))
+        last = F.lit(None).cast("string")
+        return choose((F.forall(all_pairs, lambda p: p["type_text"].isNotNull()), all_pairs),
+                      otherwise=F.reverse(scan(F.reverse(all_pairs), last, step, "struct<name:string,type_text:string>")))
+    return lists.select(*grp, *carry, F.posexplode_outer(let(let(split_top(F.col(list_col)), pairs), filled)).alias("pos", "p")) \
+        .select(*grp, *carry, F.col("pos").cast("long").alias("pos"), "p.name", "p.type_text")
 
 
 def signature_lists(sig: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -487,8 +494,8 @@ def import_part(files: DataFrame, content_col: str = "content") -> DataFrame:
     return files.withColumn(content_col, F.when(last != "", F.concat(last, block)).otherwise(F.when(text.isNotNull(), "")))
 
 
-def imports(ln: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Import specs (block or single-line form): ``key, line_no, pos, alias, import_path, doc``."""
+def imports(ln: DataFrame, key: Sequence[str], docs: bool = True) -> DataFrame:
+    """Import specs (block or single-line form): ``key, line_no, pos, alias, import_path, doc``; without ``docs`` no ``doc``, and no comment is looked at."""
     w = Window.partitionBy(*key).orderBy("line_no")
     t = F.col("text")
     start = F.when(t.rlike(r"^import\s*\(\s*$"), F.lit(1)).when(t.rlike(r"^\)"), F.lit(0))
@@ -497,10 +504,11 @@ def imports(ln: DataFrame, key: Sequence[str]) -> DataFrame:
     in_block = (F.col("__st") == 1) & ~t.rlike(r"^\)")
     single = t.rlike(r'^import\s+(?:[A-Za-z_.][A-Za-z0-9_]*\s+)?"')
     specs = x.filter((in_block & t.rlike(spec_rx)) | single)
-    blocks = comment_blocks(ln, key).select(*key, (F.col("block_end") + 1).alias("line_no"), "doc")
     out = specs.select(*key, "line_no", F.regexp_extract(t, spec_rx, 1).alias("alias"),
-                       F.regexp_extract(t, spec_rx, 2).alias("import_path")) \
-        .join(blocks.hint("merge"), [*key, "line_no"], "left").withColumn("doc", F.coalesce("doc", F.lit("")))
+                       F.regexp_extract(t, spec_rx, 2).alias("import_path"))
+    if docs:
+        blocks = comment_blocks(ln, key).select(*key, (F.col("block_end") + 1).alias("line_no"), "doc")
+        out = out.join(blocks.hint("merge"), [*key, "line_no"], "left").withColumn("doc", F.coalesce("doc", F.lit("")))
     return out.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
 
 

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import anchor_id, escape_entities, module_short_name
-from .aggregates import ordered_join
 from .decls import balanced, interface_members, method_heads, param_rows, signature_lists, signature_parts, split_top
 from .modules import explode_slash_prefixes
 from .refs import BUILTIN_TYPES, EXTERNAL_DOC_URL
-from .tree import IDENT, one_of, scan
+from .tree import IDENT, choose, let, one_of, scan
 from ..sources.sinks import kept
 
 #: Link modes: none, anchors of known modules, and these with documentation URLs of other packages.
@@ -21,6 +22,11 @@ MODES = ("off", "internal", "external")
 SPREAD = 16
 
 
+#: Texts without ``func``, ``struct``, ``interface``, numbers and braces whose square brackets are empty or right behind a name; repeats are counted, as a pattern's stack grows with them.
+_NAME = r"[A-Za-z_][A-Za-z0-9_]*+"
+_ALL_NAMES = rf"\A(?:[^A-Za-z0-9_\[{{}}]++|\[\]|(?!(?:func|struct|interface)\b|chan\[){_NAME}(?:\.{_NAME})?+\[?+){{0,60}}+\z"
+
+
 # --- positions ----------------------------------------------------------------
 def type_pieces(text: Column) -> Column:
     """A type text cut into ``(piece, ident)``; together the pieces are the text.
@@ -50,7 +56,10 @@ def type_pieces(text: Column) -> Column:
     signs, word = F.regexp_extract(text, rf"\A([^A-Za-z0-9_()\[\]{{}},]*+){name}\z", 1), F.regexp_extract(text, rf"({name})\z", 1)
     own = F.struct(word.alias("piece"), (~one_of(word, "map", "chan", "func", "struct", "interface")).alias("ident"))
     short = F.when(signs == "", F.array(own)).otherwise(F.array(F.struct(signs.alias("piece"), F.lit(False).alias("ident")), own))
-    return F.when(text.rlike(rf"\A[^A-Za-z0-9_()\[\]{{}},]*+{name}\z"), short).otherwise(scan(pieces, start, step, "struct<piece:string,ident:boolean>"))
+    # nor does a text without function, struct and interface types and array lengths: all its names count
+    every = F.transform(pieces, lambda p: F.struct(p.alias("piece"), (p.rlike(rf"^{IDENT}") & ~one_of(p, "map", "chan")).alias("ident")))
+    return F.when(text.rlike(rf"\A[^A-Za-z0-9_()\[\]{{}},]*+{name}\z"), short).when(text.rlike(_ALL_NAMES), every) \
+        .otherwise(scan(pieces, start, step, "struct<piece:string,ident:boolean>"))
 
 
 # --- J8 -----------------------------------------------------------------------
@@ -65,7 +74,7 @@ def linked_texts(rows: DataFrame, key: Sequence[str], text_col: str, file: Seque
                  scope: DataFrame | None = None, scope_key: Sequence[str] = (), mode: str = "external", separate: bool = False, html: bool = False) -> DataFrame:
     """``rows`` with ``linked``: ``text_col`` with its identifiers linked, the rest in place.
 
-    ``key`` identifies a row, ``file`` are the columns by which ``aliases(file…, alias_key, import_path)`` belong to it, and
+    ``key`` identifies a row, ``file`` are the columns by which ``aliases(file…, alias_key, import_path)``, one row for each key, belong to it, and
     ``scope(scope_key…, name)`` are the type parameters in force (the declaration's own and its owner's).
     Type parameters, builtin types and unknown aliases stay plain.  Own names link to their anchor in ``own_package``; names of a
     package in one of ``modules(name)`` to an anchor, with ``separate`` documents to that module's
@@ -77,39 +86,52 @@ def linked_texts(rows: DataFrame, key: Sequence[str], text_col: str, file: Seque
     escape = escape_entities if html else (lambda c: c)
     if mode == "off":
         return rows.withColumn("linked", escape(F.col(text_col)))
-    kept = [c for c in dict.fromkeys([*key, *file, *scope_key])]
-    x = rows.select(*kept, own_package.alias("__own"), F.posexplode_outer(type_pieces(F.col(text_col))).alias("__pos", "__p")) \
-        .select(*kept, "__own", "__pos", "__p.piece", F.coalesce("__p.ident", F.lit(False)).alias("__ident"))
-    bare = F.col("__ident") & ~F.col("piece").isin(*BUILTIN_TYPES)
-    x = x.withColumn("__alias", F.when(bare & F.col("piece").contains("."), F.substring_index("piece", ".", 1))) \
-        .withColumn("__name", F.when(bare, F.substring_index("piece", ".", -1)))
-    # aliases meet their modules before the pieces meet the aliases: most pieces have no import path, and one task would read all of
-    # them; a path that very many files import is spread over SPREAD tasks.  Nothing that grows with the corpus is broadcast.
+    # the imports of a file with their modules are a map, the names in force a set, and both meet the rows: a text is cut, linked and put together
+    # in its row.  A path that very many files import is spread over SPREAD tasks.  Nothing that grows with the corpus is broadcast.
     targets = _targets(aliases.select("import_path").distinct(), modules).withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    known = aliases.select(*file, F.col("alias_key").alias("__alias"), "import_path").withColumn("__turn", F.pmod(F.xxhash64(*file), F.lit(SPREAD)).cast("int")) \
-        .join(targets.hint("merge"), ["import_path", "__turn"], "left").drop("__turn")
-    x = x.join(known.hint("merge"), [*file, "__alias"], "left")
+    known = aliases.select(*file, "alias_key", "import_path").withColumn("__turn", F.pmod(F.xxhash64(*file), F.lit(SPREAD)).cast("int")) \
+        .join(targets.hint("merge"), ["import_path", "__turn"], "left") \
+        .groupBy(*file).agg(F.map_from_entries(F.collect_list(F.struct("alias_key", F.struct("import_path", "__module")))).alias("__known"))
+    x = rows.withColumn("__own", own_package)
     if scope is not None:
-        s = scope.select(*scope_key, F.col("name").alias("piece")).distinct().withColumn("__param", F.lit(True))
-        x = x.join(s.hint("merge"), [*scope_key, "piece"], "left")
-    else:
-        x = x.withColumn("__param", F.lit(None).cast("boolean"))
-    inner, outer = F.col("__module").isNotNull(), F.col("import_path").isNotNull() & F.lit(mode == "external")
-    here, there = anchor_id(F.col("__own"), F.col("__name")), anchor_id(F.col("import_path"), F.col("__name"))
-    url = F.concat(F.lit(EXTERNAL_DOC_URL), "import_path", F.lit("#"), "__name")
-    if html:
-        link = lambda to: F.concat(F.lit('<a href="'), to, F.lit('">'), escape(F.col("__name")), F.lit("</a>"))
-        dotted = F.concat(escape(F.col("__alias")), F.lit("."))
-        own, module, other = link(F.concat(F.lit("#"), here)), F.concat(dotted, link(F.concat(F.lit("#"), there))), F.concat(dotted, link(url))
+        x = x.join(scope.groupBy(*scope_key).agg(F.collect_set("name").alias("__params")).hint("merge"), list(scope_key), "left")
     else:
-        own = F.format_string("<<%s,%s>>", here, "piece")
-        file_link = F.format_string("link:%s.adoc#%s[%s]", module_short_name("__module"), there, "piece")
-        module = file_link if separate else F.format_string("<<%s,%s>>", there, "piece")
-        other = F.concat(F.lit("link:"), url, F.lit("["), "piece", F.lit("]"))
-    text = F.when(F.col("__name").isNull() | F.coalesce("__param", F.lit(False)), escape(F.col("piece"))) \
-        .when(F.col("__alias").isNull(), own).when(inner, module).when(outer, other).otherwise(escape(F.col("piece")))
-    done = x.groupBy(*key).agg(ordered_join(["__pos"], F.coalesce(text, F.lit("")), "").alias("linked"))
-    return rows.join(done.hint("merge"), list(key), "left")
+        x = x.withColumn("__params", F.lit(None).cast("array<string>"))
+    x = x.join(known.hint("merge"), list(file), "left")
+
+    def link(to: Column, name: Column) -> Column:
+        return F.concat(F.lit('<a href="'), to, F.lit('">'), escape(name), F.lit("</a>"))
+
+    def other(piece: Column, path: Column, module: Column) -> Column:
+        """A qualified name, of a package in a module or another one."""
+        name = F.substring_index(piece, ".", -1)
+        there, url = anchor_id(path, name), F.concat(F.lit(EXTERNAL_DOC_URL), path, F.lit("#"), name)
+        if html:
+            dotted = F.concat(escape(F.substring_index(piece, ".", 1)), F.lit("."))
+            inner, outer = F.concat(dotted, link(F.concat(F.lit("#"), there), name)), F.concat(dotted, link(url, name))
+        else:
+            file_link = F.format_string("link:%s.adoc#%s[%s]", module_short_name(module), there, piece)
+            inner = file_link if separate else F.format_string("<<%s,%s>>", there, piece)
+            outer = F.concat(F.lit("link:"), url, F.lit("["), piece, F.lit("]"))
+        return choose((module.isNotNull(), inner), (path.isNotNull() & F.lit(mode == "external"), outer), otherwise=escape(piece))
+
+    def own(piece: Column) -> Column:
+        here = anchor_id(F.col("__own"), piece)
+        return link(F.concat(F.lit("#"), here), piece) if html else F.format_string("<<%s,%s>>", here, piece)
+
+    def text(p: Column) -> Column:
+        return let(p["piece"], lambda piece: choose(
+            (~p["ident"] | piece.isin(*BUILTIN_TYPES) | F.coalesce(F.array_contains("__params", piece), F.lit(False)), escape(piece)),
+            (~piece.contains("."), own(piece)),
+            otherwise=let(F.col("__known")[F.substring_index(piece, ".", 1)], lambda t: other(piece, t["import_path"], t["__module"]))))
+    x = x.withColumn("__texts", F.transform(type_pieces(F.col(text_col)), text)).drop("__own", "__params", "__known")
+    # where a key stands more than once, the pieces of all its texts are one text
+    same = Window.partitionBy(*key)
+    x = x.withColumn("__n", F.count(F.lit(1)).over(same)).withColumn("__all", F.collect_list(F.when(F.col("__n") > 1, F.struct("__texts"))).over(same))
+    placed = F.flatten(F.transform("__all", lambda a: F.transform(a["__texts"], lambda t, i: F.struct(i.alias("k"), F.coalesce(t, F.lit("")).alias("v")))))
+    whole = F.coalesce(F.array_join(F.when(F.col("__n") == 1, F.col("__texts")).otherwise(F.sort_array(placed)["v"]), ""), F.lit(""))
+    keyed = reduce(and_, [F.col(c).isNotNull() for c in key])
+    return x.withColumn("linked", F.when(keyed, whole)).select(*rows.columns, "linked")
 
 
 # --- J13 ----------------------------------------------------------------------
@@ -151,7 +173,7 @@ def signature_params(nodes: DataFrame, decls: DataFrame, key: Sequence[str], pac
     members = interface_members(nodes, key)[0]
     funcs = decls.filter(F.col("kind").isin("func", "method", "functype"))
     parts = signature_parts(funcs.select(heads).unionByName(method_heads(members).select(heads)))
-    rows = kept(param_rows(signature_lists(parts, one), one, carry=["kind", "decl_name"]))  # read three times below
+    rows = kept(param_rows(signature_lists(parts, one), one, carry=["kind", "decl_name"]))  # read twice below
     generic = type_params(decls)
     owners = owner_type_params(decls.filter(F.col("kind") == "method"), generic, package)
     of_interface = members.join(generic.filter("kind = 'interface'").select(*key, F.col("name").alias("owner"), F.col("decl_line").alias("owner_line"), "type_params").hint("merge"),
@@ -159,9 +181,9 @@ def signature_params(nodes: DataFrame, decls: DataFrame, key: Sequence[str], pac
     scope = names_of(owners.filter("owner_params != ''"), "owner_params").select(*one, "name") \
         .unionByName(names_of(of_interface.filter("type_params != ''").drop("name"), "type_params").select(*one, "name")) \
         .unionByName(rows.filter("role = 'type_param' and name is not null").select(*one, "name"))
-    typed = rows.filter("role != 'type_param' and pos is not null")
-    linked = linked_texts(typed, [*one, "role", "pos"], "type_text", key, aliases, modules, own_package, scope, one, mode, separate, html)
-    return rows.filter("role = 'type_param' or pos is null").unionByName(linked.drop("type_text").withColumnRenamed("linked", "type_text"))
+    typed = (F.col("role") != "type_param") & F.col("pos").isNotNull()
+    linked = linked_texts(rows.withColumn("__text", F.when(typed, F.col("type_text"))), [*one, "role", "pos"], "__text", key, aliases, modules, own_package, scope, one, mode, separate, html)
+    return linked.withColumn("type_text", F.when(typed, F.col("linked")).otherwise(F.col("type_text"))).drop("__text", "linked")
 
 
 # --- W2 -----------------------------------------------------------------------
@@ -201,30 +223,51 @@ def highlight_blocks(tokens: Column, kind: Column) -> Column:
     like = one_of(kind, "func", "method", "interface_method")
     function = F.lit("hljs-function")
     start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("block"), F.lit(None).cast("string").alias("wrapper"))
+    out = "struct<block:int,wrapper:string,class:string,content:string>"
+
+    def begins_at(t: Column) -> Column:
+        k = t["kind"]
+        return ((k == "keyword") & (t["content"] == "func")) | ((k == "name") & (kind == "interface_method")) | ((k == "params") & (kind == "functype"))
+
+    def wraps_at(k: Column, inside: Column) -> Column:
+        return choose((one_of(k, "keyword", "text"), inside), (one_of(k, "name", "params"), inside | like), (k == "receiver", inside | one_of(kind, "func", "method")), otherwise=F.lit(False))
+
+    def class_of(k: Column) -> Column:
+        return choose(*[(k == name, F.lit(value)) for name, value in _CLASSES.items()], otherwise=F.lit(""))
 
     def step(s: Column, t: Column) -> tuple[Column, Column]:
         k = t["kind"]
-        begins = ((k == "keyword") & (t["content"] == "func")) | ((k == "name") & (kind == "interface_method")) | ((k == "params") & (kind == "functype"))
-        inside = ~one_of(k, "gap", "result") & (s["inside"] | begins)
-        wraps = F.when(one_of(k, "keyword", "text"), inside).when(one_of(k, "name", "params"), inside | like) \
-            .when(k == "receiver", inside | one_of(kind, "func", "method")).otherwise(False)
-        wrapper = F.when(wraps, function).otherwise("")
+        inside = ~one_of(k, "gap", "result") & (s["inside"] | begins_at(t))
+        wrapper = F.when(wraps_at(k, inside), function).otherwise("")
         block = s["block"] + F.when(s["wrapper"].eqNullSafe(wrapper), 0).otherwise(1)
-        css = None
-        for name, value in _CLASSES.items():
-            css = F.when(k == name, value) if css is None else css.when(k == name, value)
         return (F.struct(inside.alias("inside"), block.alias("block"), wrapper.alias("wrapper")),
-                F.struct(block.alias("block"), wrapper.alias("wrapper"), css.otherwise("").alias("class"), t["content"].alias("content")))
-    return scan(tokens, start, step, "struct<block:int,wrapper:string,class:string,content:string>")
+                F.struct(block.alias("block"), wrapper.alias("wrapper"), class_of(k).alias("class"), t["content"].alias("content")))
+
+    # where nothing begins a function after a result, it is the tokens from the first that begins one to before the first that ends one: no fold
+    def at_once(first: Column, stop: Column) -> Column:
+        wraps = F.transform(tokens["kind"], lambda k, i: wraps_at(k, (first > 0) & (i + 1 >= first) & ((stop == 0) | (i + 1 < stop))))
+
+        def cut(w: Column) -> Column:
+            turns = F.filter(F.transform(w, lambda x, i: F.when((i > 0) & (x != F.get(w, i - 1)), i)), lambda i: i.isNotNull())
+            return let(turns, lambda at: F.transform(tokens, lambda t, i: F.struct(
+                (F.size(F.filter(at, lambda k: k <= i)) + 1).alias("block"), F.when(F.get(w, i), function).otherwise("").alias("wrapper"),
+                class_of(t["kind"]).alias("class"), t["content"].alias("content"))))
+        return let(wraps, cut)
+
+    def by_form(b: Column, e: Column) -> Column:
+        first, stop = F.array_position(b, True), F.array_position(e, True)
+        last = F.when(first > 0, F.size(b) + 1 - F.array_position(F.reverse(b), True)).otherwise(0)
+        return choose(((F.size(tokens) <= 64) & ((stop == 0) | (last < stop)), at_once(first, stop).cast(f"array<{out}>")), otherwise=scan(tokens, start, step, out))
+    return let(F.transform(tokens, begins_at), lambda b: let(F.transform(tokens["kind"], lambda k: one_of(k, "gap", "result")), lambda e: by_form(b, e)))
 
 
 def block_markup(blocks: Column) -> Column:
     """The blocks as nested spans."""
     def span(css: Column, text: Column) -> Column:
         return F.when(css == "", text).otherwise(F.concat(F.lit('<span class="'), css, F.lit('">'), text, F.lit("</span>")))
-    ids = F.array_distinct(F.transform(blocks, lambda b: b["block"]))
+    ids = F.array_distinct(blocks["block"])
 
     def block(i: Column) -> Column:
-        own = F.filter(blocks, lambda b: b["block"] == i)
-        return span(own[0]["wrapper"], F.array_join(F.transform(own, lambda b: span(b["class"], b["content"])), ""))
+        return let(F.filter(blocks, lambda b: b["block"] == i),
+                   lambda own: span(F.get(own, F.lit(0))["wrapper"], F.array_join(F.transform(own, lambda b: span(b["class"], b["content"])), "")))
     return F.array_join(F.transform(ids, block), "")

@@ -79,7 +79,7 @@ def package_documents(files: DataFrame, modules: DataFrame, private: bool = Fals
     # read many times below: written once each, as are the tables that follow from them
     n = kept(nodes(files, key, text=True, words=("package", "type", "func", "var", "const")))
     header = D.import_part(files)
-    aliases = kept(R.alias_map(D.imports(L.lines(header, key, partition=False), key), key))
+    aliases = kept(R.alias_map(D.imports(L.lines(header, key, partition=False), key, docs=False), key))
     if mode != "off":
         told = linked_docs(n.filter("doc != ''").select(*key, "node", "doc"), [*key, "node"], key, aliases, modules)
         n = kept(n.drop("doc").join(told, [*key, "node"], "left").withColumn("doc", F.coalesce("doc", F.lit(""))))

@@ -35,7 +35,7 @@ def _parsed(spark, sf_dir):
 
 
 def _aliases(spark, sf_dir):
-    return kept(R.alias_map(D.imports(L.lines(D.import_part(fx(spark, sf_dir, "fx13_files")), K, partition=False), K), K))
+    return kept(R.alias_map(D.imports(L.lines(D.import_part(fx(spark, sf_dir, "fx13_files")), K, partition=False), K, docs=False), K))
 
 
 def _signature_params(spark, sf_dir, mode, separate=False, html=False):

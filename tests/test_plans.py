@@ -2,6 +2,7 @@
 no cartesian / nested-loop joins, Python only in the user-function operators,
 column pruning at the scans of the flagship."""
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.plans import catalog
 
@@ -91,3 +92,31 @@ def test_imports_need_the_import_part_only(spark):
     rows = lambda f: sorted(map(tuple, D.imports(L.lines(f, ["file_id"]), ["file_id"]).collect()))
     assert rows(D.import_part(files)) == rows(files) and len(rows(files)) >= 6
     assert D.import_part(files).filter("content like '%func%'").count() == 0
+
+
+@pytest.mark.parametrize("name", ["w2_signature_markup", "w2_signature_blocks"])
+def test_signatures_are_linked_in_their_rows(spark, name):
+    """Texts are cut, linked, put together and highlighted inside their rows: their pieces are no rows, and blocks aren't regrouped."""
+    plan = _plan(QS[name](spark, SF))
+    assert plan.count("Exchange hashpartitioning") <= 13 and "inline(blocks" not in plan
+
+
+def test_parameters_of_a_list_come_from_its_row(spark):
+    from quillspark.operators import decls as D
+    df = spark.createDataFrame([(1, "a, b int, c"), (1, ""), (2, "a, *b.C"), (3, "x, y, z []T, w map[K]V")], "decl_line int, list_text string").selectExpr("*", "'r' AS role", "0 AS file_id")
+    out = D.param_rows(df, ["file_id"])
+    assert "Exchange" not in _plan(out) and "Window" not in _plan(out)
+    assert sorted((r.decl_line, -1 if r.pos is None else r.pos, r.name, r.type_text) for r in out.collect()) == [
+        (1, -1, None, None), (1, 0, "a", "int"), (1, 1, "b", "int"), (1, 2, "c", None), (2, 0, "", "a"), (2, 1, "", "*b.C"),
+        (3, 0, "x", "[]T"), (3, 1, "y", "[]T"), (3, 2, "z", "[]T"), (3, 3, "w", "map[K]V")]
+
+
+def test_linked_texts_of_repeated_keys(spark):
+    """A key that stands twice has the pieces of both texts; a null in it links nothing."""
+    from quillspark.operators import links as LK
+    rows = spark.createDataFrame([(1, 0, "[]T"), (1, 0, "[]T"), (1, 1, "map[a.B]x.Y"), (None, 2, "T"), (2, 0, "a.B"), (2, 1, None)], "file_id long, pos int, t string")
+    aliases = spark.createDataFrame([(1, "a", "m/a"), (1, "x", "o/x")], "file_id long, alias_key string, import_path string")
+    modules, scope = spark.createDataFrame([("m",)], "name string"), spark.createDataFrame([(1, "K")], "file_id long, name string")
+    out = LK.linked_texts(rows, ["file_id", "pos"], "t", ["file_id"], aliases, modules, F.lit("p"), scope, ["file_id"])
+    got = sorted(((str(r.file_id), r.pos, r.linked) for r in out.collect()), key=str)
+    assert got == sorted([("1", 0, "[[]]<<p-T,T>><<p-T,T>>")] * 2 + [("1", 1, "map[<<m-a-B,a.B>>]link:https://pkg.go.dev/o/x#Y[x.Y]"), ("None", 2, None), ("2", 0, "a.B"), ("2", 1, "")], key=str)

@@ -134,3 +134,35 @@ def test_most_chunks_are_one_token_a_line(spark):
     from quillspark.operators.tree import _tokens
     c = spark.createDataFrame([("func", "func (o *O[T]) Get(k U, w map[string]*W, v ...T) (T, *a.I)\n")], "word string, chunk string")
     assert len(c.select(_tokens(F.col("word"), F.col("chunk"))).first()[0]) == 3
+
+
+def test_texts_of_names_need_no_fold(spark, monkeypatch):
+    from quillspark.operators import links as LK
+    texts = ["map[a.K][]*b.V", "Box[T, []al.Item]", "chan<- lib.Event", "...T", "[N]int", "chan[3]x", "func(a) b", "(A, x.B) | ~C", "T2[U]", "3x[y]", "a[b][c]", "[][]T", "map [K]V", "functor[func]", "struct{ A B }", "", "é[x]", "a.b.c[d]", "x" + ", y" * 80]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = _rows(df.select("t", LK.type_pieces(F.col("t")).alias("p")))
+    assert df.filter(F.col("t").rlike(LK._ALL_NAMES)).count() >= 7
+    monkeypatch.setattr(LK, "_ALL_NAMES", "(?!)")
+    assert _rows(df.select("t", LK.type_pieces(F.col("t")).alias("p"))) == found
+
+
+def test_blocks_of_any_tokens(spark):
+    """With and without the fold, against the rule token by token."""
+    import random
+    from quillspark.operators import links as LK
+    rng = random.Random(3)
+    kinds, forms = ["keyword", "text", "name", "typename", "receiver", "params", "gap", "result", "other"], ["func", "method", "functype", "interface_method"]
+    data = [(i, rng.choice(forms), [(rng.choice(kinds), rng.choice(["func", "x"])) for _ in range(rng.choice([0, 1, 3, 6, 9, 70]))]) for i in range(120)]
+    df = spark.createDataFrame(data, "i int, kind string, tokens array<struct<kind:string,content:string>>")
+    got = {r.i: r for r in df.select("i", LK.highlight_blocks(F.col("tokens"), F.col("kind")).alias("b")).withColumn("m", LK.block_markup(F.col("b"))).collect()}
+    for i, form, tokens in data:
+        inside, block, was, want = False, 0, None, []
+        for k, content in tokens:
+            begins = (k == "keyword" and content == "func") or (k == "name" and form == "interface_method") or (k == "params" and form == "functype")
+            inside = k not in ("gap", "result") and (inside or begins)
+            like = form != "functype" and (k in ("name", "params") or (k == "receiver" and form != "interface_method"))
+            wrapper = "hljs-function" if k in ("keyword", "text", "name", "params", "receiver") and (inside or like) else ""
+            block, was = block + (wrapper != was), wrapper
+            want.append((block, wrapper, LK._CLASSES.get(k, ""), content))
+        assert [tuple(b) for b in got[i].b] == want, i
+        assert got[i].m.count("hljs-function") == len({b[0] for b in want if b[1]})
