@@ -84,7 +84,9 @@ def w2_signature_markup(spark, sf_dir):
             CAST(contains(t, 'hljs-function') AS INTEGER) AS wraps FROM wanted)
 SELECT file_id, l AS decl_line, len(classes) AS n_classed, list_filter(classes, lambda c: c = 'params') = ['params', 'params'] AS with_receiver, wraps FROM parts""")
 def w2_signature_blocks(spark, sf_dir):
-    rows = _blocks(spark, sf_dir).select(*ONE, "decl_line", F.inline("blocks"))
-    return rows.groupBy(*ONE, "decl_line").agg(
-        F.count_if(F.col("class") != "").alias("n_classed"), (F.count_if(F.col("class") == "hljs-params") == 2).alias("with_receiver"),
-        F.count_distinct(F.when(F.col("wrapper") != "", F.col("block"))).cast("int").alias("wraps")).drop("node")
+    blocks = F.col("blocks")
+    classes = blocks["class"]
+    wrapped = F.filter(blocks, lambda b: b["wrapper"] != "")["block"]
+    return _blocks(spark, sf_dir).select(
+        *K, "decl_line", F.size(F.filter(classes, lambda c: c != "")).cast("long").alias("n_classed"),
+        (F.size(F.filter(classes, lambda c: c == "hljs-params")) == 2).alias("with_receiver"), F.size(F.array_distinct(wrapped)).alias("wraps"))
