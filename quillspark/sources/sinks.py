@@ -42,36 +42,81 @@ def write_merged(rows: DataFrame, out_dir: str, order: Sequence[str], text_col:
         kept.unpersist()
 
 
+#: Documents of a folder: their files are listed, committed and read by the driver at a time.
+FOLDER_DOCS = 25_000
+
+
 def write_lines(lines: DataFrame, out_dir: str, order: Sequence[str], doc_col: str | None = None, text_col: str = "text") -> None:
-    """Lines (no line ends in ``text_col``) as ordered text files, a folder ``doc_col=…`` for each document, or all as one document."""
+    """Lines (no line ends in ``text_col``) as ordered text files, a folder ``doc_col=…`` for each document, or all as one document.
+
+    The folders of documents are dealt to folders ``docs-…`` of about ``FOLDER_DOCS`` each, written one after the other: the driver never holds
+    the paths of all documents.
+    """
     from pyspark import StorageLevel
     docs = [doc_col] if doc_col else []
     kept = lines.select(*docs, *order, text_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        sorted_rows = kept.repartitionByRange(*docs, *order).sortWithinPartitions(*docs, *order).select(*docs, text_col)
-        writer = sorted_rows.write.mode("overwrite")
-        (writer.partitionBy(doc_col) if doc_col else writer).text(out_dir)
+        folders = -(-kept.select(doc_col).distinct().count() // FOLDER_DOCS) if doc_col else 1
+        # a task for each core: the planner would give a folder's documents, which are small, to few tasks
+        tasks = [lines.sparkSession.sparkContext.defaultParallelism] if doc_col else []
+        for k in range(folders):
+            own = kept.filter(F.pmod(F.xxhash64(doc_col), F.lit(folders)) == k) if folders > 1 else kept
+            writer = own.repartitionByRange(*tasks, *docs, *order).sortWithinPartitions(*docs, *order).select(*docs, text_col).write.mode("overwrite")
+            (writer.partitionBy(doc_col).text(f"{out_dir}/docs-{k:05d}") if doc_col else writer.text(out_dir))
     finally:
         kept.unpersist()
 
 
-def document_manifest(spark, out_dir: str, doc_col: str | None = None) -> DataFrame:
-    """What is on disk: ``doc_col``, ``part`` (file), ``first_line`` (from 1) and ``lines`` of each file, in part order."""
+def _folders(spark, out_dir: str) -> list[str]:
+    """The folders ``docs-…`` that ``write_lines`` made."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out_dir)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(s.getPath().toString() for s in found if s.isDirectory() and s.getPath().getName().startswith("docs-"))
+
+
+def _texts(spark, out_dir: str, doc_col: str | None) -> DataFrame:
+    """``doc_col``, ``part`` and ``value`` of each file of a folder."""
+    docs = [doc_col] if doc_col else []
+    text = spark.read.schema(", ".join(["value string", *[f"`{c}` string" for c in docs]])).text(out_dir, wholetext=True)
+    # the planner takes each file for 4 MB at least: small documents would come a few to a task
+    return (text.coalesce(4 * spark.sparkContext.defaultParallelism) if doc_col else text).select(*docs, F.col("_metadata.file_name").alias("part"), "value")
+
+
+def _manifest(texts: DataFrame, doc_col: str | None) -> DataFrame:
     docs = [doc_col] if doc_col else []
-    text = spark.read.text(out_dir, wholetext=True).select(*docs, F.col("_metadata.file_name").alias("part"), "value")
-    counts = text.select(*docs, "part", (F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))).cast("long").alias("lines"))
+    counts = texts.select(*docs, "part", (F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))).cast("long").alias("lines"))
     # files of one document, a few numbers each; a merged document has as many as the write had tasks
     before = Window.partitionBy(*docs or [F.lit(0)]).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("first_line", F.coalesce(F.sum("lines").over(before), F.lit(0)) + 1)
 
 
+def _each_folder(spark, out_dir: str, doc_col: str, rows, schema: str) -> DataFrame:
+    """``rows(texts)`` of one folder after the other, as one table: what the driver lists of a folder goes before the next one."""
+    path = scratch_dir(spark, "documents-read")
+    for folder in _folders(spark, out_dir):
+        rows(_texts(spark, folder, doc_col)).write.mode("append").parquet(path)
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def document_manifest(spark, out_dir: str, doc_col: str | None = None) -> DataFrame:
+    """What is on disk: ``doc_col``, ``part`` (file), ``first_line`` (from 1) and ``lines`` of each file, in part order."""
+    if not doc_col:
+        return _manifest(_texts(spark, out_dir, None), None)
+    return _each_folder(spark, out_dir, doc_col, lambda t: _manifest(t, doc_col), f"`{doc_col}` string, part string, lines long, first_line long")
+
+
 def read_lines(spark, out_dir: str, doc_col: str | None = None) -> DataFrame:
     """The documents read back: ``doc_col``, ``line_no``, ``text`` for every line on disk."""
     docs = [doc_col] if doc_col else []
-    text = spark.read.text(out_dir, wholetext=True).select(
-        *docs, F.col("_metadata.file_name").alias("part"), F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)).alias("at", "text"))
-    return text.join(document_manifest(spark, out_dir, doc_col).drop("lines"), [*docs, "part"]) \
-        .select(*docs, (F.col("first_line") + F.col("at")).cast("long").alias("line_no"), "text")
+
+    def rows(texts: DataFrame) -> DataFrame:
+        text = texts.select(*docs, "part", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)).alias("at", "text"))
+        return text.join(_manifest(texts, doc_col).drop("lines"), [*docs, "part"]) \
+            .select(*docs, (F.col("first_line") + F.col("at")).cast("long").alias("line_no"), "text")
+    if not doc_col:
+        return rows(_texts(spark, out_dir, None))
+    return _each_folder(spark, out_dir, doc_col, rows, f"`{doc_col}` string, line_no long, text string")
 
 
 def scratch_dir(spark, name: str) -> str:

@@ -120,3 +120,21 @@ def test_linked_texts_of_repeated_keys(spark):
     out = LK.linked_texts(rows, ["file_id", "pos"], "t", ["file_id"], aliases, modules, F.lit("p"), scope, ["file_id"])
     got = sorted(((str(r.file_id), r.pos, r.linked) for r in out.collect()), key=str)
     assert got == sorted([("1", 0, "[[]]<<p-T,T>><<p-T,T>>")] * 2 + [("1", 1, "map[<<m-a-B,a.B>>]link:https://pkg.go.dev/o/x#Y[x.Y]"), ("None", 2, None), ("2", 0, "a.B"), ("2", 1, "")], key=str)
+
+
+def test_documents_are_written_and_read_a_folder_at_a_time(spark, tmp_path, monkeypatch):
+    """The driver holds the paths of a folder's documents, not those of all, and what is read back names none of them."""
+    from quillspark.sources import sinks
+    monkeypatch.setattr(sinks, "FOLDER_DOCS", 8, raising=False)
+    names = [f"d{i}.adoc" for i in range(20)] + ["0123", "a b=c", "2024-01-01"]
+    lines = spark.createDataFrame([(n, i, t) for n in names for i, t in enumerate(["= " + n, "", "x", ""][:2 + len(n) % 3])], "doc string, line int, text string")
+    out = str(tmp_path / "out")
+    sinks.write_lines(lines, out, ["line"], "doc")
+    folders = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert folders == ["docs-00000", "docs-00001", "docs-00002"] and sum(len(list(p.glob("doc=*"))) for p in (tmp_path / "out").iterdir()) == len(names)
+    back = sinks.read_lines(spark, out, "doc")
+    assert not any("doc=" in f for f in back.inputFiles())
+    assert sorted(map(tuple, back.collect())) == sorted((r.doc, r.line + 1, r.text) for r in lines.collect())
+    manifest = sinks.document_manifest(spark, out, "doc")
+    assert manifest.groupBy().agg(F.sum("lines")).first()[0] == lines.count() and manifest.filter("first_line = 1").count() == len(names)
+    sinks.write_lines(lines.limit(0), str(tmp_path / "none"), ["line"], "doc")
